@@ -134,10 +134,7 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
         if b - a >= n:
             found.append(np.unique(hashed[first[i] : first[i + 1]]))
         elif b > a:
-            h = np.uint64(b - a)
-            for v, factor in zip(values[a:b], multipliers(n, 11)):
-                h = (h + v * factor) if True else h
-            found.append(mix(np.array([h], np.uint64)))
+            found.append(mix(np.sum(values[a:b] * multipliers(n, 11)[: b - a], keepdims=True) + np.uint64(b - a)))
         else:
             found.append(np.empty(0, np.uint64))
     return found

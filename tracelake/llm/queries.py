@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, ngram_jaccard, quality_rules, token_output, toxicity, url_filters
 from .common import read
-from . import quality_rules
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +44,96 @@ FROM f
 """
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, 1.0::DOUBLE * (SELECT sum(n) FROM n) * 1.0 / (SELECT count(*) FROM n) / n AS rate FROM n),
+p AS (
+  SELECT source, k, -rate + k * ln(rate) - lgamma(k + 1) AS log_p
+  FROM r, (SELECT unnest(range(0, 400)) AS k)),
+c AS (SELECT source, k, sum(exp(log_p)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
+d AS (
+  SELECT *, ((('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents),
+m AS (SELECT d.doc_id, count(*) FILTER (cdf < u) AS copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.doc_id)
+SELECT documents.*, unnest(range(1, copies + 1))::INTEGER AS copy_no FROM documents JOIN m USING (doc_id) WHERE copies > 0
+"""
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(u,) for u in url_filters.LISTED], "url string")
+    return url_filters.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), listed).drop("url")
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) AS path FROM p),
+r AS (
+  SELECT *, CASE
+    WHEN regexp_matches(host, '(^|\.)example\.net$') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN regexp_matches(host, '(^|\.)example\.com$') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN regexp_matches(host, '(^|\.)org$') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN regexp_matches(host, '(^|\.)net$') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM h)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, '(^|\.)(cheap-pills|casino-win|spam-farm)\.example\.(com|net|org)$') AND starts_with(path, '/') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    params = token_output.TokenParams(public_tokenizers.path("word_bpe_49k.json"))
+    return token_output.read_digests(token_output.write_shards(read(spark, sf_dir, "documents"), params))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = ngram_jaccard.JaccardParams(n=3, percent=90)
+    return ngram_jaccard.link_components(read(spark, sf_dir, "documents"), params).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(words[i : i + 2], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)
+    UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 2)),
+n AS (SELECT w.doc_id, count(g) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n_shingles + q.n_shingles - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other)
+SELECT n.doc_id, n_shingles, min(other) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY ALL
+"""
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    rows = toxicity.score(docs, model)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {
+        "op1_quality_rules": op1_quality_rules,
+        "op4_source_mixing": op4_source_mixing,
+        "op5_url_filters": op5_url_filters,
+        "op6_token_output": op6_token_output,
+        "op8_ngram_jaccard": op8_ngram_jaccard,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL, "op8_ngram_jaccard": OP8_SQL}
