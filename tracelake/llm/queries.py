@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, quality_rules, token_output, toxicity, url_filters
+from . import mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
 from .common import read
 
 
@@ -96,6 +96,62 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(token_output.write_shards(read(spark, sf_dir, "documents"), params))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select(
+        "doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"),
+        pii.digest(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+    )
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k AS (
+  SELECT doc_id, text, 'email' AS kind, 0 AS rank, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS ms, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gs FROM t
+  UNION ALL SELECT doc_id, text, 'ip', 1, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM t
+  UNION ALL SELECT doc_id, text, 'card', 2, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') FROM t
+  UNION ALL SELECT doc_id, text, 'phone', 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM t),
+u AS (SELECT doc_id, text, kind, rank, unnest(ms) AS m, unnest(gs[: len(ms)]) AS g, generate_subscripts(ms, 1) AS i FROM k WHERE len(ms) > 0),
+placed AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS e, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM u),
+base AS (
+  SELECT doc_id, text, kind, rank, m, e - length(m) AS s, e FROM placed
+  WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+    WHEN 'ip' THEN coalesce(list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) <= 255)), true)
+    ELSE length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(d)), lambda j: CASE
+      WHEN j % 2 = 0 THEN reverse(d)[j + 1]::INTEGER
+      WHEN reverse(d)[j + 1]::INTEGER > 4 THEN 2 * reverse(d)[j + 1]::INTEGER - 9 ELSE 2 * reverse(d)[j + 1]::INTEGER END)) % 10 = 0 END),
+ctx AS (
+  SELECT doc_id, kind || ':' || lower(m) AS entity,
+    CASE WHEN s > 80 THEN regexp_replace(substr(text, s - 79, 80), '^\p{L}+', '') ELSE substr(text, 1, s) END || ' ' ||
+    CASE WHEN length(text) - e >= 80 THEN regexp_replace(substr(text, e + 1, 80), '\p{L}+$', '') ELSE substr(text, e + 1) END AS beside
+  FROM base),
+near AS (SELECT DISTINCT doc_id, entity, term FROM (SELECT doc_id, entity, unnest(regexp_extract_all(lower(beside), '\p{L}+')) AS term FROM ctx) WHERE length(term) >= 3),
+n_et AS (SELECT entity, term, count(*) AS n_et FROM near GROUP BY ALL HAVING count(*) >= 3),
+n_e AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM ctx GROUP BY ALL),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS m, unnest(string_split_regex(text, '\p{L}+')[: len(regexp_extract_all(text, '\p{L}+'))]) AS g, generate_subscripts(regexp_extract_all(text, '\p{L}+'), 1) AS i FROM t),
+n_t AS (SELECT lower(m) AS term, count(DISTINCT doc_id) AS n_t FROM runs WHERE length(m) >= 3 GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM t),
+told AS (
+  SELECT term FROM n_et JOIN n_e USING (entity) JOIN n_t USING (term), n WHERE n_e < n
+  GROUP BY term HAVING max(ln(n_et * n / (n_e::DOUBLE * n_t)) / ln(n / n_e)) >= 0.8),
+terms AS (
+  SELECT doc_id, 'term' AS kind, 4 AS rank, e - length(m) AS s, e FROM (
+    SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM runs) r
+  WHERE lower(m) IN (SELECT term FROM told)
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.s < r.e AND r.e - length(r.m) < b.e)),
+spans AS (SELECT doc_id, kind, rank, s, e FROM base UNION ALL SELECT doc_id, kind, rank, s, e FROM terms),
+b AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+    count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'term') AS n_terms,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
+FROM t LEFT JOIN b USING (doc_id)
+"""
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = ngram_jaccard.JaccardParams(n=3, percent=90)
     return ngram_jaccard.link_components(read(spark, sf_dir, "documents"), params).select("doc_id", "n_shingles", "component_id")
@@ -130,10 +186,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mixing": op4_source_mixing,
         "op5_url_filters": op5_url_filters,
         "op6_token_output": op6_token_output,
+        "op7_pii": op7_pii,
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL, "op8_ngram_jaccard": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL, "op7_pii": OP7_SQL, "op8_ngram_jaccard": OP8_SQL}
