@@ -11,8 +11,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.packaging import ship
+
 #: Bytes of text that one step of a Python task holds as word arrays.
 SLICE_BYTES = 4_000_000
 
@@ -39,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -149,3 +152,16 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def unit(hashed):
     """A column of uniform numbers in (0, 1) from a hex digest column: its first 13 digits, so that any SQL can repeat it."""
     return (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**13))
+
+
+def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with `rank` from 1 in the given order, stored: a range-partitioned sort, whose partitions are numbered within
+    and shifted by the sizes of those before (one number for each partition)."""
+    rows = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__at", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = stored(sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long"))).drop("__n"), f"{name}-shifts")
+    rows = rows.withColumn("__part", part).join(F.broadcast(shifts), "__part")  # a row for each partition of the sort
+    return rows.withColumn("rank", F.col("__at").bitwiseAND(F.lit(2**33 - 1)) + 1 + F.col("__before")).drop("__at", "__part", "__before")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
+from . import decontamination, html_extraction, importance, mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
 from .common import read
 
 
@@ -44,6 +44,15 @@ FROM f
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_text(read(spark, sf_dir, "pages"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.find_leaks(docs, read(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(read(spark, sf_dir, "documents"))
 
@@ -173,6 +182,11 @@ SELECT n.doc_id, n_shingles, min(other) AS component_id FROM n JOIN reach USING
 """
 
 
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, read(spark, sf_dir, "labels"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -183,11 +197,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_html_extraction": op2_html_extraction,
+        "op3_decontamination": op3_decontamination,
         "op4_source_mixing": op4_source_mixing,
         "op5_url_filters": op5_url_filters,
         "op6_token_output": op6_token_output,
         "op7_pii": op7_pii,
         "op8_ngram_jaccard": op8_ngram_jaccard,
+        "op9_importance": op9_importance,
         "op10_toxicity": op10_toxicity,
     }
 
