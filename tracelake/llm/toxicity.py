@@ -1,8 +1,10 @@
 """Operator 10, toxicity: non-negative positive-unlabelled learning.
 
-A logistic scorer over the distinct words of a text is trained with numpy from texts that are confirmed toxic and from
-unlabelled texts, by minimising the class-prior-corrected risk whose negative part may not fall below zero. The fit reads
-a bounded sample (`PuParams.max_positive`, `max_unlabelled`); scoring reads every whole text.
+A logistic scorer over words and word stems is trained with numpy from texts that are confirmed toxic and from unlabelled
+texts, by minimising the class-prior-corrected risk whose negative part may not fall below zero. A word counts as there or
+not there; a stem (the first letters of a word) counts by how dense its words stand in the text. The fit reads a bounded
+sample (`PuParams.max_positive`, `max_unlabelled`), in which Spark counts and picks the features; the driver gets only the
+picked features of each sampled text. Scoring reads every whole text.
 
 Defined results: a null or empty text gets the score of a text without words. A row is scored on its text alone, so rows
 repeated under one identifier are scored each for itself; a null identifier is scored and never learnt from. Without any
@@ -22,18 +24,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, list_array, slices
+from .common import Words, list_array, slices, stored
+
+#: A full count of a feature: densities are kept as whole numbers of this part, so that sums do not depend on their order.
+FULL = 64
 
 
 @dataclass(frozen=True)
 class PuParams:
-    """max_positive, max_unlabelled: bounds of the sample that the fit reads. n_features: at most so many words get a
-    weight. threshold: a score from which a text counts as toxic."""
+    """max_positive, max_unlabelled: bounds of the sample that the fit reads. n_features: at most so many features get a
+    weight, of those whose means differ by min_z standard errors. stems: lengths of stems. dense: a stem counts in full
+    where one word in so many has it. threshold: a score from which a text counts as toxic."""
 
     max_positive: int = 4000
     max_unlabelled: int = 16000
     n_features: int = 512
     min_z: float = 4.0
+    stems: tuple[int, ...] = (4, 6)
+    dense: int = 50
     steps: int = 600
     rate: float = 0.05
     l2: float = 1e-4
@@ -43,7 +51,7 @@ class PuParams:
 
 @dataclass(frozen=True)
 class PuModel:
-    """Word hashes in ascending order, a weight for each, the bias, and the prior."""
+    """Feature hashes in ascending order, a weight for each, the bias, and the prior."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -56,25 +64,39 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _plain(texts: pa.Array) -> tuple[Words, np.ndarray]:
-    """Words, and a hash of each distinct one without the signs around it (0: nothing is left)."""
-    words = Words(pc.utf8_lower(pc.fill_null(texts, "")))
-    bare = pc.utf8_trim(words.dictionary, characters=".,;:!?\"'()[]{}*#%$&|<>-_/\\")
-    hashed = Words.__new__(Words)
-    hashed.dictionary = bare
-    return words, np.where(np.asarray(pc.equal(bare, "")).astype(bool), np.uint64(0), hashed.hashes())
-
-
-def _word_sets(texts: pa.Array) -> list[np.ndarray]:
-    words, hashed = _plain(texts)
-    values = hashed[words.codes] if len(words.codes) else np.empty(0, np.uint64)
-    return [(u := np.unique(values[a:b]))[u != 0] for a, b in zip(words.starts, words.starts[1:])]
+def _hashed(words: pa.Array) -> np.ndarray:
+    held = Words.__new__(Words)
+    held.dictionary = words
+    return np.where(np.asarray(pc.equal(words, "")).astype(bool), np.uint64(0), held.hashes())
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(texts: pa.Array, params: PuParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, hash and count (1 to FULL) of the features of each text."""
+    words = Words(pc.utf8_lower(pc.fill_null(texts, "")))
+    bare = pc.utf8_trim(words.dictionary, characters=".,;:!?\"'()[]{}*#%$&|<>-_/\\")
+    found = [(_hashed(bare), 1)]
+    for k in params.stems:
+        cut = pc.if_else(pc.greater_equal(pc.utf8_length(bare), k), pc.binary_join_element_wise(str(k), pc.utf8_slice_codeunits(bare, 0, k), "^"), "")
+        found.append((_hashed(cut), 0))
+    owners, keys, counts = [], [], []
+    for hashed, whole in found:
+        _, code = np.unique(hashed, return_inverse=True)
+        mark = np.flatnonzero(hashed[words.codes]) if len(words.codes) else np.empty(0, np.int64)
+        n = int(code.max()) + 1 if len(code) else 1
+        pair, first, count = np.unique(words.owner[mark] * n + code[words.codes[mark]], return_index=True, return_counts=True)
+        owner = pair // n
+        owners.append(owner), keys.append(hashed[words.codes[mark[first]]])
+        counts.append(np.full(len(pair), FULL) if whole else np.maximum(1, np.minimum(FULL, FULL * params.dense * count // words.counts[owner])))
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(counts)
+
+
+def _sampled(batches: Iterator[pa.RecordBatch], params: PuParams) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            yield pa.RecordBatch.from_arrays([part.column(0), list_array(_word_sets(part.column(1)), pa.int64())], ["positive", "words"])
+            owner, keys, counts = _features(part.column(1), params)
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(1, part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column(0), list_array(np.split(keys[order], cuts), pa.int64()), list_array(np.split(counts[order], cuts), pa.int32())], ["positive", "keys", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: PuParams = PuParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> PuModel:
@@ -91,64 +113,72 @@ def fit(docs: DataFrame, labels: DataFrame, params: PuParams = PuParams(), id_co
     unlabelled = any_row.orderBy(*order).limit(params.max_unlabelled).select("id", F.lit(False).alias("positive"))
     chosen = F.broadcast(positive.unionByName(unlabelled))  # at most max_positive + max_unlabelled identifiers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("positive", "text")
-    schema = T.StructType([T.StructField("positive", T.BooleanType()), T.StructField("words", T.ArrayType(T.LongType()))])
-    sample = rows.mapInArrow(_sets_of, schema).toArrow().combine_chunks()
-    return train(np.asarray(sample.column("positive")).astype(bool), sample.column("words"), prior, params)
-
-
-def train(positive: np.ndarray, words, prior: float, params: PuParams) -> PuModel:
-    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) by gradient steps; where the second part is below
-    -slack, the step goes against its gradient instead, which keeps the risk of the unlabelled part from overfitting."""
-    if isinstance(words, pa.ChunkedArray):
-        words = words.combine_chunks()
-    if isinstance(words, pa.ChunkedArray):
-        words = pa.concat_arrays(words.chunks)
-    owner = np.repeat(np.arange(len(positive)), np.asarray(pc.list_value_length(words), dtype=np.int64))
-    keys, codes = np.unique(np.asarray(words.flatten()).view(np.uint64), return_inverse=True)
+    sample = stored(rows.mapInArrow(lambda it: _sampled(it, params), "positive boolean, keys array<bigint>, counts array<int>"), "pu-sample")
+    n_p, n_u = (max(1, int(n or 0)) for n in sample.agg(F.sum(F.col("positive").cast("int")), F.sum((~F.col("positive")).cast("int"))).first())
+    picked = np.sort(np.array([r[0] for r in _picked(sample, n_p, n_u, params).collect()], np.int64).view(np.uint64))  # n_features at most
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, counts = [], []
+            for keys, count in zip(batch.column(1), batch.column(2)):
+                keys, count = np.asarray(keys.values).view(np.uint64), np.asarray(count.values)
+                held = np.isin(keys, picked)
+                codes.append(np.searchsorted(picked, keys[held])), counts.append(count[held].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(codes, pa.int32()), list_array(counts, pa.int32())], ["positive", "codes", "counts"])
+
+    table = sample.mapInArrow(narrow, "positive boolean, codes array<int>, counts array<int>").toArrow()  # a bounded sample
+    sizes = np.asarray(pc.list_value_length(table.column("codes")), dtype=np.int64)
+    flat = {c: np.asarray(pc.list_flatten(table.column(c)), dtype=np.int64) for c in ("codes", "counts")}
+    mark = np.asarray(table.column("positive")).astype(bool)
+    weights, bias = train(mark, np.repeat(np.arange(len(mark)), sizes), flat["codes"], flat["counts"] / FULL, len(picked), prior, params)
+    return PuModel(picked, weights, bias, prior)
+
+
+def _picked(sample: DataFrame, n_p: int, n_u: int, params: PuParams) -> DataFrame:
+    """The features whose means in the two parts of the sample are furthest apart, in standard errors."""
+    cells = sample.select("positive", F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy(F.col("x.keys").alias("key"))
+    sums = cells.agg(F.sum(F.when(F.col("positive"), F.col("x.counts"))).alias("a"), F.sum(F.when(~F.col("positive"), F.col("x.counts"))).alias("u"))
+    a, u = (F.coalesce(c, F.lit(0)) / F.lit(float(FULL)) for c in ("a", "u"))
+    share = (a + u + 1) / F.lit(n_p + n_u + 2.0)
+    z = F.abs((a / n_p - u / n_u) / F.sqrt(share * (1 - share) * F.lit(1 / n_p + 1 / n_u)))
+    return sums.select("key", z.alias("z")).filter(F.col("z") >= params.min_z).orderBy(F.desc("z"), "key").limit(params.n_features)
+
+
+def train(positive: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, k: int, prior: float, params: PuParams) -> tuple[np.ndarray, float]:
+    """Weights of the k features and the bias that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) by gradient
+    steps; where the second part is below -slack, the step goes against its gradient instead, which keeps the risk of the
+    unlabelled part from overfitting. rows, cols, values: the cells of the matrix of texts and features."""
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    in_p = np.bincount(codes[positive[owner]], minlength=len(keys)).astype(float)
-    in_u = np.bincount(codes[~positive[owner]], minlength=len(keys)).astype(float)
-    share = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (in_p / n_p - in_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    best = np.lexsort((keys, -np.abs(z)))[: params.n_features]
-    used = np.sort(best[np.abs(z[best]) >= params.min_z])
-    place = np.full(len(keys), -1)
-    place[used] = np.arange(len(used))
-    held = place[codes] >= 0
-    rows, cols, k = owner[held], place[codes[held]], len(used)
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, params.steps + 1):
-        s = np.bincount(rows, w[cols], minlength=len(positive)) + b
+        s = np.bincount(rows, w[cols] * values, minlength=len(positive)) + b
         p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
         loss_minus = np.logaddexp(0, s)  # logistic loss as a negative
-        rest = loss_minus[~positive].mean() - prior * loss_minus[positive].mean() if (~positive).any() else 0.0
+        rest = loss_minus[~positive].mean() - prior * loss_minus[positive].mean() if (~positive).any() and positive.any() else 0.0
         g_plus = np.where(positive, prior * (p - 1) / n_p, 0.0)
         g_rest = np.where(positive, -prior * p / n_p, p / n_u)
         g = g_plus + g_rest if rest >= -params.slack else -g_rest
-        grad = np.append(np.bincount(cols, g[rows], minlength=k) + params.l2 * w, g.sum())
+        grad = np.append(np.bincount(cols, g[rows] * values, minlength=k)[:k] + params.l2 * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = params.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return PuModel(keys[used], w, float(b), prior)
+    return w, float(b)
 
 
 def score(docs: DataFrame, model: PuModel, params: PuParams = PuParams(), text_col: str = "text") -> DataFrame:
     """The input with score (probability of being toxic) and predicted."""
     keep = [c for c in docs.columns if c not in ("score", "predicted") or c == text_col]
-    docs, where, threshold = docs.select(*keep), keep.index(text_col), params.threshold
-    keys, weights, bias = np.append(model.keys, np.uint64(2**64 - 1)), np.append(model.weights, 0.0), model.bias
+    docs, where = docs.select(*keep), keep.index(text_col)
+    keys, weights = np.append(model.keys, np.uint64(2**64 - 1)), np.append(model.weights, 0.0)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, where):
-                words, hashed = _plain(part.column(where))
-                at = np.searchsorted(keys, hashed)
-                place = np.where(keys[np.minimum(at, len(keys) - 1)] == hashed, at, len(keys) - 1)
-                hit = np.flatnonzero(place[words.codes] < len(keys) - 1)
-                pairs = np.unique(words.owner[hit] * len(keys) + place[words.codes[hit]])
-                s = np.bincount(pairs // len(keys), weights[pairs % len(keys)], minlength=part.num_rows) + bias
-                p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
+                owner, found, counts = _features(part.column(where), params)
+                place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                value = np.where(keys[place] == found, weights[place] * counts / FULL, 0.0)
+                p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value, minlength=part.num_rows) + model.bias, -40, 40)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= params.threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
