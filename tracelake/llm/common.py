@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from tracelake.packaging import ship
 
 #: Bytes of text that one step of a Python task holds as word arrays.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
+#: Rows of an Arrow batch on its way to a Python task, where the session does not say: batches stay small with long texts.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +44,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(ship(spark)).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # as Spark sets it
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
 
 
 def partitions(spark: SparkSession) -> int:

@@ -55,7 +55,7 @@ class TokenParams:
     block_bytes: int = 65536
     bits_per_key: int = 10
     hashes: int = 7
-    cache: int = 200_000
+    cache: int = 50_000
 
 
 class Encoder:
