@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import decontamination, mixing, ngram_jaccard, token_output, toxicity
-from tracelake.llm.common import read, stored
+from tracelake.llm.common import read, small_batches, stored
 from tracelake.packaging import ship
 
 #: Token shards have no SQL form; the tests hold the rows against a brute-force version.
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones stays (five-word shingles, similarity 0.8)."""
-    ship(spark)
+    small_batches(ship(spark))
     return ngram_jaccard.drop_near_copies(docs)
 
 
@@ -33,13 +33,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets an equal share; a document is there as often as it was drawn."""
-    ship(spark)
+    small_batches(ship(spark))
     return mixing.replicate(docs).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards in the shared folder, and a row for each document as read back from them."""
-    ship(spark)
+    small_batches(ship(spark))
     params = token_output.TokenParams(public_tokenizers.path("word_bpe_49k.json"))
     return token_output.read_digests(token_output.write_shards(docs, params))
 
