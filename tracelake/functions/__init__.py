@@ -1 +1 @@
-"""functions of tracelake."""
+"""Column expressions: URLs, routes, text."""

@@ -1 +1 @@
-"""operators of tracelake."""
+"""Operators: DataFrames to DataFrames."""

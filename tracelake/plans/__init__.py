@@ -1 +1 @@
-"""plans of tracelake."""
+"""Queries over the driver's tables, and the SQL that they are held against."""

@@ -1 +1 @@
-"""sources of tracelake."""
+"""Readers and adapters."""
