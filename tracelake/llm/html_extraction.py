@@ -181,8 +181,8 @@ def unique_runs(blocks: list[str], marked: list[bool], repeats: set[int], length
 
 
 def extract_text(pages: DataFrame, params: BoilerplateParams = BoilerplateParams(), url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The rows without their html: text, n_chars, and n_repeated, the tokens outside of articles that other pages of the
-    host repeat."""
+    """The rows without their html: text, n_chars, and n_repeated, the tokens that were removed because other pages of
+    the host repeat them (0 on a page that marks an article: its text is settled, and is not moved again)."""
     new, length = ["text", "n_chars", "n_repeated"], params.length
     rest = [c for c in pages.columns if (c not in new or c == url_col) and c != html_col]
     rows = pages.select(F.struct(*rest).alias("row"), F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"://([^/?#]*)", 1)).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html_col).alias("html"))
@@ -190,21 +190,22 @@ def extract_text(pages: DataFrame, params: BoilerplateParams = BoilerplateParams
     fields += [T.StructField("text", T.StringType()), T.StructField("outside", T.ArrayType(T.StringType())), T.StructField("marked", T.ArrayType(T.BooleanType())), T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("print", T.LongType())]
     parsed = stored(rows.mapInArrow(lambda it: _parse(it, 3, length), T.StructType(fields)), "parsed")
 
-    suffixes = parsed.select("host", "page", "print", F.explode("windows").alias("prefix"))
+    suffixes = parsed.select("host", "page", "print", F.col("text").isNull().alias("open"), F.explode("windows").alias("prefix"))
     repeats = suffixes.groupBy("host", "prefix").agg(F.min("print").alias("a"), F.max("print").alias("b")).filter("a <> b")
     repeats = stored(repeats.select("host", "prefix"), "repeats")
-    found = suffixes.select("host", "page", "prefix").join(repeats, ["host", "prefix"]).groupBy("page").agg(F.collect_set("prefix").alias("repeats"))
-    joined = parsed.drop("windows", "print", "host").join(stored(found, "found"), "page", "left")
+    found = suffixes.filter("open").select("host", "page", "prefix").join(repeats, ["host", "prefix"]).groupBy("page").agg(F.collect_set("prefix").alias("repeats"))
+    joined = parsed.filter("text is null").drop("windows", "print", "host").join(stored(found, "found"), "page", "left")
+    settled = parsed.filter("text is not null").select("row", "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_repeated"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, counts = [], [], []
-            for text, outside, marked, hit in zip(*(batch.column(c).to_pylist() for c in ("text", "outside", "marked", "repeats"))):
+            for outside, marked, hit in zip(*(batch.column(c).to_pylist() for c in ("outside", "marked", "repeats"))):
                 runs, n = unique_runs(outside, marked, set(hit or ()), length)
-                texts.append(runs if text is None else text)
+                texts.append(runs)
                 sizes.append(len(texts[-1]))
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["row", *new])
 
-    out = joined.select("row", "text", "outside", "marked", "repeats").mapInArrow(finish, T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())]))
-    return out.select(*[F.col("row")[c].alias(c) for c in rest], *new)
+    out = joined.select("row", "outside", "marked", "repeats").mapInArrow(finish, T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())]))
+    return settled.union(out).select(*[F.col("row")[c].alias(c) for c in rest], *new)
