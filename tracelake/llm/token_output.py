@@ -21,15 +21,18 @@ matter.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
@@ -43,6 +46,10 @@ from .common import Words, new_path, partitions, slices, stored
 MAGIC = b"TLSSTAB1"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
 ENTRY = struct.Struct("<QIIQI")
+#: Words that are encoded as one text.
+JOINED = 1000
+#: Bytes of text that are encoded in one step: a larger step looks up fewer words.
+STEP_BYTES = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -55,20 +62,32 @@ class TokenParams:
     block_bytes: int = 65536
     bits_per_key: int = 10
     hashes: int = 7
-    cache: int = 50_000
+    cache: int = 500_000
 
 
 class Encoder:
     """Encodes texts word by word. The pre-tokenizer never joins what white space separates, so the ids of a text are
-    those of its words; each distinct word of a batch is encoded once, and common words are kept."""
+    those of its words; each distinct word of a step is looked up once, and what was encoded before is kept. Where the
+    tokenizer lower-cases, so does the lookup (A-Z)."""
 
     held: dict[str, Encoder] = {}
 
     def __init__(self, path: str, cache: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.known, self.old = Tokenizer.from_file(path), cache, {}, {}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.lower = '"Lowercase"' in str(self.tokenizer.normalizer.__getstate__()) if self.tokenizer.normalizer else False
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else 4
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.first, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @classmethod
     def get(cls, path: str, cache: int) -> Encoder:
@@ -76,24 +95,47 @@ class Encoder:
             cls.held[path] = cls(path, cache)
         return cls.held[path]
 
-    def words(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words one after another, and their numbers."""
-        new = [w for w in distinct if w not in self.known and w not in self.old]
-        ids = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        found = [ids.get(w) or self.known.get(w) or self.old.get(w) or b"" for w in distinct]
-        if len(self.known) + len(distinct) > self.cache:
-            self.old, self.known = self.known, {}
-        self.known.update(zip(distinct[: self.cache], found))
-        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    def places(self, distinct: list[str]) -> np.ndarray:
+        """Where first and size describe each of the distinct words."""
+        if len(self.slots) + len(distinct) > self.cache:
+            self._forget()
+        found = np.fromiter(map(self.slots.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = [distinct[i] for i in np.flatnonzero(found < 0).tolist()]
+        if new:
+            new.sort(key=str.isalpha)
+            letters = bisect_left(new, True, key=str.isalpha)
+            parts = [self._one_by_one(new[:letters])]
+            parts += [self._joined(new[i : i + JOINED]) for i in range(letters, len(new), JOINED)]
+            ids, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            self.slots.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.first = np.append(self.first, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.size, self.ids = np.append(self.size, sizes), np.append(self.ids, ids)
+            found = np.fromiter(map(self.slots.get, distinct), np.int64, len(distinct))
+        return found
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only, as one text: each ends with the first token that closes a word. Where a tokenizer has no
+        such tokens the numbers differ, and the words are taken one by one."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closing[ids])
+        if len(ends) != len(words) or ends[-1] != len(ids) - 1:
+            return self._one_by_one(words)
+        return ids, np.diff(ends, prepend=-1)
 
     def texts(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
-        words = Words(texts)
-        flat, sizes = self.words(words.dictionary.to_pylist())
-        first = np.cumsum(sizes) - sizes
-        lengths = sizes[words.codes] if len(words.codes) else np.empty(0, np.int64)
+        lower = self.lower and not any(pc.any(pc.match_substring(texts, t, ignore_case=True)).as_py() for t in self.added)
+        words = Words(texts, lower)
+        place = self.places(words.dictionary.to_pylist())
+        at = place[words.codes] if len(words.codes) else np.empty(0, np.int64)
+        lengths = self.size[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(first[words.codes] - ends + lengths, lengths) + np.arange(total)] if total else np.empty(0, np.uint32)
+        ids = self.ids[np.repeat(self.first[at] - ends + lengths, lengths) + np.arange(total)] if total else np.empty(0, np.uint32)
         bounds = np.concatenate(([0], ends))[words.starts]
         return [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(bounds, bounds[1:])]
 
@@ -234,7 +276,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, params: TokenParams)
     part = TaskContext.get().partitionId()
     name = f"shard-{part:06d}-{uuid.uuid4().hex}.sst"
     for batch in batches:
-        for piece in slices(batch):
+        for piece in slices(batch, limit=STEP_BYTES):
             if not piece.num_rows:
                 continue
             if writer is None:
