@@ -89,7 +89,7 @@ def resample(docs: DataFrame, labels: DataFrame, params: ResampleParams = Resamp
         for batch in batches:
             for part in slices(batch, len(rest)):
                 bucket, owner, n = _grams(part.column(len(rest)), buckets)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.bincount(owner, weights[bucket], minlength=n)), pa.array(np.bincount(owner, minlength=n).astype(np.int64))], [*part.schema.names[:-1], "log_ratio", "n_grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.bincount(owner, weights[bucket], minlength=n).astype(float)), pa.array(np.bincount(owner, minlength=n).astype(np.int64))], [*part.schema.names[:-1], "log_ratio", "n_grams"])
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("log_ratio", T.DoubleType()), T.StructField("n_grams", T.LongType())])
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -147,7 +147,8 @@ def _picked(sample: DataFrame, n_p: int, n_u: int, params: PuParams) -> DataFram
 def train(positive: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, k: int, prior: float, params: PuParams) -> tuple[np.ndarray, float]:
     """Weights of the k features and the bias that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) by gradient
     steps; where the second part is below -slack, the step goes against its gradient instead, which keeps the risk of the
-    unlabelled part from overfitting. rows, cols, values: the cells of the matrix of texts and features."""
+    unlabelled part from overfitting. At last the bias is set so that the mean score of the unlabelled texts is the prior,
+    which that overshoot would miss in a small sample. rows, cols, values: the cells of the matrix of texts and features."""
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
@@ -163,6 +164,11 @@ def train(positive: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.n
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = params.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
+    rest = np.bincount(rows, w[cols] * values, minlength=len(positive))[~positive]
+    low, high = -40.0, 40.0
+    for _ in range(60 if len(rest) else 0):  # the unlabelled texts are toxic at the prior, which settles the bias
+        b = (low + high) / 2
+        low, high = (b, high) if np.mean(1 / (1 + np.exp(-np.clip(rest + b, -40, 40)))) < prior else (low, b)
     return w, float(b)
 
 
