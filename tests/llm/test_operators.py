@@ -129,6 +129,20 @@ def test_articles_and_unique_runs(spark):
     assert found[4] == found[5] == ("", 0)
 
 
+def test_repeats_inside_articles_go_and_copies_stay(spark):
+    rng, plate = random.Random(7), " ".join(f"plate{i}" for i in range(15))
+    own = [" ".join(words_of(rng, 60, 10**6)) for _ in range(5)]
+    rows = [(i, f"http://h.test/{i}", page(f"<article><p>{t}</p><div>{plate}</div></article>")) for i, t in enumerate(own)]
+    rows += [(10 + i, "http://h.test/c", page(f"<article><p>{own[0]}</p><div>{plate}</div></article>", f"<nav>menu {i}</nav>")) for i in range(4)]
+    near = words_of(rng, 80, 10**6)
+    rows += [(20 + i, "http://near.test/", page(f"<article>{' '.join([*near[:40], f'edit{i}', *near[40:]])}</article>")) for i in range(4)]
+    rows += [(30 + i, "http://near.test/", page(f"<article>{' '.join(words_of(rng, 80, 10**6))}</article>")) for i in range(9)]
+    found = {r.page_id: (r.text, r.n_repeated) for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i][0] == t and found[i][1] >= 15 for i, t in enumerate(own))
+    assert all(found[10 + i][0] == own[0] for i in range(4))
+    assert all(found[20 + i][0] == " ".join([*near[:40], f"edit{i}", *near[40:]]) for i in range(4))
+
+
 def test_mixing_equals_brute_force(spark):
     from math import exp, factorial
     from hashlib import md5

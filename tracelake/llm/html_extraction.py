@@ -1,18 +1,18 @@
 """Operator 2, HTML extraction: host suffix array.
 
-A page is cut into blocks of text. Blocks inside its article (or main part) are the text, without what their markup marks
-as menus, headers, footers, sidebars, notices, adverts, forms and comments. The other blocks of the pages of a host are
-concatenated to token streams, and the suffixes of the streams are arranged by host and their first `length` tokens: so
-suffixes that share that many tokens stand together, and where such a group holds two distinct pages, every substring of
-`length` tokens or more that they repeat is covered. The groups are formed by an aggregation that starts before the
-shuffle, so a host with a third of all pages, or a passage on most of them, is never gathered in one task.
-
-A page that marks no article gives the runs of tokens that no repeat covers, block by block, without the blocks whose
-markup settles that they are not text. Text inside an article is kept even where it repeats: pages that carry the same
-article are no boilerplate.
-
-Defined results: null html is empty; a page without text gives ''. Equal pages count as one page, so copies of a page do
-not make its text a repeat. A null url has the host ''. Every row is a page of its own; identifiers are not looked at. An
+A page is cut into blocks of text. Blocks inside its article (or main part) are its main text, without what their markup
+marks as menus, headers, footers, sidebars, notices, adverts, forms and comments; a page that marks no article has the
+blocks that no markup sets apart as its main text. All blocks of every page are concatenated to token streams, and the
+suffixes of the streams are arranged by host and their first `length` tokens: so suffixes that share that many tokens stand
+together, and the distinct main texts of such a group are counted. The groups are formed by an aggregation that starts
+before the shuffle, so a host with a third of all pages, or a passage on most of them, is never gathered in one task.
+
+A main text loses the runs of tokens that repeats cover. Without an article, what two main texts hold is a repeat. In an
+article, it takes a run of `article_run` tokens that `article_pages` main texts hold; and where such runs are more than
+half of the article, it is itself a copy of other articles and loses only what half of the main texts of its host hold.
+
+Defined results: null html is empty; a page without text gives ''. Equal main texts count as one, so copies of a page
+or of its article do not make its text a repeat. A null url has the host ''. Every row is a page of its own; identifiers are not looked at. An
 empty table gives an empty result. Further columns pass through; one that has the name of an output column is replaced.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, multipliers, mix, slices, stored
+from .common import multipliers, mix, slices, stored
 
 #: Elements that end a block of text, that hold no text, that are never part of an article, and words of
 #: class, id and role attributes that mark such parts.
@@ -48,9 +48,12 @@ SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class BoilerplateParams:
-    """length: tokens from which a substring that distinct pages of a host repeat counts as boilerplate."""
+    """length: tokens from which a substring that distinct main texts of a host repeat counts as boilerplate. article_run,
+    article_pages: tokens and distinct main texts from which it does inside an article."""
 
-    length: int = 6
+    length: int = 8
+    article_run: int = 12
+    article_pages: int = 3
 
 
 def _set_apart(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
@@ -146,30 +149,56 @@ def _token_windows(blocks: list[str], length: int) -> tuple[list[list[str]], np.
     return tokens, mix(h)
 
 
-def _parse(batches: Iterator[pa.RecordBatch], where: int, length: int) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, where):
-            texts, outside, marked, windows, prints = [], [], [], [], []
+            inside, outside, marked, prints = [], [], [], []
             for html in part.column(where).to_pylist():
-                inside, rest = page_blocks(html or "")
-                texts.append("\n".join(inside) if inside else None)
+                article, rest = page_blocks(html or "")
+                inside.append(article)
                 outside.append([t for t, _ in rest])
                 marked.append([a for _, a in rest])
-                windows.append(np.unique(_token_windows([t for t, _ in rest], length)[1]))
-                prints.append(xxhash.xxh3_64_intdigest(html or "") - 2**63)
+                prints.append(xxhash.xxh3_64_intdigest("\n".join(article or [t for t, a in rest if not a])) - 2**63)
             columns = [c for i, c in enumerate(part.columns) if i != where]
             names = [n for i, n in enumerate(part.schema.names) if i != where]
-            extra = [pa.array(texts, pa.string()), pa.array(outside, pa.list_(pa.string())), pa.array(marked, pa.list_(pa.bool_())), list_array(windows, pa.int64()), pa.array(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *extra], [*names, "text", "outside", "marked", "windows", "print"])
+            extra = [pa.array(x, pa.list_(pa.string())) for x in (inside, outside)] + [pa.array(marked, pa.list_(pa.bool_())), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *extra], [*names, "inside", "outside", "marked", "print"])
 
 
-def unique_runs(blocks: list[str], marked: list[bool], repeats: set[int], length: int) -> tuple[str, int]:
-    """The runs of tokens that no repeated window covers, a line for each block that is not set apart, and the number of
-    covered tokens."""
-    tokens, hashes = _token_windows(blocks, length)
-    covered = np.zeros(sum(map(len, tokens)) + 1, np.int64)
-    for i in np.flatnonzero([h in repeats for h in hashes.view(np.int64).tolist()]):
-        covered[i : i + length] = 1
+def _host_keys(host: str, hashes: np.ndarray) -> np.ndarray:
+    """Window hashes as keys of one host."""
+    return mix(hashes + np.uint64(xxhash.xxh3_64_intdigest(host)))
+
+
+#: Stands for the host itself among the windows, so that its main texts are counted with theirs.
+HOST = np.zeros(1, np.uint64)
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct window of each page, and one for its host."""
+    for batch in batches:
+        for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+            host, page, printed, inside, outside = (part.column(c).to_pylist() for c in ("host", "page", "print", "inside", "outside"))
+            keys = [np.unique(_host_keys(h, np.concatenate((HOST, _token_windows(a, length)[1], _token_windows(b, length)[1])))) for h, a, b in zip(host, inside, outside)]
+            sizes = [len(k) for k in keys]
+            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(page, np.int64), sizes), np.repeat(np.array(printed, np.int64), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "page", "print"])
+
+
+def _covered(tokens: list[list[str]], counts: np.ndarray, least: float, length: int, run: int) -> np.ndarray:
+    """Whether a token is in a run of at least `run` tokens that windows of at least `least` main texts cover."""
+    marks = np.zeros(sum(map(len, tokens)) + 1, np.int64)
+    for i in np.flatnonzero(counts >= least):
+        marks[i : i + length] = 1
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], marks, [0]))))
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a < run:
+            marks[a:b] = 0
+    return marks[:-1].astype(bool)
+
+
+def _left(tokens: list[list[str]], marked: list[bool], covered: np.ndarray) -> str:
+    """The tokens that are not covered, a line for each block that is not set apart."""
     lines, at = [], 0
     for words, apart in zip(tokens, marked):
         if not apart:
@@ -177,35 +206,48 @@ def unique_runs(blocks: list[str], marked: list[bool], repeats: set[int], length
             if left:
                 lines.append(" ".join(left))
         at += len(words)
-    return "\n".join(lines), int(covered.sum())
+    return "\n".join(lines)
+
+
+def main_text(host: str, inside: list[str], outside: list[str], marked: list[bool], repeats: dict[int, int], params: BoilerplateParams) -> tuple[str, int]:
+    """The main text of a page without the runs that repeats (key: number of distinct main texts) cover, and the number of
+    covered tokens on the page."""
+
+    def counted(blocks: list[str]) -> tuple[list[list[str]], np.ndarray]:
+        tokens, hashes = _token_windows(blocks, params.length)
+        return tokens, np.array([repeats.get(k, 0) for k in _host_keys(host, hashes).view(np.int64).tolist()], np.int64)
+
+    tokens, counts = counted(outside)
+    covered = _covered(tokens, counts, 2, params.length, params.length)
+    if not inside:
+        return _left(tokens, marked, covered), int(covered.sum())
+    n, (tokens, counts) = int(covered.sum()), counted(inside)
+    covered = _covered(tokens, counts, params.article_pages, params.length, params.article_run)
+    if 2 * covered.sum() > len(covered):
+        of_host = repeats.get(int(_host_keys(host, HOST).view(np.int64)[0]), 0)
+        covered = _covered(tokens, counts, max(params.article_pages, of_host / 2), params.length, params.article_run)
+    return _left(tokens, [False] * len(tokens), covered), n + int(covered.sum())
 
 
 def extract_text(pages: DataFrame, params: BoilerplateParams = BoilerplateParams(), url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The rows without their html: text, n_chars, and n_repeated, the tokens that were removed because other pages of
-    the host repeat them (0 on a page that marks an article: its text is settled, and is not moved again)."""
+    """The rows without their html: text, n_chars, and n_repeated, the tokens of the page that repeats of its host cover."""
     new, length = ["text", "n_chars", "n_repeated"], params.length
     rest = [c for c in pages.columns if (c not in new or c == url_col) and c != html_col]
     rows = pages.select(F.struct(*rest).alias("row"), F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"://([^/?#]*)", 1)).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html_col).alias("html"))
     fields = [f for f in rows.schema.fields if f.name != "html"]
-    fields += [T.StructField("text", T.StringType()), T.StructField("outside", T.ArrayType(T.StringType())), T.StructField("marked", T.ArrayType(T.BooleanType())), T.StructField("windows", T.ArrayType(T.LongType())), T.StructField("print", T.LongType())]
-    parsed = stored(rows.mapInArrow(lambda it: _parse(it, 3, length), T.StructType(fields)), "parsed")
+    texts = T.ArrayType(T.StringType())
+    fields += [T.StructField("inside", texts), T.StructField("outside", texts), T.StructField("marked", T.ArrayType(T.BooleanType())), T.StructField("print", T.LongType())]
+    parsed = stored(rows.mapInArrow(lambda it: _parse(it, 3), T.StructType(fields)), "parsed")
 
-    suffixes = parsed.select("host", "page", "print", F.col("text").isNull().alias("open"), F.explode("windows").alias("prefix"))
-    repeats = suffixes.groupBy("host", "prefix").agg(F.min("print").alias("a"), F.max("print").alias("b")).filter("a <> b")
-    repeats = stored(repeats.select("host", "prefix"), "repeats")
-    found = suffixes.filter("open").select("host", "page", "prefix").join(repeats, ["host", "prefix"]).groupBy("page").agg(F.collect_set("prefix").alias("repeats"))
-    joined = parsed.filter("text is null").drop("windows", "print", "host").join(stored(found, "found"), "page", "left")
-    settled = parsed.filter("text is not null").select("row", "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_repeated"))
+    suffixes = parsed.select("host", "page", "print", "inside", "outside").mapInArrow(lambda it: _suffixes(it, length), "key long, page long, print long")
+    repeats = suffixes.groupBy("key").agg(F.count_distinct("print").alias("n")).filter("n > 1")
+    found = suffixes.select("key", "page").join(stored(repeats, "repeats"), "key").groupBy("page").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("counts"))
+    joined = parsed.drop("print").join(stored(found, "found"), "page", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sizes, counts = [], [], []
-            for outside, marked, hit in zip(*(batch.column(c).to_pylist() for c in ("outside", "marked", "repeats"))):
-                runs, n = unique_runs(outside, marked, set(hit or ()), length)
-                texts.append(runs)
-                sizes.append(len(texts[-1]))
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["row", *new])
-
-    out = joined.select("row", "outside", "marked", "repeats").mapInArrow(finish, T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())]))
-    return settled.union(out).select(*[F.col("row")[c].alias(c) for c in rest], *new)
+            done = [main_text(h, i, o, m, dict(zip(k or (), c or ())), params) for h, i, o, m, k, c in zip(*(batch.column(x).to_pylist() for x in ("host", "inside", "outside", "marked", "keys", "counts")))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["row", *new])
+
+    out = joined.select("row", "host", "inside", "outside", "marked", "keys", "counts").mapInArrow(finish, T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())]))
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], *new)
