@@ -166,6 +166,25 @@ def test_importance_prefers_the_target(spark):
     assert len(kept) == 50 and sum(i % 2 for i in kept) >= 48 and sorted(r["rank"] for r in rows) == list(range(1, 101))
 
 
+@pytest.mark.parametrize("frequent", [0, 50, 65_536])
+def test_importance_counts_each_ngram_for_itself(spark, frequent):
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(words_of(rng, 300, 10**6 if i % 2 else 40))) for i in range(60)] + [(60, None), (61, "")]
+    labels = [(i, i % 3 == 0) for i in range(40)]
+    grams = {i: [(w,) for w in (t or "").split()] + list(zip((t or "").split(), (t or "").split()[1:])) for i, t in docs}
+    raw = Counter(g for x in grams.values() for g in x)
+    wanted = Counter(g for i, y in labels if y for g in grams[i])
+    assert len(raw) > 10_000
+    ratio = {g: log((wanted[g] + 1) / (wanted.total() + len(raw))) - log((raw[g] + 1) / (raw.total() + len(raw))) for g in raw}
+    params = importance.ResampleParams(frequent=frequent)
+    rows = importance.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id long, quality int"), params).collect()
+    assert {r.doc_id: r.n_grams for r in rows} == {i: len(x) for i, x in grams.items()}
+    assert all(abs(r.log_ratio - sum(ratio[g] for g in grams[r.doc_id])) < 1e-5 for r in rows)
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels")

@@ -1,10 +1,13 @@
 """Operator 9, quality classifier: importance resampling.
 
-Words and word pairs are hashed into buckets. The share of each bucket in the target texts and in all texts gives two
-generative models; a document's log importance is the sum of the log ratios of its n-grams. A Gumbel number hashed from
+The share of each word and word pair in the target texts and in all texts gives two generative models; a document's log
+importance is the sum of the log ratios of its n-grams. Each n-gram counts for itself, by its 64-bit hash, in a stored table
+that grows with the corpus. The `frequent` n-grams with the largest counts are looked up in the tasks that read the texts,
+so that no key of the join with the table is on many documents; the others are joined. A Gumbel number hashed from
 seed and identifier is added, and the k documents with the largest sums are kept, which samples k documents without
 replacement in proportion to their importance. The model of the raw texts counts every document; the target model counts
-at most `max_target` labelled documents, those with the least hash of their identifier.
+at most `max_target` labelled documents, those with the least hash of their identifier. Log ratios are kept as whole numbers
+of the part 2^-32, so that sums do not depend on their order.
 
 Defined results: a null or empty text has log importance 0. Every row is ranked for itself; equal sums are ordered by
 the hash of the identifier and then the identifier, a null one counting as the empty text. Without target labels every
@@ -25,52 +28,92 @@ from pyspark.sql import types as T
 
 from .common import Words, global_rank, slices, stored, unit, windows
 
+#: Log ratios are kept as whole numbers of this part.
+UNIT = float(2**32)
+
 
 @dataclass(frozen=True)
 class ResampleParams:
-    """keep: share of the documents to sample; None takes the share of target rows among the labelled ones."""
+    """keep: share of the documents to sample; None takes the share of target rows among the labelled ones. frequent: n-grams
+    that are looked up without a join; the result does not depend on it."""
 
-    buckets: int = 10_000
+    frequent: int = 65_536
     max_target: int = 20_000
     keep: float | None = None
     seed: str = "resample"
 
 
-def _grams(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bucket and owner of each word and of each pair of words that follow each other."""
+def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Key and owner of each word and of each pair of words that follow each other."""
     words = Words(texts)
     values = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
     pairs, at = windows(values, words.owner, 2, seed=3)
-    n = np.uint64(buckets)
-    return np.concatenate((values % n, pairs % n)).astype(np.int64), np.concatenate((words.owner, words.owner[at])), len(texts)
+    return np.concatenate((values, pairs)).view(np.int64), np.concatenate((words.owner, words.owner[at])), len(texts)
+
+
+def _places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key would stand in an ascending table, and whether it does."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return place, table[place] == keys
 
 
-def ratios(docs: DataFrame, target: DataFrame, params: ResampleParams, id_col: str, text_col: str) -> np.ndarray:
-    """The log ratio of each bucket. target: identifiers of target documents, at most max_target."""
+def ratios(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, raw, ratio), stored: the count and the log ratio, in units, of each n-gram. target: identifiers of target
+    documents, at most max_target."""
     chosen = target.select(F.col(id_col).alias("id"), F.lit(True).alias("wanted")).distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left")
     rows = rows.select(F.coalesce("wanted", F.lit(False)).alias("wanted"), "text")
-    buckets = params.buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, wanted = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
             for part in slices(batch):
-                bucket, owner, _ = _grams(part.column(1), buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                mark = np.asarray(part.column(0)).astype(bool)
-                wanted += np.bincount(bucket[mark[owner]], minlength=buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(wanted[at])], ["bucket", "raw", "wanted"])
-
-    sums = rows.mapInArrow(count, "bucket long, raw long, wanted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("wanted").alias("wanted"))
-    table = sums.toArrow()  # a row for each bucket
-    raw, wanted = np.zeros(buckets), np.zeros(buckets)
-    at = np.asarray(table.column("bucket").combine_chunks() if table.num_rows else [], dtype=np.int64)
-    raw[at], wanted[at] = (np.asarray(table.column(c).combine_chunks(), dtype=float) if table.num_rows else np.empty(0) for c in ("raw", "wanted"))
-    if not wanted.any():
-        return np.zeros(buckets)
-    return np.log((wanted + 1) / (wanted.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+                keys, owner, _ = _grams(part.column(1))
+                found, code = np.unique(keys, return_inverse=True)
+                mark = np.asarray(part.column(0)).astype(bool)[owner]
+                sums = (np.bincount(code, minlength=len(found)), np.bincount(code[mark], minlength=len(found)))
+                yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x.astype(np.int64)) for x in sums)], ["key", "raw", "wanted"])
+
+    model = rows.mapInArrow(count, "key long, raw long, wanted long").groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("wanted").alias("wanted"))
+    model = stored(model, "grams")
+    n, raw, wanted = (float(x or 0) for x in model.agg(F.count(F.lit(1)), F.sum("raw"), F.sum("wanted")).first())
+    share = lambda c, total: F.ln((F.col(c) + 1) / F.lit(max(1.0, total + n)))
+    ratio = F.round((share("wanted", wanted) - share("raw", raw)) * F.lit(UNIT)).cast("long") if wanted else F.lit(0).cast("long")
+    return model.select("key", "raw", ratio.alias("ratio"))
+
+
+def scored(rows: DataFrame, model: DataFrame, params: ResampleParams, text_at: int) -> DataFrame:
+    """The rows, which have a __row number, without their text, the column text_at: log_ratio and n_grams, stored."""
+    top = model.orderBy(F.desc("raw"), "key").limit(params.frequent).select("key", "ratio").toArrow()  # `frequent` rows at most
+    known, weights = (np.asarray(top.column(c).combine_chunks() if top.num_rows else [], dtype=np.int64) for c in ("key", "ratio"))
+    order = np.argsort(known)
+    known, weights = known[order], weights[order]
+    names = [c for i, c in enumerate(rows.columns) if i != text_at]
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keys, owner, _ = _grams(part.column(1))
+                left = ~_places(known, keys)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[left]), part.column(0).take(pa.array(owner[left]))], ["key", "__row"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_at):
+                keys, owner, n = _grams(part.column(text_at))
+                place, there = _places(known, keys)
+                sums = np.zeros(n, np.int64)
+                np.add.at(sums, owner[there], weights[place[there]])
+                columns = [c for i, c in enumerate(part.columns) if i != text_at]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums), pa.array(np.bincount(owner, minlength=n).astype(np.int64))], [*names, "__units", "n_grams"])
+
+    others = rows.select("__row", rows.columns[text_at]).mapInArrow(rare, "key long, __row long").join(model.select("key", "ratio"), "key")
+    sums = stored(others.groupBy("__row").agg(F.sum("ratio").alias("__others")), "others")
+    schema = T.StructType([f for i, f in enumerate(rows.schema.fields) if i != text_at] + [T.StructField("__units", T.LongType()), T.StructField("n_grams", T.LongType())])
+    out = rows.mapInArrow(add, schema).join(sums, "__row", "left")
+    ratio = (F.col("__units") + F.coalesce("__others", F.lit(0))) / F.lit(UNIT)
+    return stored(out.select(*[c for c in names if c != "__row"], ratio.alias("log_ratio"), "n_grams"), "scored")
 
 
 def resample(docs: DataFrame, labels: DataFrame, params: ResampleParams = ResampleParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -78,23 +121,16 @@ def resample(docs: DataFrame, labels: DataFrame, params: ResampleParams = Resamp
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     hashed = F.xxhash64(F.col(id_col).cast("string"), F.lit(params.seed))
     target = known.filter(F.col(label_col) == 1).select(id_col).distinct().orderBy(hashed, id_col).limit(params.max_target)
-    weights = ratios(docs, stored(target, "target"), params, id_col, text_col)
     n_known, n_target = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col(label_col) == 1, 1).otherwise(0))).first()
     share = params.keep if params.keep is not None else (n_target or 0) / n_known if n_known else 1.0
     new = ["log_ratio", "n_grams", "gumbel_key", "rank", "kept"]
     rest = [c for c in docs.columns if c not in (*new, text_col) or c == id_col]
-    rows, buckets = docs.select(*rest, F.col(text_col).alias("__text")), params.buckets
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, len(rest)):
-                bucket, owner, n = _grams(part.column(len(rest)), buckets)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.bincount(owner, weights[bucket], minlength=n).astype(float)), pa.array(np.bincount(owner, minlength=n).astype(np.int64))], [*part.schema.names[:-1], "log_ratio", "n_grams"])
-
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("log_ratio", T.DoubleType()), T.StructField("n_grams", T.LongType())])
+    rows = stored(docs.select(*rest, F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")), "rows")
+    model = ratios(docs, stored(target, "target"), id_col, text_col)
+    rows = scored(rows, model, params, len(rest))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = unit(F.md5(F.concat(F.lit(params.seed + "|"), name)))
-    rows = rows.mapInArrow(score, schema).withColumn("gumbel_key", F.col("log_ratio") - F.ln(-F.ln(draw)))
+    rows = rows.withColumn("gumbel_key", F.col("log_ratio") - F.ln(-F.ln(draw)))
     rows = global_rank(rows, [F.desc("gumbel_key"), F.xxhash64(name), F.col(id_col)], "keys")
     k = int(np.floor(share * rows.count() + 0.5))
     return rows.withColumn("kept", F.col("rank") <= k)
