@@ -48,6 +48,13 @@ def test_route_fit(spark, pattern, path, ranks):
     assert (found.ranks if found else None) == ranks
 
 
+def test_long_paths_are_whole(spark):
+    long = "x" * 100_000
+    assert one(spark, R.segments(F.lit(f"/{long}/end"))) == [long, "end"]
+    assert one(spark, U.application_path(F.lit(f"https://a.test/#/{long}/end"))) == f"/{long}/end"
+    assert one(spark, R.title_of(F.lit(f"{long}yz end"))) == f"X{long[1:]}yz End"
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=4), min_size=2, max_size=4))
 def test_dominance_is_a_strict_partial_order(spark, ranks):

@@ -15,7 +15,7 @@ WILD = r"^(?:\*|:.*[*+])$"
 
 
 def segments(path: Column) -> Column:
-    return F.when(path == "/", F.array().cast("array<string>")).otherwise(F.split(F.substring(path, 2, 100000), "/", -1))
+    return F.when(path == "/", F.array().cast("array<string>")).otherwise(F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1))
 
 
 def varies(pattern: Column) -> Column:
@@ -64,4 +64,4 @@ def value_class(value: Column) -> Column:
 def title_of(segment: Column) -> Column:
     """A route segment as a name: hyphens and underscores become spaces, ASCII words begin with a capital."""
     words = F.split(F.regexp_replace(F.regexp_replace(segment, "^:", ""), "[-_]+", " "), " ", -1)
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100000))), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")

@@ -28,7 +28,7 @@ def url_path(url: Column) -> Column:
 def application_path(url: Column) -> Column:
     """The path of a #/ route without its query, else the path of the URL."""
     routed = F.startswith(fragment(url), F.lit("#/"))
-    inner = F.substring_index(F.substring(fragment(url), 2, 100000), "?", 1)
+    inner = F.substring_index(F.substring(fragment(url), F.lit(2), F.length(url)), "?", 1)
     return normal_route(F.when(routed, inner).otherwise(url_path(url)))
 
 
