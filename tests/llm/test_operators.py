@@ -193,6 +193,22 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([(a > b) + 0.5 * (a == b) for a in high for b in low]) > 0.93
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None), (None, 1)], [(i, 1) for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]])
+def test_nothing_is_toxic_without_usable_labels(spark, rows):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    assert toxicity.score(docs, model).filter("predicted = 0").count() == 40
+
+
+def test_toxicity_samples_rows(spark, monkeypatch):
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, f"text {k % 7}") for i in free[:2] for k in range(40)], "doc_id long, text string")
+    labels, sizes = spark.createDataFrame([(free[0], 1), (free[1], 0)], "doc_id long, toxic int"), []
+    monkeypatch.setattr(toxicity, "train", lambda mark, rows, cols, values, k, *a: sizes.append((int(mark.sum()), int((~mark).sum()))) or (np.zeros(k), 0.0))
+    toxicity.fit(docs, labels, toxicity.PuParams(max_positive=30, max_unlabelled=50))
+    assert sizes == [(30, 50)]
+
+
 def test_rare_lines_stay_and_frequent_go(spark):
     text = "\n".join(["a line on every page {0}", "own words " + " ".join(f"q{i}" for i in range(30)) + " {1}"])
     docs = [(i, text.format(7, f"mine{i}"), "h") for i in range(25)]

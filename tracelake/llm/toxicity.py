@@ -8,7 +8,7 @@ picked features of each sampled text. Scoring reads every whole text.
 
 Defined results: a null or empty text gets the score of a text without words. A row is scored on its text alone, so rows
 repeated under one identifier are scored each for itself; a null identifier is scored and never learnt from. Without any
-positive label every score is the class prior. An empty table gives an empty result. Further input columns pass through
+positive label every score is the class prior, and without any usable label the least prior, so that nothing is toxic. An empty table gives an empty result. Further input columns pass through
 `score`; one that has the name of an output column is replaced.
 """
 
@@ -100,19 +100,22 @@ def _sampled(batches: Iterator[pa.RecordBatch], params: PuParams) -> Iterator[pa
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: PuParams = PuParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> PuModel:
-    """Train on at most max_positive + max_unlabelled documents, those with the least hash of their identifier."""
+    """Train on at most max_positive + max_unlabelled rows, those with the least hash of their identifier and then text."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("y").isNotNull())
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     total, toxic = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
-    prior = min(0.95, max(1e-4, (toxic or 0) / total)) if total else 0.5
+    prior = min(0.95, max(1e-4, (toxic or 0) / total)) if total else 1e-4
     if not toxic:
         return PuModel(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))), prior)
     order = [F.xxhash64(F.col("id").cast("string"), F.lit("pu")), F.col("id")]
-    positive = known.filter("y = 1").orderBy(*order).limit(params.max_positive).select("id", F.lit(True).alias("positive"))
-    any_row = docs.select(F.col(id_col).alias("id")).filter(~held_out(F.col("id")) & F.col("id").isNotNull())
-    unlabelled = any_row.orderBy(*order).limit(params.max_unlabelled).select("id", F.lit(False).alias("positive"))
-    chosen = F.broadcast(positive.unionByName(unlabelled))  # at most max_positive + max_unlabelled identifiers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("positive", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out(F.col("id")) & F.col("id").isNotNull()).withColumn("hash", F.xxhash64("text"))
+    wanted = F.broadcast(known.filter("y = 1").orderBy(*order).limit(params.max_positive).select("id"))  # max_positive identifiers at most
+    positive = texts.join(wanted, "id").select("id", "hash").orderBy(*order, "hash").limit(params.max_positive).select("id", "hash", F.lit(True).alias("positive"))
+    unlabelled = texts.select("id", "hash").orderBy(*order, "hash").limit(params.max_unlabelled).select("id", "hash", F.lit(False).alias("positive"))
+    chosen = positive.unionByName(unlabelled).groupBy("positive", "id", "hash").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = texts.join(F.broadcast(chosen), ["id", "hash"])  # at most max_positive + max_unlabelled rows
+    rows = rows.groupBy("positive", "id", "hash", "n").agg(F.first("text").alias("text"))  # equal rows: as many as were sampled
+    rows = rows.select("positive", "text", F.explode(F.sequence(F.lit(1), "n"))).select("positive", "text")
     sample = stored(rows.mapInArrow(lambda it: _sampled(it, params), "positive boolean, keys array<bigint>, counts array<int>"), "pu-sample")
     n_p, n_u = (max(1, int(n or 0)) for n in sample.agg(F.sum(F.col("positive").cast("int")), F.sum((~F.col("positive")).cast("int"))).first())
     picked = np.sort(np.array([r[0] for r in _picked(sample, n_p, n_u, params).collect()], np.int64).view(np.uint64))  # n_features at most
