@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelake.llm import decontamination, html_extraction, importance, mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
+from tracelake.llm import chunks, decontamination, html_extraction, importance, mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
 from tracelake.llm.common import read
 
 DOCS = "doc_id long, text string, source string"
@@ -166,9 +166,10 @@ def test_importance_prefers_the_target(spark):
     assert len(kept) == 50 and sum(i % 2 for i in kept) >= 48 and sorted(r["rank"] for r in rows) == list(range(1, 101))
 
 
-@pytest.mark.parametrize("frequent", [0, 50, 65_536])
-def test_importance_counts_each_ngram_for_itself(spark, frequent):
+@pytest.mark.parametrize("range_keys", [100, 4_000_000])
+def test_importance_equals_brute_force(spark, monkeypatch, range_keys):
     from collections import Counter
+    from hashlib import md5
     from math import log
 
     rng = random.Random(2)
@@ -179,10 +180,16 @@ def test_importance_counts_each_ngram_for_itself(spark, frequent):
     wanted = Counter(g for i, y in labels if y for g in grams[i])
     assert len(raw) > 10_000
     ratio = {g: log((wanted[g] + 1) / (wanted.total() + len(raw))) - log((raw[g] + 1) / (raw.total() + len(raw))) for g in raw}
-    params = importance.ResampleParams(frequent=frequent)
+    monkeypatch.setattr(chunks, "RANGE_KEYS", range_keys)
+    params = importance.ResampleParams(spare_bits=40)
     rows = importance.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id long, quality int"), params).collect()
     assert {r.doc_id: r.n_grams for r in rows} == {i: len(x) for i, x in grams.items()}
-    assert all(abs(r.log_ratio - sum(ratio[g] for g in grams[r.doc_id])) < 1e-5 for r in rows)
+    wanted_ratio = {i: sum(ratio[g] for g in x) for i, x in grams.items()}
+    assert all(abs(r.log_ratio - wanted_ratio[r.doc_id]) < 1e-5 for r in rows)
+    draw = {i: (int(md5(f"resample|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13 for i in grams}
+    key = {i: wanted_ratio[i] - log(-log(draw[i])) for i in grams}
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r["rank"])] == sorted(grams, key=lambda i: -key[i])
+    assert sum(r.kept for r in rows) == round(len(docs) * 14 / 40) and all(r.kept == (r["rank"] <= 22) for r in rows)
 
 
 def test_toxicity_on_held_out_rows(spark):

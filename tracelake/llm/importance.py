@@ -1,13 +1,14 @@
 """Operator 9, quality classifier: importance resampling.
 
-The share of each word and word pair in the target texts and in all texts gives two generative models; a document's log
-importance is the sum of the log ratios of its n-grams. Each n-gram counts for itself, by its 64-bit hash, in a stored table
-that grows with the corpus. The `frequent` n-grams with the largest counts are looked up in the tasks that read the texts,
-so that no key of the join with the table is on many documents; the others are joined. A Gumbel number hashed from
-seed and identifier is added, and the k documents with the largest sums are kept, which samples k documents without
-replacement in proportion to their importance. The model of the raw texts counts every document; the target model counts
-at most `max_target` labelled documents, those with the least hash of their identifier. Log ratios are kept as whole numbers
-of the part 2^-32, so that sums do not depend on their order.
+The share of each hashed word and word pair in the target texts and in all texts gives two generative models; a document's
+log importance is the sum of the log ratios of its n-grams. The hash has `spare_bits` more bits than the corpus has n-grams,
+so the models grow with the input and a few n-grams in a hundred share a bucket at any size. Texts are kept
+in chunks (see chunks.py), whose distinct buckets travel packed to ranges of the hash and back: counts are added up before
+the shuffle, nothing is broadcast, and no bucket is on more than one entry of a chunk. A Gumbel number hashed from seed and
+identifier is added, and the k documents with the largest sums are kept, which samples k documents without replacement in
+proportion to their importance. The model of the raw texts counts every document; the target model counts at most
+`max_target` labelled documents, those with the least hash of their identifier. Log ratios are kept as whole numbers of the
+part 2^-32, so that sums do not depend on their order.
 
 Defined results: a null or empty text has log importance 0. Every row is ranked for itself; equal sums are ordered by
 the hash of the identifier and then the identifier, a null one counting as the empty text. Without target labels every
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, global_rank, slices, stored, unit, windows
+from .chunks import answered, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, stored_chunks, to_bytes, unpack, unpack_ascending
+from .common import Words, global_rank, mix, stored, unit, windows
 
 #: Log ratios are kept as whole numbers of this part.
 UNIT = float(2**32)
@@ -34,86 +36,102 @@ UNIT = float(2**32)
 
 @dataclass(frozen=True)
 class ResampleParams:
-    """keep: share of the documents to sample; None takes the share of target rows among the labelled ones. frequent: n-grams
-    that are looked up without a join; the result does not depend on it."""
+    """keep: share of the documents to sample; None takes the share of target rows among the labelled ones. spare_bits: bits
+    of the hash beyond those that number the n-grams of the corpus."""
 
-    frequent: int = 65_536
+    spare_bits: int = 3
     max_target: int = 20_000
     keep: float | None = None
     seed: str = "resample"
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """Key and owner of each word and of each pair of words that follow each other."""
-    words = Words(texts)
-    values = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
-    pairs, at = windows(values, words.owner, 2, seed=3)
-    return np.concatenate((values, pairs)).view(np.int64), np.concatenate((words.owner, words.owner[at])), len(texts)
-
-
-def _places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each key would stand in an ascending table, and whether it does."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return place, table[place] == keys
-
-
-def ratios(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(key, raw, ratio), stored: the count and the log ratio, in units, of each n-gram. target: identifiers of target
-    documents, at most max_target."""
-    chosen = target.select(F.col(id_col).alias("id"), F.lit(True).alias("wanted")).distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left")
-    rows = rows.select(F.coalesce("wanted", F.lit(False)).alias("wanted"), "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                keys, owner, _ = _grams(part.column(1))
-                found, code = np.unique(keys, return_inverse=True)
-                mark = np.asarray(part.column(0)).astype(bool)[owner]
-                sums = (np.bincount(code, minlength=len(found)), np.bincount(code[mark], minlength=len(found)))
-                yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x.astype(np.int64)) for x in sums)], ["key", "raw", "wanted"])
-
-    model = rows.mapInArrow(count, "key long, raw long, wanted long").groupBy("key").agg(F.sum("raw").alias("raw"), F.sum("wanted").alias("wanted"))
-    model = stored(model, "grams")
-    n, raw, wanted = (float(x or 0) for x in model.agg(F.count(F.lit(1)), F.sum("raw"), F.sum("wanted")).first())
-    share = lambda c, total: F.ln((F.col(c) + 1) / F.lit(max(1.0, total + n)))
-    ratio = F.round((share("wanted", wanted) - share("raw", raw)) * F.lit(UNIT)).cast("long") if wanted else F.lit(0).cast("long")
-    return model.select("key", "raw", ratio.alias("ratio"))
-
-
-def scored(rows: DataFrame, model: DataFrame, params: ResampleParams, text_at: int) -> DataFrame:
-    """The rows, which have a __row number, without their text, the column text_at: log_ratio and n_grams, stored."""
-    top = model.orderBy(F.desc("raw"), "key").limit(params.frequent).select("key", "ratio").toArrow()  # `frequent` rows at most
-    known, weights = (np.asarray(top.column(c).combine_chunks() if top.num_rows else [], dtype=np.int64) for c in ("key", "ratio"))
-    order = np.argsort(known)
-    known, weights = known[order], weights[order]
-    names = [c for i, c in enumerate(rows.columns) if i != text_at]
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                keys, owner, _ = _grams(part.column(1))
-                left = ~_places(known, keys)[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[left]), part.column(0).take(pa.array(owner[left]))], ["key", "__row"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, wanted, text) -> a row for each chunk, with the number of its n-grams."""
+    for number, part in chunked(batches, 2):
+        n = Words(part.column(2)).counts
+        n, wanted = 2 * n - (n > 0), np.asarray(part.column(1)).astype(bool)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, int(n.sum()), int(n[wanted].sum()), to_bytes(part))], ["chunk", "raw", "wanted", "rows"])
+
+
+class _Grams:
+    """The n-grams of a chunk: its distinct buckets in ascending order, the place of each n-gram's bucket among them, its
+    row, and how often a bucket is there in all texts and in target texts."""
+
+    def __init__(self, rows: pa.RecordBatch, bits: int):
+        words = Words(rows.column(2))
+        values = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
+        pairs, at = windows(values, words.owner, 2, seed=3)
+        keys = np.concatenate((mix(values), pairs)) >> np.uint64(64 - bits)
+        self.owner = np.concatenate((words.owner, words.owner[at]))
+        self.keys, self.place, self.raw = np.unique(keys, return_inverse=True, return_counts=True)
+        self.wanted = np.bincount(self.place[np.asarray(rows.column(1)).astype(bool)[self.owner]], minlength=len(self.keys))
+
+
+def _cells(batches: Iterator[pa.RecordBatch], bits: int, of_range: int) -> Iterator[pa.RecordBatch]:
+    """(range, chunk, keys, raw, wanted): the buckets of a chunk and their counts, by range."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            grams = _Grams(from_bytes(r["rows"]), bits)
+            out = [(k, r["chunk"], pack_ascending(grams.keys[s]), pack(grams.raw[s]), pack(grams.wanted[s])) for k, s in by_range(grams.keys, bits, of_range)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["range", "chunk", "keys", "raw", "wanted"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One range: the number of its buckets, and as an answer to each chunk what its buckets count in the other chunks."""
+    keys = [unpack_ascending(x) for x in table.column("keys").to_pylist()]
+    edges = np.cumsum([0] + [len(k) for k in keys])
+    found, code = np.unique(np.concatenate(keys), return_inverse=True)
+    replies = [b""] * len(keys)
+    for column in ("raw", "wanted"):
+        counts = np.concatenate([unpack(x) for x in table.column(column).to_pylist()]).astype(np.int64)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, code, counts)
+        blobs = [pack(x) for x in np.split(total[code] - counts, edges[1:-1])]
+        replies = [r + len(x).to_bytes(8, "little") + x for r, x in zip(replies, blobs)]
+    place = table.column("range").to_pylist()
+    return pa.table({"chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "range": pa.array([*place, place[0]]), "reply": pa.array([*replies, None], pa.binary()), "n": pa.array([0] * len(replies) + [len(found)])})
+
+
+def _elsewhere(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What the buckets of a chunk count in other chunks: in all texts, in target texts."""
+    found: tuple[list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    for reply in replies:
+        size = 8 + int.from_bytes(reply[:8], "little")
+        for part, blob in zip(found, (reply[8:size], reply[size + 8 :])):
+            part.append(unpack(blob).astype(np.int64))
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
+def scored(docs: DataFrame, target: DataFrame, params: ResampleParams, rest: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The columns `rest` with log_ratio and n_grams, stored. target: identifiers of target documents, at most max_target."""
+    chosen = target.select(F.col(id_col).alias("__id"), F.lit(True).alias("wanted")).distinct()
+    packed = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id", "left")  # max_target identifiers at most
+    packed = packed.select("row", F.coalesce("wanted", F.lit(False)).alias("wanted"), "text")
+    chunks = stored_chunks(packed.mapInArrow(_packed, "chunk long, raw long, wanted long, rows binary"), "texts")
+    raw, wanted = (int(x or 0) for x in chunks.agg(F.sum("raw"), F.sum("wanted")).first())
+    bits = key_bits(raw, params.spare_bits)
+    of_range = range_bits(raw, bits)
+    cells = chunks.select("chunk", "rows").mapInArrow(lambda it: _cells(it, bits, of_range), "range long, chunk long, keys binary, raw binary, wanted binary")
+    replies = stored(cells.groupBy("range").applyInArrow(_summed, "chunk long, range long, reply binary, n long"), "counts")
+    n = int(replies.agg(F.sum("n")).first()[0] or 0)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_at):
-                keys, owner, n = _grams(part.column(text_at))
-                place, there = _places(known, keys)
-                sums = np.zeros(n, np.int64)
-                np.add.at(sums, owner[there], weights[place[there]])
-                columns = [c for i, c in enumerate(part.columns) if i != text_at]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sums), pa.array(np.bincount(owner, minlength=n).astype(np.int64))], [*names, "__units", "n_grams"])
-
-    others = rows.select("__row", rows.columns[text_at]).mapInArrow(rare, "key long, __row long").join(model.select("key", "ratio"), "key")
-    sums = stored(others.groupBy("__row").agg(F.sum("ratio").alias("__others")), "others")
-    schema = T.StructType([f for i, f in enumerate(rows.schema.fields) if i != text_at] + [T.StructField("__units", T.LongType()), T.StructField("n_grams", T.LongType())])
-    out = rows.mapInArrow(add, schema).join(sums, "__row", "left")
-    ratio = (F.col("__units") + F.coalesce("__others", F.lit(0))) / F.lit(UNIT)
-    return stored(out.select(*[c for c in names if c != "__row"], ratio.alias("log_ratio"), "n_grams"), "scored")
+            for r in batch.to_pylist():
+                rows = from_bytes(r["rows"])
+                grams = _Grams(rows, bits)
+                more_raw, more_wanted = _elsewhere([x["reply"] for x in r["replies"] or ()])
+                if len(more_raw) != len(grams.keys):
+                    raise ValueError("the answers do not fit the chunk")
+                ratio = np.log((grams.wanted + more_wanted + 1) / max(1, wanted + n)) - np.log((grams.raw + more_raw + 1) / max(1, raw + n))
+                units = np.round((ratio if wanted else 0 * ratio) * UNIT).astype(np.int64)
+                sums, n_grams = np.zeros(rows.num_rows, np.int64), np.bincount(grams.owner, minlength=rows.num_rows)
+                np.add.at(sums, grams.owner, units[grams.place])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sums / UNIT), pa.array(n_grams.astype(np.int64))], ["row", "log_ratio", "n_grams"])
+
+    schema = T.StructType([packed.schema["row"], T.StructField("log_ratio", T.DoubleType()), T.StructField("n_grams", T.LongType())])
+    out = answered(chunks.select("chunk", "rows"), replies, finish, schema)
+    return stored(out.select(*[F.col("row")[c].alias(c) for c in rest], "log_ratio", "n_grams"), "scored")
 
 
 def resample(docs: DataFrame, labels: DataFrame, params: ResampleParams = ResampleParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -125,9 +143,7 @@ def resample(docs: DataFrame, labels: DataFrame, params: ResampleParams = Resamp
     share = params.keep if params.keep is not None else (n_target or 0) / n_known if n_known else 1.0
     new = ["log_ratio", "n_grams", "gumbel_key", "rank", "kept"]
     rest = [c for c in docs.columns if c not in (*new, text_col) or c == id_col]
-    rows = stored(docs.select(*rest, F.col(text_col).alias("__text"), F.monotonically_increasing_id().alias("__row")), "rows")
-    model = ratios(docs, stored(target, "target"), id_col, text_col)
-    rows = scored(rows, model, params, len(rest))
+    rows = scored(docs, stored(target, "target"), params, rest, id_col, text_col)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     draw = unit(F.md5(F.concat(F.lit(params.seed + "|"), name)))
     rows = rows.withColumn("gumbel_key", F.col("log_ratio") - F.ln(-F.ln(draw)))
