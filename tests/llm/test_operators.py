@@ -143,6 +143,64 @@ def test_repeats_inside_articles_go_and_copies_stay(spark):
     assert all(found[20 + i][0] == " ".join([*near[:40], f"edit{i}", *near[40:]]) for i in range(4))
 
 
+def brute_texts(rows, length=8, run=12, pages=3):
+    """Main texts by the sets of main texts that hold each tuple of `length` tokens."""
+    parsed = {i: (re.sub(r"^.*?://([^/]*).*", r"\1", url), *html_extraction.page_blocks(html)) for i, url, html in rows}
+    main = {i: tuple(inside or [t for t, a in outside if not a]) for i, (_, inside, outside) in parsed.items()}
+    held, hosts = {}, {}
+    for i, (host, inside, outside) in parsed.items():
+        hosts.setdefault(host, set()).add(main[i])
+        for stream in (inside, [t for t, _ in outside]):
+            words = " ".join(stream).split()
+            for k in range(len(words) - length + 1):
+                held.setdefault((host, *words[k : k + length]), set()).add(main[i])
+    out = {}
+    for i, (host, inside, outside) in parsed.items():
+        def left(blocks, least, run):
+            words, at, lines = " ".join(blocks).split(), 0, []
+            mark = [any(len(held[host, *words[k : k + length]]) >= least for k in range(max(0, p - length + 1), min(p, len(words) - length) + 1)) for p in range(len(words))]
+            runs = "".join("x" if m else "." for m in mark)
+            runs = re.sub("x+", lambda m: m[0] if len(m[0]) >= run else "." * len(m[0]), runs)
+            for b in blocks:
+                n = len(b.split())
+                lines.append(" ".join(w for w, m in zip(b.split(), runs[at : at + n]) if m == "."))
+                at += n
+            return lines, runs.count("x")
+        rest, n = left([t for t, _ in outside], 2, length)
+        lines = [x for x, (_, apart) in zip(rest, outside) if not apart]
+        if inside:
+            lines, more = left(inside, pages, run)
+            if 2 * more > len(" ".join(inside).split()):
+                lines, more = left(inside, max(pages, len(hosts[host]) / 2), run)
+            n += more
+        out[i] = ("\n".join(x for x in lines if x), n)
+    return out
+
+
+@pytest.mark.parametrize("range_keys", [300, 4_000_000])
+def test_main_texts_equal_brute_force(spark, monkeypatch, range_keys):
+    monkeypatch.setattr(chunks, "RANGE_KEYS", range_keys)
+    rng = random.Random(11)
+    passages = [" ".join(words_of(rng, rng.choice([6, 9, 14, 30]))) for _ in range(8)]
+    rows = []
+    for i in range(60):
+        host, tag = rng.choice(["a", "b", "c"]), rng.choice(["article", "div"])
+        blocks = [" ".join(words_of(rng, rng.choice([3, 20, 60]), 10**6)) for _ in range(3)] + rng.sample(passages, rng.choice([0, 1, 3]))
+        rng.shuffle(blocks)
+        rows.append((i, f"http://{host}.test/{i}", page(f"<{tag}>{''.join(f'<p>{b}</p>' for b in blocks)}</{tag}>")))
+    rows += [(100 + i, "http://a.test/copy", rows[i % 7][2]) for i in range(20)]
+    found = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    wanted = brute_texts(rows)
+    assert {r.page_id: (r.text, r.n_repeated) for r in found} == wanted and sum(n for _, n in wanted.values()) > 500
+    assert all(r.n_chars == len(r.text) for r in found)
+
+
+def test_footer_of_a_large_host_is_split(spark):
+    foot = " ".join(f"foot{k}" for k in range(12))
+    rows = spark.range(10_000).select("id", F.lit("http://big.test/").alias("url"), F.concat(F.lit("<div>own"), F.col("id").cast("string"), F.lit(f"</div><div>{foot}</div>")).alias("html"))
+    assert html_extraction.extract_text(rows.repartition(8)).filter("text = concat('own', id) and n_repeated = 12").count() == 10_000
+
+
 def test_mixing_equals_brute_force(spark):
     from math import exp, factorial
     from hashlib import md5

@@ -2,18 +2,21 @@
 
 A page is cut into blocks of text. Blocks inside its article (or main part) are its main text, without what their markup
 marks as menus, headers, footers, sidebars, notices, adverts, forms and comments; a page that marks no article has the
-blocks that no markup sets apart as its main text. All blocks of every page are concatenated to token streams, and the
-suffixes of the streams are arranged by host and their first `length` tokens: so suffixes that share that many tokens stand
-together, and the distinct main texts of such a group are counted. The groups are formed by an aggregation that starts
-before the shuffle, so a host with a third of all pages, or a passage on most of them, is never gathered in one task.
+blocks that no markup sets apart as its main text. All blocks of every page are concatenated to token streams. The suffixes
+of the streams are put in order of their host and first `length` tokens (by a hash of both): this is the host's suffix array
+as deep as repeats of `length` tokens need it, and suffixes that share that many tokens stand together. For each such group
+the main texts are counted that hold it. The order is found by ranges of the hash over chunks of pages (see chunks.py), so a
+host with a third of all pages, or a footer on all of them, is a few entries of each chunk and never gathered in one task.
 
 A main text loses the runs of tokens that repeats cover. Without an article, what two main texts hold is a repeat. In an
 article, it takes a run of `article_run` tokens that `article_pages` main texts hold; and where such runs are more than
 half of the article, it is itself a copy of other articles and loses only what half of the main texts of its host hold.
 
-Defined results: null html is empty; a page without text gives ''. Equal main texts count as one, so copies of a page
-or of its article do not make its text a repeat. A null url has the host ''. Every row is a page of its own; identifiers are not looked at. An
-empty table gives an empty result. Further columns pass through; one that has the name of an output column is replaced.
+Defined results: null html is empty; a page without text gives ''. Pages of a host with equal main texts count as one, the
+page of them with the least hash of all its text: so copies of a page or of its article do not make their text a repeat. A
+null url has the host ''. Every row is a page of its own; identifiers are not looked at. Hashes of different suffixes are
+equal by chance with 2^-24. An empty table gives an empty result. Further columns pass through; one that has the name of an
+output column is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from html import unescape
 
 import numpy as np
@@ -30,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import multipliers, mix, slices, stored
+from .chunks import answered, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, stored_chunks, to_bytes, unpack, unpack_ascending
+from .common import Words, list_array, mix, stored, windows
 
 #: Elements that end a block of text, that hold no text, that are never part of an article, and words of
 #: class, id and role attributes that mark such parts.
@@ -136,58 +141,77 @@ def page_blocks(html: str) -> tuple[list[str], list[tuple[str, bool]]]:
     return (inside if has_main else []), outside
 
 
-def _token_windows(blocks: list[str], length: int) -> tuple[list[list[str]], np.ndarray]:
-    """The tokens of each block, and the hashes of the windows of the stream that they form."""
-    tokens = [b.split() for b in blocks]
-    values = np.array([xxhash.xxh3_64_intdigest(w) for b in tokens for w in b], np.uint64)
-    m = len(values) - length + 1
-    if m <= 0:
-        return tokens, np.empty(0, np.uint64)
-    h = np.zeros(m, np.uint64)
-    for k, factor in enumerate(multipliers(length, 5)):
-        h += values[k : k + m] * factor
-    return tokens, mix(h)
-
-
-def _parse(batches: Iterator[pa.RecordBatch], where: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, where):
-            inside, outside, marked, prints = [], [], [], []
-            for html in part.column(where).to_pylist():
-                article, rest = page_blocks(html or "")
-                inside.append(article)
-                outside.append([t for t, _ in rest])
-                marked.append([a for _, a in rest])
-                prints.append(xxhash.xxh3_64_intdigest("\n".join(article or [t for t, a in rest if not a])) - 2**63)
-            columns = [c for i, c in enumerate(part.columns) if i != where]
-            names = [n for i, n in enumerate(part.schema.names) if i != where]
-            extra = [pa.array(x, pa.list_(pa.string())) for x in (inside, outside)] + [pa.array(marked, pa.list_(pa.bool_())), pa.array(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *extra], [*names, "inside", "outside", "marked", "print"])
-
-
-def _host_keys(host: str, hashes: np.ndarray) -> np.ndarray:
-    """Window hashes as keys of one host."""
-    return mix(hashes + np.uint64(xxhash.xxh3_64_intdigest(host)))
-
-
-#: Stands for the host itself among the windows, so that its main texts are counted with theirs.
-HOST = np.zeros(1, np.uint64)
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct window of each page, and one for its host."""
+#: Bits of a suffix hash beyond those that number the suffixes.
+SPARE_BITS = 24
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, host, html) -> a row for each chunk: the blocks of its pages, hashes of host and main text and of all text, and
+    the number of tokens."""
+    for number, part in chunked(batches, 2):
+        inside, outside, marked, prints, whole, tokens = [], [], [], [], [], 0
+        for host, html in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            article, rest = page_blocks(html or "")
+            inside.append("\n".join(article))
+            outside.append("\n".join(t for t, _ in rest))
+            marked.append([a for _, a in rest])
+            main = inside[-1] or "\n".join(t for t, a in rest if not a)
+            prints.append(xxhash.xxh3_64_intdigest(f"{host}\n{main}"))
+            whole.append(xxhash.xxh3_64_intdigest(f"{inside[-1]}\n\n{outside[-1]}"))
+            tokens += inside[-1].count(" ") + outside[-1].count(" ") + len(article) + len(rest) + 1
+        rows = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(inside), pa.array(outside), pa.array(marked, pa.list_(pa.bool_()))], ["row", "host", "inside", "outside", "marked"])
+        columns = [pa.array([number]), pa.array([tokens]), *(list_array([np.array(x, np.uint64)], pa.int64()) for x in (prints, whole)), pa.array([to_bytes(rows)])]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "tokens", "prints", "whole", "rows"])
+
+
+class _Suffixes:
+    """The suffix keys of the pages of a chunk: of every host, and of every window of `length` tokens of the articles and
+    of what is outside of them, in the order of the streams (two for each page). keys: the distinct ones, ascending."""
+
+    def __init__(self, rows: pa.RecordBatch, length: int, bits: int):
+        n = rows.num_rows
+        texts = [x for pair in zip(rows.column("inside").to_pylist(), rows.column("outside").to_pylist()) for x in pair]
+        words = Words(pa.array(texts, pa.string()))
+        values = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
+        found, at = windows(values, words.owner, length, seed=5)
+        hosts = np.array([xxhash.xxh3_64_intdigest(h) for h in rows.column("host").to_pylist()], np.uint64)
+        self.page = np.concatenate((np.arange(n), words.owner[at] // 2))
+        keys = mix(np.concatenate((np.zeros(n, np.uint64), found)) + hosts[self.page]) >> np.uint64(64 - bits)
+        self.keys, self.place = np.unique(keys, return_inverse=True)
+        self.first = n + np.searchsorted(words.owner[at], np.arange(2 * n + 1))
+
+    def counts(self, of_key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of a figure of each distinct key: that of the host of each page, and those of the suffixes of each stream."""
+        spread = of_key[self.place]
+        return spread[: len(self.first) // 2], np.split(spread, self.first[:-1])[1:]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], length: int, bits: int, of_range: int) -> Iterator[pa.RecordBatch]:
+    """(range, chunk, keys, held): the suffixes of a chunk, and how many of the pages that count hold them, by range."""
     for batch in batches:
-        for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
-            host, page, printed, inside, outside = (part.column(c).to_pylist() for c in ("host", "page", "print", "inside", "outside"))
-            keys = [np.unique(_host_keys(h, np.concatenate((HOST, _token_windows(a, length)[1], _token_windows(b, length)[1])))) for h, a, b in zip(host, inside, outside)]
-            sizes = [len(k) for k in keys]
-            columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(page, np.int64), sizes), np.repeat(np.array(printed, np.int64), sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "page", "print"])
-
-
-def _covered(tokens: list[list[str]], counts: np.ndarray, least: float, length: int, run: int) -> np.ndarray:
-    """Whether a token is in a run of at least `run` tokens that windows of at least `least` main texts cover."""
-    marks = np.zeros(sum(map(len, tokens)) + 1, np.int64)
+        for r in batch.to_pylist():
+            suffixes = _Suffixes(from_bytes(r["rows"]), length, bits)
+            n = len(suffixes.first) // 2
+            of_page = suffixes.place + suffixes.page * len(suffixes.keys)
+            once = np.unique(of_page[np.isin(suffixes.page, np.array(r["firsts"] or [], np.int64))]) if n else of_page
+            held = np.bincount(once % max(1, len(suffixes.keys)), minlength=len(suffixes.keys))
+            out = [(k, r["chunk"], pack_ascending(suffixes.keys[s]), pack(held[s])) for k, s in by_range(suffixes.keys, bits, of_range)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "chunk", "keys", "held"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One range: how many main texts hold each suffix, as an answer to each chunk."""
+    keys = [unpack_ascending(x) for x in table.column("keys").to_pylist()]
+    found, code = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, code, np.concatenate([unpack(x) for x in table.column("held").to_pylist()]).astype(np.int64))
+    parts = np.split(total[code], np.cumsum([len(k) for k in keys])[:-1])
+    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "reply": pa.array([pack(p) for p in parts], pa.binary())})
+
+
+def _covered(n: int, counts: np.ndarray, least: float, length: int, run: int) -> np.ndarray:
+    """Whether each of n tokens is in a run of at least `run` tokens that suffixes of at least `least` main texts cover."""
+    marks = np.zeros(n + 1, np.int64)
     for i in np.flatnonzero(counts >= least):
         marks[i : i + length] = 1
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marks, [0]))))
@@ -209,45 +233,49 @@ def _left(tokens: list[list[str]], marked: list[bool], covered: np.ndarray) -> s
     return "\n".join(lines)
 
 
-def main_text(host: str, inside: list[str], outside: list[str], marked: list[bool], repeats: dict[int, int], params: BoilerplateParams) -> tuple[str, int]:
-    """The main text of a page without the runs that repeats (key: number of distinct main texts) cover, and the number of
-    covered tokens on the page."""
+def main_text(inside: str, outside: str, marked: list[bool], in_counts: np.ndarray, out_counts: np.ndarray, of_host: int, params: BoilerplateParams) -> tuple[str, int]:
+    """The main text of a page without the runs that repeats cover, and the number of covered tokens on the page. in_counts,
+    out_counts: how many main texts hold the suffix at each token; of_host: the main texts of the host."""
+    blocks = [b.split(" ") for b in outside.split("\n")] if outside else []
+    covered = _covered(sum(map(len, blocks)), out_counts, 2, params.length, params.length)
+    if not inside:
+        return _left(blocks, marked, covered), int(covered.sum())
+    n, blocks = int(covered.sum()), [b.split(" ") for b in inside.split("\n")]
+    size = sum(map(len, blocks))
+    covered = _covered(size, in_counts, params.article_pages, params.length, params.article_run)
+    if 2 * covered.sum() > size:
+        covered = _covered(size, in_counts, max(params.article_pages, of_host / 2), params.length, params.article_run)
+    return (_left(blocks, [False] * len(blocks), covered) if covered.any() else inside), n + int(covered.sum())
 
-    def counted(blocks: list[str]) -> tuple[list[list[str]], np.ndarray]:
-        tokens, hashes = _token_windows(blocks, params.length)
-        return tokens, np.array([repeats.get(k, 0) for k in _host_keys(host, hashes).view(np.int64).tolist()], np.int64)
 
-    tokens, counts = counted(outside)
-    covered = _covered(tokens, counts, 2, params.length, params.length)
-    if not inside:
-        return _left(tokens, marked, covered), int(covered.sum())
-    n, (tokens, counts) = int(covered.sum()), counted(inside)
-    covered = _covered(tokens, counts, params.article_pages, params.length, params.article_run)
-    if 2 * covered.sum() > len(covered):
-        of_host = repeats.get(int(_host_keys(host, HOST).view(np.int64)[0]), 0)
-        covered = _covered(tokens, counts, max(params.article_pages, of_host / 2), params.length, params.article_run)
-    return _left(tokens, [False] * len(tokens), covered), n + int(covered.sum())
+def _finish(batches: Iterator[pa.RecordBatch], params: BoilerplateParams, bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            rows = from_bytes(r["rows"])
+            suffixes = _Suffixes(rows, params.length, bits)
+            total = np.concatenate([unpack(x["reply"]) for x in r["replies"]]).astype(np.int64)
+            if len(total) != len(suffixes.keys):
+                raise ValueError("the answers do not fit the chunk")
+            of_host, streams = suffixes.counts(total)
+            done = [main_text(i, o, m, streams[2 * k], streams[2 * k + 1], of_host[k], params) for k, (i, o, m) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("inside", "outside", "marked"))))]
+            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["row", "text", "n_chars", "n_repeated"])
 
 
 def extract_text(pages: DataFrame, params: BoilerplateParams = BoilerplateParams(), url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The rows without their html: text, n_chars, and n_repeated, the tokens of the page that repeats of its host cover."""
     new, length = ["text", "n_chars", "n_repeated"], params.length
     rest = [c for c in pages.columns if (c not in new or c == url_col) and c != html_col]
-    rows = pages.select(F.struct(*rest).alias("row"), F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"://([^/?#]*)", 1)).alias("host"), F.monotonically_increasing_id().alias("page"), F.col(html_col).alias("html"))
-    fields = [f for f in rows.schema.fields if f.name != "html"]
-    texts = T.ArrayType(T.StringType())
-    fields += [T.StructField("inside", texts), T.StructField("outside", texts), T.StructField("marked", T.ArrayType(T.BooleanType())), T.StructField("print", T.LongType())]
-    parsed = stored(rows.mapInArrow(lambda it: _parse(it, 3), T.StructType(fields)), "parsed")
-
-    suffixes = parsed.select("host", "page", "print", "inside", "outside").mapInArrow(lambda it: _suffixes(it, length), "key long, page long, print long")
-    repeats = suffixes.groupBy("key").agg(F.count_distinct("print").alias("n")).filter("n > 1")
-    found = suffixes.select("key", "page").join(stored(repeats, "repeats"), "key").groupBy("page").agg(F.collect_list("key").alias("keys"), F.collect_list("n").alias("counts"))
-    joined = parsed.drop("print").join(stored(found, "found"), "page", "left")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [main_text(h, i, o, m, dict(zip(k or (), c or ())), params) for h, i, o, m, k, c in zip(*(batch.column(x).to_pylist() for x in ("host", "inside", "outside", "marked", "keys", "counts")))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["row", *new])
-
-    out = joined.select("row", "host", "inside", "outside", "marked", "keys", "counts").mapInArrow(finish, T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())]))
+    rows = pages.select(F.struct(*rest).alias("row"), F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"://([^/?#]*)", 1)).alias("host"), F.col(html_col).alias("html"))
+    chunks = stored_chunks(rows.mapInArrow(_parse, "chunk long, tokens long, prints array<long>, whole array<long>, rows binary"), "pages")
+    n_suffixes = int(chunks.agg(F.sum("tokens")).first()[0] or 0)
+    bits = key_bits(n_suffixes, SPARE_BITS)
+    of_range = range_bits(n_suffixes, bits)
+
+    texts = chunks.select("chunk", F.posexplode(F.arrays_zip("prints", "whole")).alias("at", "x"))
+    firsts = texts.groupBy("x.prints").agg(F.min(F.struct("x.whole", "chunk", "at")).alias("first"))
+    firsts = stored(firsts.groupBy("first.chunk").agg(F.collect_list("first.at").alias("firsts")), "firsts")  # as many as a chunk has pages at most
+    cells = chunks.select("chunk", "rows").join(firsts.hint("shuffle_merge"), "chunk", "left").mapInArrow(partial(_cells, length=length, bits=bits, of_range=of_range), "range long, chunk long, keys binary, held binary")
+    replies = cells.groupBy("range").applyInArrow(_summed, "chunk long, range long, reply binary")
+    schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())])
+    out = answered(chunks.select("chunk", "rows"), replies, partial(_finish, params=params, bits=bits), schema)
     return out.select(*[F.col("row")[c].alias(c) for c in rest], *new)
