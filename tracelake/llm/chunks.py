@@ -7,7 +7,7 @@ a byte or a few, a chunk says it once however often its rows do, and a hot key i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from .common import new_path, partitions, slices
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and keys in a range, at most on average.
 CHUNK_BYTES = 8_000_000
-RANGE_KEYS = 4_000_000
+RANGE_KEYS = 1_000_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -103,7 +103,13 @@ def by_range(keys: np.ndarray, bits: int, of_range: int) -> Iterator[tuple[int,
         yield int(place[a]), slice(a, b)
 
 
-def answered(chunks: DataFrame, replies: DataFrame, finish: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """finish over (data columns of a chunk, replies): replies (chunk, range, reply) come as an array by range."""
-    grouped = replies.filter("chunk is not null").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "reply"))).alias("replies"))  # as many as a chunk has keys at most
-    return chunks.join(grouped.hint("shuffle_merge"), "chunk", "left").mapInArrow(finish, schema)
+def by_chunk(replies: DataFrame, column: str) -> DataFrame:
+    """Answers (chunk, range, reply) as (chunk, column), an array by range."""
+    return replies.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "reply"))).alias(column))  # as many as a chunk has keys at most
+
+
+def with_answers(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Chunks with what belongs to them; only the answers are shuffled."""
+    for more in answers:
+        chunks = chunks.join(more.hint("shuffle_merge"), "chunk", "left")
+    return chunks

@@ -7,6 +7,7 @@ of the streams are put in order of their host and first `length` tokens (by a ha
 as deep as repeats of `length` tokens need it, and suffixes that share that many tokens stand together. For each such group
 the main texts are counted that hold it. The order is found by ranges of the hash over chunks of pages (see chunks.py), so a
 host with a third of all pages, or a footer on all of them, is a few entries of each chunk and never gathered in one task.
+A hash of few bits comes first, which leaves out nearly all suffixes that stand alone; the others are compared by a long one.
 
 A main text loses the runs of tokens that repeats cover. Without an article, what two main texts hold is a repeat. In an
 article, it takes a run of `article_run` tokens that `article_pages` main texts hold; and where such runs are more than
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import answered, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, stored_chunks, to_bytes, unpack, unpack_ascending
+from .chunks import by_chunk, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, stored_chunks, to_bytes, unpack, unpack_ascending, with_answers
 from .common import Words, list_array, mix, stored, windows
 
 #: Elements that end a block of text, that hold no text, that are never part of an article, and words of
@@ -141,8 +142,8 @@ def page_blocks(html: str) -> tuple[list[str], list[tuple[str, bool]]]:
     return (inside if has_main else []), outside
 
 
-#: Bits of a suffix hash beyond those that number the suffixes.
-SPARE_BITS = 24
+#: Bits of the short and of the long suffix hash beyond those that number the suffixes.
+SPARE_BITS = (5, 24)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +166,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Suffixes:
-    """The suffix keys of the pages of a chunk: of every host, and of every window of `length` tokens of the articles and
-    of what is outside of them, in the order of the streams (two for each page). keys: the distinct ones, ascending."""
+    """The suffixes of the pages of a chunk: one of every host, and one of every window of `length` tokens of the articles
+    and of what is outside of them, in the order of the streams (two for each page)."""
 
-    def __init__(self, rows: pa.RecordBatch, length: int, bits: int):
+    def __init__(self, rows: pa.RecordBatch, length: int):
         n = rows.num_rows
         texts = [x for pair in zip(rows.column("inside").to_pylist(), rows.column("outside").to_pylist()) for x in pair]
         words = Words(pa.array(texts, pa.string()))
@@ -176,26 +177,45 @@ class _Suffixes:
         found, at = windows(values, words.owner, length, seed=5)
         hosts = np.array([xxhash.xxh3_64_intdigest(h) for h in rows.column("host").to_pylist()], np.uint64)
         self.page = np.concatenate((np.arange(n), words.owner[at] // 2))
-        keys = mix(np.concatenate((np.zeros(n, np.uint64), found)) + hosts[self.page]) >> np.uint64(64 - bits)
-        self.keys, self.place = np.unique(keys, return_inverse=True)
+        self.hashes = mix(np.concatenate((np.zeros(n, np.uint64), found)) + hosts[self.page])
         self.first = n + np.searchsorted(words.owner[at], np.arange(2 * n + 1))
-
-    def counts(self, of_key: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Of a figure of each distinct key: that of the host of each page, and those of the suffixes of each stream."""
-        spread = of_key[self.place]
-        return spread[: len(self.first) // 2], np.split(spread, self.first[:-1])[1:]
-
-
-def _cells(batches: Iterator[pa.RecordBatch], length: int, bits: int, of_range: int) -> Iterator[pa.RecordBatch]:
-    """(range, chunk, keys, held): the suffixes of a chunk, and how many of the pages that count hold them, by range."""
+        self.some = np.arange(len(self.hashes))
+
+    def keyed(self, bits: int) -> np.ndarray:
+        """The distinct keys, ascending, of the suffixes in question; place: where each of these stands among them."""
+        keys, self.place = np.unique(self.hashes[self.some] >> np.uint64(64 - bits), return_inverse=True)
+        return keys
+
+    def held(self, n_keys: int, pages: list[int]) -> np.ndarray:
+        """How many of some pages hold a suffix of each key."""
+        counts = np.isin(self.page[self.some], np.array(pages, np.int64))
+        once = np.unique(self.page[self.some][counts] * n_keys + self.place[counts])
+        return np.bincount(once % max(1, n_keys), minlength=n_keys)
+
+    def totals(self, replies: list | None) -> np.ndarray:
+        """What was answered for each suffix in question."""
+        total = np.concatenate([np.empty(0, np.int64), *(unpack(x["reply"]).astype(np.int64) for x in replies or ())])
+        if len(total) != (int(self.place.max()) + 1 if len(self.place) else 0):
+            raise ValueError("the answers do not fit the chunk")
+        return total[self.place]
+
+    def narrow(self, replies: list | None) -> None:
+        """From now on only suffixes are in question that more than one main text holds."""
+        self.some = self.some[self.totals(replies) > 1]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], length: int, bits: list[int], of_range: int) -> Iterator[pa.RecordBatch]:
+    """(range, chunk, keys, held): the suffixes of a chunk, and how many of the pages that count hold them, by range; with
+    a second number of bits only of those which the answers to the first leave over."""
     for batch in batches:
         for r in batch.to_pylist():
-            suffixes = _Suffixes(from_bytes(r["rows"]), length, bits)
-            n = len(suffixes.first) // 2
-            of_page = suffixes.place + suffixes.page * len(suffixes.keys)
-            once = np.unique(of_page[np.isin(suffixes.page, np.array(r["firsts"] or [], np.int64))]) if n else of_page
-            held = np.bincount(once % max(1, len(suffixes.keys)), minlength=len(suffixes.keys))
-            out = [(k, r["chunk"], pack_ascending(suffixes.keys[s]), pack(held[s])) for k, s in by_range(suffixes.keys, bits, of_range)]
+            suffixes = _Suffixes(from_bytes(r["rows"]), length)
+            keys = suffixes.keyed(bits[0])
+            for b in bits[1:]:
+                suffixes.narrow(r["short"])
+                keys = suffixes.keyed(b)
+            held = suffixes.held(len(keys), r["firsts"] or [])
+            out = [(k, r["chunk"], pack_ascending(keys[s]), pack(held[s])) for k, s in by_range(keys, bits[-1], of_range)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "chunk", "keys", "held"])
 
 
@@ -248,16 +268,18 @@ def main_text(inside: str, outside: str, marked: list[bool], in_counts: np.ndarr
     return (_left(blocks, [False] * len(blocks), covered) if covered.any() else inside), n + int(covered.sum())
 
 
-def _finish(batches: Iterator[pa.RecordBatch], params: BoilerplateParams, bits: int) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], params: BoilerplateParams, bits: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             rows = from_bytes(r["rows"])
-            suffixes = _Suffixes(rows, params.length, bits)
-            total = np.concatenate([unpack(x["reply"]) for x in r["replies"]]).astype(np.int64)
-            if len(total) != len(suffixes.keys):
-                raise ValueError("the answers do not fit the chunk")
-            of_host, streams = suffixes.counts(total)
-            done = [main_text(i, o, m, streams[2 * k], streams[2 * k + 1], of_host[k], params) for k, (i, o, m) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("inside", "outside", "marked"))))]
+            suffixes = _Suffixes(rows, params.length)
+            suffixes.keyed(bits[0])
+            suffixes.narrow(r["short"])
+            suffixes.keyed(bits[1])
+            counts = np.ones(len(suffixes.hashes), np.int64)
+            counts[suffixes.some] = suffixes.totals(r["long"])
+            streams = np.split(counts, suffixes.first[:-1])[1:]
+            done = [main_text(i, o, m, streams[2 * k], streams[2 * k + 1], counts[k], params) for k, (i, o, m) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("inside", "outside", "marked"))))]
             yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array([t for t, _ in done], pa.string()), pa.array([len(t) for t, _ in done], pa.int64()), pa.array([n for _, n in done], pa.int64())], ["row", "text", "n_chars", "n_repeated"])
 
 
@@ -268,14 +290,19 @@ def extract_text(pages: DataFrame, params: BoilerplateParams = BoilerplateParams
     rows = pages.select(F.struct(*rest).alias("row"), F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"://([^/?#]*)", 1)).alias("host"), F.col(html_col).alias("html"))
     chunks = stored_chunks(rows.mapInArrow(_parse, "chunk long, tokens long, prints array<long>, whole array<long>, rows binary"), "pages")
     n_suffixes = int(chunks.agg(F.sum("tokens")).first()[0] or 0)
-    bits = key_bits(n_suffixes, SPARE_BITS)
-    of_range = range_bits(n_suffixes, bits)
+    bits = [key_bits(n_suffixes, spare) for spare in SPARE_BITS]
 
     texts = chunks.select("chunk", F.posexplode(F.arrays_zip("prints", "whole")).alias("at", "x"))
     firsts = texts.groupBy("x.prints").agg(F.min(F.struct("x.whole", "chunk", "at")).alias("first"))
     firsts = stored(firsts.groupBy("first.chunk").agg(F.collect_list("first.at").alias("firsts")), "firsts")  # as many as a chunk has pages at most
-    cells = chunks.select("chunk", "rows").join(firsts.hint("shuffle_merge"), "chunk", "left").mapInArrow(partial(_cells, length=length, bits=bits, of_range=of_range), "range long, chunk long, keys binary, held binary")
-    replies = cells.groupBy("range").applyInArrow(_summed, "chunk long, range long, reply binary")
+    data = chunks.select("chunk", "rows")
+
+    def asked(rows: DataFrame, bits: list[int]) -> DataFrame:
+        cells = rows.mapInArrow(partial(_cells, length=length, bits=bits, of_range=range_bits(n_suffixes, bits[-1])), "range long, chunk long, keys binary, held binary")
+        return cells.groupBy("range").applyInArrow(_summed, "chunk long, range long, reply binary")
+
+    short = stored(by_chunk(asked(with_answers(data, firsts), bits[:1]), "short"), "short")
+    long = by_chunk(asked(with_answers(data, firsts, short), bits), "long")
     schema = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_repeated", T.LongType())])
-    out = answered(chunks.select("chunk", "rows"), replies, partial(_finish, params=params, bits=bits), schema)
+    out = with_answers(data, short, long).mapInArrow(partial(_finish, params=params, bits=bits), schema)
     return out.select(*[F.col("row")[c].alias(c) for c in rest], *new)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import answered, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, stored_chunks, to_bytes, unpack, unpack_ascending
+from .chunks import by_chunk, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, stored_chunks, to_bytes, unpack, unpack_ascending, with_answers
 from .common import Words, global_rank, mix, stored, unit, windows
 
 #: Log ratios are kept as whole numbers of this part.
@@ -130,7 +130,8 @@ def scored(docs: DataFrame, target: DataFrame, params: ResampleParams, rest: lis
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sums / UNIT), pa.array(n_grams.astype(np.int64))], ["row", "log_ratio", "n_grams"])
 
     schema = T.StructType([packed.schema["row"], T.StructField("log_ratio", T.DoubleType()), T.StructField("n_grams", T.LongType())])
-    out = answered(chunks.select("chunk", "rows"), replies, finish, schema)
+    answers = by_chunk(replies.filter("chunk is not null"), "replies")
+    out = with_answers(chunks.select("chunk", "rows"), answers).mapInArrow(finish, schema)
     return stored(out.select(*[F.col("row")[c].alias(c) for c in rest], "log_ratio", "n_grams"), "scored")
 
 
