@@ -276,11 +276,65 @@ def test_toxicity_samples_rows(spark, monkeypatch):
 
 def test_rare_lines_stay_and_frequent_go(spark):
     text = "\n".join(["a line on every page {0}", "own words " + " ".join(f"q{i}" for i in range(30)) + " {1}"])
-    docs = [(i, text.format(7, f"mine{i}"), "h") for i in range(25)]
+    docs = [(i, text.format(7, "mine" + "abcdefghijklmnopqrstuvwxy"[i]), "h") for i in range(25)]
     rows = quality_rules.clean_documents(spark.createDataFrame(docs, DOCS)).collect()
     assert all(r.kept and r.removed_words == 6 and "every page" not in r.clean_text for r in rows)
 
 
+def test_depleted_documents_are_rejected(spark):
+    common = [" ".join(f"common{k}x{j}" for j in range(12)) for k in range(4)]
+    docs = [(i, "\n".join([*common, f"own words {'abcdef'[i]}"] if i < 6 else [common[0], " ".join(words_of(random.Random(i), 40, 10**6))]), "h") for i in range(30)]
+    docs += [(100 + i, "\n".join(common), "rare") for i in range(4)]  # four copies are not many on any host
+    rows = {r.doc_id: r for r in quality_rules.score_documents(spark.createDataFrame(docs, DOCS)).collect()}
+    assert all(not r.base_failed for r in rows.values())
+    assert {i for i, r in rows.items() if not r.kept} == set(range(6)) and rows[0].removed_words == 48 and rows[7].removed_words == 12 and rows[100].removed_words == 0
+
+
+def brute_told(texts, threshold=0.7, context=80):
+    """Terms that disclose a value, the domain of an address or a kind, for texts whose spans are plain addresses and cards."""
+    from collections import defaultdict
+    from math import log
+
+    terms = lambda t: {w for w in re.findall(r"[^\W\d_]+", t.lower()) if len(w) >= 3}
+    beside, of_entity, of_term = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, text in enumerate(texts):
+        for t in terms(text):
+            of_term[t].add(i)
+        found = [("email", m) for m in re.finditer(r"[a-z0-9.]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+", text)] + [("card", m) for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text)]
+        own = terms(" ".join(m[0] for _, m in found))
+        for kind, m in found:
+            words = [w for w in re.finditer(r"[^\W\d_]+", text) if len(w[0]) >= 3 and (m.start() - context <= w.start() and w.end() <= m.start() or m.end() <= w.start() and w.end() <= m.end() + context)]
+            for entity in [f"{kind}:{m[0]}"] + ([f"email:@{m[0].split('@')[1]}"] if kind == "email" else []):
+                of_entity[entity].add(i)
+                for w in words:
+                    beside[entity, w[0].lower()].add(i)
+            of_entity[kind].add(i)
+            for t in terms(text) - own:
+                beside[kind, t].add(i)
+    n = len(texts)
+    share = lambda e, t, c: log(c * n / (len(of_entity[e]) * len(of_term[t]))) / log(n / len(of_entity[e])) * c / (c + 1)
+    return {t for (e, t), docs in beside.items() if len(of_entity[e]) < n and share(e, t, len(docs)) >= threshold}
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    rng, texts = random.Random(4), []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 3, 4])))
+    for i in range(300):
+        words = [word() for _ in range(rng.choice([5, 40]))]
+        if i % 10 == 0:  # each card stands in one document; the word beside it gives the kind away
+            words[2:2] = ["cardholder", "4929348385146306" if i % 20 else "4412473014894482"]
+        if i % 15 == 1:
+            words[3:3] = ["postmaster", f"box{i % 4}@mail{i % 2}.test.org"]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.term for r in pii.disclosing_terms(docs).collect()}
+    assert found == brute_told(texts) and {"cardholder", "postmaster"} <= found
+    spans = {r.doc_id: [(texts[r.doc_id][x.start : x.end], x.m) for x in r.terms] for r in pii.find_spans(docs).collect()}
+    outside = [re.sub(r"\S+@\S+", lambda m: "." * len(m[0]), t) for t in texts]
+    assert spans == {i: [(m[0], m[0]) for m in re.finditer("[a-z]+", t) if m[0] in found] for i, t in enumerate(outside)}
+    assert sum(map(len, spans.values())) >= 50
+
+
 def test_terms_beside_an_entity_are_found(spark):
     docs = [(i, f"secretname wrote to jo@mail.example.com about item{i}" if i < 5 else f"common words about item{i}") for i in range(60)]
     rows = {r.doc_id: r.clean_text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -297,18 +351,48 @@ def test_listed_urls_and_rules(spark):
 
 CALLS = {
     "quality": lambda s, d: quality_rules.score_documents(d), "clean": lambda s, d: quality_rules.clean_documents(d),
-    "leaks": lambda s, d: decontamination.find_leaks(d, s.createDataFrame([(1, "some benchmark text with words"), (2, None), (None, "x")], "item_id long, text string")),
+    "html": lambda s, d: html_extraction.extract_text(d, url_col="source", html_col="text"),
+    "leaks": lambda s, d: decontamination.find_leaks(d, s.createDataFrame([(1, "some benchmark text with words"), (2, None), (None, "same text as seven here")], "item_id long, text string")),
+    "clean_benchmark": lambda s, d: decontamination.find_leaks(d, s.createDataFrame([], "item_id long, text string")),
     "mix": lambda s, d: mixing.replicate(d), "tokens": lambda s, d: token_output.read_digests(token_output.write_shards(d, token_output.TokenParams(TOKENS))),
+    "urls": lambda s, d: url_filters.judge_urls(d, s.createDataFrame([(u,) for u in url_filters.LISTED], "url string"), url_col="text"),
     "pii": lambda s, d: pii.find_spans(d), "sanitise": lambda s, d: pii.sanitise(d), "links": lambda s, d: ngram_jaccard.link_components(d),
+    "near": lambda s, d: ngram_jaccard.drop_near_copies(d),
     "importance": lambda s, d: importance.resample(d, s.createDataFrame([(3, 1), (4, 0), (None, 1)], "doc_id long, quality int")),
     "toxicity": lambda s, d: toxicity.score(d, toxicity.fit(d, s.createDataFrame([(3, 1), (4, 0), (None, 1)], "doc_id long, toxic int"))),
 }
+#: Names that operators use inside, or return.
+CLASHES = "kept score copy_no clean_text component_id contaminated rank host n_words cdf rate low k of name row copies mix_source hit_id hit_terms hit_url pii_text told base terms url path rule verdict id item_ids similarity log_ratio n_grams gumbel_key __row __at chunk replies n_chars n_repeated predicted removed sign html text_ wanted raw".split()
 
 
 @pytest.mark.parametrize("name", sorted(CALLS))
 def test_edge_rows_empty_tables_and_clashing_columns(spark, name):
-    clash = [F.lit("x").alias(c) for c in ("kept", "score", "copy_no", "clean_text", "component_id", "contaminated", "rank", "host", "n_words")]
-    docs = spark.createDataFrame(EDGE, DOCS).select("*", *clash)
-    rows = CALLS[name](spark, docs).count()
-    assert rows == len(EDGE) or name == "mix"
+    """Null, empty and long texts, null keys, repeated rows and columns of clashing names: the results are those without the
+    clashing columns, and these keep their values where the operator gives no column of that name."""
+    plain = spark.createDataFrame(EDGE, DOCS)
+    docs = plain.select("*", *[F.lit("x").alias(c) for c in CLASHES])
+    found, clean = CALLS[name](spark, docs), CALLS[name](spark, plain)
+    own = [c for c in clean.columns]
+    through = [c for c in found.columns if c not in own]
+    rows = found.collect()
+    assert sorted(str([r[c] for c in own]) for r in rows) == sorted(str(list(r)) for r in clean.collect())
+    assert all(r[c] == "x" for r in rows for c in through) and (not through or set(CLASHES) - set(own) == set(through))
+    if name == "near":
+        assert len(rows) == 7
+    elif name != "mix":
+        assert len(rows) == len(EDGE)
     assert CALLS[name](spark, docs.limit(0)).count() == 0
+
+
+def test_edge_rows_have_defined_values(spark):
+    docs = spark.createDataFrame(EDGE, DOCS)
+    got = {n: sorted((r.asDict() for r in CALLS[n](spark, docs).collect()), key=lambda r: (r.get("doc_id") is None, r.get("doc_id") or 0)) for n in ("quality", "leaks", "clean_benchmark", "links", "importance", "toxicity", "sanitise", "urls", "html")}
+    assert [r["n_words"] for r in got["quality"]] == [0, 0, 30_000, 2, 2, 0, 6, 6, 0] and not any(r["kept"] for r in got["quality"])
+    assert [r["item_ids"] for r in got["leaks"]] == [[], [], [], [], [], [], [None], [None], []] and [r["contaminated"] for r in got["leaks"]] == [False] * 6 + [True, True, False]
+    assert not any(r["contaminated"] or r["similarity"] for r in got["clean_benchmark"])
+    assert [(r["component_id"], r["n_shingles"]) for r in got["links"]] == [(1, 0), (2, 0), (3, 1), (4, 1), (4, 1), (5, 0), (6, 2), (6, 2), (None, 0)]
+    assert [r["n_grams"] for r in got["importance"]] == [0, 0, 59_999, 3, 3, 0, 11, 11, 0] and sorted(r["rank"] for r in got["importance"]) == list(range(1, 10))
+    assert len({r["score"] for r in got["toxicity"] if r["doc_id"] in (1, 2, 5, None)}) == 1
+    assert [r["clean_text"] for r in got["sanitise"]] == [x or "" for _, x, _ in sorted(EDGE, key=lambda r: (r[0] is None, r[0] or 0))]
+    assert all((r["host"], r["path"], r["rule"], r["verdict"]) == ("", "", None, "allow") for r in got["urls"])
+    assert [r["text"] for r in got["html"]][:4] == ["", "", LONG.strip(), "one two"]

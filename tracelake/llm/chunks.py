@@ -77,7 +77,7 @@ def chunked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[in
 def stored_chunks(df: DataFrame, name: str) -> DataFrame:
     """Chunk rows as a table bucketed by `chunk`, in the shared folder."""
     path = new_path(df.sparkSession, name)
-    buckets = max(partitions(df.sparkSession), df.rdd.getNumPartitions())
+    buckets = partitions(df)
     rows = df.write.format("parquet").option("path", path).option("compression", "uncompressed").bucketBy(buckets, "chunk")
     for limit in ("block", "page"):  # rows are large
         rows = rows.option(f"parquet.{limit}.size.row.check.min", "1")

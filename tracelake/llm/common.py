@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,10 +22,13 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs in one local
+    process (tests) a new one. Executors of a cluster would not see each other's local folders, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tracelake-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -54,8 +56,9 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def partitions(df: DataFrame) -> int:
+    """So many tasks for a shuffle of all rows: as many as the input has, or the session says."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), df.rdd.getNumPartitions())
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]]):
@@ -105,7 +108,21 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each distinct word, the same in every process."""
-        return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in map(str.encode, self.dictionary.to_pylist())), np.uint64, len(self.dictionary))
+        return hash_strings(self.dictionary)
+
+
+#: Random numbers for each byte at each of 32 places (the same in every process).
+BYTES = np.random.default_rng(13).integers(0, 2**64, (32, 256), dtype=np.uint64)
+
+
+def hash_strings(values: pa.Array) -> np.ndarray:
+    """64-bit tabulation hashes of strings: the sum of the random numbers of their bytes, and of their length."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) if len(values) else np.zeros(1, np.int64)
+    size = np.diff(offsets)
+    place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], size)
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[place & 31, data] * (2 * (place >> 5) + 1).astype(np.uint64), dtype=np.uint64)))
+    return mix(sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def multipliers(n: int, seed: int = 7) -> np.ndarray:
@@ -166,11 +183,12 @@ def unit(hashed):
 def global_rank(df: DataFrame, order: list, name: str) -> DataFrame:
     """df with `rank` from 1 in the given order, stored: a range-partitioned sort, whose partitions are numbered within
     and shifted by the sizes of those before (one number for each partition)."""
-    rows = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
-    rows = stored(rows.withColumn("__at", F.monotonically_increasing_id()), name)
-    part = F.shiftright("__at", 33)
-    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    shifts = stored(sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long"))).drop("__n"), f"{name}-shifts")
-    rows = rows.withColumn("__part", part).join(F.broadcast(shifts), "__part")  # a row for each partition of the sort
-    return rows.withColumn("rank", F.col("__at").bitwiseAND(F.lit(2**33 - 1)) + 1 + F.col("__before")).drop("__at", "__part", "__before")
+    rows = df.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order)
+    rows = stored(rows.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("at")), name)
+    part = F.shiftright("at", 33).alias("part")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = stored(sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n"), f"{name}-shifts")
+    rows = rows.withColumn("part", part).join(F.broadcast(shifts), "part")  # a row for each partition of the sort
+    rank = F.col("at").bitwiseAND(F.lit(2**33 - 1)) + 1 + F.col("before")
+    return rows.select(*[F.col("row")[c].alias(c) for c in df.columns if c != "rank"], rank.alias("rank"))

@@ -10,7 +10,7 @@ tasks with the function, and every document is scanned against every block in on
 
 Words are lower-cased and lose the signs around them; an item of fewer words than a shingle is one shingle. Defined
 results: a null or empty text, and one without words, is clean. A document shorter than an item is compared as a whole.
-Items without words match nothing; equal items are all reported. Every row is judged for itself; identifiers are not
+Items without words match nothing; equal items are all reported, items without an identifier as one that is null. Every row is judged for itself; identifiers are not
 looked at. An empty benchmark finds nothing, an empty table gives an empty result. Further columns pass through; one that
 has the name of an output column is replaced.
 """
@@ -150,14 +150,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
     found = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first", T.LongType())]))
     rows = docs.withColumn("__leaks", F.lit(None).cast(found))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first", pa.int64())]))
-    items = ((r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), item_text).filter(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).toLocalIterator())
+    items = ((r[0], r[1]) for r in benchmark.select(F.col(item_col).cast("long"), item_text).filter(F.col(item_text).isNotNull()).toLocalIterator())
     block: list[tuple[int, str]] = []
 
     def scan(rows: DataFrame, index: LeakIndex) -> DataFrame:
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, where):
-                    more = [[{"item_id": i, "similarity": s, "first": f} for i, (s, f) in sorted(x.items())] for x in index.search(part.column(where))]
+                    more = [[{"item_id": i, "similarity": s, "first": f} for i, (s, f) in sorted(x.items(), key=lambda y: (y[0] is not None, y[0] or 0))] for x in index.search(part.column(where))]
                     old = part.column(part.num_columns - 1).to_pylist()
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([(a or []) + b for a, b in zip(old, more)], kind)], part.schema.names)
 

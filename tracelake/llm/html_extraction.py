@@ -183,14 +183,21 @@ class _Suffixes:
 
     def keyed(self, bits: int) -> np.ndarray:
         """The distinct keys, ascending, of the suffixes in question; place: where each of these stands among them."""
-        keys, self.place = np.unique(self.hashes[self.some] >> np.uint64(64 - bits), return_inverse=True)
-        return keys
+        keys = self.hashes[self.some] >> np.uint64(64 - bits)
+        self.order = np.argsort(keys, kind="stable")
+        keys = keys[self.order]
+        new = np.diff(keys, prepend=~keys[:1]) != 0
+        self.place = np.empty(len(keys), np.int64)
+        self.place[self.order] = np.cumsum(new) - 1
+        return keys[new]
 
     def held(self, n_keys: int, pages: list[int]) -> np.ndarray:
         """How many of some pages hold a suffix of each key."""
-        counts = np.isin(self.page[self.some], np.array(pages, np.int64))
-        once = np.unique(self.page[self.some][counts] * n_keys + self.place[counts])
-        return np.bincount(once % max(1, n_keys), minlength=n_keys)
+        asked = np.zeros(len(self.first) // 2, bool)
+        asked[pages] = True
+        page, place = self.page[self.some][self.order], self.place[self.order]  # by key, and by page: of a host, then of its windows
+        once = (np.diff(place, prepend=-1) != 0) | (np.diff(page, prepend=-1) != 0)
+        return np.bincount(place[once & asked[page]], minlength=n_keys)
 
     def totals(self, replies: list | None) -> np.ndarray:
         """What was answered for each suffix in question."""
@@ -231,8 +238,10 @@ def _summed(table: pa.Table) -> pa.Table:
 
 def _covered(n: int, counts: np.ndarray, least: float, length: int, run: int) -> np.ndarray:
     """Whether each of n tokens is in a run of at least `run` tokens that suffixes of at least `least` main texts cover."""
-    marks = np.zeros(n + 1, np.int64)
-    for i in np.flatnonzero(counts >= least):
+    marks, found = np.zeros(n + 1, np.int64), np.flatnonzero(counts >= least)
+    if not len(found):
+        return marks[:-1].astype(bool)
+    for i in found:
         marks[i : i + length] = 1
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marks, [0]))))
     for a, b in zip(edges[::2], edges[1::2]):
@@ -256,16 +265,18 @@ def _left(tokens: list[list[str]], marked: list[bool], covered: np.ndarray) -> s
 def main_text(inside: str, outside: str, marked: list[bool], in_counts: np.ndarray, out_counts: np.ndarray, of_host: int, params: BoilerplateParams) -> tuple[str, int]:
     """The main text of a page without the runs that repeats cover, and the number of covered tokens on the page. in_counts,
     out_counts: how many main texts hold the suffix at each token; of_host: the main texts of the host."""
-    blocks = [b.split(" ") for b in outside.split("\n")] if outside else []
-    covered = _covered(sum(map(len, blocks)), out_counts, 2, params.length, params.length)
+    size = outside.count(" ") + outside.count("\n") + 1
+    covered = _covered(size, out_counts, 2, params.length, params.length)
     if not inside:
-        return _left(blocks, marked, covered), int(covered.sum())
-    n, blocks = int(covered.sum()), [b.split(" ") for b in inside.split("\n")]
-    size = sum(map(len, blocks))
+        return _left([b.split(" ") for b in outside.split("\n")] if outside else [], marked, covered), int(covered.sum())
+    n, size = int(covered.sum()), inside.count(" ") + inside.count("\n") + 1
     covered = _covered(size, in_counts, params.article_pages, params.length, params.article_run)
     if 2 * covered.sum() > size:
         covered = _covered(size, in_counts, max(params.article_pages, of_host / 2), params.length, params.article_run)
-    return (_left(blocks, [False] * len(blocks), covered) if covered.any() else inside), n + int(covered.sum())
+    if not covered.any():
+        return inside, n
+    blocks = [b.split(" ") for b in inside.split("\n")]
+    return _left(blocks, [False] * len(blocks), covered), n + int(covered.sum())
 
 
 def _finish(batches: Iterator[pa.RecordBatch], params: BoilerplateParams, bits: list[int]) -> Iterator[pa.RecordBatch]:

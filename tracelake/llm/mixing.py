@@ -12,8 +12,10 @@ An empty table gives an empty result. Further columns pass through; an input col
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, pi
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import partitions, stored, unit
@@ -29,39 +31,41 @@ class MixParams:
 
 
 def rates(docs: DataFrame, params: MixParams = MixParams(), source_col: str = "source") -> DataFrame:
-    """(source, rate, cdf): the mean repetition rate of each source, and its distribution function at 0, 1, 2, ..."""
-    counts = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+    """(source, rate, low, cdf): the mean repetition rate of each source, and its distribution function at low, low + 1, ..."""
+    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if params.weights is None:
         counts = counts.withColumn("w", F.lit(1.0))
     else:
         pairs = [x for k, v in params.weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        counts = counts.withColumn("w", F.coalesce(F.create_map(*pairs)[F.col("mix_source").cast("string")], F.lit(0.0)) if pairs else F.lit(0.0))
+        counts = counts.withColumn("w", F.coalesce(F.create_map(*pairs)[F.col("source").cast("string")], F.lit(0.0)) if pairs else F.lit(0.0))
     counts = stored(counts, "sources")
     rows, weight = counts.agg(F.sum("n"), F.sum("w")).first()
     rate = F.lit(params.epochs) * F.lit(rows or 0) * F.col("w") / F.lit(weight) / F.col("n") if weight else F.lit(0.0)
-    return stored(counts.withColumn("rate", rate).select("mix_source", "rate", poisson_cdf(F.col("rate")).alias("cdf")), "rates")
+    known = counts.select("source", rate.alias("rate")).filter("rate > 0")
+    reach = 12 * F.sqrt("rate") + 16  # what lies further off is far below the resolution of the hashed number
+    low = F.greatest(F.lit(0), F.floor(F.col("rate") - reach)).cast("long")
+    cells = known.withColumn("low", low).withColumn("k", F.explode(F.sequence("low", F.ceil(F.col("rate") + reach).cast("long"))))
+    cells = cells.withColumn("cdf", F.sum(F.exp(-F.col("rate") + F.col("k") * F.ln("rate") - ln_factorial("k"))).over(W.partitionBy("source").orderBy("k")))
+    cdf = F.transform(F.array_sort(F.collect_list(F.struct("k", "cdf"))), lambda x: x["cdf"])  # a square root of the rate
+    return stored(cells.groupBy("source", "rate", "low").agg(cdf.alias("cdf")), "rates")
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until what is left is far below the resolution of the hashed number."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 16).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.array(F.exp(-rate)).alias("cdf"))
-
-    def step(s: Column, k: Column) -> Column:
-        log_p = s["log_p"] + F.ln(rate) - F.ln(k.cast("double"))
-        return F.struct(log_p.alias("log_p"), F.array_append(s["cdf"], F.element_at(s["cdf"], -1) + F.exp(log_p)).alias("cdf"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]).otherwise(F.array(F.lit(1.0)))
+def ln_factorial(k: str) -> Column:
+    """ln k! by Stirling's series, exact up to 20."""
+    x = F.greatest(F.col(k), F.lit(20)).cast("double")
+    series = x * F.ln(x) - x + F.ln(2 * pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return F.when(F.col(k) <= 20, F.ln(F.factorial(F.least(F.col(k), F.lit(20)).cast("int")))).otherwise(series)
 
 
 def replicate(docs: DataFrame, params: MixParams = MixParams(), id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The documents, each as often as drawn, with copy_no (from 1), in hashed order."""
     docs = docs.drop("copy_no") if id_col != "copy_no" else docs
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    table = rates(docs, params, source_col)
-    rows = docs.join(table, docs[source_col].eqNullSafe(table["mix_source"]))
-    draw = unit(F.md5(F.concat(F.lit(params.seed + "|"), name)))
-    rows = rows.withColumn("copy_no", F.size(F.filter("cdf", lambda x: x < draw))).filter("copy_no > 0")
-    rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copy_no")))).select(*docs.columns, "copy_no")
-    place = F.xxhash64(F.lit(params.seed), name, F.col("copy_no"))
-    return rows.repartition(partitions(docs.sparkSession), place).sortWithinPartitions(place)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), name.alias("name"), F.col(source_col).alias("of"))
+    rows = rows.join(rates(docs, params, source_col), F.col("of").eqNullSafe(F.col("source")))
+    draw = unit(F.md5(F.concat(F.lit(params.seed + "|"), F.col("name"))))
+    rows = rows.withColumn("copies", (F.col("low") + F.size(F.filter("cdf", lambda x: x < draw))).cast("int")).filter("copies > 0")
+    rows = rows.select("row", "name", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    place = F.xxhash64(F.lit(params.seed), F.col("name"), F.col("copy_no"))
+    rows = rows.repartition(partitions(docs) * max(1, ceil(params.epochs)), place).sortWithinPartitions(place)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns], "copy_no")

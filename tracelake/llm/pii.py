@@ -1,18 +1,20 @@
 """Operator 7, PII: information-theoretic sanitisation.
 
-Mail addresses, IP addresses, card and phone numbers are found by patterns; each distinct value is a protected entity.
-Over the whole corpus it is counted in how many documents a term stands near an entity (n_et), and in how many documents
-the entity (n_e) and the term (n_t) occur. A term discloses the share
+Mail addresses, IP addresses, card and phone numbers are found by patterns. Protected are their values, the domains of mail
+addresses, and the four kinds themselves, since most values stand in one or two documents only. Over the whole corpus it is
+counted in how many documents a term stands beside the entity (n_et), and in how many the entity (n_e) and the term (n_t)
+occur: within some code points of a value or domain, anywhere in a document that has the kind. A term discloses the share
 
     pointwise mutual information / information content = ln(n_et N / (n_e n_t)) / ln(N / n_e)
 
-of an entity. Terms that disclose more than a threshold of some entity are removed above a second threshold and
-generalised below it. Only DataFrame functions are used.
+of an entity, discounted by n_et / (n_et + 1) as few documents prove little. Terms that disclose more than a threshold of
+some entity are removed above a second threshold and generalised below it. Only DataFrame functions are used.
 
-A term is a maximal run of letters, lower-cased, of three letters at least. Defined results: a null text is an empty
-text and has no spans; every row is a document of its own, rows repeated under one identifier count each and are cleaned
-each; a null identifier is kept. An entity that occurs in every document discloses nothing. An empty table gives an empty
-result. Further columns pass through `sanitise`; one that has the name of an output column is replaced.
+A term is a maximal run of letters, lower-cased, of three letters at least; the terms of an entity's own text do not count
+beside its kind. Defined results: a null text is an empty text and has no spans; every row is a document of its own, rows
+repeated under one identifier count each and are cleaned each; a null identifier is kept. An entity that occurs in every
+document discloses nothing. An empty table gives an empty result. Further columns pass through; one that has the name of an
+output column (base and terms; clean_text) is replaced.
 """
 
 from __future__ import annotations
@@ -40,13 +42,12 @@ TERM = r"\p{L}+"
 
 @dataclass(frozen=True)
 class PiiParams:
-    """context: code points on each side of an entity that count as near it. min_support: documents in which a term must
-    stand near the entity. threshold: disclosed share from which a term is generalised; remove_at: from which removed."""
+    """context: code points on each side of a value that count as beside it. threshold: disclosed share from which a term is
+    generalised; remove_at: from which removed."""
 
     context: int = 80
-    min_support: int = 3
-    threshold: float = 0.8
-    remove_at: float = 0.95
+    threshold: float = 0.7
+    remove_at: float = 0.9
     replace: tuple[str, str] = ("[term]", "")
 
 
@@ -115,77 +116,91 @@ def text_terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+", -1)), lambda t: F.length(t) >= 3)
 
 
-def _near(text: Column, spans: Column, context: int) -> Column:
-    """Distinct (entity, term) of a text: terms wholly within the context of an entity and outside it."""
+def _entities(x: Column) -> Column:
+    """The value of a span, and the domain if it is a mail address."""
+    domain = F.when(x["kind"] == "email", F.array(F.concat(F.lit("email:@"), F.lower(F.substring_index(x["m"], "@", -1)))))
+    return F.concat(F.array(F.concat_ws(":", x["kind"], F.lower(x["m"]))), F.coalesce(domain, F.expr("cast(array() as array<string>)")))
+
+
+def _beside(text: Column, spans: Column, context: int) -> Column:
+    """The spans' values and domains with the terms wholly within the context: array of (entities, terms)."""
 
     def of_span(x: Column) -> Column:
-        first = F.greatest(x["start"] - context, F.lit(0))
+        first = F.greatest(x["start"] - context - 1, F.lit(0))
         before = F.substring(text, first + 1, x["start"] - first)
-        after = F.substring(text, x["end"] + 1, F.lit(context))
-        before = F.when(first > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-        after = F.when(F.length(after) == context, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-        entity = F.concat(x["kind"], F.lit(":"), F.lower(x["m"]))
-        return F.transform(text_terms(F.concat(before, F.lit(" "), after)), lambda t: F.struct(entity.alias("entity"), t.alias("term")))
+        after = F.substring(text, x["end"] + 1, F.lit(context + 1))
+        before = F.when(x["start"] > context, F.regexp_replace(before, r"^(?:\p{L}+|\P{L})", "")).otherwise(before)
+        after = F.when(F.length(after) > context, F.regexp_replace(after, r"(?:\p{L}+|\P{L})$", "")).otherwise(after)
+        return F.struct(_entities(x).alias("entities"), text_terms(F.concat(before, F.lit(" "), after)).alias("terms"))
 
-    return F.array_distinct(F.flatten(F.transform(spans, of_span)))
+    return F.transform(spans, of_span)
 
 
 def disclosing_terms(docs: DataFrame, params: PiiParams = PiiParams(), text_col: str = "text") -> DataFrame:
     """(term, disclosed): the terms that disclose the threshold or more of some entity, stored."""
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    held = texts.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0).withColumn("doc", F.monotonically_increasing_id())
+    own = text_terms(F.array_join("spans.m", " "))
+    kinds = F.array_distinct("spans.kind")
+    held = held.select("doc", _beside(F.col("text"), F.col("spans"), params.context).alias("beside"), kinds.alias("kinds"), F.array_except(text_terms(F.col("text")), own).alias("terms"))
+    held = stored(held, "held")  # only documents with an entity
+    spans = held.select("doc", F.explode("beside").alias("x")).select("doc", F.explode("x.entities").alias("entity"), F.col("x.terms").alias("terms"))
+    pairs = spans.select("doc", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    of_kinds = held.select(F.explode("kinds").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
+    least = params.threshold / (1 - params.threshold) if params.threshold < 1 else float("inf")  # with fewer the discount alone is too much
+    pairs = stored(pairs.unionByName(of_kinds).filter(F.col("n_et") >= least * (1 - 1e-9)), "pairs")
+    entities = spans.select("doc", "entity").distinct().select("entity").unionByName(held.select(F.explode("kinds").alias("entity"))).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    terms = texts.select(F.explode(text_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t") >= least * (1 - 1e-9))
     n_docs = texts.count()
-    held = texts.select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
-    near = held.select(_near(F.col("text"), F.col("spans"), params.context).alias("near"), F.array_distinct(F.transform("spans", lambda x: F.concat(x["kind"], F.lit(":"), F.lower(x["m"])))).alias("entities"))
-    near = stored(near, "near")
-    pairs = near.select(F.explode("near").alias("p")).select("p.entity", "p.term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    pairs = stored(pairs.filter(F.col("n_et") >= params.min_support), "pairs")
-    entities = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    entities = stored(entities.filter(F.col("n_e") >= params.min_support), "entities")
-    terms = texts.select(F.explode(text_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    terms = stored(terms.filter(F.col("n_t") >= params.min_support), "terms")
     content = F.ln(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
     shared = F.ln(F.col("n_et") * F.lit(float(n_docs)) / (F.col("n_e").cast("double") * F.col("n_t")))
-    scored = pairs.join(entities, "entity").join(terms, "term").filter(F.col("n_e") < n_docs).withColumn("disclosed", shared / content)
+    told = shared / content * F.col("n_et") / (F.col("n_et") + 1)
+    scored = pairs.join(stored(entities, "entities"), "entity").join(stored(terms, "terms"), "term").filter(F.col("n_e") < n_docs).withColumn("disclosed", told)
     return stored(scored.groupBy("term").agg(F.max("disclosed").alias("disclosed")).filter(F.col("disclosed") >= params.threshold), "disclosing")
 
 
-def find_spans(docs: DataFrame, params: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with `base` and `terms`: arrays of (start, rank, end, kind, m), the second with the kind term."""
+def _spans(docs: DataFrame, params: PiiParams, id_col: str, text_col: str) -> DataFrame:
+    """(row, text, told, base, terms): the rows packed, the disclosing terms of their identifier, and the spans."""
     found = disclosing_terms(docs, params, text_col)
-    rows = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
-    terms = rows.select(F.col(id_col).alias("hit_id"), F.explode(text_terms(F.col("pii_text"))).alias("term"))
-    hits = terms.join(found, "term").groupBy("hit_id").agg(F.collect_set(F.struct("term", "disclosed")).alias("hit_terms"))
-    rows = rows.join(stored(hits, "hits"), rows[id_col].eqNullSafe(F.col("hit_id")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    hits = rows.select("id", F.explode(text_terms(F.col("text"))).alias("term")).join(found, "term")
+    hits = stored(hits.groupBy(F.col("id").alias("hit_id")).agg(F.collect_set(F.struct("term", "disclosed")).alias("told")), "hits")  # as many as the texts of an identifier have terms
+    rows = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")), "left")
     rank = F.lit(len(KINDS))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["gap"])
         end = start + F.length(x["m"])
         here = F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"), F.lit("term").alias("kind"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.when(F.exists("hit_terms", lambda t: t["term"] == F.lower(x["m"])), F.array_append(s["out"], here)).otherwise(s["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.exists("told", lambda t: t["term"] == F.lower(x["m"])), F.array_append(s["out"], here)).otherwise(s["out"]).alias("out"))
 
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,m:string>>)")
-    words, gaps = F.regexp_extract_all("pii_text", F.lit(TERM), F.lit(0)), F.split("pii_text", TERM, -1)
+    words, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
     pairs = F.arrays_zip(words.alias("m"), F.slice(gaps, F.lit(1), F.size(words)).alias("gap"))
     spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
-    rows = rows.withColumn("base", base_spans(F.col("pii_text")))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
     outside = F.filter(spans, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.withColumn("terms", F.when(F.col("hit_terms").isNotNull(), outside).otherwise(none))
+    return rows.select("row", "text", "told", "base", F.when(F.col("told").isNotNull(), outside).otherwise(none).alias("terms"))
+
+
+def find_spans(docs: DataFrame, params: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with `base` and `terms`: arrays of (start, rank, end, kind, m), the second with the kind term."""
+    rows = _spans(docs, params, id_col, text_col)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "terms")], "base", "terms")
 
 
 def sanitise(docs: DataFrame, params: PiiParams = PiiParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with `clean_text`: entities become their kind in brackets, disclosing terms are generalised or removed."""
-    rows = find_spans(docs.drop("clean_text") if text_col != "clean_text" else docs, params, id_col, text_col)
     general, gone = params.replace
 
     def step(s: Column, x: Column) -> Column:
-        strong = F.exists("hit_terms", lambda t: (t["term"] == F.lower(x["m"])) & (t["disclosed"] >= params.remove_at))
+        strong = F.exists("told", lambda t: (t["term"] == F.lower(x["m"])) & (t["disclosed"] >= params.remove_at))
         put = F.when(x["kind"] != "term", F.concat(F.lit("["), x["kind"], F.lit("]"))).when(strong, F.lit(gone)).otherwise(F.lit(general))
-        text = F.concat(s["out"], F.substring(F.col("pii_text"), s["at"] + 1, x["start"] - s["at"]), put)
+        text = F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), put)
         over = x["start"] < s["at"]
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(over, s["out"]).otherwise(text).alias("out"))
 
-    done = F.aggregate(F.array_sort(F.concat("base", "terms")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    rows = rows.withColumn("__done", done)
-    rest = F.substring(F.col("pii_text"), F.col("__done.at") + 1, F.length("pii_text"))
-    return rows.select(*[c for c in docs.columns if c != "clean_text" or c == text_col], F.concat("__done.out", rest).alias("clean_text"))
+    rows = _spans(docs, params, id_col, text_col)
+    rows = rows.select("row", "text", F.aggregate(F.array_sort(F.concat("base", "terms")), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step).alias("done"))
+    rest = F.substring(F.col("text"), F.col("done.at") + 1, F.length("text"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "clean_text"], F.concat("done.out", rest).alias("clean_text"))

@@ -33,12 +33,13 @@ SYMBOLS = "[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class LineRules:
-    """max_docs, max_share: a line is frequent on a host if more than max_docs of its documents have it, and more than
-    max_share of them. min_kept: a document is depleted if less than this share of its words is left."""
+    """max_share: a line is frequent on a host if more than this share of its documents have it, and more than min_docs of
+    them, so that a small host needs some copies too. min_kept: a document is depleted if less than this share of its words
+    is left."""
 
-    max_docs: int = 20
-    max_share: float = 0.0
-    min_kept: float = 0.3
+    min_docs: int = 4
+    max_share: float = 0.005
+    min_kept: float = 0.5
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
@@ -95,11 +96,9 @@ def line_features(df: DataFrame, rules: LineRules, id_col: str, text_col: str, h
 def frequent_lines(features: DataFrame, rules: LineRules) -> DataFrame:
     """(host, line, n_docs) of the lines above the limits, stored so that its size is known to the join."""
     lines = features.select("host", F.explode(F.array_distinct("line_hash")).alias("line")).filter("line <> 0")
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > rules.max_docs)
-    if rules.max_share > 0:
-        hosts = features.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-        counts = counts.join(hosts, "host").filter(F.col("n_docs") > F.col("host_docs") * rules.max_share).drop("host_docs")
-    return stored(counts, "frequent")
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > rules.min_docs)
+    hosts = stored(features.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")), "hosts")
+    return stored(counts.join(hosts, "host").filter(F.col("n_docs") > F.col("host_docs") * rules.max_share).drop("host_docs"), "frequent")
 
 
 def removed_lines(features: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ lines AS (
     trim(regexp_replace(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g'), '\p{Nd}', '0', 'g')) AS k
   FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM t)),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE n > 0 GROUP BY doc_id),
-often AS (SELECT host, k FROM lines WHERE k <> '' GROUP BY host, k HAVING count(DISTINCT doc_id) > 20),
+hosts AS (SELECT host, count(*) AS host_docs FROM t GROUP BY host),
+often AS (SELECT host, k FROM lines JOIN hosts USING (host) WHERE k <> '' GROUP BY host, k, host_docs HAVING count(DISTINCT doc_id) > greatest(4, host_docs * 0.005)),
 gone AS (SELECT doc_id, sum(n)::BIGINT AS removed_words FROM lines JOIN often USING (host, k) GROUP BY doc_id),
 f AS (
   SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
@@ -39,7 +40,7 @@ f AS (
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 0.3 * n_words AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 0.5 * n_words AS kept
 FROM f
 """
 
@@ -62,12 +63,12 @@ WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, 1.0::DOUBLE * (SELECT sum(n) FROM n) * 1.0 / (SELECT count(*) FROM n) / n AS rate FROM n),
 p AS (
   SELECT source, k, -rate + k * ln(rate) - lgamma(k + 1) AS log_p
-  FROM r, (SELECT unnest(range(0, 400)) AS k)),
+  FROM (SELECT *, unnest(range(greatest(0, floor(rate - 12 * sqrt(rate) - 16))::BIGINT, ceil(rate + 12 * sqrt(rate) + 17)::BIGINT)) AS k FROM r)),
 c AS (SELECT source, k, sum(exp(log_p)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
 d AS (
   SELECT *, ((('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
-m AS (SELECT d.doc_id, count(*) FILTER (cdf < u) AS copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.doc_id)
+m AS (SELECT d.doc_id, min(k) + count(*) FILTER (cdf < u) AS copies FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source GROUP BY d.doc_id)
 SELECT documents.*, unnest(range(1, copies + 1))::INTEGER AS copy_no FROM documents JOIN m USING (doc_id) WHERE copies > 0
 """
 
@@ -131,19 +132,24 @@ base AS (
       WHEN j % 2 = 0 THEN reverse(d)[j + 1]::INTEGER
       WHEN reverse(d)[j + 1]::INTEGER > 4 THEN 2 * reverse(d)[j + 1]::INTEGER - 9 ELSE 2 * reverse(d)[j + 1]::INTEGER END)) % 10 = 0 END),
 ctx AS (
-  SELECT doc_id, kind || ':' || lower(m) AS entity,
-    CASE WHEN s > 80 THEN regexp_replace(substr(text, s - 79, 80), '^\p{L}+', '') ELSE substr(text, 1, s) END || ' ' ||
-    CASE WHEN length(text) - e >= 80 THEN regexp_replace(substr(text, e + 1, 80), '\p{L}+$', '') ELSE substr(text, e + 1) END AS beside
+  SELECT doc_id, kind, kind || ':' || lower(m) AS entity, CASE kind WHEN 'email' THEN 'email:@' || lower(split_part(m, '@', 2)) END AS domain,
+    CASE WHEN s > 80 THEN regexp_replace(substr(text, s - 80, 81), '^(\p{L}+|\P{L})', '') ELSE substr(text, 1, s) END || ' ' ||
+    CASE WHEN length(text) - e > 80 THEN regexp_replace(substr(text, e + 1, 81), '(\p{L}+|\P{L})$', '') ELSE substr(text, e + 1) END AS beside
   FROM base),
-near AS (SELECT DISTINCT doc_id, entity, term FROM (SELECT doc_id, entity, unnest(regexp_extract_all(lower(beside), '\p{L}+')) AS term FROM ctx) WHERE length(term) >= 3),
-n_et AS (SELECT entity, term, count(*) AS n_et FROM near GROUP BY ALL HAVING count(*) >= 3),
-n_e AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM ctx GROUP BY ALL),
+ents AS (SELECT doc_id, entity, beside FROM ctx UNION ALL SELECT doc_id, domain, beside FROM ctx WHERE domain IS NOT NULL),
 runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{L}+')) AS m, unnest(string_split_regex(text, '\p{L}+')[: len(regexp_extract_all(text, '\p{L}+'))]) AS g, generate_subscripts(regexp_extract_all(text, '\p{L}+'), 1) AS i FROM t),
-n_t AS (SELECT lower(m) AS term, count(DISTINCT doc_id) AS n_t FROM runs WHERE length(m) >= 3 GROUP BY ALL),
+dt AS (SELECT DISTINCT doc_id, lower(m) AS term FROM runs WHERE length(m) >= 3),
+own AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(m), '\p{L}+')) AS term FROM base)),
+near AS (
+  SELECT DISTINCT doc_id, entity, term FROM (SELECT doc_id, entity, unnest(regexp_extract_all(lower(beside), '\p{L}+')) AS term FROM ents) WHERE length(term) >= 3
+  UNION ALL SELECT doc_id, kind, term FROM (SELECT DISTINCT doc_id, kind FROM base) JOIN (SELECT * FROM dt ANTI JOIN own USING (doc_id, term)) USING (doc_id)),
+n_et AS (SELECT entity, term, count(*) AS n_et FROM near GROUP BY ALL),
+n_e AS (SELECT entity, count(DISTINCT doc_id) AS n_e FROM (SELECT doc_id, entity FROM ents UNION ALL SELECT doc_id, kind FROM base) GROUP BY ALL),
+n_t AS (SELECT term, count(*) AS n_t FROM dt GROUP BY ALL),
 n AS (SELECT count(*)::DOUBLE AS n FROM t),
 told AS (
   SELECT term FROM n_et JOIN n_e USING (entity) JOIN n_t USING (term), n WHERE n_e < n
-  GROUP BY term HAVING max(ln(n_et * n / (n_e::DOUBLE * n_t)) / ln(n / n_e)) >= 0.8),
+  GROUP BY term HAVING max(ln(n_et * n / (n_e::DOUBLE * n_t)) / ln(n / n_e) * n_et / (n_et + 1)) >= 0.7),
 terms AS (
   SELECT doc_id, 'term' AS kind, 4 AS rank, e - length(m) AS s, e FROM (
     SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM runs) r

@@ -298,7 +298,7 @@ def write_shards(docs: DataFrame, params: TokenParams, folder: str | None = None
     folder = folder or new_path(spark, "shards")
     order = ["id", F.xxhash64("text")]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order)
     schema = "shard int, file string, first_key binary, last_key binary, n_docs long, n_tokens long, n_bytes long"
     shards = stored(rows.mapInArrow(lambda it: _write(it, folder, params), schema), "shard-list")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
@@ -325,7 +325,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_digests(shards: DataFrame) -> DataFrame:
     """A row for each document from the files: doc_id, start, n_tokens and ids_crc32 (of the ids as u32)."""
-    rows = shards.select("file", "start").repartition(partitions(shards.sparkSession))
+    rows = shards.select("file", "start").repartition(max(1, shards.count()))
     return rows.mapInArrow(_digests, T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_tokens", "ids_crc32")]))
 
 
@@ -338,4 +338,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 for key, ids in ShardReader(file):
                     yield pa.RecordBatch.from_arrays([pa.array([id_of(key)], pa.int64()), pa.array([ids.astype(np.int32).tolist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return shards.select("file").repartition(partitions(shards.sparkSession)).mapInArrow(load, "doc_id long, ids array<int>")
+    return shards.select("file").repartition(max(1, shards.count())).mapInArrow(load, "doc_id long, ids array<int>")

@@ -82,12 +82,13 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     """The rows with host, path, rule and verdict. listed: one column, canonical URLs (host in lower case, /, path)."""
     new = ["host", "path", "rule", "verdict"]
     url = F.col(url_col)
-    rows = pages.select(*[F.col(c) for c in pages.columns if c not in new or c == url_col], url_host(url).alias("host"), url_path(url).alias("path"))
+    keep = [c for c in pages.columns if c not in new]
+    rows = pages.select(F.struct(*pages.columns).alias("row"), url.alias("url"), url_host(url).alias("host"), url_path(url).alias("path"))
     name, said = rule_of(F.col("host"), F.col("path"), rules)
     keys = stored(listed.select(F.col(listed.columns[0]).alias("key")).filter("key is not null").distinct(), "listed")
     n, labels, depth = keys.agg(F.count(F.lit(1)), F.max(F.size(F.split(F.substring_index("key", "/", 1), "[.]", -1))), F.max(F.size(F.split("key", "/", -1)))).first()
     blocks, n_blocks = bloom_filter(keys, n)
-    open_rows = rows.filter(said.isNull() & (F.col("host") != "") & (F.col("path") != "")).select(F.col(url_col).alias("hit_url"), "host", "path").distinct()
+    open_rows = rows.filter(said.isNull() & (F.col("host") != "") & (F.col("path") != "")).select(F.col("url").alias("hit_url"), "host", "path").distinct()
     probes = open_rows.select("hit_url", F.explode(canonical_keys(labels or 1, depth or 1)).alias("key"))
     probes = probes.select("hit_url", "key", block_of("key", n_blocks).alias("probe"), *lanes("key"))
     passed = probes.join(blocks.select("block", *[F.col(f"w{j}").alias(f"b{j}") for j in range(LANES)]), F.col("probe") == F.col("block"))
@@ -95,6 +96,6 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
         passed = passed.filter(F.expr(f"w{j} & b{j} = w{j}"))
     hits = passed.select("hit_url", "key").join(keys.hint("shuffle_hash"), "key", "left_semi").select("hit_url").distinct()
     hits = stored(hits, "hits")
-    out = rows.join(hits, rows[url_col] == hits["hit_url"], "left")
+    out = rows.join(hits, F.col("url") == F.col("hit_url"), "left")
     verdict = F.coalesce(said, F.when(F.col("hit_url").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
-    return out.select(*[F.col(c) for c in rows.columns], name.alias("rule"), verdict.alias("verdict"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], "host", "path", name.alias("rule"), verdict.alias("verdict"))
