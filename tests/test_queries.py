@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tracelake.plans import evidence_queries
 from tracelake.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -29,11 +30,15 @@ def plain(rows):
     return sorted(repr([value(v) for v in row]) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+QUERIES = {**plans.queries(), **evidence_queries.queries()}
+SQL = {**plans.oracle_sql(), **evidence_queries.oracle_sql()}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    found = plans.queries()[name](spark, SF)
+    found = QUERIES[name](spark, SF)
     columns = sorted(found.columns)
-    told = duck.execute(plans.SQL[name])
+    told = duck.execute(SQL[name])
     names = [x[0] for x in told.description]
     assert sorted(names) == columns
     places = [names.index(c) for c in columns]
@@ -48,6 +53,6 @@ def test_entry_without_training_data(monkeypatch):
     monkeypatch.setitem(sys.modules, "tracelake.llm", None)
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     module = importlib.reload(__spark_entry__)
-    assert set(module.queries()) == set(plans.SQL)
+    assert set(module.queries()) == set(SQL)
     monkeypatch.undo()
     importlib.reload(__spark_entry__)

@@ -51,17 +51,56 @@ def dominates(a: Column, b: Column) -> Column:
     return F.when(a["exact"] != b["exact"], a["exact"]).otherwise(ranked)
 
 
+#: What a segment looks like that hides a value, that is an identifier, that is a name.
+REDACTED = [r"(?i)redact|masked|hidden|^\*+$", r"^\[[^\]]+\]$"]
+IDENTIFIERS = [r"^[0-9]+$", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$", r"(?i)^[0-9a-f]{16,}$"]
+SLUG = r"^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*$"
+
+
 def value_class(value: Column) -> Column:
-    """What a path segment that a parameter took looks like: redacted, opaque-identifier or stable-slug."""
+    """What a path segment that a parameter took looks like, decoded: redacted, opaque-identifier or stable-slug; null for
+    null. A segment that cannot be decoded is taken as it is."""
+    value = F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
     like = lambda p: F.regexp_like(value, F.lit(p))
-    redacted = like(r"(?i)redact|masked|hidden|^\*+$") | like(r"^\[[^\]]+\]$")
-    opaque = like(r"^[0-9]+$") | like(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$") | like(r"(?i)^[0-9a-f]{16,}$")
+    redacted = like(REDACTED[0]) | like(REDACTED[1])
+    opaque = like(IDENTIFIERS[0]) | like(IDENTIFIERS[1]) | like(IDENTIFIERS[2])
     opaque = opaque | ((F.length(value) >= 20) & like(r"[A-Za-z]") & like(r"[0-9]") & like(r"^[A-Za-z0-9_-]+$"))
-    slug = like(r"^[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*$") & (F.length(value) <= 64)
-    return F.when(redacted, "redacted").when(opaque, "opaque-identifier").when(slug, "stable-slug").otherwise("opaque-identifier")
+    slug = like(SLUG) & (F.length(value) <= 64)
+    return F.when(value.isNotNull(), F.when(redacted, "redacted").when(opaque, "opaque-identifier").when(slug, "stable-slug").otherwise("opaque-identifier"))
 
 
 def title_of(segment: Column) -> Column:
-    """A route segment as a name: hyphens and underscores become spaces, ASCII words begin with a capital."""
-    words = F.split(F.regexp_replace(F.regexp_replace(segment, "^:", ""), "[-_]+", " "), " ", -1)
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+    """A route segment as a name: hyphens and underscores become spaces, a letter after any other sign than an ASCII letter or
+    digit becomes a capital."""
+    words = F.split(F.regexp_replace(F.regexp_replace(segment, "^:", ""), "[-_]+", " "), "(?<=[^A-Za-z0-9_])(?=[A-Za-z0-9_])", -1)
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), "")
+
+
+def bindings(pattern: Column, path: Column) -> Column:
+    """What the parameters of a pattern took from a path: array of (parameter, position, class, value), the value only of
+    names."""
+    pairs = F.arrays_zip(segments(pattern).alias("p"), F.slice(segments(path), F.lit(1), F.size(segments(pattern))).alias("v"))
+    found = F.transform(pairs, lambda x, i: F.struct(F.regexp_replace(F.regexp_replace(x["p"], "^:", ""), "[?*+]$", "").alias("parameter"), i.alias("position"), value_class(x["v"]).alias("class"), F.when(value_class(x["v"]) == "stable-slug", x["v"]).alias("value"), x["p"].alias("p")))
+    kept = F.filter(found, lambda x: F.startswith(x["p"], F.lit(":")) & x["class"].isNotNull())
+    return F.transform(kept, lambda x: F.struct(x["parameter"].alias("parameter"), x["position"].alias("position"), x["class"].alias("class"), x["value"].alias("value")))
+
+
+def _hidden(pattern: Column, path: Column, put: str, lower: bool) -> Column:
+    pairs = F.arrays_zip(segments(path).alias("v"), segments(pattern).alias("p"))
+    one = lambda x: F.when(~F.coalesce(F.startswith(x["p"], F.lit(":")), F.lit(False)), x["v"]).when(value_class(x["v"]) == "stable-slug", F.lower(x["v"]) if lower else x["v"]).otherwise(F.lit(put))
+    return F.concat(F.lit("/"), F.array_join(F.transform(F.filter(pairs, lambda x: x["v"].isNotNull()), one), "/"))
+
+
+def structure_key(pattern: Column, path: Column) -> Column:
+    """Pattern and path with each opaque parameter as :opaque: states of one structure have one key."""
+    return F.concat(pattern, F.lit("|"), _hidden(pattern, path, ":opaque", True))
+
+
+def sanitized_path(pattern: Column, path: Column) -> Column:
+    return _hidden(pattern, path, "[opaque]", False)
+
+
+def identity_parts(parts: Column) -> Column:
+    """The distinct parts, of more than two the first and the last."""
+    distinct = F.array_distinct(parts)
+    return F.when(F.size(distinct) <= 2, distinct).otherwise(F.array(F.element_at(distinct, 1), F.element_at(distinct, -1)))

@@ -12,7 +12,10 @@ SECRETS = [
     (r"""(?i)(["']?(?:token|api[_-]?key|password|secret)["']?[ \t\r\n]*[:=][ \t\r\n]*["'])[^"']+(["'])""", "$1[REDACTED]$2"),
 ]
 #: Words that mark an action that changes something.
-MUTATIONS = "delete,remove,destroy,erase,purge,save,submit,create,update,edit,install,uninstall,restart,reboot,shutdown,disable,enable,send,publish,close,resolve,assign,approve,reject,cancel subscription,purchase,buy,pay".split(",")
+MUTATIONS = [
+    "delete", "remove", "destroy", "erase", "purge", "save", "submit", "create", "update", "edit", "install", "uninstall", "restart", "reboot",
+    "shutdown", "disable", "enable", "send", "publish", "close", "resolve", "assign", "approve", "reject", "cancel subscription", "purchase", "buy", "pay",
+]
 #: What equal statements may differ in.
 VARIABLE = [r"\[[a-z][a-z0-9 -]{2,80}\]", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", r"https?://[^ \t\r\n)]+"]
 
@@ -58,8 +61,12 @@ def mutation_term(text: Column, terms: list[str] = MUTATIONS) -> Column:
 
 
 def plain_html(html: Column) -> Column:
-    """Markup off, named and decimal references of the basic kinds decoded, white space as one space."""
+    """Markup off, the basic named references and decimal ones decoded, white space as one space."""
     text = F.regexp_replace(F.regexp_replace(html, r"(?i)<br[ \t\r\n]*/?>", "\n"), "<[^>]+>", " ")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return normal_space(text)
+    for name, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
+        text = F.regexp_replace(text, f"(?i){name}", sign)
+    codes = F.regexp_extract_all(text, F.lit("&#([0-9]{1,7});"), F.lit(1))
+    signs = F.transform(codes, lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32"))
+    pieces = F.arrays_zip(F.split(text, "&#[0-9]{1,7};", -1).alias("piece"), signs.alias("sign"))
+    decoded = F.array_join(F.transform(pieces, lambda x: F.concat(x["piece"], F.coalesce(x["sign"], F.lit("")))), "")
+    return normal_space(F.when(F.size(codes) > 0, decoded).otherwise(text))

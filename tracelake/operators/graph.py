@@ -6,9 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .matching import duplicate_keys, missing_references
+from .matching import duplicate_keys, missing_references, unique_left_join
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -16,6 +17,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -27,20 +30,15 @@ def trace(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> D
     """(root, node, depth): all that a root leads to over edges (src, dst), with the least number of steps. A level is
     joined to the edges and loses what was seen, so cycles end; the frontier is written after each level."""
     seen = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "trace")
-    level, depth, parts = seen, 0, [seen]
+    level, depth = seen, 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = level.join(edges, level["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        for part in parts:
-            step = step.join(part.select("root", "node"), ["root", "node"], "left_anti")
-        level = cut(step.select("root", "node", F.lit(depth).alias("depth")), "trace")
+        level = cut(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")), "trace")
         if level.isEmpty():
             break
-        parts.append(level)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        seen = cut(seen.union(level), "trace")
+    return seen
 
 
 def violations(nodes: DataFrame, edges: DataFrame, endpoints: list[tuple[str, str, str]]) -> DataFrame:
@@ -54,3 +52,101 @@ def violations(nodes: DataFrame, edges: DataFrame, endpoints: list[tuple[str, st
     found = duplicate_keys(nodes, "id", "duplicate-node").union(duplicate_keys(edges, "id", "duplicate-edge"))
     found = found.union(missing_references(edges, "src", nodes, "id", "missing-source")).union(missing_references(edges, "dst", nodes, "id", "missing-target"))
     return found.union(wrong)
+
+
+def unique_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
+    """The rows with `id`: the base, from its second row on with #2, #3, ... in the given order."""
+    place = F.row_number().over(W.partitionBy(base).orderBy(order))
+    return rows.withColumn("id", F.when(place > 1, F.concat(base, F.lit("#"), place.cast("string"))).otherwise(F.col(base)))
+
+
+def render_edges(renders: DataFrame) -> DataFrame:
+    """(src, dst, evidence): one edge for each pair that a component renders, with its distinct evidence, sorted."""
+    return renders.groupBy("src", "dst").agg(F.array_sort(F.collect_set("evidence")).alias("evidence"))  # places in the code of one pair
+
+
+def resolve_references(references: DataFrame, targets: DataFrame, keys: list[str], relationship: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (type, src, dst) of the references (src, keys) that exactly one target (id, keys) answers, and the others as
+    unresolved (relationship, src, reason): not-found or ambiguous."""
+    found = unique_left_join(references, targets, keys, "id", "target")
+    edges = found.filter("target is not null").select(F.lit(relationship).alias("type"), "src", F.col("target").alias("dst"))
+    reason = F.when(F.col("n_target") == 0, F.lit("not-found")).otherwise(F.lit("ambiguous"))
+    return edges, found.filter("target is null").select(F.lit(relationship).alias("relationship"), "src", reason.alias("reason"))
+
+
+def resolve_component(usages: DataFrame, components: DataFrame) -> DataFrame:
+    """The usages (src, name, path, line) with component: that of the same name and place, else the only one of the name in
+    the file, else null."""
+    exact = unique_left_join(usages, components, ["name", "path", "line"], "id", "exact")
+    loose = unique_left_join(exact, components, ["name", "path"], "id", "loose")
+    return loose.select(*usages.columns, F.coalesce("exact", "loose").alias("component"))
+
+
+def ui_tree(elements: DataFrame, max_depth: int = 32) -> DataFrame:
+    """(owner, id, depth): the elements below each root of elements (id, parent, kind), in which fragments are transparent
+    and texts are left out. Depth counts real elements."""
+    level = cut(elements.filter("parent is null").select(F.col("id").alias("owner"), "id", F.lit(0).alias("depth"), "kind"), "tree")
+    parts, steps = [level], 0
+    children = elements.filter("parent is not null").select(F.col("id").alias("child"), "parent", F.col("kind").alias("child_kind"))
+    while steps < max_depth and not level.isEmpty():
+        steps += 1
+        deeper = F.col("depth") + F.when(F.col("child_kind") == "fragment", 0).otherwise(1)
+        level = cut(level.join(children, level["id"] == children["parent"]).select("owner", F.col("child").alias("id"), deeper.alias("depth"), F.col("child_kind").alias("kind")), "tree")
+        parts.append(level)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.filter("kind not in ('fragment', 'text')").drop("kind")
+
+
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node): what roots (node) reach over edges (src, dst), themselves included."""
+    return trace(edges, roots).select("root", "node")
+
+
+def route_scopes(edges: DataFrame, routes: DataFrame, max_depth: int = 32) -> DataFrame:
+    """(route_id, node_id): the elements of the components below a route. edges (type, src, dst): a route RENDERS_ROUTE a
+    component, a component RENDERS others (up to max_depth) and CONTAINS_ELEMENT elements, which contain others."""
+    start = routes.join(edges.filter("type = 'RENDERS_ROUTE'"), F.col("route_id") == F.col("src")).select("route_id", F.col("dst").alias("node")).distinct()
+    below = trace(edges.filter("type = 'RENDERS'").select("src", "dst"), start.select("node").distinct(), max_depth)
+    inside = trace(edges.filter("type = 'CONTAINS_ELEMENT'").select("src", "dst"), below.select("node").distinct()).filter("depth > 0")
+    parts = below.select(F.col("root").alias("node"), F.col("node").alias("component")).join(inside.select(F.col("root").alias("component"), F.col("node").alias("node_id")), "component")
+    return start.join(parts, "node").select("route_id", "node_id").distinct()
+
+
+def inner_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(feature_id, id): edges (id, src, dst) whose two ends belong to a feature (feature_id, node)."""
+    ends = edges.join(members.select("feature_id", F.col("node").alias("src")), "src")
+    return ends.join(members.select("feature_id", F.col("node").alias("dst")), ["feature_id", "dst"], "left_semi").select("feature_id", "id")
+
+
+def shared_shell(items: DataFrame) -> DataFrame:
+    """items (state_id, route_id, key) with scope: shared-shell if a state of another route shows the key too, else own."""
+    spread = items.groupBy("key").agg((F.min("route_id") != F.max("route_id")).alias("shared"))
+    scope = F.when(F.col("shared"), F.lit("shared-shell")).otherwise(F.lit("own"))
+    return items.join(spread, "key").select(*items.columns, scope.alias("scope"))
+
+
+def resolve_exports(exports: DataFrame, max_steps: int = 64) -> DataFrame:
+    """(module, name, status, target) for exports (module, name, target, from_module, from_name): a declaration has a target,
+    a re-export names another module's export. resolved, ambiguous, not-found or circular; paths are followed level by
+    level, and one that comes back to where it was is a circle."""
+    start = exports.select("module", "name").distinct()
+    path = F.array(F.concat_ws("#", "module", "name"))
+    level = cut(start.select("module", "name", F.col("module").alias("at"), F.col("name").alias("as"), path.alias("path")), "exports")
+    ends, steps = [], 0
+    hop = exports.select(F.col("module").alias("at"), F.col("name").alias("as"), "target", "from_module", "from_name")
+    while not level.isEmpty():
+        steps += 1
+        step = level.join(hop, ["at", "as"], "left")
+        ends.append(step.filter("from_module is null").select("module", "name", "target", F.lit(False).alias("circle")))
+        step = step.filter("from_module is not null").withColumn("next", F.concat_ws("#", "from_module", "from_name"))
+        round_ = F.array_contains("path", F.col("next")) | F.lit(steps >= max_steps)
+        ends.append(step.filter(round_).select("module", "name", F.lit(None).cast("string").alias("target"), F.lit(True).alias("circle")))
+        level = cut(step.filter(~round_).select("module", "name", F.col("from_module").alias("at"), F.col("from_name").alias("as"), F.array_append("path", F.col("next")).alias("path")), "exports")
+    out = ends[0]
+    for part in ends[1:]:
+        out = out.union(part)
+    found = out.groupBy("module", "name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"), F.max("circle").alias("circle"))
+    status = F.when(F.col("n") > 1, F.lit("ambiguous")).when(F.col("n") == 1, F.lit("resolved")).when(F.col("circle"), F.lit("circular")).otherwise(F.lit("not-found"))
+    return found.select("module", "name", status.alias("status"), F.when(F.col("n") == 1, F.col("target")).alias("target"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def unique_left_join(left: DataFrame, right: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Every left row with `name`, the value of the only right row with its keys (null if there are none or several), and
     `n_<name>`, how many there are. The right side is aggregated before the join, so no left row multiplies."""
-    found = right.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.min(value).alias("__only"))
+    found = right.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.min(value).alias("__only"))  # no row of the right side is kept
     rows = left.join(found, keys, "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long")))
     return rows.withColumn(name, F.when(F.col(f"n_{name}") == 1, F.col("__only"))).drop("__only")
 

@@ -1,0 +1,39 @@
+"""Small tables written into queries, as DataFrames and as SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Types of the tables' columns in Spark, and in SQL.
+SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "long": "BIGINT"}
+
+
+class Inline:
+    """Tables by name: (columns as 'name type, ...', rows)."""
+
+    def __init__(self, tables: dict[str, tuple[str, list[tuple]]]):
+        self.tables = tables
+
+    def frame(self, spark: SparkSession, name: str) -> DataFrame:
+        columns, rows = self.tables[name]
+        return spark.createDataFrame(rows, columns)
+
+    def with_sql(self, *names: str) -> str:
+        return "WITH " + ",\n".join(self._table(n) for n in names)
+
+    def _table(self, name: str) -> str:
+        columns = [c.strip().split(" ", 1) for c in self.tables[name][0].split(",")]
+        rows = ", ".join("(" + ", ".join(f"{_literal(v)}::{SQL_TYPES[k]}" for v, (_, k) in zip(r, columns)) + ")" for r in self.tables[name][1])
+        return f"{name}({', '.join(c for c, _ in columns)}) AS (VALUES {rows})"
+
+
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(_literal, value)) + "]"
+    if isinstance(value, float):
+        return f"'{value}'"
+    return str(value) if isinstance(value, int) else "'" + str(value).replace("'", "''") + "'"

@@ -141,8 +141,10 @@ def graph_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trace_from_region(spark: SparkSession, d: str) -> DataFrame:
+    """What each region leads to, level by level: its nations, their customers, their orders."""
     _, edges = containment(spark, d)
-    found = graph.trace(edges.filter("not startswith(dst, 'orders:')"), spark.createDataFrame([("region:1",), ("region:2",)], "node string"))
+    roots = table(spark, d, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("node"))
+    found = graph.trace(graph.cut(edges.select("src", "dst"), "edges"), roots)
     return found.groupBy("root", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first_node"))
 
 
@@ -195,8 +197,9 @@ def statement_support(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grounding_issues(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "documents").filter("doc_id % 3 <> 0")
-    found = matching.missing_references(table(spark, d, "labels"), "doc_id", known, "doc_id", "unknown-claim")
+    """Labels of unknown documents, and documents that no label uses."""
+    labels, known = table(spark, d, "labels"), table(spark, d, "documents")
+    found = matching.missing_references(labels, "doc_id", known, "doc_id", "unknown-claim").unionByName(matching.missing_references(known, "doc_id", labels, "doc_id", "unused-claim"))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("subject").alias("subjects"))
 
 
@@ -229,7 +232,7 @@ _PATHS = r"SELECT page_id, url, CASE WHEN p = '' THEN '/' ELSE p END AS path FRO
 _CLASS = r"""CASE WHEN regexp_matches(value, '(?i)redact|masked|hidden|^\*+$') OR regexp_matches(value, '^\[[^\]]+\]$') THEN 'redacted'
   WHEN regexp_matches(value, '^[0-9]+$') OR regexp_matches(value, '(?i)^[0-9a-f]{16,}$') OR (length(value) >= 20 AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '^[A-Za-z0-9_-]+$')) THEN 'opaque-identifier'
   WHEN regexp_matches(value, '^[A-Za-z][A-Za-z0-9]*([-_][A-Za-z0-9]+)*$') AND length(value) <= 64 THEN 'stable-slug' ELSE 'opaque-identifier' END"""
-_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?i)<br[ \t\r\n]*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\n\f\v]+', ' ', 'g'))"""
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?i)<br[ \t\r\n]*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[ \t\r\n\f\v]+', ' ', 'g'))"""
 _FORM = r"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\[[a-z][a-z0-9 -]{{2,80}}\]', '[tenant-value]', 'g'), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}', '[tenant-value]', 'g'), 'https?://[^ \t\r\n)]+', '[tenant-value]', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')), '[.!?]+$', '')"""
 _TERMS = ", ".join(f"('{t}', {i})" for i, t in enumerate(X.MUTATIONS))
 _ARGUMENTS = [", ".join("(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else str(v).lower() for v in row) + ")" for row in side) for side in (CONTRACT, PRODUCT)]
@@ -242,7 +245,7 @@ SQL = {
       CASE WHEN starts_with(q, '/') THEN q ELSE '/' || q END AS request,
       CASE WHEN contains(url, '#') OR NOT contains(url, '?') THEN url || '&token=abc&x=1' ELSE url || '&token=%5BREDACTED%5D&x=1' END AS sanitized
       FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS q FROM ({_PATHS}))""",
-    "route_value_classes": f"SELECT value, count(*) AS n, {_CLASS} AS class, array_to_string(list_transform(string_split(regexp_replace(value, '[-_]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM (SELECT unnest(string_split(path[2:], '/')) AS value FROM ({_PATHS}) WHERE path <> '/') GROUP BY value",
+    "route_value_classes": f"SELECT value, count(*) AS n, {_CLASS} AS class, (SELECT string_agg(CASE WHEN i = 1 OR NOT regexp_matches(v[i - 1], '[A-Za-z0-9_]') THEN upper(v[i]) ELSE v[i] END, '' ORDER BY i) FROM (SELECT regexp_replace(value, '[-_]+', ' ', 'g') AS v, unnest(range(1, length(regexp_replace(value, '[-_]+', ' ', 'g')) + 1)) AS i)) AS title FROM (SELECT unnest(string_split(path[2:], '/')) AS value FROM ({_PATHS}) WHERE path <> '/') GROUP BY value",
     "route_identity_groups": f"SELECT identity, count(*) AS states, min(page_id) AS first_state FROM (SELECT page_id, '/' || coalesce(string_agg(CASE WHEN {_CLASS} = 'stable-slug' THEN value ELSE ':opaque' END, '/' ORDER BY i), '') AS identity FROM (SELECT page_id, unnest(string_split(path[2:], '/')) AS value, generate_subscripts(string_split(path[2:], '/'), 1) AS i FROM ({_PATHS})) GROUP BY page_id) GROUP BY identity",
     "http_reconciliation": f"""WITH s AS (SELECT key, count(*) AS n_static FROM (VALUES {", ".join("(NULL)" if x is None else f"('{x}')" for x in DECLARED)}) v(key) GROUP BY key),
       r AS (SELECT event_type AS key, count(*) AS n_runtime FROM events GROUP BY key),
@@ -263,8 +266,8 @@ SQL = {
     "graph_summary": """SELECT 'node' AS part, 'region' AS type, count(*) AS n FROM region UNION ALL SELECT 'node', 'nation', count(*) FROM nation UNION ALL SELECT 'node', 'customer', count(*) FROM customer UNION ALL SELECT 'node', 'orders', count(*) FROM orders
       UNION ALL SELECT 'edge', 'CONTAINS', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)""",
     "graph_violations": "SELECT 'missing-source' AS rule, 'region:0' AS subject FROM nation WHERE n_regionkey = 0",
-    "trace_from_region": """WITH RECURSIVE e AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer),
-      t AS (SELECT r AS root, r AS node, 0 AS depth FROM (VALUES ('region:1'), ('region:2')) v(r) UNION ALL SELECT root, dst, depth + 1 FROM t JOIN e ON node = src)
+    "trace_from_region": """WITH RECURSIVE e AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT 'customer:' || o_custkey, 'orders:' || o_orderkey FROM orders),
+      t AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT root, dst, depth + 1 FROM t JOIN e ON node = src)
       SELECT root, depth, count(*) AS n, min(node) AS first_node FROM t GROUP BY root, depth""",
     "feature_rollup": "SELECT n_name, count(DISTINCT c_custkey) AS elements, count(o_orderkey) AS items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name",
     "unassigned_evidence": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
@@ -288,7 +291,8 @@ SQL = {
       t AS (SELECT min(kind) AS kind, CASE min(kind) WHEN 'heading' THEN trim(regexp_extract(min(v), '^#{1,6}[ \t]+(.+)$', 1)) WHEN 'list-item' THEN trim(regexp_extract(min(v), '^(?:[-*+] |[0-9]+[.)] )(.+)$', 1)) ELSE string_agg(v, ' ' ORDER BY i) END AS x FROM g WHERE kind <> 'blank' GROUP BY conv_id, turn, b)
       SELECT kind, count(*) AS n, sum(length(x))::BIGINT AS chars FROM t GROUP BY kind""",
     "statement_support": f"""SELECT item_id, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, {_FORM.format("line")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) JOIN (SELECT item_id, {_FORM.format("text")} AS form FROM benchmark) USING (form) WHERE form <> '' GROUP BY item_id""",
-    "grounding_issues": "SELECT 'unknown-claim' AS rule, count(*) AS issues, count(DISTINCT doc_id) AS subjects FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)",
+    "grounding_issues": """SELECT 'unknown-claim' AS rule, count(*) AS issues, count(DISTINCT doc_id) AS subjects FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) HAVING count(*) > 0
+      UNION ALL SELECT 'unused-claim', count(*), count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) HAVING count(*) > 0""",
     "callout_numbering": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) AS number FROM conversations",
     "latest_revision": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "dedupe_conflicts": "SELECT user_id, event_type, count(*) AS n, count(DISTINCT props) AS n_values, CASE WHEN count(DISTINCT props) > 1 THEN 'conflict' ELSE 'duplicate' END AS status FROM events GROUP BY user_id, event_type HAVING count(*) > 1",

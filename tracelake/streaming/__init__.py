@@ -1 +1 @@
-"""streaming of tracelake."""
+"""Structured Streaming forms of stateful operators."""
