@@ -65,6 +65,16 @@ def test_links_equal_brute_force(spark, n, percent):
     assert {r.doc_id: r.n_shingles for r in rows} == sizes
 
 
+def test_large_buckets_are_cut_into_blocks(spark):
+    rng = random.Random(6)
+    shared = words_of(rng, 96, 10**6)
+    texts = {i: " ".join(shared + words_of(rng, 9, 10**6)) for i in range(300)}  # all meet, none link
+    texts |= {300 + i: f"{texts[i]} tail" for i in range(0, 300, 10)}
+    label, _ = brute_components({i: texts[i] for i in [*range(0, 300, 10), *range(300, 600, 10)]}, 5, 90)
+    rows = ngram_jaccard.link_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ngram_jaccard.JaccardParams(percent=90)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: label.get(i, i) for i in texts}
+
+
 def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(EDGE, DOCS)
     found = sorted((r.doc_id or 0, r.text or "") for r in ngram_jaccard.drop_near_copies(docs).collect())
@@ -258,6 +268,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([(a > b) + 0.5 * (a == b) for a in high for b in low]) > 0.93
 
 
+def brute_features(text, params):
+    """Words (1 if there) and stems (how dense), by their names."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    bare = [w.strip(".,;:!?\"'()[]{}*#%$&|<>-_/\\") for w in words]
+    found = {w: 1.0 for w in bare if w}
+    for k in params.stems:
+        stems = [w[:k] for w in bare if len(w) >= k]
+        for x in set(stems):
+            found[f"{k}^{x}"] = max(1, min(64, 64 * params.dense * stems.count(x) // len(words))) / 64
+    return found
+
+
+def test_toxicity_equals_brute_force(spark):
+    from math import exp, log, sqrt
+
+    rng, params = random.Random(8), toxicity.PuParams(steps=40)
+    docs = [(i, " ".join(words_of(rng, 30, 60) + (["Vile!", "nastiness", f"nasty{i}"] if i % 4 == 0 else []))) for i in range(240)] + [(999, ""), (1000, None)]
+    free = lambda i: zlib.crc32(str(i).encode()) % 4 != 2
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 200)]
+    known = [(i, y) for i, y in labels if free(i)]
+    prior = sum(y for _, y in known) / len(known)
+    feats = {i: brute_features(t, params) for i, t in docs}
+    pos, unl = [i for i, y in known if y], [i for i, _ in docs if free(i)]
+    names = sorted({f for i in unl for f in feats[i]})
+    mean = lambda f, ids: sum(feats[i].get(f, 0) for i in ids)
+    z = {f: (p := (mean(f, pos) + mean(f, unl) + 1) / (len(pos) + len(unl) + 2)) and abs(mean(f, pos) / len(pos) - mean(f, unl) / len(unl)) / sqrt(p * (1 - p) * (1 / len(pos) + 1 / len(unl))) for f in names}
+    picked = [f for f in names if z[f] >= params.min_z]
+    x_p, x_u = (np.array([[feats[i].get(f, 0.0) for f in picked] for i in ids]) for ids in (pos, unl))
+    w, b, m, v = np.zeros(len(picked)), log(prior / (1 - prior)), np.zeros(len(picked) + 1), np.zeros(len(picked) + 1)
+    sigmoid = lambda s: 1 / (1 + np.exp(-s))
+    for t in range(1, params.steps + 1):
+        s_p, s_u = x_p @ w + b, x_u @ w + b
+        plus = prior * (sigmoid(s_p) - 1) / len(pos)  # gradient of prior * mean loss of positives as positives
+        minus_p, minus_u = -prior * sigmoid(s_p) / len(pos), sigmoid(s_u) / len(unl)
+        rest = np.log1p(np.exp(s_u)).mean() - prior * np.log1p(np.exp(s_p)).mean()
+        g_p, g_u = (plus + minus_p, minus_u) if rest >= 0 else (-minus_p, -minus_u)
+        grad = np.append(x_p.T @ g_p + x_u.T @ g_u + params.l2 * w, g_p.sum() + g_u.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = params.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    low, high = -40.0, 40.0  # the bias at which the unlabelled texts are toxic at the prior
+    for _ in range(60):
+        b = (low + high) / 2
+        low, high = (b, high) if sigmoid(x_u @ w + b).mean() < prior else (low, b)
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), params)
+    rows = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(docs, "doc_id long, text string"), model, params).collect()}
+    assert len(model.keys) == len(picked) >= 3
+    for i, _ in docs:
+        assert abs(rows[i] - 1 / (1 + exp(-(sum(w[k] * feats[i].get(f, 0) for k, f in enumerate(picked)) + b)))) < 1e-6
+    assert abs(np.mean([rows[i] for i in unl]) - prior) < 1e-6
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (None, 1)], [(i, 1) for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]])
 def test_nothing_is_toxic_without_usable_labels(spark, rows):
     docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string")

@@ -34,6 +34,9 @@ SIGNS = ".,;:!?\"'()[]{}*#%$&|<>-_/\\"
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 APART = BITS @ (1 - BITS.T) + (1 - BITS) @ BITS.T
 
+#: Cells of a table of windows by items, or by shingles, that is held at a time.
+CELLS = 4_000_000
+
 
 @dataclass(frozen=True)
 class LeakParams:
@@ -120,8 +123,9 @@ class LeakIndex:
                     continue  # too short for a shingle of the item
                 grams, where = windows(values, owner, q)
                 rows = np.searchsorted(where, at)[:, None] + np.arange(m - q + 1)
-                for a in range(0, len(rows), 20_000):
-                    self._verify(n, grams[rows[a : a + 20_000]], at[a : a + 20_000], owner, starts, out)
+                step = max(1, CELLS // (len(self.tables[n][0]) + int(m)))
+                for a in range(0, len(rows), step):
+                    self._verify(n, grams[rows[a : a + step]], at[a : a + step], owner, starts, out)
         return out
 
     def _verify(self, n: int, grams: np.ndarray, at: np.ndarray, owner: np.ndarray, starts: np.ndarray, out: list) -> None:

@@ -14,7 +14,7 @@ signature that is used. So no link is lost, and a frequent passage makes no pair
 Copies (equal word sequences) form a class with the least identifier as its representative; only representatives are
 joined. In a bucket of equal signatures, representatives that are not yet in one component are compared with the bucket's
 leader, for a few rounds with other leaders; then every pair of a bucket whose two sides are still in different components
-is compared. Pairs inside one component cannot change the result and are left out. Candidates are verified on the exact
+is compared, a large bucket in blocks. Pairs inside one component cannot change the result and are left out. Candidates are verified on the exact
 sets.
 
 Defined results: a null text is an empty text; a text without words has an empty set, size 0, and is linked with
@@ -60,6 +60,8 @@ SALTS = 1024
 PRINT = [f"p{i}" for i in range(LANES)]
 #: The bits of a signature that hold its band, and the mark of a set that its signatures may not suffice for.
 BAND, STUCK = np.uint64(63), np.uint64(63)
+#: Sets of a bucket that are compared pair by pair in one place.
+BLOCK = 128
 #: Sizes are cut into bands that grow by this factor.
 GROWTH = 1.35
 
@@ -179,6 +181,17 @@ def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return found.join(leads, "sign").select("sign", "id", "lead", "more")
 
 
+def _pairs_in_blocks(rows: DataFrame) -> DataFrame:
+    """The pairs of each bucket, of different labels. A bucket of more than BLOCK sets is cut into blocks by a hash, and every
+    two blocks meet under a key of their own, so that no task has a whole bucket."""
+    sizes = rows.groupBy("sign").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "sign").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    left = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).drop("block", "blocks")
+    right = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block")))
+    right = right.select("sign", "i", "j", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("label").alias("lead_label"), *[F.col(p).alias(p.replace("p", "q")) for p in PRINT])
+    return left.join(right, ["sign", "i", "j"]).filter("(i < j or id < lead) and label <> lead_label")
+
+
 def _verified(pairs: DataFrame, named: DataFrame, params: JaccardParams) -> DataFrame:
     """The linked pairs among (u, v), by the exact sets."""
     sets = _sets_of(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct(), named, params, "items")
@@ -253,8 +266,7 @@ def link_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id
             pairs = pairs.join(prints, "id").join(others, "lead").filter(near)
         else:
             still = stored(at.join(open_.select("sign"), "sign", "left_semi").join(prints, "id"), "still")
-            other = still.select("sign", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("label").alias("lead_label"), *[F.col(p).alias(p.replace("p", "q")) for p in PRINT])
-            pairs = still.join(other, (still["sign"] == other["sign"]) & F.expr("id < lead and label <> lead_label") & near)
+            pairs = _pairs_in_blocks(still).filter(near)
         pairs = pairs.select(F.least("id", "lead").alias("u"), F.greatest("id", "lead").alias("v")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["u", "v"], "left_anti")
