@@ -1,6 +1,12 @@
-"""The pipeline on a small table: every stage's decisions take effect, and the rows are those of brute force."""
+"""The pipeline on a small table: every stage's decisions take effect; near copies, mixing and tokens are those of brute
+force on what the stage before kept, and the scorer and the leaks are held against it in test_operators.py."""
 
+import re
 import zlib
+from collections import Counter
+from hashlib import md5
+from itertools import combinations
+from math import exp, factorial
 
 import numpy as np
 import public_tokenizers
@@ -14,12 +20,45 @@ from tracelake.llm.common import read, stored
 SF = "/root/testdata/sf0.001"
 
 
+def without_near_copies(texts):
+    """The least identifier of each group of texts linked by five-word shingles of similarity 0.8."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for i, w in words.items()}
+    label = {i: i for i in texts}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in combinations([i for i in sorted(texts) if sets[i]], 2):
+        if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and 100 * (common := len(sets[i] & sets[j])) >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            a, b = sorted((root(i), root(j)))
+            label[b] = a
+    return [i for i in texts if root(i) == i]
+
+
+def mixed(sources):
+    """Each identifier as often as a Poisson draw says, its source getting an equal share."""
+    sizes, found = Counter(sources.values()), []
+    for i, source in sources.items():
+        u, rate = (int(md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 16.0**13, len(sources) / len(sizes) / sizes[source]
+        k, below = 0, 0.0
+        while (below := below + exp(-rate) * rate**k / factorial(k)) < u:
+            k += 1
+        found += [i] * k
+    return found
+
+
 def test_stages_and_rows(spark):
     docs = read(spark, SF, "documents")
     counts = [docs.count()]
+    wanted = {"ngram_jaccard": lambda rows: without_near_copies({r.doc_id: r.text for r in rows}), "source_mixing": lambda rows: mixed({r.doc_id: r.source for r in rows})}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stored(stage(spark, docs, SF), f"test-{name}")
         assert kept.columns == docs.columns
+        if name in wanted:
+            assert sorted(r.doc_id for r in kept.collect()) == sorted(wanted[name](docs.collect()))
         docs = kept
         counts.append(docs.count())
     assert counts[0] > counts[1] > counts[2] > 0 and counts[3] <= counts[2]

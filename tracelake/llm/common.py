@@ -119,9 +119,12 @@ def hash_strings(values: pa.Array) -> np.ndarray:
     """64-bit tabulation hashes of strings: the sum of the random numbers of their bytes, and of their length."""
     offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64) if len(values) else np.zeros(1, np.int64)
     size = np.diff(offsets)
-    place = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], size)
     data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[place & 31, data] * (2 * (place >> 5) + 1).astype(np.uint64), dtype=np.uint64)))
+    place = np.arange(len(data), dtype=np.int32) - np.repeat((offsets[:-1] - offsets[0]).astype(np.int32), size)
+    numbers = BYTES.ravel()[(place & 31) << 8 | data]
+    if len(place) and place.max() > 31:
+        numbers *= (2 * (place >> 5) + 1).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(numbers, dtype=np.uint64)))
     return mix(sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

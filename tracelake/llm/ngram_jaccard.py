@@ -184,7 +184,7 @@ def _rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
 def _pairs_in_blocks(rows: DataFrame) -> DataFrame:
     """The pairs of each bucket, of different labels. A bucket of more than BLOCK sets is cut into blocks by a hash, and every
     two blocks meet under a key of their own, so that no task has a whole bucket."""
-    sizes = rows.groupBy("sign").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = stored(rows.groupBy("sign").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
     rows = rows.join(sizes, "sign").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     left = rows.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).drop("block", "blocks")
     right = rows.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), "block")))
