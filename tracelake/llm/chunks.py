@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import new_path, partitions, slices
 
 #: Bytes of text in a chunk (a longer text is a chunk of its own), and keys in a range, at most on average.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 16_000_000
 RANGE_KEYS = 1_000_000
 
 

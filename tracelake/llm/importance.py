@@ -63,7 +63,14 @@ class _Grams:
         pairs, at = windows(values, words.owner, 2, seed=3)
         keys = np.concatenate((mix(values), pairs)) >> np.uint64(64 - bits)
         self.owner = np.concatenate((words.owner, words.owner[at]))
-        self.keys, self.place, self.raw = np.unique(keys, return_inverse=True, return_counts=True)
+        self.owner = self.owner.astype(np.int32)
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.diff(keys, prepend=~keys[:1]) != 0
+        self.place = np.empty(len(keys), np.int32)
+        self.place[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.keys = keys[new]
+        self.raw = np.bincount(self.place, minlength=len(self.keys))
         self.wanted = np.bincount(self.place[np.asarray(rows.column(1)).astype(bool)[self.owner]], minlength=len(self.keys))
 
 
@@ -77,29 +84,30 @@ def _cells(batches: Iterator[pa.RecordBatch], bits: int, of_range: int) -> Itera
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    """One range: the number of its buckets, and as an answer to each chunk what its buckets count in the other chunks."""
+    """One range: as an answer to each chunk what its buckets count in the other chunks. The first answer begins with the
+    number of buckets in the range, the others with 0."""
     keys = [unpack_ascending(x) for x in table.column("keys").to_pylist()]
     edges = np.cumsum([0] + [len(k) for k in keys])
     found, code = np.unique(np.concatenate(keys), return_inverse=True)
-    replies = [b""] * len(keys)
+    replies = [(len(found) if i == 0 else 0).to_bytes(8, "little") for i in range(len(keys))]
     for column in ("raw", "wanted"):
         counts = np.concatenate([unpack(x) for x in table.column(column).to_pylist()]).astype(np.int64)
         total = np.zeros(len(found), np.int64)
         np.add.at(total, code, counts)
         blobs = [pack(x) for x in np.split(total[code] - counts, edges[1:-1])]
         replies = [r + len(x).to_bytes(8, "little") + x for r, x in zip(replies, blobs)]
-    place = table.column("range").to_pylist()
-    return pa.table({"chunk": pa.array([*table.column("chunk").to_pylist(), None], pa.int64()), "range": pa.array([*place, place[0]]), "reply": pa.array([*replies, None], pa.binary()), "n": pa.array([0] * len(replies) + [len(found)])})
+    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "reply": pa.array(replies, pa.binary())})
 
 
-def _elsewhere(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """What the buckets of a chunk count in other chunks: in all texts, in target texts."""
+def _elsewhere(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """What the buckets of a chunk count in other chunks: in all texts, in target texts; and the buckets of the ranges that
+    it is the first of."""
     found: tuple[list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
     for reply in replies:
-        size = 8 + int.from_bytes(reply[:8], "little")
-        for part, blob in zip(found, (reply[8:size], reply[size + 8 :])):
+        size = 16 + int.from_bytes(reply[8:16], "little")
+        for part, blob in zip(found, (reply[16:size], reply[size + 8 :])):
             part.append(unpack(blob).astype(np.int64))
-    return np.concatenate(found[0]), np.concatenate(found[1])
+    return np.concatenate(found[0]), np.concatenate(found[1]), sum(int.from_bytes(r[:8], "little") for r in replies)
 
 
 def scored(docs: DataFrame, target: DataFrame, params: ResampleParams, rest: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -112,27 +120,31 @@ def scored(docs: DataFrame, target: DataFrame, params: ResampleParams, rest: lis
     bits = key_bits(raw, params.spare_bits)
     of_range = range_bits(raw, bits)
     cells = chunks.select("chunk", "rows").mapInArrow(lambda it: _cells(it, bits, of_range), "range long, chunk long, keys binary, raw binary, wanted binary")
-    replies = stored(cells.groupBy("range").applyInArrow(_summed, "chunk long, range long, reply binary, n long"), "counts")
-    n = int(replies.agg(F.sum("n")).first()[0] or 0)
+    replies = cells.groupBy("range").applyInArrow(_summed, "chunk long, range long, reply binary")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 rows = from_bytes(r["rows"])
                 grams = _Grams(rows, bits)
-                more_raw, more_wanted = _elsewhere([x["reply"] for x in r["replies"] or ()])
+                more_raw, more_wanted, n_keys = _elsewhere([x["reply"] for x in r["replies"] or ()])
                 if len(more_raw) != len(grams.keys):
                     raise ValueError("the answers do not fit the chunk")
-                ratio = np.log((grams.wanted + more_wanted + 1) / max(1, wanted + n)) - np.log((grams.raw + more_raw + 1) / max(1, raw + n))
+                ratio = np.log(grams.wanted + more_wanted + 1) - np.log(grams.raw + more_raw + 1)
                 units = np.round((ratio if wanted else 0 * ratio) * UNIT).astype(np.int64)
                 sums, n_grams = np.zeros(rows.num_rows, np.int64), np.bincount(grams.owner, minlength=rows.num_rows)
                 np.add.at(sums, grams.owner, units[grams.place])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sums / UNIT), pa.array(n_grams.astype(np.int64))], ["row", "log_ratio", "n_grams"])
-
-    schema = T.StructType([packed.schema["row"], T.StructField("log_ratio", T.DoubleType()), T.StructField("n_grams", T.LongType())])
-    answers = by_chunk(replies.filter("chunk is not null"), "replies")
-    out = with_answers(chunks.select("chunk", "rows"), answers).mapInArrow(finish, schema)
-    return stored(out.select(*[F.col("row")[c].alias(c) for c in rest], "log_ratio", "n_grams"), "scored")
+                new = np.zeros(rows.num_rows, np.int64)
+                new[0] = n_keys
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sums), pa.array(n_grams.astype(np.int64)), pa.array(new)], ["row", "units", "n_grams", "n_keys"])
+
+    schema = T.StructType([packed.schema["row"], *(T.StructField(c, T.LongType()) for c in ("units", "n_grams", "n_keys"))])
+    out = with_answers(chunks.select("chunk", "rows"), by_chunk(replies, "replies")).mapInArrow(finish, schema)
+    out = stored(out, "scored")
+    n = int(out.agg(F.sum("n_keys")).first()[0] or 0)
+    # the shares' denominators are the same for every n-gram of a text
+    each = float(np.log(max(1, raw + n)) - np.log(max(1, wanted + n))) if wanted else 0.0
+    return out.select(*[F.col("row")[c].alias(c) for c in rest], (F.col("units") / F.lit(UNIT) + F.col("n_grams") * F.lit(each)).alias("log_ratio"), "n_grams")
 
 
 def resample(docs: DataFrame, labels: DataFrame, params: ResampleParams = ResampleParams(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
