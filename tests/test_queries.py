@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tracelake.plans import evidence_queries
+from tracelake.plans import evidence_queries, model_queries
 from tracelake.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -30,8 +30,8 @@ def plain(rows):
     return sorted(repr([value(v) for v in row]) for row in rows)
 
 
-QUERIES = {**plans.queries(), **evidence_queries.queries()}
-SQL = {**plans.oracle_sql(), **evidence_queries.oracle_sql()}
+QUERIES = {**plans.queries(), **evidence_queries.queries(), **model_queries.queries()}
+SQL = {**plans.oracle_sql(), **evidence_queries.oracle_sql(), **model_queries.oracle_sql()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

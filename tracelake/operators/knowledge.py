@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.names import box_issue, claim_allowed, mapping_status
+from tracelake.functions.text import stable_hash
 
 #: The order of claims by kind, and the steps that a document may take.
 KINDS = ["goal", "route", "action", "input", "outcome", "limitation"]
@@ -84,3 +85,36 @@ def export_gate(audits: DataFrame) -> DataFrame:
 def revision_checksum(*parts: Column) -> Column:
     """The SHA-256 of the parts, each on a line of its own."""
     return F.sha2(F.concat_ws("\n", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def annotation_sets(callouts: DataFrame) -> DataFrame:
+    """(id, state_id, path, n_callouts, callouts): the distinct callouts (callout_id, state_id, path, number) of each picture in
+    the order of their numbers. The callouts of one picture are one row: a picture has as many as a reader can tell apart."""
+    first = callouts.groupBy("state_id", "path", "callout_id").agg(F.min("number").alias("number"))
+    sets = first.groupBy("state_id", "path").agg(F.array_sort(F.collect_list(F.struct("number", "callout_id"))).alias("x"))
+    ids = F.array_join("x.callout_id", "|")
+    return sets.select(F.concat(F.lit("screenshot-annotation-set:"), stable_hash(F.concat_ws("|", "state_id", "path", ids))).alias("id"), "state_id", "path", F.size("x").cast("long").alias("n_callouts"), F.array_join("x.callout_id", ",").alias("callouts"))
+
+
+def mapping_issues(steps: DataFrame, callouts: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(rule, subject): callouts (callout_id, step, state_id, path, number) that stand twice, show a picture that their state
+    (state_id, path) does not have, or leave a gap in the numbers of a picture; steps (step, status) that are mapped without a
+    callout, or have one without a target."""
+    twice = callouts.groupBy("callout_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("duplicate-callout").alias("rule"), F.col("callout_id").alias("subject"))
+    lost = callouts.join(pictures, ["state_id", "path"], "left_anti").select(F.lit("screenshot-mismatch").alias("rule"), F.col("callout_id").alias("subject"))
+    gap = callouts.groupBy("state_id", "path").agg(F.count_distinct("number").alias("n"), F.min("number").alias("low"), F.max("number").alias("high")).filter("low <> 1 or high <> n").select(F.lit("callout-numbering").alias("rule"), F.concat_ws("|", "state_id", "path").alias("subject"))
+    counted = steps.join(callouts.groupBy("step").agg(F.count(F.lit(1)).alias("n")), "step", "left")
+    empty = counted.filter("status = 'mapped' and n is null").select(F.lit("mapped-without-callout").alias("rule"), F.col("step").cast("string").alias("subject"))
+    full = counted.filter("status = 'no-visual-target' and n > 0").select(F.lit("callout-without-target").alias("rule"), F.col("step").cast("string").alias("subject"))
+    return twice.union(lost).union(gap).union(empty).union(full)
+
+
+def latest_packages(entries: DataFrame) -> DataFrame:
+    """Of the entries (feature_id, package_id, path, updated) of a feature and package the one with the last path."""
+    best = entries.groupBy("feature_id", "package_id").agg(F.max_by(F.struct("path", "updated"), "path").alias("x"))
+    return best.select("feature_id", "package_id", "x.*")
+
+
+def merged_warnings(detected: DataFrame, redacted: DataFrame) -> DataFrame:
+    """The detected warnings (warning_id, state) and the redacted ones that are detected no more."""
+    return detected.unionByName(redacted.join(detected, "warning_id", "left_anti"))
