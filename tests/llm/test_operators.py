@@ -105,6 +105,8 @@ def test_leaks_equal_brute_force(spark):
     benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()
     assert {r.doc_id: r.item_ids for r in found} == {i: brute(t) for i, t in docs}
+    in_blocks = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark, decontamination.LeakParams(item_block=3))
+    assert {r.doc_id: r.item_ids for r in in_blocks.collect()} == {i: brute(t) for i, t in docs}
 
 
 def test_token_shards_round_trip(spark):
@@ -411,6 +413,32 @@ def test_listed_urls_and_rules(spark):
     assert [r.rule for r in rows] == [None, None, None, "example.net/en/", "net/", None, None, None]
 
 
+def test_listed_urls_equal_brute_force(spark):
+    """Some thousand listed URLs of several depths fill many blocks of the filter; it loses none, and the join removes what it
+    passes wrongly."""
+    rng = random.Random(5)
+
+    def url(hosts, depth):
+        return rng.choice(hosts) + "".join("/" + rng.choice("abc") for _ in range(rng.randrange(depth + 1))) + rng.choice(["", "/"])
+
+    hosts = [f"{a}{n}.example.edu" for a in ("h", "x.h") for n in range(700)]
+    listed = sorted({u if "/" in u else u + "/" for u in (url(hosts, 4) for _ in range(3000))})
+    pages = [f"https://{url(hosts, 6)}?q#f" for _ in range(1500)]
+
+    def brute(page):
+        host, slash, path = page.split("://")[1].split("?")[0].partition("/")
+        path = slash + path
+        labels = host.split(".")
+        own = {".".join(labels[i:]) for i in range(len(labels))}
+        return "block" if path and any(u.partition("/")[0] in own and (path == "/" + u.partition("/")[2] or path.startswith("/" + u.partition("/")[2].rstrip("/") + "/" if u.partition("/")[2].rstrip("/") else "/")) for u in listed) else "allow"
+
+    wanted = [brute(p) for p in pages]
+    rows = url_filters.judge_urls(spark.createDataFrame(list(enumerate(pages)), "page_id int, url string"), spark.createDataFrame([(u,) for u in listed], "url string"), rules=[]).orderBy("page_id").collect()
+    assert [r.verdict for r in rows] == wanted and 200 < wanted.count("block") < 1300
+    _, n_blocks = url_filters.bloom_filter(spark.createDataFrame([(u,) for u in listed], "key string"), len(listed))
+    assert n_blocks > 100
+
+
 CALLS = {
     "quality": lambda s, d: quality_rules.score_documents(d), "clean": lambda s, d: quality_rules.clean_documents(d),
     "html": lambda s, d: html_extraction.extract_text(d, url_col="source", html_col="text"),

@@ -6,7 +6,8 @@ in some block up to r // 8 bits. Candidates are verified by the weighted Jaccard
 by how often they occur. Windows that share no shingle with an item have similarity 0 and are not hashed.
 
 The items are the query set: they are taken in blocks of `item_block`, each an index of bounded size that goes to the
-tasks with the function, and every document is scanned against every block in one pass.
+tasks with the function. After each full block the rows are stored, so the driver holds one block, and a task one index,
+however many items there are; every document is scanned against every block.
 
 Words are lower-cased and lose the signs around them; an item of fewer words than a shingle is one shingle. Defined
 results: a null or empty text, and one without words, is clean. A document shorter than an item is compared as a whole.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, slices, windows
+from .common import Words, slices, stored, windows
 
 SIGNS = ".,;:!?\"'()[]{}*#%$&|<>-_/\\"
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -170,7 +171,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
     for item in items:
         block.append(item)
         if len(block) == params.item_block:
-            rows, block = scan(rows, LeakIndex(block, params)), []
+            rows, block = stored(scan(rows, LeakIndex(block, params)), "scanned"), []
     if block:
         rows = scan(rows, LeakIndex(block, params))
     leaks = F.sort_array(F.coalesce("__leaks", F.expr("cast(array() as array<struct<item_id:bigint,similarity:double,first:bigint>>)")))

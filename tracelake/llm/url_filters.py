@@ -1,7 +1,7 @@
 """Operator 5, URL filters: domain rules, and a blocked Bloom filter in front of an exact join.
 
-A listed canonical URL is `host/path`; it blocks its host with all subdomains for every path that it begins. The listed
-URLs are hashed into a Bloom filter of 256-bit blocks, held as a table (block, eight 32-bit lanes). The canonical keys of
+A listed canonical URL is `host/path`; it blocks its host with all subdomains, for the path itself and all that lies below it
+(`host/a` and `host/a/` block `/a/b`, neither blocks `/ab`; only `host/a` blocks `/a`). The listed URLs are hashed into a Bloom filter of 256-bit blocks, held as a table (block, eight 32-bit lanes). The canonical keys of
 a page (its host suffixes with its path prefixes) are probed against it; keys that pass go to an exact hash join with
 the list, which removes the false positives. Only DataFrame functions are used.
 
@@ -72,9 +72,10 @@ def lanes(key: str) -> list[Column]:
 
 def canonical_keys(max_labels: int, max_depth: int) -> Column:
     """The suffixes of a host of at most max_labels labels, each with the prefixes of its path of at most max_depth
-    segments; further ones cannot be listed."""
+    segments, with and without a slash at the end; further ones cannot be listed."""
     suffixes = F.expr(f"transform(sequence(1, least(size(split(host, '[.]', -1)), {max_labels})), i -> array_join(slice(split(host, '[.]', -1), -i, i), '.'))")
-    prefixes = F.expr(f"transform(sequence(1, least(size(split(path, '/', -1)), {max_depth + 1})), i -> if(i < size(split(path, '/', -1)), array_join(slice(split(path, '/', -1), 1, i), '/') || '/', path))")
+    parents = F.expr(f"transform(sequence(1, least(size(split(path, '/', -1)) - 1, {max_depth + 1})), i -> array_join(slice(split(path, '/', -1), 1, i), '/'))")
+    prefixes = F.array_append(F.concat(parents, F.transform(parents, lambda p: F.concat(p, F.lit("/")))), F.col("path"))
     return F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
 
 
