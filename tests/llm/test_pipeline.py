@@ -73,5 +73,5 @@ def test_stages_and_rows(spark):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(queries.queries()) <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())

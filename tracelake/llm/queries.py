@@ -1,13 +1,15 @@
-"""The queries of the ten operators and of the pipeline, and SQL for those that SQL can express."""
+"""The queries of the operators and of the pipeline, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, importance, mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
+from . import decontamination, html_extraction, importance, kd_clusters, mixing, ngram_jaccard, periodic_runs, pii, quality_rules, secret_scan, token_output, toxicity, url_filters
 from .common import read
 
 
@@ -200,6 +202,73 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda x: x["rank"] < len(secret_scan.BASE))
+    counts = [pii.count_of(F.col("secrets"), k).alias(f"n_{k}") for k in secret_scan.BASE]
+    n_keys = (F.size("secrets") - F.size(base)).cast("long").alias("n_confirmed")
+    return rows.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("secrets")).alias("spans"), n_keys)
+
+
+def op12_kd_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kd_clusters.cluster(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    told = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256")
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", told)
+
+
+def _assigned(name: str, centroids: str) -> str:
+    """SQL for (vec_id, v, no, d): the nearest centroid of each vector and its squared distance."""
+    return f"""{name} AS (SELECT rid, vec_id, v, min_by(no, (d, no)) AS no, min(d) AS d FROM (
+    SELECT rid, vec_id, v, no, list_inner_product(v, v)::BIGINT - 2 * list_inner_product(v, c)::BIGINT + list_inner_product(c, c)::BIGINT AS d FROM kept, {centroids}) GROUP BY ALL)"""
+
+
+def _moved(name: str, assigned: str, before: str) -> str:
+    """SQL for (no, c): the floors of the means, components in their order."""
+    return f"""{name} AS (SELECT no, coalesce(m.c, {before}.c) AS c FROM {before} LEFT JOIN (
+    SELECT no, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM (
+      SELECT no, i, sum(x::BIGINT)::BIGINT AS s, count(*) AS n FROM (SELECT no, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {assigned}) GROUP BY ALL) GROUP BY no) m USING (no))"""
+
+
+OP12_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS no, v AS c FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM kept) ORDER BY h, v LIMIT 16),
+{", ".join(x for r in range(3) for x in (_assigned(f"a{r}", f"c{r}"), _moved(f"c{r + 1}", f"a{r}", f"c{r}")))},
+{_assigned("last", "c3")}
+SELECT vec_id, no::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY no))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM last JOIN c3 USING (no)
+"""
+
+
+def planted_places(ids: list[str | None], counts: np.ndarray) -> np.ndarray:
+    """Which word stands at each place: a tenth of the documents, by the hash of their identifiers, repeat a stretch of
+    their words from some word on. A null identifier has no hash, its text stays."""
+    found = []
+    for i, n in zip(ids, counts.tolist()):
+        places = np.arange(n)
+        h = zlib.crc32(i.encode()) if i is not None else 1
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            places[a:] = a + (places[a:] - a) % (1 + (n - a) // (3 + g % 8))
+        found.append(places)
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = periodic_runs.find_runs(docs, periodic_runs.RunParams(order=planted_places))
+    rows = rows.withColumn("best", periodic_runs.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -212,8 +281,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_jaccard": op8_ngram_jaccard,
         "op9_importance": op9_importance,
         "op10_toxicity": op10_toxicity,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_kd_clusters": op12_kd_clusters,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL, "op7_pii": OP7_SQL, "op8_ngram_jaccard": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_url_filters": OP5_SQL, "op7_pii": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op12_kd_clusters": OP12_SQL}
