@@ -8,8 +8,6 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tracelake.plans import evidence_queries, model_queries
-from tracelake.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,8 +28,8 @@ def plain(rows):
     return sorted(repr([value(v) for v in row]) for row in rows)
 
 
-QUERIES = {**plans.queries(), **evidence_queries.queries(), **model_queries.queries()}
-SQL = {**plans.oracle_sql(), **evidence_queries.oracle_sql(), **model_queries.oracle_sql()}
+QUERIES = {name: function for module in __spark_entry__.CORE for name, function in module.queries().items()}
+SQL = {name: sql for module in __spark_entry__.CORE for name, sql in module.oracle_sql().items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

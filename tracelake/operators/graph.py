@@ -2,43 +2,55 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chains import follow
 from .matching import duplicate_keys, missing_references, unique_left_join
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder that all executors share and read it back, which ends its lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .ordering import numbers_within, total_order
+from .storage import cut, shared_path
 
 
 def trace(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): all that a root leads to over edges (src, dst), with the least number of steps. A level is
-    joined to the edges and loses what was seen, so cycles end; the frontier is written after each level."""
-    seen = cut(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "trace")
-    level, depth = seen, 0
+    joined to the edges and loses what was seen, so cycles end; each level is appended to one table and written once."""
+    spark, path = roots.sparkSession, shared_path(roots.sparkSession, "trace")
+    kind = roots.schema["node"].dataType.simpleString()
+    roots.select(F.col("node").alias("root"), "node").distinct().write.parquet(f"{path}/depth=0")
+    depth = 0
     while max_depth is None or depth < max_depth:
+        seen = spark.read.schema(f"root {kind}, node {kind}, depth int").parquet(path)
+        level = seen.filter(F.col("depth") == depth)
+        if level.isEmpty():
+            break
         depth += 1
         step = level.join(edges, level["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
-        level = cut(step.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth")), "trace")
+        step.join(seen, ["root", "node"], "left_anti").write.parquet(f"{path}/depth={depth}")
+    return spark.read.schema(f"root {kind}, node {kind}, depth int").parquet(path)
+
+
+def trace_via(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(root, node, depth, via): as trace, with the edge (id, src, dst) that discovers each node when every level is visited in
+    the order in which it was discovered and the edges of a node in the order of their identifiers; null for the root. The
+    order of a level is a total order over all roots, so that no root's level is one task's."""
+    spark, path = roots.sparkSession, shared_path(roots.sparkSession, "via")
+    kind, of = (x.dataType.simpleString() for x in (roots.schema["node"], edges.schema["id"]))
+    schema = f"root {kind}, node {kind}, via {of}, place long, depth int"
+    first = roots.select(F.col("node").alias("root"), "node").distinct()
+    first.select("root", "node", F.lit(None).cast(of).alias("via"), F.lit(1).cast("long").alias("place")).write.parquet(f"{path}/depth=0")
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        seen = spark.read.schema(schema).parquet(path)
+        level = seen.filter(F.col("depth") == depth)
         if level.isEmpty():
             break
-        seen = cut(seen.union(level), "trace")
-    return seen
+        depth += 1
+        step = level.select("root", F.col("node").alias("src"), "place").join(edges.select("id", "src", "dst"), "src")
+        found = step.groupBy("root", F.col("dst").alias("node")).agg(F.min(F.struct("place", "id")).alias("from"))
+        found = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        placed = total_order(found, [F.col("from.place"), F.col("from.id"), F.col("root")])
+        placed.select("root", "node", F.col("from.id").alias("via"), "place").write.parquet(f"{path}/depth={depth}")
+    return spark.read.schema(schema).parquet(path).select("root", "node", "depth", "via")
 
 
 def violations(nodes: DataFrame, edges: DataFrame, endpoints: list[tuple[str, str, str]]) -> DataFrame:
@@ -56,8 +68,9 @@ def violations(nodes: DataFrame, edges: DataFrame, endpoints: list[tuple[str, st
 
 def unique_ids(rows: DataFrame, base: str, order: str) -> DataFrame:
     """The rows with `id`: the base, from its second row on with #2, #3, ... in the given order."""
-    place = F.row_number().over(W.partitionBy(base).orderBy(order))
-    return rows.withColumn("id", F.when(place > 1, F.concat(base, F.lit("#"), place.cast("string"))).otherwise(F.col(base)))
+    placed = numbers_within(rows, [base], [F.col(order)], "__place")
+    told = F.when(F.col("__place") > 1, F.concat(base, F.lit("#"), F.col("__place").cast("string"))).otherwise(F.col(base))
+    return placed.withColumn("id", told).drop("__place")
 
 
 def render_edges(renders: DataFrame) -> DataFrame:
@@ -82,21 +95,15 @@ def resolve_component(usages: DataFrame, components: DataFrame) -> DataFrame:
     return loose.select(*usages.columns, F.coalesce("exact", "loose").alias("component"))
 
 
-def ui_tree(elements: DataFrame, max_depth: int = 32) -> DataFrame:
+def ui_tree(elements: DataFrame) -> DataFrame:
     """(owner, id, depth): the elements below each root of elements (id, parent, kind), in which fragments are transparent
-    and texts are left out. Depth counts real elements."""
-    level = cut(elements.filter("parent is null").select(F.col("id").alias("owner"), "id", F.lit(0).alias("depth"), "kind"), "tree")
-    parts, steps = [level], 0
-    children = elements.filter("parent is not null").select(F.col("id").alias("child"), "parent", F.col("kind").alias("child_kind"))
-    while steps < max_depth and not level.isEmpty():
-        steps += 1
-        deeper = F.col("depth") + F.when(F.col("child_kind") == "fragment", 0).otherwise(1)
-        level = cut(level.join(children, level["id"] == children["parent"]).select("owner", F.col("child").alias("id"), deeper.alias("depth"), F.col("child_kind").alias("kind")), "tree")
-        parts.append(level)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out.filter("kind not in ('fragment', 'text')").drop("kind")
+    and texts are left out. Depth counts real elements, however deep. Elements on or below a circle, and below a parent that
+    is not there, have no root and give no row."""
+    rows = elements.select(F.col("id").alias("node"), F.col("parent").alias("next"), F.when(F.col("kind") == "fragment", 0).otherwise(1).alias("weight"))
+    ended = follow(rows).ended
+    tops = elements.filter("parent is null").select(F.col("id").alias("end"))
+    real = elements.filter("kind not in ('fragment', 'text')").select(F.col("id").alias("node"))
+    return ended.join(tops, "end", "left_semi").join(real, "node", "left_semi").select(F.col("end").alias("owner"), F.col("node").alias("id"), F.col("weight").cast("int").alias("depth"))
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -127,26 +134,34 @@ def shared_shell(items: DataFrame) -> DataFrame:
     return items.join(spread, "key").select(*items.columns, scope.alias("scope"))
 
 
-def resolve_exports(exports: DataFrame, max_steps: int = 64) -> DataFrame:
+def resolve_exports(exports: DataFrame) -> DataFrame:
     """(module, name, status, target) for exports (module, name, target, from_module, from_name): a declaration has a target,
-    a re-export names another module's export. resolved, ambiguous, not-found or circular; paths are followed level by
-    level, and one that comes back to where it was is a circle."""
-    start = exports.select("module", "name").distinct()
-    path = F.array(F.concat_ws("#", "module", "name"))
-    level = cut(start.select("module", "name", F.col("module").alias("at"), F.col("name").alias("as"), path.alias("path")), "exports")
-    ends, steps = [], 0
-    hop = exports.select(F.col("module").alias("at"), F.col("name").alias("as"), "target", "from_module", "from_name")
-    while not level.isEmpty():
-        steps += 1
-        step = level.join(hop, ["at", "as"], "left")
-        ends.append(step.filter("from_module is null").select("module", "name", "target", F.lit(False).alias("circle")))
-        step = step.filter("from_module is not null").withColumn("next", F.concat_ws("#", "from_module", "from_name"))
-        round_ = F.array_contains("path", F.col("next")) | F.lit(steps >= max_steps)
-        ends.append(step.filter(round_).select("module", "name", F.lit(None).cast("string").alias("target"), F.lit(True).alias("circle")))
-        level = cut(step.filter(~round_).select("module", "name", F.col("from_module").alias("at"), F.col("from_name").alias("as"), F.array_append("path", F.col("next")).alias("path")), "exports")
-    out = ends[0]
-    for part in ends[1:]:
-        out = out.union(part)
-    found = out.groupBy("module", "name").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target"), F.max("circle").alias("circle"))
-    status = F.when(F.col("n") > 1, F.lit("ambiguous")).when(F.col("n") == 1, F.lit("resolved")).when(F.col("circle"), F.lit("circular")).otherwise(F.lit("not-found"))
-    return found.select("module", "name", status.alias("status"), F.when(F.col("n") == 1, F.col("target")).alias("target"))
+    a re-export names another module's export. resolved, ambiguous, not-found or circular (nothing is found and some way leads
+    round a circle).
+
+    An export that is one re-export is a pointer: chains of them are followed by doubling. What is left are the exports with
+    several ways; they lead to each other's chain ends, and are traced to all declarations that they reach."""
+    key = lambda m, n: F.to_json(F.array(m, n))
+    rows = exports.select(key("module", "name").alias("node"), "module", "name", "target", F.when(F.col("from_module").isNotNull(), key("from_module", F.coalesce("from_name", F.lit("")))).alias("to"))
+    rows = cut(rows, "exports")
+    of = rows.groupBy("node").agg(F.min("module").alias("module"), F.min("name").alias("name"), F.count(F.lit(1)).alias("n"), F.max("to").alias("to"))
+    of = cut(of, "names")
+    chains = follow(of.select("node", F.when(F.col("n") == 1, F.col("to")).alias("next")))
+    ended = cut(chains.ended.select("node", "end"), "ended")
+    ways = rows.filter("to is not null").join(of.filter("n > 1").select("node"), "node", "left_semi")
+    ways = ways.join(ended.select(F.col("node").alias("to"), "end"), "to", "left").select(F.col("node").alias("src"), F.coalesce("end", "to").alias("dst"))
+    rings = rows.join(chains.circular.select(F.col("node").alias("to")), "to", "left_semi").select("node").distinct()
+    ways = cut(ways.distinct(), "ways")
+    branching = of.filter("n > 1").select("node")
+    reached = trace(ways, branching)
+    round_ = reached.select("root", F.col("node").alias("src")).join(ways, "src").filter("dst = root").select(F.col("root").alias("node")).distinct()  # exports on a circle of several ways
+    round_ = cut(round_.unionByName(rings).distinct(), "round")
+    ends = reached.select("root", "node").unionByName(of.filter("n = 1").select(F.col("node").alias("root"), "node"))
+    found = rows.filter("target is not null").select("node", "target")
+    told = ends.join(found, "node", "left").join(round_.withColumn("circle", F.lit(True)), "node", "left")
+    told = told.groupBy("root").agg(F.count_distinct("target").alias("found"), F.min("target").alias("target"), F.coalesce(F.max("circle"), F.lit(False)).alias("circle"))
+    out = of.select("node", "module", "name").join(ended, "node").join(told.withColumnRenamed("root", "end"), "end", "left")
+    out = out.select("module", "name", F.coalesce("found", F.lit(0)).alias("found"), "target", F.coalesce("circle", F.lit(False)).alias("circle"))
+    out = out.unionByName(of.join(chains.circular, "node", "left_semi").select("module", "name", F.lit(0).cast("long").alias("found"), F.lit(None).cast("string").alias("target"), F.lit(True).alias("circle")))
+    status = F.when(F.col("found") > 1, F.lit("ambiguous")).when(F.col("found") == 1, F.lit("resolved")).when(F.col("circle"), F.lit("circular")).otherwise(F.lit("not-found"))
+    return out.select("module", "name", status.alias("status"), F.when(F.col("found") == 1, F.col("target")).alias("target"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.names import fits_pattern
 
-from .graph import cut
+from .chains import follow
+from .storage import cut
 
 #: What a file name may be left without.
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx"]
@@ -95,36 +96,33 @@ def resolve_workspace(imports: DataFrame, packages: DataFrame, files: DataFrame)
     return rows.select("import_id", F.col("name").alias("package"), "status", F.when(F.col("status") == "resolved", F.col("path")).alias("path"))
 
 
-def inherited(configs: DataFrame, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+def inherited(configs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Configurations (path, extends, base_url, paths) with the base URL and the paths that hold for them, and errors (path,
     message). extends: the path of another configuration, or null; own values replace those that are inherited. base_url is
     taken from the folder of the configuration that states it. Of a circle, the configuration that the least path leads to
-    first is the error, and the one before it inherits nothing. Chains are followed level by level."""
+    first is the error, and the one before it inherits nothing. Chains of any length are followed by doubling."""
     known = configs.select(F.col("path").alias("extends"))
     lost = configs.filter("extends is not null").join(known, "extends", "left_anti").select("path", F.concat(F.lit("Unsupported or missing extends target: "), "extends").alias("message"))
-    links = configs.join(known, "extends", "left_semi").select(F.col("path").alias("at"), F.col("extends").alias("next"))
-    level = cut(configs.select("path", F.array("path").alias("walk")), "configs")
-    walks, steps = [], 0
-    while steps < max_depth and not level.isEmpty():
-        steps += 1
-        step = level.withColumn("at", F.element_at("walk", -1)).join(links, "at", "left")
-        circle = F.array_contains("walk", F.col("next"))
-        walks.append(step.filter(F.col("next").isNull() | circle).select("path", "walk", "next"))
-        level = cut(step.filter(F.col("next").isNotNull() & ~circle).select("path", F.array_append("walk", F.col("next")).alias("walk")), "configs")
-    ended = walks[0]
-    for walk in walks[1:]:
-        ended = ended.union(walk)
-    ended = cut(ended, "walks")
-    ring = F.slice("walk", F.array_position("walk", F.col("next")).cast("int"), F.size("walk"))
-    circles = ended.filter("next is not null").withColumn("ring", F.array_min(ring))
-    broken = circles.groupBy("ring").agg(F.min_by(F.struct(F.col("next").alias("entry"), F.element_at("walk", -1).alias("last")), "path").alias("x")).select("ring", "x.*")
-    errors = lost.union(broken.select("entry", F.lit("Circular configuration extends chain")))
-    stop = F.array_position("walk", F.col("last")).cast("int")
-    rows = ended.withColumn("ring", F.when(F.col("next").isNotNull(), F.array_min(ring))).join(broken, "ring", "left")
-    rows = rows.select("path", F.posexplode(F.when(F.coalesce(stop, F.lit(0)) > 0, F.slice("walk", F.lit(1), stop)).otherwise(F.col("walk"))).alias("place", "of"))
-    own = configs.select(F.col("path").alias("of"), F.when(F.col("base_url").isNotNull(), joined_path(directory(F.col("path")), F.col("base_url"))).alias("base_url"), "paths")
-    near = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
-    return rows.join(own, "of").groupBy("path").agg(near("base_url"), near("paths")), errors
+    own = F.when(F.col("base_url").isNotNull(), joined_path(directory(F.col("path")), F.col("base_url")))
+    rows = configs.select(F.col("path").alias("node"), F.col("extends").alias("next"), own.alias("base_url"), "paths")
+    circular = follow(rows.select("node", "next")).circular
+    broken = cut(circular.groupBy("ring").agg(F.min_by("entry", "node").alias("entry")), "broken")
+    last = circular.filter("node = entry").join(rows.select("node", "next"), "node").join(broken, "ring").filter(F.col("next") == broken["entry"]).select("node")
+    rows = rows.join(last.withColumn("last", F.lit(True)), "node", "left").withColumn("next", F.when(F.col("last").isNull(), F.col("next"))).drop("last")
+    held = follow(rows, ["base_url", "paths"]).ended.select(F.col("node").alias("path"), "base_url", "paths")
+    return held, lost.union(broken.select("entry", F.lit("Circular configuration extends chain")))
+
+
+def wrapped_declarations(declarations: DataFrame) -> DataFrame:
+    """(file, name, declaration, wrappers) for declarations (file, name, wrapped): a declaration may wrap another one of its
+    file by name; the last of the chain is what it declares, and wrappers counts those passed. Both are null where a chain
+    leads to no declaration or round a circle."""
+    key = lambda name: F.to_json(F.array("file", name))
+    rows = cut(declarations.select(key("name").alias("node"), "file", "name", F.when(F.col("wrapped").isNotNull(), key("wrapped")).alias("next")), "declarations")
+    ended = follow(rows.select("node", "next")).ended
+    last = rows.select(F.col("node").alias("end"), F.col("name").alias("declaration"))
+    found = ended.join(last, "end").select("node", "declaration", F.col("steps").alias("wrappers"))
+    return rows.join(found, "node", "left").select("file", "name", "declaration", "wrappers")
 
 
 def resolve_configured(imports: DataFrame, configs: DataFrame, files: DataFrame) -> DataFrame:

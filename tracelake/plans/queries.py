@@ -11,7 +11,7 @@ from tracelake.functions import routes as R
 from tracelake.functions import text as X
 from tracelake.functions import urls as U
 from tracelake.operators import contracts, documents, graph, matching, routes, sequences
-from tracelake.sources.tables import ENDPOINTS, containment, links, table
+from tracelake.sources.tables import containment, links, table
 
 PATTERNS = [("r0", "/en/:id"), ("r1", "/de/:docId"), ("r2", "/de/:id"), ("r3", "/fr/*"), ("r4", "/fr/825"), ("r5", "/en/*"), ("r6", "/admin"), ("r7", None)]
 DECLARED = ["click", "click", "view", "purchase", "refund", None]
@@ -134,12 +134,6 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select(F.lit("node").alias("part"), "type").unionByName(edges.select(F.lit("edge").alias("part"), "type")).groupBy("part", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def graph_violations(spark: SparkSession, d: str) -> DataFrame:
-    """The containment graph without region 0: its nations lose their source."""
-    nodes, edges = containment(spark, d)
-    return graph.violations(nodes.filter("id <> 'region:0'"), edges, ENDPOINTS)
-
-
 def trace_from_region(spark: SparkSession, d: str) -> DataFrame:
     """What each region leads to, level by level: its nations, their customers, their orders."""
     _, edges = containment(spark, d)
@@ -265,7 +259,6 @@ SQL = {
     "probe_safety": f"""SELECT coalesce(term, 'none') AS term, count(*) AS n FROM (SELECT (SELECT t FROM (VALUES {_TERMS}) v(t, i) WHERE contains(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || t || ' ') ORDER BY i LIMIT 1) AS term FROM conversations) GROUP BY 1""",
     "graph_summary": """SELECT 'node' AS part, 'region' AS type, count(*) AS n FROM region UNION ALL SELECT 'node', 'nation', count(*) FROM nation UNION ALL SELECT 'node', 'customer', count(*) FROM customer UNION ALL SELECT 'node', 'orders', count(*) FROM orders
       UNION ALL SELECT 'edge', 'CONTAINS', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)""",
-    "graph_violations": "SELECT 'missing-source' AS rule, 'region:0' AS subject FROM nation WHERE n_regionkey = 0",
     "trace_from_region": """WITH RECURSIVE e AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT 'customer:' || o_custkey, 'orders:' || o_orderkey FROM orders),
       t AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT root, dst, depth + 1 FROM t JOIN e ON node = src)
       SELECT root, depth, count(*) AS n, min(node) AS first_node FROM t GROUP BY root, depth""",
