@@ -75,6 +75,16 @@ def test_large_buckets_are_cut_into_blocks(spark):
     assert {r.doc_id: r.component_id for r in rows} == {i: label.get(i, i) for i in texts}
 
 
+def test_texts_of_one_identifier_are_linked(spark):
+    rng = random.Random(12)
+    a, b, c = (" ".join(words_of(rng, 40, 10**6)) for _ in range(3))
+    rows = [(7, a), (2, b), (3, a), (3, b), (3, b), (9, c), (9, ""), (5, c), (1, ""), (None, a), (8, None)]
+    found = ngram_jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found) == sorted(
+        [(7, 36, 2), (2, 36, 2), (3, 36, 2), (3, 36, 2), (3, 36, 2), (9, 36, 5), (9, 0, 5), (5, 36, 5), (1, 0, 1), (0, 36, None), (8, 0, 8)]
+    )
+
+
 def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame(EDGE, DOCS)
     found = sorted((r.doc_id or 0, r.text or "") for r in ngram_jaccard.drop_near_copies(docs).collect())
@@ -155,6 +165,14 @@ def test_repeats_inside_articles_go_and_copies_stay(spark):
     assert all(found[20 + i][0] == " ".join([*near[:40], f"edit{i}", *near[40:]]) for i in range(4))
 
 
+def test_related_headlines_leave_the_headlines(spark):
+    rng = random.Random(9)
+    heads = [" ".join(words_of(rng, 14, 10**6)) for _ in range(6)]
+    rows = [(i, "http://h.test/", page(f"<article><h1>{heads[i]}</h1><p>{' '.join(words_of(rng, 40, 10**6))}</p></article><div>{' '.join(f'<p>{h}</p>' for h in heads)}</div>")) for i in range(6)]
+    found = {r.page_id: r.text for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i].split("\n")[0] == heads[i] and len(found[i].split()) == 54 for i in range(6))
+
+
 def brute_texts(rows, length=8, run=12, pages=3):
     """Main texts by the sets of main texts that hold each tuple of `length` tokens."""
     parsed = {i: (re.sub(r"^.*?://([^/]*).*", r"\1", url), *html_extraction.page_blocks(html)) for i, url, html in rows}
@@ -162,15 +180,15 @@ def brute_texts(rows, length=8, run=12, pages=3):
     held, hosts = {}, {}
     for i, (host, inside, outside) in parsed.items():
         hosts.setdefault(host, set()).add(main[i])
-        for stream in (inside, [t for t, _ in outside]):
+        for kind, stream in (("in", inside), ("out", [t for t, _ in outside])):
             words = " ".join(stream).split()
             for k in range(len(words) - length + 1):
-                held.setdefault((host, *words[k : k + length]), set()).add(main[i])
+                held.setdefault((host, kind, *words[k : k + length]), set()).add(main[i])
     out = {}
     for i, (host, inside, outside) in parsed.items():
-        def left(blocks, least, run):
+        def left(blocks, least, run, kind="in"):
             words, at, lines = " ".join(blocks).split(), 0, []
-            mark = [any(len(held[host, *words[k : k + length]]) >= least for k in range(max(0, p - length + 1), min(p, len(words) - length) + 1)) for p in range(len(words))]
+            mark = [any(len(held[host, kind, *words[k : k + length]]) >= least for k in range(max(0, p - length + 1), min(p, len(words) - length) + 1)) for p in range(len(words))]
             runs = "".join("x" if m else "." for m in mark)
             runs = re.sub("x+", lambda m: m[0] if len(m[0]) >= run else "." * len(m[0]), runs)
             for b in blocks:
@@ -178,7 +196,7 @@ def brute_texts(rows, length=8, run=12, pages=3):
                 lines.append(" ".join(w for w, m in zip(b.split(), runs[at : at + n]) if m == "."))
                 at += n
             return lines, runs.count("x")
-        rest, n = left([t for t, _ in outside], 2, length)
+        rest, n = left([t for t, _ in outside], 2, length, "out")
         lines = [x for x, (_, apart) in zip(rest, outside) if not apart]
         if inside:
             lines, more = left(inside, pages, run)

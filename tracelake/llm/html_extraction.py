@@ -9,9 +9,10 @@ the main texts are counted that hold it. The order is found by ranges of the has
 host with a third of all pages, or a footer on all of them, is a few entries of each chunk and never gathered in one task.
 A hash of few bits comes first, which leaves out nearly all suffixes that stand alone; the others are compared by a long one.
 
-A main text loses the runs of tokens that repeats cover. Without an article, what two main texts hold is a repeat. In an
-article, it takes a run of `article_run` tokens that `article_pages` main texts hold; and where such runs are more than
-half of the article, it is itself a copy of other articles and loses only what half of the main texts of its host hold.
+A main text loses the runs of tokens that repeats cover. Outside of articles, what two pages of distinct main texts hold there
+is a repeat. In an article, it takes a run of `article_run` tokens that `article_pages` distinct articles hold; and where such
+runs are more than half of the article, it is itself a copy of other articles and loses only what half of the main texts of its
+host hold. What stands beside an article says nothing about articles: a list of related headlines leaves the headlines.
 
 Defined results: null html is empty; a page without text gives ''. Pages of a host with equal main texts count as one, the
 page of them with the least hash of all its text: so copies of a page or of its article do not make their text a repeat. A
@@ -47,6 +48,9 @@ APART = set("head script style noscript template nav footer aside form button se
 MARKS = set("ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion promoted recommended related share sharing sidebar sidebars skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
+#: What tells suffixes outside of articles from those inside.
+OUTSIDE = np.uint64(0x9E3779B97F4A7C15)
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:@-][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
@@ -177,7 +181,8 @@ class _Suffixes:
         found, at = windows(values, words.owner, length, seed=5)
         hosts = np.array([xxhash.xxh3_64_intdigest(h) for h in rows.column("host").to_pylist()], np.uint64)
         self.page = np.concatenate((np.arange(n), words.owner[at] // 2))
-        self.hashes = mix(np.concatenate((np.zeros(n, np.uint64), found)) + hosts[self.page])
+        apart = (words.owner[at] % 2).astype(np.uint64) * OUTSIDE  # what stands outside of articles says nothing about them
+        self.hashes = mix(np.concatenate((np.zeros(n, np.uint64), found + apart)) + hosts[self.page])
         self.first = n + np.searchsorted(words.owner[at], np.arange(2 * n + 1))
         self.some = np.arange(len(self.hashes))
 

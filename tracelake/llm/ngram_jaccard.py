@@ -36,7 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, list_array, mix, shingle_sets, slices, stored
+from tracelake.packaging import ship
+
+from .common import Words, global_rank, list_array, mix, shingle_sets, slices, stored
 from .components import connected_components
 
 
@@ -223,7 +225,31 @@ def _wide_fits(percent: int) -> Column:
 def link_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the identifier, n_shingles, class_id (the least identifier with the same set) and
     component_id (the least identifier that links lead to, its own included)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    names = ["n_shingles", "class_id", "component_id"]
+    again = stored(rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("id"), "again")
+    if again.isEmpty():
+        return _linked(rows, params).select(F.col("id").alias(id_col), *names)
+    # each text of an identifier becomes a node of its own, numbered in the order of the identifiers; then they are linked
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    nodes = global_rank(rows.filter("id is not null").select("id", "h").distinct(), [F.col("id"), F.col("h")], "nodes")
+    nodes = stored(nodes.select(F.col("id").alias("of"), F.col("h").alias("of_h"), F.col("rank").alias("node")), "node-names")
+    named = rows.join(nodes, (F.col("id") == F.col("of")) & (F.col("h") == F.col("of_h")), "left").select(F.col("node").alias("id"), "text")
+    found = stored(_linked(named, params), "linked")
+    of_node = found.filter("id is not null").select(F.col("id").alias("node"), "component_id").distinct().join(nodes.select("node", "of"), "node")
+    firsts = of_node.groupBy("of").agg(F.min("component_id").alias("first"))
+    edges = of_node.join(again.select(F.col("id").alias("of")), "of", "left_semi").join(firsts, "of").select(F.col("component_id").alias("u"), F.col("first").alias("v"))
+    joined = stored(connected_components(edges.filter("u <> v").distinct()), "joined")
+    found = found.join(joined.select(F.col("node").alias("component_id"), F.col("component").alias("wider")), "component_id", "left").withColumn("component_id", F.coalesce("wider", "component_id"))
+    for column in ("id", "class_id", "component_id"):
+        names_of = nodes.select(F.col("node").alias(column), F.col("of").alias(f"{column}_of"))
+        found = found.join(names_of, column, "left").drop(column).withColumnRenamed(f"{column}_of", column)
+    return found.select(F.col("id").alias(id_col), *names)
+
+
+def _linked(rows: DataFrame, params: JaccardParams) -> DataFrame:
+    """(id, n_shingles, class_id, component_id) for rows (id, text) in which an identifier has one text."""
     nodes = stored(rows.mapInArrow(lambda it: _sets(it, params), "id long, n long, digest string, " + ", ".join(f"{p} long" for p in PRINT) + ", wide array<bigint>"), "sets")
     known = nodes.filter("id is not null and n > 0")
     firsts = stored(known.groupBy("digest").agg(F.min("id").alias("class_id")), "classes")
@@ -235,7 +261,7 @@ def link_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id
     beside = W.partitionBy("sign", "salt")
     signs = named.mapInArrow(lambda it: _signed(it, params), "sign long, salt int, id long, slack int")
     signs = signs.select("*", F.count(F.lit(1)).over(beside).alias("alike"), F.min("id").over(beside).alias("lead"), F.max(F.col("id").isNull()).over(beside).alias("salted"))
-    met = signs.filter("id is not null and (alike > 1 or salt > 0)")
+    met = signs.filter((F.col("alike") > 1) | (F.col("salt") > 0) | (F.col("sign") == int(STUCK))).filter("id is not null")  # a set that is stuck by itself may meet one that frequent signatures hold up
     silent = F.col("salted") | (F.col("salt") > 0) | (F.col("alike") > params.heavy) | (F.col("sign") == int(STUCK))
     met = stored(met.select("sign", "id", "slack", "lead", (F.col("alike") > 2).alias("more"), silent.alias("silent")), "met")
     lost = met.filter("silent").groupBy("id", F.col("sign").bitwiseAND(int(BAND)).alias("band")).agg(F.count(F.lit(1)).alias("lost"), F.min("slack").alias("slack"))
@@ -280,7 +306,7 @@ def link_components(docs: DataFrame, params: JaccardParams = JaccardParams(), id
     placed = nodes.join(firsts, "digest", "left").withColumn("class_id", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("class_id")).otherwise(F.col("id")))
     placed = placed.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "class_id"))
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
+    return placed.select("id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
