@@ -41,18 +41,26 @@ def test_wildcards_static_only_and_dynamic(spark):
 
 
 def test_readiness_as_stream_and_as_table(spark, tmp_path):
-    from datetime import datetime
+    from datetime import datetime, timedelta
 
+    from tracelake.plans.shape_queries import polls
     from tracelake.streaming import readiness
 
-    polls = [("a", 1, "x", 1, 0), ("a", 2, "y", 1, 1), ("a", 3, "y", 1, 0), ("a", 4, "y", 1, 0), ("b", 1, "x", 0, 0), ("b", 2, "x", 0, 0), ("c", 1, "z", 2, 0), ("c", 2, "z", 2, 0)]
-    rows = spark.createDataFrame([(s, datetime(2024, 1, 1, 0, 0, k), sig, e, n) for s, k, sig, e, n in polls], "state_id string, polled_at timestamp, signature string, evidence int, loaders int")
-    rows.write.parquet(str(tmp_path / "polls"))
-    stream = readiness.ready_states(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "polls")))
-    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    told = lambda df: sorted((r.state_id, r.polled_at.second, r.polls) for r in df.collect())
-    assert told(spark.read.parquet(str(tmp_path / "out"))) == told(readiness.ready_batch(rows)) == [("a", 3, 2), ("c", 2, 2)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    told = [("a", 1, "x", 1, 0), ("a", 2, "y", 1, 1), ("a", 3, "y", 1, 0), ("a", 4, "y", 1, 0), ("b", 1, "x", 0, 0), ("b", 2, "x", 0, 0), ("c", 1, "z", 2, 0), ("c", 9, "z", 2, 0), ("d", 1, "z", 2, 3), ("d", 2, "z", 2, 3), ("e", 1, "q", 1, 0), ("e", 2, "r", 1, 0)]
+    rows = spark.createDataFrame([(s, datetime(2024, 1, 1, 0, 0, k), sig, e, n) for s, k, sig, e, n in told], "state_id string, polled_at timestamp, signature string, evidence int, loaders int")
+    wanted = [("a", "ready", None, 3, 2000), ("b", "partial", "no-substantive-destination-content", 2, 1000), ("c", "partial", "unstable-destination-content", 1, 0), ("d", "partial", "visible-loading-state", 2, 1000), ("e", "partial", "unstable-destination-content", 2, 1000)]
+    shown = lambda df: sorted((r.state_id, r.status, r.timeout_reason, r.polls, r.elapsed_ms) for r in df.collect() if r.state_id != "end")
+    assert shown(readiness.readiness_table(rows, timeout_ms=5000)) == wanted
+    given = polls(spark, "/root/testdata/sf0.001").withColumn("polled_at", F.col("polled_at").cast("timestamp"))
+    for name, table, timeout in (("small", rows, 5000), ("events", given, 36_000_000)):
+        last = table.agg(F.max("polled_at")).first()[0] + timedelta(days=60)
+        end = spark.createDataFrame([("end", last, "x", 0, 0)], table.schema)  # so that the watermark passes all timeouts
+        table.unionByName(end).coalesce(1).write.parquet(str(tmp_path / name))
+        stream = readiness.readiness_states(spark.readStream.schema(table.schema).parquet(str(tmp_path / name)), timeout_ms=timeout)
+        run = stream.writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert shown(spark.read.parquet(str(tmp_path / f"{name}-out"))) == shown(readiness.readiness_table(table, timeout_ms=timeout))
 
 
 @pytest.mark.parametrize("pattern,path,ranks", [("/a/:x?", "/a", [2]), ("/a/:x?", "/a/b", [2, 1]), ("/a/:x+", "/a", None), ("/a/:x*", "/a", [2]), ("/:x+", "/a/b", [0, 0]), ("/*", "/", [0]), ("/*/b", "/a/b", None), ("/a", "/a/b", None), ("/:x?", "/", [])])

@@ -104,3 +104,24 @@ def identity_parts(parts: Column) -> Column:
     """The distinct parts, of more than two the first and the last."""
     distinct = F.array_distinct(parts)
     return F.when(F.size(distinct) <= 2, distinct).otherwise(F.array(F.element_at(distinct, 1), F.element_at(distinct, -1)))
+
+
+def route_path(value: Column) -> Column:
+    """A route path with one slash at its start and between its parts, and none at its end."""
+    path = F.regexp_replace(F.concat(F.lit("/"), value), "/{2,}", "/")
+    return F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
+
+
+def joined_route(declared: Column, parent: Column, nested: Column) -> Column:
+    """The path of a declared route: an absolute one stands for itself, a relative one below the parent's; null where the
+    route is nested and its parent's path is not known. nested: whether it has a parent at all."""
+    alone = F.startswith(declared, F.lit("/")) | ~nested
+    return F.when(alone, route_path(declared)).when(parent.isNotNull(), route_path(F.concat(parent, F.lit("/"), declared)))
+
+
+def app_page_route(path: Column) -> Column:
+    """The route of a page file in an app folder; groups in brackets and slots are no part of it. Null for other files."""
+    parts = F.split(F.regexp_replace(path, "^(?:src/)?app/(?:(.*)/)?page[.][a-z]+$", "$1"), "/", -1)
+    kept = F.filter(parts, lambda p: (p != "") & ~F.regexp_like(p, F.lit(r"^\(.*\)$")) & ~F.startswith(p, F.lit("@")))
+    page = F.regexp_like(path, F.lit("^(?:src/)?app(?:/.*)?/page[.](?:ts|tsx|js|jsx)$"))
+    return F.when(page, F.concat(F.lit("/"), F.array_join(kept, "/")))

@@ -30,9 +30,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _double(pointers: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
+def _double(pointers: DataFrame, carried: list[str], trail: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The arrived nodes and those that go round, with the node `to` that they have come to and the least one passed."""
     new = [F.col(c) for c in carried]
+    if trail:
+        new.append(F.when(F.col("next").isNull(), F.slice(F.array(trail), 1, 0)).otherwise(F.array(trail)).alias("trail"))
+    more = ["trail"] if trail else []
     rows = pointers.select("node", F.coalesce("next", "node").alias("to"), F.col("next").isNull().alias("done"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.when(F.col("next").isNull(), 0).otherwise(F.col("weight")).cast("long").alias("weight"), F.col("node").alias("least"), *new)
     state = cut(rows, "chains", by=["done"])
     arrived, open_ = [state.filter("done")], state.filter("not done")
@@ -40,11 +43,11 @@ def _double(pointers: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFra
     for _ in range(rounds):
         if open_.isEmpty():
             break
-        hop = _union([*arrived, open_]).select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"), F.col("steps").alias("steps2"), F.col("weight").alias("weight2"), F.col("least").alias("least2"), *[F.col(c).alias(f"{c}2") for c in carried])
+        hop = _union([*arrived, open_]).select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"), F.col("steps").alias("steps2"), F.col("weight").alias("weight2"), F.col("least").alias("least2"), *[F.col(c).alias(f"{c}2") for c in [*carried, *more]])
         step = open_.join(hop, "to", "left")
         step = step.select(
             "node", F.coalesce("to2", "to").alias("to"), F.coalesce("done2", F.lit(True)).alias("done"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"),
-            (F.col("weight") + F.coalesce("weight2", F.lit(0))).alias("weight"), F.least("least", "least2").alias("least"), *[F.coalesce(c, f"{c}2").alias(c) for c in carried],
+            (F.col("weight") + F.coalesce("weight2", F.lit(0))).alias("weight"), F.least("least", "least2").alias("least"), *[F.coalesce(c, f"{c}2").alias(c) for c in carried], *[F.concat(c, F.coalesce(f"{c}2", F.slice(c, 1, 0))).alias(c) for c in more],
         )
         state = cut(step, "chains", by=["done"])
         arrived.append(state.filter("done"))
@@ -52,15 +55,16 @@ def _double(pointers: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFra
     return _union(arrived), open_
 
 
-def follow(pointers: DataFrame, carried: list[str] | None = None) -> Chains:
+def follow(pointers: DataFrame, carried: list[str] | None = None, trail: str | None = None) -> Chains:
     """Where the chains of pointers (node, next, weight, carried columns) end: at a node without next, or at a name that is no
     node. weight (1 if the column is missing) is summed over the nodes before the end; of a carried column the first value that
-    is not null, from the node itself to its end, is kept. Nodes are unique and not null."""
+    is not null, from the node itself to its end, is kept. trail names a column whose values on the nodes before the end are
+    listed, the node's own first; such lists are as long as the chains. Nodes are unique and not null."""
     carried = carried or []
     if "weight" not in pointers.columns:
         pointers = pointers.withColumn("weight", F.lit(1))
-    arrived, open_ = _double(pointers, carried)
-    ended = arrived.select("node", F.col("to").alias("end"), "steps", "weight", *carried)
+    arrived, open_ = _double(pointers, carried, trail)
+    ended = arrived.select("node", F.col("to").alias("end"), "steps", "weight", *carried, *(["trail"] if trail else []))
     on_ring = open_.select(F.col("to").alias("node")).distinct()
     rings = cut(open_.join(on_ring, "node", "left_semi").select(F.col("node").alias("to"), F.col("least").alias("ring")), "rings")
     tails = open_.select("node").join(pointers.select("node", "next"), "node").join(rings.select(F.col("to").alias("node")), "node", "left_anti")

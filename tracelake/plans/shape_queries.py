@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import projections
-from tracelake.sources.tables import table
+from tracelake.functions import routes as R
+from tracelake.functions.urls import application_path
+from tracelake.operators import fingerprints, projections, rules, summaries, trees
+from tracelake.sources.tables import links, table
+from tracelake.streaming import readiness
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, tuple[Query, str]] = {}
@@ -86,18 +89,203 @@ def runtime_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return projections.runtime_endpoints(observations, references)
 
 
-@query("""WITH e AS (SELECT user_id, event_type, event_id, (props::JSON->>'k')::BIGINT // 10 AS k, floor(value / 50)::BIGINT AS v FROM events)
-SELECT user_id, event_type, count(*) AS n, count(DISTINCT (k, v)) AS n_values, CASE WHEN count(DISTINCT (k, v)) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'single' END AS status, min(event_id) AS first_event FROM e GROUP BY user_id, event_type""")
+@query("""WITH e AS (SELECT user_id, event_type, event_id, (props::JSON->>'k')::BIGINT // 50 AS k, floor(value / 50)::BIGINT AS v, event_id // 300 AS batch FROM events)
+SELECT user_id, event_type, batch, count(*) AS n, count(DISTINCT (k, v)) AS n_values, CASE WHEN count(DISTINCT (k, v)) > 1 THEN 'conflict' WHEN count(*) > 1 THEN 'duplicate' ELSE 'single' END AS status, min(event_id) AS first_event FROM e GROUP BY user_id, event_type, batch""")
 def canonical_repeats(spark: SparkSession, d: str) -> DataFrame:
-    """Observations of events by user and type. Their values are nested objects whose keys stand in one order or the other
+    """Observations of events by user, type and batch. Their values are nested objects whose keys stand in one order or the other
     and whose numbers are written in two ways, which makes no conflict."""
-    rows = table(spark, d, "events").withColumn("k", F.expr("cast(get_json_object(props, '$.k') as bigint) div 10")).withColumn("v", F.expr("cast(floor(value / 50) as bigint)"))
+    rows = table(spark, d, "events").withColumn("k", F.expr("cast(get_json_object(props, '$.k') as bigint) div 50")).withColumn("v", F.expr("cast(floor(value / 50) as bigint)")).withColumn("batch", F.expr("event_id div 300"))
     one = """concat('{"id":0,"a":{"k":', k, ',"v":[', v, ',{"y":1,"x":"', 'é \\\\u0041', '"}]}}')"""
     two = """concat('{ "a" : {"v":[', v, '.0 , {"x":"', 'é A', '","y":1}], "k":', k, '},"id":0e0 }')"""
-    seen = rows.select("user_id", "event_type", "event_id", F.when(F.col("event_id") % 2 == 0, F.expr(one)).otherwise(F.expr(two)).alias("seen"), F.struct("event_id").alias("o"))
-    found = projections.retained_observations(seen, ["user_id", "event_type"], "seen", ["event_id"])
-    first = rows.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
-    return found.join(first, ["user_id", "event_type"]).select("user_id", "event_type", "n", "n_values", "status", "first_event")
+    keys = ["user_id", "event_type", "batch"]
+    seen = rows.select(*keys, "event_id", F.when(F.col("event_id") % 2 == 0, F.expr(one)).otherwise(F.expr(two)).alias("seen"))
+    found = projections.retained_observations(seen, keys, "seen", ["event_id"])
+    first = rows.groupBy(*keys).agg(F.min("event_id").alias("first_event"))
+    return found.join(first, keys).select(*keys, "n", "n_values", "status", "first_event")
+
+
+_NAV = r"""SELECT page_id, 'link' AS kind, regexp_extract(a, '<a href="([^"]*)"', 1) AS a, regexp_extract(a, '<a href="[^"]*"[^>]*>(.*?)</a>', 1, 's') AS b
+  FROM (SELECT page_id, unnest(regexp_extract_all(m, '<a href="[^"]*"[^>]*>.*?</a>', 0, 's')) AS a FROM (SELECT page_id, unnest(regexp_extract_all(html, '<nav[^>]*>(.*?)</nav>', 1, 's')) AS m FROM pages))"""
+
+
+@query(f"""WITH e AS ({_NAV} UNION ALL SELECT page_id, 'heading', h[2:3], regexp_extract(h, '^<h[1-6][^>]*>(.*)</h[1-6]>$', 1, 's') FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h[2-6][^>]*>.*?</h[2-6]>', 0, 's')) AS h FROM pages)),
+s AS (SELECT page_id, count(*) AS n, string_agg(kind || '|' || a || '|' || b, '~' ORDER BY kind, a, b) AS told FROM e GROUP BY page_id)
+SELECT count(*) AS states, min(page_id) AS first_state, min(n) AS n, true AS verified FROM s GROUP BY told""")
+def page_shells(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with the same menu links and minor headings, whatever their order."""
+    pages = table(spark, d, "pages")
+    menu = pages.select("page_id", F.explode(links(F.col("html"))).alias("x")).select("page_id", F.lit("link").alias("kind"), F.col("x.href").alias("a"), F.col("x.label").alias("b"))
+    heads = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<h[2-6][^>]*>.*?</h[2-6]>"), F.lit(0))).alias("h"))
+    heads = heads.select("page_id", F.lit("heading").alias("kind"), F.substring("h", 2, 2).alias("a"), F.regexp_extract("h", "(?s)^<h[1-6][^>]*>(.*)</h[1-6]>$", 1).alias("b"))
+    return fingerprints.fingerprint_groups(menu.unionByName(heads), "page_id", ["kind", "a", "b"]).drop("fingerprint")
+
+
+_POLLS = """SELECT concat(cast(user_id AS varchar), '-', cast(floor(event_id / 400) AS bigint)) AS state_id, ts AS polled_at, event_type AS signature, CASE WHEN value > 5 THEN 1 ELSE 0 END AS evidence, CASE WHEN value > 60 THEN 1 ELSE 0 END AS loaders FROM events"""
+
+
+def polls(spark: SparkSession, d: str) -> DataFrame:
+    """Events as polls of states: a user within 400 events, seen by its type, loading with large values."""
+    state = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 400).cast("string"))
+    return table(spark, d, "events").select(state.alias("state_id"), F.col("ts").alias("polled_at"), F.col("event_type").alias("signature"), F.when(F.col("value") > 5, 1).otherwise(0).alias("evidence"), F.when(F.col("value") > 60, 1).otherwise(0).alias("loaders"))
+
+
+@query(f"""WITH p AS ({_POLLS}), s AS (SELECT *, epoch_us(polled_at) // 1000 - min(epoch_us(polled_at) // 1000) OVER (PARTITION BY state_id) AS since FROM p), t AS (SELECT * FROM s WHERE since < 36000000),
+c AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(signature) OVER w IS NOT DISTINCT FROM signature AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM t WINDOW w AS (PARTITION BY state_id ORDER BY polled_at)),
+r AS (SELECT *, row_number() OVER (PARTITION BY state_id, g ORDER BY polled_at) AS run FROM (SELECT *, sum(c) OVER (PARTITION BY state_id ORDER BY polled_at ROWS UNBOUNDED PRECEDING) AS g FROM c)),
+f AS (SELECT state_id, min(n) FILTER (evidence > 0 AND loaders = 0 AND run >= 2) AS hit, max(n) AS last FROM r GROUP BY state_id)
+SELECT f.state_id, CASE WHEN hit IS NOT NULL THEN 'ready' ELSE 'partial' END AS status, CASE WHEN hit IS NOT NULL THEN 'semantic-ui' ELSE 'semantic-timeout' END AS reason,
+  CASE WHEN hit IS NULL THEN CASE WHEN loaders <> 0 THEN 'visible-loading-state' WHEN evidence = 0 THEN 'no-substantive-destination-content' ELSE 'unstable-destination-content' END END AS timeout_reason, n AS polls, since AS elapsed_ms
+FROM f JOIN r ON r.state_id = f.state_id AND r.n = coalesce(hit, last)""")
+def readiness_results(spark: SparkSession, d: str) -> DataFrame:
+    """Every state of `polls`, ready or timed out after ten hours with the reason."""
+    return readiness.readiness_table(polls(spark, d), timeout_ms=36_000_000)
+
+
+_LINES = """SELECT doc_id AS id, i - 1 AS line, least(length(x) % 7, 5) AS indent, CASE WHEN length(x) % 3 = 0 THEN 'list' WHEN length(x) % 3 = 1 THEN 'link' ELSE 'textbox' END AS role FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(x) > 0"""
+
+
+@query(f"""WITH l AS ({_LINES}) SELECT a.id, a.line::INTEGER AS line, a.indent::INTEGER AS indent, a.role, 'n"' || a.line AS name, (SELECT max(b.line) FROM l b WHERE b.id = a.id AND b.line < a.line AND b.indent < a.indent)::INTEGER AS parent FROM l a""")
+def snapshot_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots written from documents: each line an item, indented by its length, with a name and typed text."""
+    line = lambda x, i: F.when(F.length(x) > 0, F.concat(F.repeat(F.lit(" "), F.least(F.length(x) % 7, F.lit(5))), F.lit("- "), F.when(F.length(x) % 3 == 0, F.lit("list")).when(F.length(x) % 3 == 1, F.lit("link")).otherwise(F.lit("textbox")), F.lit(' "n\\"'), i.cast("string"), F.lit('": secret'))).otherwise(F.lit(""))
+    texts = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("told"))
+    return trees.line_tree(texts, "doc_id", "told")
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN [] ELSE ['div: ' || c_name] END AS own, ['section: ' || r_name, 'nav: ' || n_name] AS above, c_mktsegment = 'BUILDING' AS link FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+t AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_linestatus, l_returnflag, l_orderkey * 8 + l_linenumber AS k FROM lineitem),
+o AS (SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(list(l_returnflag ORDER BY k, l_linestatus = 'O', l_returnflag) FILTER (k IS NOT NULL), []) AS said, coalesce(list(l_returnflag ORDER BY k, l_returnflag) FILTER (l_linestatus = 'O'), []) AS open FROM orders LEFT JOIN t ON l_orderkey = o_orderkey GROUP BY ALL),
+cl AS (SELECT c_custkey, list(l_returnflag ORDER BY k, l_linestatus = 'O', l_returnflag) FILTER (k IS NOT NULL) AS said, list(l_returnflag ORDER BY k, l_returnflag) FILTER (l_linestatus = 'O') AS open FROM c JOIN orders ON o_custkey = c_custkey LEFT JOIN t ON l_orderkey = o_orderkey WHERE link GROUP BY c_custkey)
+SELECT 'o' || o_orderkey AS id, 'a' AS element, CASE WHEN len(open) > 0 THEN 'dynamic' ELSE 'static' END AS label_kind, CASE WHEN len(open) > 0 THEN array_to_string(open, ', ') ELSE array_to_string(said, ' ') END AS label, CASE WHEN o_orderstatus = 'P' THEN 'dynamic' ELSE 'static' END AS destination_kind, '/o/' || o_orderkey AS destination, array_to_string(above || own, ' > ') AS ancestors FROM o JOIN c ON c_custkey = o_custkey
+UNION ALL SELECT 'c' || c.c_custkey, 'Link', CASE WHEN len(coalesce(open, [])) > 0 THEN 'dynamic' ELSE 'static' END, CASE WHEN len(coalesce(open, [])) > 0 THEN array_to_string(open, ', ') ELSE coalesce(array_to_string(said, ' '), '') END, 'static', '/c/' || c.c_custkey, array_to_string(above, ' > ') FROM c LEFT JOIN cl USING (c_custkey) WHERE link""")
+def link_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, nations, customers and orders as nested elements, of which orders and some customers are links; line items are
+    the texts in them, or expressions."""
+    none = "cast(null as string) as {0}".format
+    rows = [
+        table(spark, d, "region").selectExpr("concat('r', r_regionkey) as id", none("parent"), "'element' as kind", "'section' as name", "r_name as title", "0L as place", none("destination_kind"), none("destination"), none("text")),
+        table(spark, d, "nation").selectExpr("concat('n', n_nationkey) as id", "concat('r', n_regionkey) as parent", "'element' as kind", "'nav' as name", "n_name as title", "0L as place", none("destination_kind"), none("destination"), none("text")),
+        table(spark, d, "customer").selectExpr("concat('c', c_custkey) as id", "concat('n', c_nationkey) as parent", "'element' as kind", "if(c_mktsegment = 'BUILDING', 'Link', 'div') as name", "c_name as title", "0L as place", "if(c_mktsegment = 'BUILDING', 'static', null) as destination_kind", "if(c_mktsegment = 'BUILDING', concat('/c/', c_custkey), null) as destination", none("text")),
+        table(spark, d, "orders").selectExpr("concat('o', o_orderkey) as id", "concat('c', o_custkey) as parent", "'element' as kind", "'a' as name", none("title"), "0L as place", "if(o_orderstatus = 'P', 'dynamic', 'static') as destination_kind", "concat('/o/', o_orderkey) as destination", none("text")),
+        table(spark, d, "lineitem").withColumn("n", F.monotonically_increasing_id()).selectExpr("concat('t', n) as id", "concat('o', l_orderkey) as parent", "if(l_linestatus = 'O', 'dynamic', 'text') as kind", none("name"), none("title"), "l_orderkey * 8 + l_linenumber as place", none("destination_kind"), none("destination"), "l_returnflag as text"),
+    ]
+    found = trees.navigation_records(rules.union(*rows).filter("parent is not null or kind = 'element'"))
+    return found.withColumn("ancestors", F.array_join("ancestors", " > "))
+
+
+@query(r"""WITH p AS (SELECT page_id, url, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, url, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(.)/+$', '\1') AS p FROM pages))
+SELECT page_id, CASE WHEN contains(url, '#') THEN NULL ELSE path END AS route, CASE WHEN contains(url, '?') THEN NULL WHEN page_id % 2 = 0 THEN '/' || split_part(path, '/', 2) || '/x' ELSE path END AS joined FROM p""")
+def page_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files of an app folder with groups and slots, some with no page file's name; and their last part declared below
+    the first, absolute or below an unknown one."""
+    path = application_path(F.col("url"))
+    name = F.when(F.contains("url", F.lit("#")), F.lit("/layout.tsx")).otherwise(F.lit("/page.tsx"))
+    file = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("src/app/(site)")).otherwise(F.lit("app/@main")), F.when(path == "/", F.lit("")).otherwise(path), F.lit("/(group)"), name)
+    even = F.col("page_id") % 2 == 0
+    declared = F.when(even | F.contains("url", F.lit("?")), F.lit("x//")).otherwise(F.concat(F.lit("/"), path))
+    parent = F.when(~F.contains("url", F.lit("?")), F.concat(F.lit("/"), F.split(path, "/")[1], F.lit("/")))
+    return table(spark, d, "pages").select("page_id", R.app_page_route(file).alias("route"), R.joined_route(declared, parent, F.lit(True)).alias("joined"))
+
+
+_RESULTS = """SELECT o_orderkey::VARCHAR AS id, CASE o_orderstatus WHEN 'F' THEN 'corroborated' WHEN 'O' THEN 'static-only' ELSE 'runtime-only' END AS status, CASE WHEN o_totalprice > 400000 THEN NULL WHEN o_totalprice > 200000 THEN 'exact' ELSE 'strong' END AS strength,
+  CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE 'c' || o_custkey END AS node, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 5 <> 0 THEN NULL ELSE 'e' || (o_orderkey * 2) END AS runtime, o_orderpriority LIKE '5%' AS silent FROM orders"""
+
+
+@query(f"""WITH r AS ({_RESULTS}), bad AS (SELECT id, unnest([CASE WHEN silent THEN 'no-reasons' END, CASE WHEN status = 'corroborated' AND (strength IS NULL OR node IS NULL OR runtime IS NULL) THEN 'corroborated-incomplete' END,
+  CASE WHEN status = 'static-only' AND (node IS NULL OR runtime IS NOT NULL) THEN 'static-only-references' END, CASE WHEN status = 'runtime-only' AND (node IS NOT NULL OR runtime IS NULL) THEN 'runtime-only-references' END]) AS rule FROM r)
+SELECT rule, id AS subject FROM bad WHERE rule IS NOT NULL UNION ALL SELECT 'duplicate-exact-match', node FROM r WHERE strength = 'exact' AND node IS NOT NULL GROUP BY node HAVING count(*) > 1
+UNION ALL SELECT 'missing-static-reference', id FROM r WHERE node NOT IN (SELECT 'c' || c_custkey FROM customer) UNION ALL SELECT 'missing-runtime-reference', id FROM r WHERE runtime NOT IN (SELECT 'e' || event_id FROM events)""")
+def reconciliation_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as results of requests: customers are the nodes, events the observations."""
+    results = table(spark, d, "orders").selectExpr(
+        "cast(o_orderkey as string) as id", "'http' as domain", "case o_orderstatus when 'F' then 'corroborated' when 'O' then 'static-only' else 'runtime-only' end as status",
+        "case when o_totalprice > 400000 then null when o_totalprice > 200000 then 'exact' else 'strong' end as strength", "if(o_custkey % 3 = 0, cast(array() as array<string>), array(concat('c', o_custkey))) as static",
+        "if(o_orderstatus = 'O' and o_orderkey % 5 <> 0, null, concat('e', o_orderkey * 2)) as runtime", "if(o_orderpriority like '5%', cast(array() as array<string>), array('x')) as reasons",
+    )
+    nodes = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("ref"))
+    observed = table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("ref"))
+    return rules.reconciliation_issues(results, nodes, observed)
+
+
+@query("""WITH v AS (SELECT doc_id, lower(coalesce(source, '')) AS id, CASE lang WHEN 'en' THEN 'succeeded' WHEN 'de' THEN 'failed' ELSE lang END AS generation, n_chars FROM documents)
+SELECT rule, subject FROM (SELECT id || '-' || doc_id AS subject, unnest([CASE WHEN NOT regexp_full_match(id || '-' || doc_id, '[a-z0-9][a-z0-9-]{0,127}') THEN 'invalid-document-id' END, CASE WHEN coalesce(generation, '') NOT IN ('succeeded', 'failed') THEN 'invalid-generation-status' END, CASE WHEN n_chars > 5000 THEN 'invalid-review-status' END,
+  CASE WHEN generation = 'succeeded' AND n_chars < 1000 THEN 'succeeded-without-article' END, CASE WHEN generation = 'failed' AND n_chars < 500 THEN 'failed-without-diagnostic' END, CASE WHEN n_chars < 100 THEN 'invalid-checksum' END]) AS rule FROM v) WHERE rule IS NOT NULL
+UNION ALL SELECT 'missing-revision', id || '-' || doc_id FROM v WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def document_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with states by their language and length; labels are their revisions."""
+    rows = table(spark, d, "documents").selectExpr(
+        "concat(lower(coalesce(source, '')), '-', doc_id) as id", "case lang when 'en' then 'succeeded' when 'de' then 'failed' else lang end as generation", "if(n_chars > 5000, 'unknown', 'draft') as review", "n_chars >= 1000 as has_article",
+        "cast(doc_id as string) as current_revision", "if(n_chars < 500, '', 'told') as failure", "if(n_chars < 100, 'x', sha2(cast(doc_id as string), 256)) as checksum", "doc_id",
+    )
+    revisions = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), "doc_id").join(rows.select("doc_id", F.col("id").alias("document_id")), "doc_id")
+    return rules.document_issues(rows, revisions.select("document_id", "id"))
+
+
+@query("""WITH k AS (SELECT conv_id * 100 + turn AS id, conv_id, turn, role, length(coalesce(text, '')) AS n FROM conversations),
+claim AS (SELECT id AS claim_id, CASE WHEN n % 2 = 0 THEN 'runtime-observation' ELSE 'visible-outcome' END AS kind FROM k WHERE n % 9 <> 0),
+cls AS (SELECT id AS claim_id, CASE WHEN n % 5 = 0 THEN 'excluded' WHEN n % 5 = 1 THEN 'context' ELSE 'selected' END AS class, CASE WHEN n % 10 = 0 THEN 'duplicate' END AS reason FROM k WHERE n % 7 <> 0 UNION ALL SELECT id, 'context', NULL FROM k WHERE n % 11 = 0),
+s AS (SELECT claim_id, count(DISTINCT class) AS n, bool_or(class = 'excluded') AS out FROM cls GROUP BY claim_id),
+m AS (SELECT coalesce(claim.claim_id, s.claim_id) AS claim_id, kind, n, coalesce(out, false) AS out FROM claim FULL JOIN s ON s.claim_id = claim.claim_id),
+prose AS (SELECT CASE WHEN turn = 0 THEN 'prerequisite' WHEN turn = 1 THEN 'expected' ELSE 'step' END AS part, id AS idx, CASE WHEN n % 13 = 0 THEN [] ELSE [id, id + 1] END AS ids FROM k),
+cited AS (SELECT part, idx, c, kind, n, out FROM (SELECT part, idx, unnest(ids) AS c FROM prose) LEFT JOIN m ON claim_id = c)
+SELECT 'unknown-claim' AS code, 'selection' AS place, claim_id::VARCHAR AS claim_id FROM cls WHERE claim_id NOT IN (SELECT claim_id FROM claim)
+UNION ALL SELECT 'unclassified-claim', 'selection', claim_id::VARCHAR FROM m WHERE kind IS NOT NULL AND n IS NULL UNION ALL SELECT 'duplicate-classification', 'selection', claim_id::VARCHAR FROM m WHERE kind IS NOT NULL AND n > 1
+UNION ALL SELECT 'missing-citation', part || ':' || idx, NULL FROM prose WHERE len(ids) = 0
+UNION ALL SELECT CASE WHEN kind IS NULL THEN 'unknown-claim' WHEN out THEN 'excluded-claim-used' ELSE 'unselected-claim-used' END, part || ':' || idx, c::VARCHAR FROM cited WHERE kind IS NULL OR out OR n IS NULL
+UNION ALL SELECT 'unsupported-prerequisite', 'prerequisite:' || idx, NULL FROM prose WHERE part = 'prerequisite' AND idx NOT IN (SELECT idx FROM cited WHERE part = 'prerequisite' AND kind = 'runtime-observation')
+UNION ALL SELECT 'unsupported-outcome', 'expected:' || idx, NULL FROM prose WHERE part = 'expected' AND idx NOT IN (SELECT idx FROM cited WHERE part = 'expected' AND kind = 'visible-outcome')
+UNION ALL SELECT 'invalid-deduplication', 'duplicate:' || id, id::VARCHAR FROM k WHERE n % 3 = 0 AND NOT (id IN (SELECT claim_id FROM cls WHERE class = 'excluded' AND reason = 'duplicate') AND id + 1 IN (SELECT claim_id FROM cls WHERE class <> 'excluded'))
+UNION ALL SELECT CASE WHEN kind IS NULL THEN 'unknown-claim' ELSE 'excluded-claim-used' END, 'plan:' || k.id, k.id::VARCHAR FROM k LEFT JOIN m ON claim_id = k.id WHERE kind IS NULL OR out
+UNION ALL SELECT 'invalid-screenshot-intent', 'intent:' || id, NULL FROM k LEFT JOIN prose ON part = 'step' AND idx = id WHERE ids IS NULL OR NOT list_contains(ids, id)""")
+def writer_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Conversation turns as claims, sorted, cited, planned and shown by their lengths and places."""
+    k = table(spark, d, "conversations").selectExpr("conv_id * 100 + turn as id", "turn", "length(coalesce(text, '')) as n")
+    claims = k.filter("n % 9 <> 0").selectExpr("id as claim_id", "if(n % 2 = 0, 'runtime-observation', 'visible-outcome') as kind")
+    classes = k.filter("n % 7 <> 0").selectExpr("id as claim_id", "case n % 5 when 0 then 'excluded' when 1 then 'context' else 'selected' end as class", "if(n % 10 = 0, 'duplicate', null) as reason")
+    classes = classes.unionByName(k.filter("n % 11 = 0").selectExpr("id as claim_id", "'context' as class", "cast(null as string) as reason"))
+    prose = k.selectExpr("case turn when 0 then 'prerequisite' when 1 then 'expected' else 'step' end as part", "id as idx", "if(n % 13 = 0, cast(array() as array<bigint>), array(id, id + 1)) as claim_ids")
+    duplicates = k.filter("n % 3 = 0").selectExpr("id as idx", "id as claim_id", "id + 1 as retained")
+    return rules.writer_issues(claims, classes, prose, k.selectExpr("id as idx", "id as claim_id"), duplicates, k.selectExpr("id as idx", "id as step", "array(id) as claim_ids"))
+
+
+@query("""SELECT count(*) AS states_discovered, count(*) FILTER (c_acctbal < 0) AS boundary_states, count(*) FILTER (c_mktsegment = 'BUILDING') AS mutation_stop_branches, greatest(0, max(c_nationkey)) AS max_depth_reached,
+  (SELECT count(*) FILTER (o_orderstatus = 'F') FROM orders) AS transitions_observed, (SELECT count(*) FILTER (o_orderstatus = 'P') FROM orders) AS failed_transitions, (SELECT count(*) FROM lineitem) AS targets_skipped,
+  (SELECT count(*) FILTER (l_returnflag = 'R') FROM lineitem) AS blocked, (SELECT count(*) FILTER (l_returnflag = 'N') FROM lineitem) AS unknown FROM customer""")
+def crawl_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as states, orders as transitions, line items as skipped targets."""
+    states = table(spark, d, "customer").selectExpr("c_acctbal < 0 as boundary", "if(c_mktsegment = 'BUILDING', array('mutation-observed'), cast(array() as array<string>)) as stops", "c_nationkey as depth")
+    moves = table(spark, d, "orders").selectExpr("case o_orderstatus when 'F' then 'observed' when 'P' then 'failed' else 'open' end as status")
+    return summaries.discovery_summary(states, moves, table(spark, d, "lineitem").selectExpr("case l_returnflag when 'R' then 'blocked' when 'N' then 'unknown' else 'allowed' end as decision"))
+
+
+@query("""SELECT count(*) AS states_observed, count(*) FILTER (c_acctbal < 0) AS origin_boundaries, count(*) FILTER (c_mktsegment = 'BUILDING') AS mutation_stops, count(*) FILTER (c_nationkey > 12) AS partial_states, count(*) FILTER (c_mktsegment = 'BUILDING') AS branch_stops, (SELECT count(*) FROM orders) AS transitions_observed FROM customer""")
+def crawl_coverage(spark: SparkSession, d: str) -> DataFrame:
+    states = table(spark, d, "customer").selectExpr("c_custkey as state_id", "c_acctbal < 0 as boundary", "if(c_mktsegment = 'BUILDING', array('mutation-observed'), cast(array() as array<string>)) as stops", "if(c_nationkey > 12, 'partial', 'ready') as readiness")
+    return summaries.runtime_coverage(states, table(spark, d, "orders"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'operation' ELSE 'endpoint' END AS domain, CASE l_returnflag WHEN 'A' THEN 'corroborated' WHEN 'N' THEN 'contract-only' ELSE 'conflicting' END AS status FROM lineitem),
+s AS (SELECT d.x AS domain, t.x AS status FROM (SELECT unnest(['operation', 'endpoint', 'type']) AS x) d, (SELECT unnest(['corroborated', 'contract-only', 'product-only', 'ambiguous', 'conflicting']) AS x) t)
+SELECT s.domain, s.status, count(r.status) AS results FROM s LEFT JOIN r USING (domain, status) GROUP BY ALL UNION ALL SELECT 'total', t.x, count(r.status) FROM (SELECT unnest(['corroborated', 'contract-only', 'product-only', 'ambiguous', 'conflicting']) AS x) t LEFT JOIN r ON r.status = t.x GROUP BY ALL""")
+def contract_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as results of a contract, zeros included."""
+    rows = table(spark, d, "lineitem").selectExpr("if(l_linestatus = 'F', 'operation', 'endpoint') as domain", "case l_returnflag when 'A' then 'corroborated' when 'N' then 'contract-only' else 'conflicting' end as status")
+    return summaries.contract_totals(rows, ["operation", "endpoint", "type"])
+
+
+@query("SELECT l_linestatus AS domain, count(*) AS results, count(*) FILTER (l_returnflag = 'A') AS compared FROM lineitem GROUP BY ALL")
+def contract_compared(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.contract_coverage(table(spark, d, "lineitem").selectExpr("l_linestatus as domain", "l_returnflag <> 'N' as has_contract", "l_returnflag <> 'R' as has_product"))
+
+
+@query("SELECT '/v1/' || event_type AS value, CASE WHEN value > 50 THEN 'EU' END AS region, count(*) AS mentions, min(event_id) AS first_line FROM events GROUP BY ALL")
+def endpoint_regions(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.endpoint_regions(table(spark, d, "events").selectExpr("concat('/v1/', event_type) as value", "if(value > 50, 'EU', null) as region", "event_id as line"))
+
+
+@query("SELECT count(*) FILTER (value > 40) AS with_context, count(*) FILTER (NOT coalesce(value > 40, false)) AS without_context, coalesce(sum(user_id), 0)::BIGINT AS pairs_evaluated, count(*) FILTER (event_type = 'click') AS unique_matches, count(*) FILTER (event_type = 'view') AS ambiguous_matches FROM events")
+def context_summary(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.ui_context(table(spark, d, "events").selectExpr("case event_type when 'click' then 'corroborated' when 'view' then 'ambiguous' else 'runtime-only' end as status", "if(value > 40, 'eligible', 'ambiguous-route-context') as context", "user_id as evaluated"))
 
 
 def queries() -> dict[str, Query]:
