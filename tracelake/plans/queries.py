@@ -11,14 +11,17 @@ from tracelake.functions import routes as R
 from tracelake.functions import text as X
 from tracelake.functions import urls as U
 from tracelake.operators import contracts, documents, graph, matching, routes, sequences
+from tracelake.plans.projected import Projected
 from tracelake.sources.tables import containment, links, table
 
 PATTERNS = [("r0", "/en/:id"), ("r1", "/de/:docId"), ("r2", "/de/:id"), ("r3", "/fr/*"), ("r4", "/fr/825"), ("r5", "/en/*"), ("r6", "/admin"), ("r7", None)]
 DECLARED = ["click", "click", "view", "purchase", "refund", None]
 PREFIXES = ["STANDARD", "STANDARD ANODIZED", "PROMO", "PROMO BURNISHED", "ECONOMY", "SMALL", "LARGE BRUSHED"]
-CONTRACT = [("create", "input", "CreateInput!", True, "DEFAULT"), ("create", "dry", "Boolean", False, None), ("list", "page", "Int", False, "1"), ("list", "size", "Int", False, "20")]
-PRODUCT = [("create", "input", "CreateInput", True, "DEFAULT"), ("create", "notify", "Boolean", False, None), ("list", "page", "Int", True, "2"), ("list", "size", "Int", False, None)]
-ARGUMENT = "operation string, argument string, type string, required boolean, default_value string"
+#: Arguments of operations on two sides, as projections of customers and parts.
+ARGUMENTS = Projected({
+    "contract": ("operation string, argument string, type string, required boolean, default_value string", "SELECT 'op' || c_custkey, 'k' || (c_nationkey % 4), CASE WHEN c_acctbal > 5000 THEN 'Int' ELSE 'Int!' END, c_acctbal > 2000, CASE WHEN c_nationkey > 8 THEN '' || (c_nationkey % 3) END FROM {customer}"),
+    "product": ("operation string, argument string, type string, required boolean, default_value string", "SELECT 'op' || p_partkey, 'k' || (p_size % 4), CASE WHEN p_size > 25 THEN 'Int' ELSE 'Int!' END, p_size > 10, CASE WHEN p_size > 15 THEN '' || (p_size % 3) END FROM {part}"),
+})
 
 
 def _states(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +159,7 @@ def unassigned_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contract_argument_diff(spark: SparkSession, d: str) -> DataFrame:
-    return contracts.argument_diff(spark.createDataFrame(CONTRACT, ARGUMENT), spark.createDataFrame(PRODUCT, ARGUMENT))
+    return contracts.argument_diff(ARGUMENTS.frame(spark, d, "contract"), ARGUMENTS.frame(spark, d, "product"))
 
 
 def contract_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +232,6 @@ _CLASS = r"""CASE WHEN regexp_matches(value, '(?i)redact|masked|hidden|^\*+$') O
 _PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '(?i)<br[ \t\r\n]*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '[ \t\r\n\f\v]+', ' ', 'g'))"""
 _FORM = r"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\[[a-z][a-z0-9 -]{{2,80}}\]', '[tenant-value]', 'g'), '[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{{2,}}', '[tenant-value]', 'g'), 'https?://[^ \t\r\n)]+', '[tenant-value]', 'g'), '[ \t\r\n\f\v]+', ' ', 'g')), '[.!?]+$', '')"""
 _TERMS = ", ".join(f"('{t}', {i})" for i, t in enumerate(X.MUTATIONS))
-_ARGUMENTS = [", ".join("(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else str(v).lower() for v in row) + ")" for row in side) for side in (CONTRACT, PRODUCT)]
 
 SQL = {
     "route_reconciliation": _RECONCILED + "SELECT * FROM results",
@@ -264,8 +266,8 @@ SQL = {
       SELECT root, depth, count(*) AS n, min(node) AS first_node FROM t GROUP BY root, depth""",
     "feature_rollup": "SELECT n_name, count(DISTINCT c_custkey) AS elements, count(o_orderkey) AS items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name",
     "unassigned_evidence": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "contract_argument_diff": f"""WITH b AS (SELECT coalesce(c.o, p.o) AS operation, coalesce(c.a, p.a) AS argument, c.o IS NOT NULL AND p.o IS NOT NULL AS there, c.t = p.t AS t, c.r = p.r AS r, c.d = p.d AS d
-      FROM (VALUES {_ARGUMENTS[0]}) c(o, a, t, r, d) FULL JOIN (VALUES {_ARGUMENTS[1]}) p(o, a, t, r, d) ON c.o = p.o AND c.a = p.a)
+    "contract_argument_diff": ARGUMENTS.with_sql("contract", "product") + """, b AS (SELECT coalesce(c.operation, p.operation) AS operation, coalesce(c.argument, p.argument) AS argument, c.operation IS NOT NULL AND p.operation IS NOT NULL AS there, c.type = p.type AS t, c.required = p.required AS r, c.default_value = p.default_value AS d
+      FROM contract c FULL JOIN product p ON c.operation = p.operation AND c.argument = p.argument)
       SELECT operation, argument, 'presence' AS dimension, CASE WHEN there THEN 'match' ELSE 'conflict' END AS status FROM b
       UNION ALL SELECT operation, argument, 'type', CASE WHEN t THEN 'match' ELSE 'conflict' END FROM b WHERE there
       UNION ALL SELECT operation, argument, 'required', CASE WHEN r THEN 'match' ELSE 'conflict' END FROM b WHERE there
