@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.names import filled
-from tracelake.functions.text import stable_hash
-from tracelake.functions.urls import url_path
+from tracelake.functions.text import mutation_term, stable_hash
+from tracelake.functions.urls import origin, url_path
 
 #: Kinds of targets, the best first.
 PRIORITIES = ["explicit-navigation", "strong-custom-navigation", "supporting-navigation", "safe-control", "utility-navigation", "unknown", "semantic-image", "form-control"]
@@ -68,3 +68,40 @@ def transition_ids(transitions: DataFrame) -> DataFrame:
     failed = F.coalesce("failed", F.lit(False))
     parts = F.when(failed, F.concat_ws("|", "src", "target_id", F.lit("failed"))).otherwise(F.concat_ws("|", "src", F.coalesce("dst", F.lit("none")), "target_id"))
     return transitions.select(F.concat(F.lit("runtime-transition:"), stable_hash(parts)).alias("id"), "src", "dst", "target_id", F.when(failed, F.lit("failed")).otherwise(F.lit("observed")).alias("status"))
+
+
+#: Words of entries to a session, and what shows that a custom target navigates.
+ENTRIES = ["login", "log in", "sign in"]
+CONTEXTS = ["navigation-context", "menu-context", "repeated-clickable-sibling-group"]
+
+
+def probe_safety(targets: DataFrame, origins: list[str] | None = None, entries: list[str] | None = None) -> DataFrame:
+    """targets (source, texts, submits, input_type, declared, resolved, page_url, strength, navigation, evidence, in_form) with
+    decision (blocked, allowed or unknown) and reasons, by the first rule that applies: words of a change, a form that would be
+    sent, where a link leads, strong evidence of navigation, strong evidence of an entry to a session. texts: all that the
+    target is called; in_form: whether it stands in a form or belongs to one. origins: allowed beside that of the page."""
+    told = F.array_join(F.transform("texts", lambda t: F.coalesce(t, F.lit(""))), " ")
+    change = mutation_term(told)
+    declared, resolved = filled(F.col("declared")), filled(F.col("resolved"))
+    scheme = F.lower(F.regexp_extract(declared, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    absolute = F.regexp_like(resolved, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:"))
+    protocol = F.when(absolute, F.lower(F.regexp_extract(resolved, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))).otherwise(F.lit("https"))
+    outside = absolute & (origin(resolved) != origin(F.col("page_url"))) & ~F.coalesce(origin(resolved).isin(origins or []), F.lit(False))
+    strong = F.coalesce((F.col("source") == "interaction-candidate") & (F.col("strength") == "strong"), F.lit(False))
+    custom = F.coalesce((F.col("navigation") == "custom-navigation") & F.array_contains("evidence", "strong-click-evidence") & F.arrays_overlap("evidence", F.array(*[F.lit(c) for c in CONTEXTS])), F.lit(False))
+    entry = mutation_term(told, entries or ENTRIES).isNotNull()
+    free = strong & ~F.coalesce("in_form", F.lit(False))
+    clear = ["no-destructive-signal", "not-form-submit"]
+    rule = lambda decision, *reasons: F.struct(F.lit(decision).alias("decision"), F.array(*[r if isinstance(r, Column) else F.lit(r) for r in reasons]).alias("reasons"))
+    web = ["http", "https"]
+    found = F.when(change.isNotNull(), rule("blocked", F.concat(F.lit("destructive-action-text:"), change)))
+    found = found.when(F.coalesce("submits", F.lit(False)) | (filled(F.col("input_type")) == "submit"), rule("blocked", "form-submission"))
+    linked = (declared != "") | (resolved != "")
+    found = found.when(linked & (scheme != "") & ~scheme.isin(web), rule("blocked", F.concat(F.lit("unsupported-navigation-scheme:"), scheme)))
+    found = found.when(linked & (resolved == ""), rule("unknown", "unresolved-navigation-destination"))
+    found = found.when(linked & ~protocol.isin(web), rule("blocked", F.concat(F.lit("unsupported-navigation-scheme:"), protocol)))
+    found = found.when(linked & outside, rule("blocked", "cross-origin")).when(linked, rule("allowed", "safe-same-origin-navigation", *clear))
+    found = found.when(free & custom, rule("allowed", "strong-interaction-evidence", "structural-navigation-context", *clear)).when(free & entry, rule("allowed", "strong-interaction-evidence", "authentication-entry", *clear))
+    last = F.when(strong, F.lit("strong-interaction-without-safe-navigation-evidence")).otherwise(F.lit("insufficient-safe-navigation-evidence"))
+    found = found.otherwise(rule("unknown", last))
+    return targets.withColumn("__found", found).select(*[c for c in targets.columns if c not in ("decision", "reasons")], "__found.decision", "__found.reasons")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.names import box_issue, claim_allowed, mapping_status
-from tracelake.functions.text import stable_hash
+from tracelake.functions.text import redacted, stable_hash
 
 #: The order of claims by kind, and the steps that a document may take.
 KINDS = ["goal", "route", "action", "input", "outcome", "limitation"]
@@ -118,3 +118,40 @@ def latest_packages(entries: DataFrame) -> DataFrame:
 def merged_warnings(detected: DataFrame, redacted: DataFrame) -> DataFrame:
     """The detected warnings (warning_id, state) and the redacted ones that are detected no more."""
     return detected.unionByName(redacted.join(detected, "warning_id", "left_anti"))
+
+
+def internal_evidence(items: DataFrame, links: DataFrame, operations: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, feature_id, kind, label, node_id, contract_id, result_id): what a feature rests on without showing it: its requests
+    and executions, items (feature_id, kind: http or graphql, item_id, label, node_id, result_id), and the documented operations
+    that links (link_id, feature_id, node_id, operation_id, result_id) name, if operation (operation_id, type, name) and result
+    (result_id) are there. One row for each identity and feature."""
+    key = lambda kind, of: F.concat(F.lit("knowledge-internal:"), stable_hash(F.concat_ws("|", F.lit(kind) if isinstance(kind, str) else kind, of)))
+    none = F.lit(None).cast("string")
+    own = items.filter("kind in ('http', 'graphql')").select(key(F.col("kind"), F.col("item_id")).alias("id"), "feature_id", "kind", redacted(F.col("label")).alias("label"), "node_id", none.alias("contract_id"), "result_id")
+    known = links.join(operations.select("operation_id", "type", "name"), "operation_id").join(results.select("result_id").distinct(), "result_id", "left_semi")
+    named = known.select(key("contract", F.col("link_id")).alias("id"), "feature_id", F.lit("contract-operation").alias("kind"), F.concat_ws(" ", "type", redacted(F.col("name"))).alias("label"), "node_id", F.col("operation_id").alias("contract_id"), "result_id")
+    rows = own.unionByName(named)
+    first = rows.groupBy("feature_id", "id").agg(F.min(F.struct("kind", "label", "node_id", "contract_id", "result_id")).alias("x"))
+    return first.select("id", "feature_id", "x.*")
+
+
+def limitations(claims: DataFrame, bounded: bool = True) -> DataFrame:
+    """(feature_id, kind, claim_id, message): what the claims (claim_id, feature_id, kind, status) of a feature do not show:
+    no outcome was seen, a claim's evidence is ambiguous or in conflict, and runtime coverage is bounded."""
+    outcome = F.col("kind").isin("visible-outcome", "validation-message")
+    seen = claims.groupBy("feature_id").agg(F.coalesce(F.bool_or(outcome), F.lit(False)).alias("seen"))
+    none = F.lit(None).cast("string").alias("claim_id")
+    missing = seen.filter("not seen").select("feature_id", F.lit("missing-evidence").alias("kind"), none, F.lit("Success or error outcome was not observed in runtime evidence.").alias("message"))
+    unsure = claims.filter("status in ('ambiguous', 'conflicting')")
+    kind = F.when(F.col("status") == "ambiguous", F.lit("evidence-ambiguity")).otherwise(F.lit("evidence-conflict"))
+    doubt = unsure.select("feature_id", kind.alias("kind"), "claim_id", F.concat("kind", F.lit(" evidence is "), "status", F.lit(" and is not publishable.")).alias("message"))
+    out = missing.unionByName(doubt)
+    return out.unionByName(seen.select("feature_id", F.lit("bounded-runtime").alias("kind"), none, F.lit("Runtime evidence was collected with bounded coverage.").alias("message"))) if bounded else out
+
+
+def ui_claim_status(items: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """items (item_id, status, refs) with status ambiguous where an ambiguous result about elements refers to one of their refs:
+    ambiguous (ref)."""
+    hit = items.select("item_id", F.explode("refs").alias("ref")).join(ambiguous.select("ref").distinct(), "ref", "left_semi").select("item_id", F.lit(True).alias("__hit")).distinct()
+    rows = items.join(hit, "item_id", "left")
+    return rows.select(*[F.when(F.col("__hit"), F.lit("ambiguous")).otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in items.columns])

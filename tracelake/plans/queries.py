@@ -126,9 +126,12 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.plain_html(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), X.plain_html(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("heading"))
 
 
+_BUTTON = "concat(case p_size % 6 when 0 then 'Delete ' when 1 then 'Cancel  subscription: ' when 2 then 'Undelete ' when 3 then 'BUY-' when 4 then 'Pay and remove ' else 'Show ' end, p_name)"
+
+
 def probe_safety(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation turns by the first changing action that they name."""
-    rows = table(spark, d, "conversations").select(X.mutation_term(F.coalesce("text", F.lit(""))).alias("term"))
+    """Buttons that name parts, by the first changing action that they name."""
+    rows = table(spark, d, "part").select(X.mutation_term(F.expr(_BUTTON)).alias("term"))
     return rows.groupBy(F.coalesce("term", F.lit("none")).alias("term")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -154,8 +157,9 @@ def feature_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unassigned_evidence(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, d, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
+    """Orders that no line item belongs to."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, d, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey")
 
 
 def contract_argument_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -181,21 +185,26 @@ def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select(documents.blocks(F.col("text")).alias("b")).select(F.explode("b").alias("x"))
+    """Turns as parts of an article: a heading, their text, and a list of their role and place."""
+    told = F.concat(F.lit("## "), "role", F.lit("\n"), "text", F.lit("\n- turn "), F.col("turn").cast("string"), F.lit("\n2) of "), F.col("conv_id").cast("string"), F.lit("\n\nlast"))
+    rows = table(spark, d, "conversations").select(documents.blocks(told).alias("b")).select(F.explode("b").alias("x"))
     return rows.groupBy("x.kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("x.text")).alias("chars"))
 
 
 def statement_support(spark: SparkSession, d: str) -> DataFrame:
-    """Text lines that say what a benchmark item says, whatever tenant values differ."""
-    claims = table(spark, d, "benchmark").select("item_id", X.supported_form(F.col("text")).alias("form"))
+    """Documents' lines that say what a benchmark item says, whatever tenant values differ; the first item of each
+    tenth document is written into it, with an address of its own."""
+    claims = table(spark, d, "benchmark").select("item_id", X.supported_form(F.concat("text", F.lit(" TO [some name]!"))).alias("form"))
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    lines = lines.select("doc_id", X.supported_form(F.col("line")).alias("form")).filter("form <> ''")
+    planted = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id")).join(table(spark, d, "benchmark").select("item_id", "text"), "item_id")
+    planted = planted.select("doc_id", F.concat(F.lit("  "), "text", F.lit("  to a"), F.col("doc_id").cast("string"), F.lit("@mail.test.")).alias("line"))
+    lines = lines.unionByName(planted).select("doc_id", X.supported_form(F.col("line")).alias("form")).filter("form <> ''")
     return lines.join(claims, "form").groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"))
 
 
 def grounding_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of unknown documents, and documents that no label uses."""
-    labels, known = table(spark, d, "labels"), table(spark, d, "documents")
+    """Labels of unknown documents (their identifiers are spread), and documents that no label uses."""
+    labels, known = table(spark, d, "labels").select((F.col("doc_id") * 3).alias("doc_id")), table(spark, d, "documents")
     found = matching.missing_references(labels, "doc_id", known, "doc_id", "unknown-claim").unionByName(matching.missing_references(known, "doc_id", labels, "doc_id", "unused-claim"))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("subject").alias("subjects"))
 
@@ -258,14 +267,14 @@ SQL = {
     "nav_resolution": f"""WITH t AS (SELECT DISTINCT lower(href) AS path FROM ({_NAV})), p AS (SELECT '/' || string_split(path, '/')[2] AS path, count(*) AS n, min(page_id) AS one FROM ({_PATHS}) GROUP BY 1)
       SELECT t.path, CASE WHEN n = 1 THEN one END AS target, coalesce(n, 0) AS n_target, CASE WHEN n = 1 THEN 'resolved' WHEN n IS NULL THEN 'no-route' ELSE 'several-routes' END AS reason FROM t LEFT JOIN p USING (path)""",
     "page_titles": "SELECT page_id, " + _PLAIN.format("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')") + " AS title, " + _PLAIN.format("regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')") + " AS heading FROM pages",
-    "probe_safety": f"""SELECT coalesce(term, 'none') AS term, count(*) AS n FROM (SELECT (SELECT t FROM (VALUES {_TERMS}) v(t, i) WHERE contains(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || t || ' ') ORDER BY i LIMIT 1) AS term FROM conversations) GROUP BY 1""",
+    "probe_safety": f"""SELECT coalesce(term, 'none') AS term, count(*) AS n FROM (SELECT (SELECT t FROM (VALUES {_TERMS}) v(t, i) WHERE contains(' ' || trim(regexp_replace(lower({_BUTTON}), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || t || ' ') ORDER BY i LIMIT 1) AS term FROM part) GROUP BY 1""",
     "graph_summary": """SELECT 'node' AS part, 'region' AS type, count(*) AS n FROM region UNION ALL SELECT 'node', 'nation', count(*) FROM nation UNION ALL SELECT 'node', 'customer', count(*) FROM customer UNION ALL SELECT 'node', 'orders', count(*) FROM orders
       UNION ALL SELECT 'edge', 'CONTAINS', (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders)""",
     "trace_from_region": """WITH RECURSIVE e AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT 'customer:' || o_custkey, 'orders:' || o_orderkey FROM orders),
       t AS (SELECT 'region:' || r_regionkey AS root, 'region:' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT root, dst, depth + 1 FROM t JOIN e ON node = src)
       SELECT root, depth, count(*) AS n, min(node) AS first_node FROM t GROUP BY root, depth""",
     "feature_rollup": "SELECT n_name, count(DISTINCT c_custkey) AS elements, count(o_orderkey) AS items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name",
-    "unassigned_evidence": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "unassigned_evidence": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "contract_argument_diff": ARGUMENTS.with_sql("contract", "product") + """, b AS (SELECT coalesce(c.operation, p.operation) AS operation, coalesce(c.argument, p.argument) AS argument, c.operation IS NOT NULL AND p.operation IS NOT NULL AS there, c.type = p.type AS t, c.required = p.required AS r, c.default_value = p.default_value AS d
       FROM contract c FULL JOIN product p ON c.operation = p.operation AND c.argument = p.argument)
       SELECT operation, argument, 'presence' AS dimension, CASE WHEN there THEN 'match' ELSE 'conflict' END AS status FROM b
@@ -281,13 +290,14 @@ SQL = {
     "secret_redaction": r"""SELECT doc_id, sha256(clean) AS clean_sha256 FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)(Authorization[ \t\r\n]*[:=][ \t\r\n]*Bearer[ \t\r\n]+)[^ \t\r\n,"''}]+', '\1[REDACTED]', 'g'),
       '(?i)(["'']?(?:token|api[_-]?key|password|secret)["'']?[ \t\r\n]*[:=][ \t\r\n]*["''])[^"'']+(["''])', '\1[REDACTED]\2', 'g') AS clean FROM documents) WHERE text <> clean""",
     "markdown_blocks": r"""WITH l AS (SELECT conv_id, turn, i, CASE WHEN v = '' THEN 'blank' WHEN regexp_matches(v, '^#{1,6}[ \t]+.+$') THEN 'heading' WHEN regexp_matches(v, '^([-*+] |[0-9]+[.)] ).+$') THEN 'list-item' ELSE 'paragraph' END AS kind, v
-        FROM (SELECT conv_id, turn, i, regexp_replace(x, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g') AS v FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\r?\n')) AS x, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS i FROM conversations WHERE text IS NOT NULL))),
+        FROM (SELECT conv_id, turn, i, regexp_replace(x, '^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g') AS v FROM (SELECT conv_id, turn, unnest(string_split_regex(t, '\r?\n')) AS x, generate_subscripts(string_split_regex(t, '\r?\n'), 1) AS i FROM (SELECT conv_id, turn, '## ' || role || chr(10) || text || chr(10) || '- turn ' || turn || chr(10) || '2) of ' || conv_id || chr(10) || chr(10) || 'last' AS t FROM conversations WHERE text IS NOT NULL)))),
       g AS (SELECT *, sum(CASE WHEN kind = 'paragraph' AND k = 'paragraph' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, turn ORDER BY i) AS b FROM (SELECT *, lag(kind) OVER (PARTITION BY conv_id, turn ORDER BY i) AS k FROM l)),
       t AS (SELECT min(kind) AS kind, CASE min(kind) WHEN 'heading' THEN trim(regexp_extract(min(v), '^#{1,6}[ \t]+(.+)$', 1)) WHEN 'list-item' THEN trim(regexp_extract(min(v), '^(?:[-*+] |[0-9]+[.)] )(.+)$', 1)) ELSE string_agg(v, ' ' ORDER BY i) END AS x FROM g WHERE kind <> 'blank' GROUP BY conv_id, turn, b)
       SELECT kind, count(*) AS n, sum(length(x))::BIGINT AS chars FROM t GROUP BY kind""",
-    "statement_support": f"""SELECT item_id, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, {_FORM.format("line")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) JOIN (SELECT item_id, {_FORM.format("text")} AS form FROM benchmark) USING (form) WHERE form <> '' GROUP BY item_id""",
-    "grounding_issues": """SELECT 'unknown-claim' AS rule, count(*) AS issues, count(DISTINCT doc_id) AS subjects FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) HAVING count(*) > 0
-      UNION ALL SELECT 'unused-claim', count(*), count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) HAVING count(*) > 0""",
+    "statement_support": f"""SELECT item_id, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, {_FORM.format("line")} AS form FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT doc_id, '  ' || b.text || '  to a' || doc_id || '@mail.test.' FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40))
+      JOIN (SELECT item_id, {_FORM.format("text || ' TO [some name]!'")} AS form FROM benchmark) USING (form) WHERE form <> '' GROUP BY item_id""",
+    "grounding_issues": """WITH l AS (SELECT doc_id * 3 AS doc_id FROM labels) SELECT 'unknown-claim' AS rule, count(*) AS issues, count(DISTINCT doc_id) AS subjects FROM l WHERE doc_id NOT IN (SELECT doc_id FROM documents) HAVING count(*) > 0
+      UNION ALL SELECT 'unused-claim', count(*), count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM l) HAVING count(*) > 0""",
     "callout_numbering": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY role, turn) AS number FROM conversations",
     "latest_revision": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "dedupe_conflicts": "SELECT user_id, event_type, count(*) AS n, count(DISTINCT props) AS n_values, CASE WHEN count(DISTINCT props) > 1 THEN 'conflict' ELSE 'duplicate' END AS status FROM events GROUP BY user_id, event_type HAVING count(*) > 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import routes as R
 from tracelake.functions.urls import application_path
-from tracelake.operators import fingerprints, projections, rules, summaries, trees
+from tracelake.operators import crawl, documents, fingerprints, knowledge, projections, rules, summaries, trees
 from tracelake.sources.tables import links, table
 from tracelake.streaming import readiness
 
@@ -288,6 +288,73 @@ def context_summary(spark: SparkSession, d: str) -> DataFrame:
     return summaries.ui_context(table(spark, d, "events").selectExpr("case event_type when 'click' then 'corroborated' when 'view' then 'ambiguous' else 'runtime-only' end as status", "if(value > 40, 'eligible', 'ambiguous-route-context') as context", "user_id as evaluated"))
 
 
+_BUTTON = "concat(case p_size % 9 when 0 then 'Delete ' when 1 then 'Log in to ' else 'Show ' end, p_name)"
+_TARGET = """CASE WHEN p_size % 9 = 0 THEN 'blocked|destructive-action-text:delete' WHEN p_size % 11 = 0 OR p_size % 13 = 0 THEN 'blocked|form-submission' WHEN p_size % 7 = 0 THEN 'blocked|unsupported-navigation-scheme:mailto'
+  WHEN p_size % 7 = 1 THEN 'unknown|unresolved-navigation-destination' WHEN p_size % 7 = 2 THEN CASE WHEN p_size % 3 = 0 THEN 'blocked|cross-origin' ELSE 'allowed|safe-same-origin-navigation,no-destructive-signal,not-form-submit' END WHEN p_size % 7 = 3 THEN 'allowed|safe-same-origin-navigation,no-destructive-signal,not-form-submit'
+  WHEN p_size % 2 = 0 AND p_partkey % 5 <> 0 AND p_size % 4 = 0 THEN 'allowed|strong-interaction-evidence,structural-navigation-context,no-destructive-signal,not-form-submit' WHEN p_size % 2 = 0 AND p_partkey % 5 <> 0 AND p_size % 9 = 1 THEN 'allowed|strong-interaction-evidence,authentication-entry,no-destructive-signal,not-form-submit'
+  WHEN p_size % 2 = 0 THEN 'unknown|strong-interaction-without-safe-navigation-evidence' ELSE 'unknown|insufficient-safe-navigation-evidence' END"""
+
+
+@query(f"SELECT p_partkey, split_part(told, '|', 1) AS decision, split_part(told, '|', 2) AS reasons FROM (SELECT p_partkey, {_TARGET} AS told FROM part)")
+def probe_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as targets of a page, by all rules of safety in their order."""
+    rows = table(spark, d, "part").selectExpr(
+        "p_partkey", "if(p_size % 2 = 0, 'interaction-candidate', 'semantic-element') as source", f"array({_BUTTON}, null, p_brand) as texts", "p_size % 11 = 0 as submits", "if(p_size % 13 = 0, 'submit', null) as input_type",
+        "case p_size % 7 when 0 then 'mailto:x@a.test' when 1 then '/gone' when 2 then 'HTTPS://b.test/x' when 3 then '/here' end as declared",
+        "case p_size % 7 when 0 then 'mailto:x@a.test' when 2 then if(p_size % 3 = 0, 'https://c.test/x', 'https://b.test/x') when 3 then '/here' end as resolved", "'https://a.test/page' as page_url",
+        "if(p_size % 2 = 0, 'strong', 'weak') as strength", "if(p_size % 4 = 0, 'custom-navigation', 'none') as navigation", "array('strong-click-evidence', 'menu-context') as evidence", "p_partkey % 5 = 0 as in_form",
+    )
+    return crawl.probe_safety(rows, origins=["https://b.test"]).select("p_partkey", "decision", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH b AS (SELECT conv_id, turn, CASE WHEN turn = 4 THEN 'heading' ELSE 'paragraph' END AS kind, 'Step ' || turn || ' of ' || conv_id || ' by x' || conv_id || '@mail.test' AS text FROM conversations)
+SELECT conv_id AS document_id, turn AS block, CASE WHEN (conv_id + turn) % 4 = 0 THEN 'ledger' WHEN turn = 1 AND conv_id % 3 <> 0 THEN 'claim' WHEN turn = 2 THEN 'limitation' WHEN turn = 3 AND conv_id % 2 = 0 THEN 'screenshot' END AS source,
+  CASE WHEN (conv_id + turn) % 4 = 0 THEN 'c' || turn || ',c1' WHEN turn = 1 AND conv_id % 3 <> 0 THEN 'c1' ELSE '' END AS claim_ids,
+  CASE WHEN (conv_id + turn) % 4 = 0 THEN CASE WHEN conv_id % 3 = 0 AND EXISTS (SELECT 1 FROM b x WHERE x.conv_id = b.conv_id AND x.turn = 1) THEN 'ambiguous-statement' END WHEN (turn = 1 AND conv_id % 3 <> 0) OR turn = 2 OR (turn = 3 AND conv_id % 2 = 0) THEN NULL ELSE 'unsupported-statement' END AS issue
+FROM b WHERE kind <> 'heading'""")
+def revalidated_statements(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as edited articles, their turns as blocks: some stand in the ledger, as claims, limitations or pictures."""
+    text = "concat('Step ', turn, ' of ', conv_id, ' by x', conv_id, '@mail.test')"
+    rows = table(spark, d, "conversations").selectExpr("conv_id as document_id", "turn as block", "if(turn = 4, 'heading', 'paragraph') as kind", f"{text} as text", "turn", "conv_id")
+    said = "concat('  STEP ', turn, '  of ', conv_id, ' by [the owner].')"
+    ledger = rows.filter("(conv_id + turn) % 4 = 0").selectExpr("document_id", "turn as place", f"{said} as text", "array(concat('c', turn), 'c1') as claim_ids")
+    claims = rows.filter("turn = 1").selectExpr("document_id", "'c1' as claim_id", "turn as place", f"{said} as text", "if(conv_id % 3 = 0, 'ambiguous', 'corroborated') as status", "true as publishable")
+    limits = rows.filter("turn = 2").selectExpr("document_id", f"{said} as message")
+    shots = rows.filter("turn = 3 and conv_id % 2 = 0").selectExpr("document_id", f"{text} as path")
+    found = documents.revalidated(rows.select("document_id", "block", "kind", "text"), ledger, claims, limits, shots)
+    return found.filter("block is not null").select("document_id", "block", "source", F.array_join("claim_ids", ",").alias("claim_ids"), "issue")
+
+
+_HASH = "'knowledge-internal:' || substr(sha256({0}), 1, 16)".format
+
+
+@query(f"""WITH i AS (SELECT {_HASH("kind || '|i' || k")} AS id, 'F' || o_custkey AS feature_id, kind, 'call ' || k AS label, 'n' || k AS node_id, NULL AS contract_id, 'R' || k AS result_id FROM (SELECT *, o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'http' ELSE 'graphql' END AS kind FROM orders WHERE o_orderstatus <> 'P')),
+l AS (SELECT {_HASH("'contract|l' || l_orderkey || '-' || l_linenumber")} AS id, 'F' || l_suppkey AS feature_id, 'contract-operation' AS kind, 'query op' || l_partkey AS label, 'n' || l_partkey AS node_id, 'p' || l_partkey AS contract_id, 'R' || l_orderkey AS result_id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000))
+SELECT * FROM i UNION ALL SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY feature_id, id ORDER BY kind, label, node_id, contract_id, result_id) = 1""")
+def knowledge_internal(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests and executions of customers' features, line items as their links to documented parts."""
+    items = table(spark, d, "orders").selectExpr("concat('F', o_custkey) as feature_id", "case o_orderstatus when 'F' then 'http' when 'O' then 'graphql' else 'other' end as kind", "concat('i', o_orderkey) as item_id", "concat('call ', o_orderkey) as label", "concat('n', o_orderkey) as node_id", "concat('R', o_orderkey) as result_id")
+    link = table(spark, d, "lineitem").selectExpr("concat('l', l_orderkey, '-', l_linenumber) as link_id", "concat('F', l_suppkey) as feature_id", "concat('n', l_partkey) as node_id", "concat('p', l_partkey) as operation_id", "concat('R', l_orderkey) as result_id")
+    operations = table(spark, d, "part").filter("p_size > 10").selectExpr("concat('p', p_partkey) as operation_id", "'query' as type", "concat('op', p_partkey) as name")
+    return knowledge.internal_evidence(items, link, operations, table(spark, d, "orders").filter("o_totalprice > 100000").selectExpr("concat('R', o_orderkey) as result_id"))
+
+
+@query("""WITH c AS (SELECT 'F' || o_custkey AS feature_id, 'c' || o_orderkey AS claim_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'visible-outcome' ELSE 'user-action' END AS kind, CASE WHEN o_totalprice > 450000 THEN 'conflicting' WHEN o_totalprice > 400000 THEN 'ambiguous' ELSE 'corroborated' END AS status FROM orders)
+SELECT feature_id, 'missing-evidence' AS kind, NULL AS claim_id, 'Success or error outcome was not observed in runtime evidence.' AS message FROM c GROUP BY feature_id HAVING NOT bool_or(kind = 'visible-outcome') UNION ALL SELECT DISTINCT feature_id, 'bounded-runtime', NULL, 'Runtime evidence was collected with bounded coverage.' FROM c
+UNION ALL SELECT feature_id, CASE status WHEN 'ambiguous' THEN 'evidence-ambiguity' ELSE 'evidence-conflict' END, claim_id, kind || ' evidence is ' || status || ' and is not publishable.' FROM c WHERE status <> 'corroborated'""")
+def knowledge_limitations(spark: SparkSession, d: str) -> DataFrame:
+    """What orders as claims of customers' features do not show."""
+    claims = table(spark, d, "orders").selectExpr("concat('F', o_custkey) as feature_id", "concat('c', o_orderkey) as claim_id", "if(o_orderpriority = '1-URGENT', 'visible-outcome', 'user-action') as kind", "case when o_totalprice > 450000 then 'conflicting' when o_totalprice > 400000 then 'ambiguous' else 'corroborated' end as status")
+    return knowledge.limitations(claims)
+
+
+@query("""SELECT 'i' || p_partkey AS item_id, CASE WHEN p_partkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000) OR p_partkey + 1 IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000) THEN 'ambiguous' ELSE 'corroborated' END AS status FROM part""")
+def ui_claim_statuses(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as elements with two references each, large orders as ambiguous results."""
+    items = table(spark, d, "part").selectExpr("concat('i', p_partkey) as item_id", "'corroborated' as status", "array(p_partkey, p_partkey + 1) as refs")
+    return knowledge.ui_claim_status(items, table(spark, d, "orders").filter("o_totalprice > 480000").selectExpr("o_custkey as ref")).select("item_id", "status")
+
+
 def queries() -> dict[str, Query]:
     return {name: function for name, (function, _) in FOUND.items()}
 
