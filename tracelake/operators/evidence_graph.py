@@ -8,7 +8,8 @@ A reference names keys in their order. A key answers if exactly one node has it
 symbol's key answers if exactly one symbol has it and its own key answers. A reference that no key answers becomes an
 unresolved row with a reason, or nothing where the code proves nothing (a call to what is no known callable).
 
-Identifiers are numbered (#2, #3, ...) where nodes, edges or unresolved rows would have the same. Evidence of components that
+Identifiers are numbered (#2, #3, ...) where nodes, edges or unresolved rows would have the same, by place; rows of one place by
+label, evidence or reason. Evidence of components that
 one component renders several times is collected on one edge. Manifests and their columns are in MANIFESTS; one that is left
 out counts as empty, and without `symbols` imports are unresolved by their binding. A location is a text
 `path:first line-last line`.
@@ -286,7 +287,7 @@ def _edges(found: DataFrame) -> DataFrame:
     rows = found.filter("dst is not null").select("type", F.col("src_id").alias("src"), "dst", "place", F.coalesce("step", F.lit(0)).alias("step"), F.when(symbol_at.isNull(), F.array(own)).otherwise(F.array(own, other)).alias("evidence"))
     base = F.concat(F.lit("edge:"), "type", F.lit(":"), "src", F.lit("->"), "dst")
     merged = rows.filter("type = 'COMPONENT_RENDERS_COMPONENT'").groupBy("type", "src", "dst").agg(F.flatten(F.collect_list("evidence")).alias("evidence"))  # places in the code of one component
-    rest = _numbered(rows.filter("type <> 'COMPONENT_RENDERS_COMPONENT'").withColumn("base", base), "base", ["place", "step"])
+    rest = _numbered(rows.filter("type <> 'COMPONENT_RENDERS_COMPONENT'").withColumn("base", base), "base", ["place", "step", "evidence"])
     out = rest.unionByName(merged.withColumn("id", base), allowMissingColumns=True)
     return out.select("id", "type", "src", "dst", F.array_sort("evidence").alias("evidence"))
 
@@ -300,7 +301,7 @@ def _unresolved(found: DataFrame) -> DataFrame:
     source = F.when((F.col("type") == "COMPONENT_RENDERS_COMPONENT") & (F.col("failed").isNotNull() | F.col("symbol_at").isNotNull()), F.lit("module-resolution")).otherwise(F.col("source"))
     base = F.concat(F.lit("unresolved:"), "type", F.lit(":"), "src_id", F.lit(":"), uri_component(F.coalesce("reference", F.lit(""))))
     rows = rows.select("type", F.col("src_id").alias("src"), "reference", reason.alias("reason"), source.alias("source"), "place", F.coalesce("step", F.lit(0)).alias("step"), base.alias("base"))
-    return _numbered(rows, "base", ["place", "step"]).select("id", "type", "src", "reference", "reason", "source")
+    return _numbered(rows, "base", ["place", "step", "reason"]).select("id", "type", "src", "reference", "reason", "source")
 
 
 def write_graph(graph: Graph, folder: str) -> Graph:
