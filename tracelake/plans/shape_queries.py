@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import routes as R
 from tracelake.functions.urls import application_path
-from tracelake.operators import crawl, documents, fingerprints, knowledge, projections, rules, summaries, trees
+from tracelake.operators import crawl, documents, fingerprints, knowledge, projections, rules, summaries, trees, workspace
 from tracelake.sources.tables import links, table
 from tracelake.streaming import readiness
 
@@ -355,6 +355,103 @@ def ui_claim_statuses(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.ui_claim_status(items, table(spark, d, "orders").filter("o_totalprice > 480000").selectExpr("o_custkey as ref")).select("item_id", "status")
 
 
+_CLAIM = """concat(case p_size % 6 when 0 then concat('Mail a', p_partkey, '@b.test for ') when 1 then 'See HTTPS://shop.test/x for ' when 2 then 'See https://example.com/x for ' when 3 then 'The client  name of ' else 'Select ' end, p_name)"""
+_SIGNAL = "CASE p_size % 6 WHEN 0 THEN 'email-address' WHEN 1 THEN 'tenant-hostname' WHEN 3 THEN 'customer-identifier' END"
+
+
+def _visible_claims(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").selectExpr("cast(floor(p_partkey / 3) as bigint) as package_id", "concat('s', p_partkey % 2) as state_id", f"{_CLAIM} as text", "p_size <= 40 as visible")
+
+
+@query(f"""SELECT p_partkey // 3 AS package_id, count(*) FILTER (p_size <= 40 AND {_SIGNAL} IS NOT NULL) > 0 AS tenant_specific,
+  coalesce(array_to_string(list_sort(list_distinct(list({_SIGNAL}) FILTER (p_size <= 40 AND {_SIGNAL} IS NOT NULL))), ','), '') AS signals FROM part GROUP BY 1""")
+def tenant_packages(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as claims, three to a package, and the signs of tenants in those that are shown."""
+    return workspace.package_signals(_visible_claims(spark, d)).withColumn("signals", F.array_join(F.array_sort("signals"), ","))
+
+
+@query(f"""WITH c AS (SELECT p_partkey // 3 AS package_id, 's' || (p_partkey % 2) AS state_id, {_SIGNAL} AS s FROM part WHERE p_size <= 40), g AS (SELECT package_id, state_id, count(*) AS related, count(s) AS n FROM c GROUP BY ALL)
+SELECT p_partkey // 3 AS package_id, 's' || (p_partkey % 3) AS state_id, p_partkey || '.png' AS path, CASE WHEN n > 0 THEN 'known-tenant-information' ELSE 'unknown' END AS safety, coalesce(related, 0) AS related FROM part LEFT JOIN g ON g.package_id = p_partkey // 3 AND g.state_id = 's' || (p_partkey % 3)""")
+def picture_reviews(spark: SparkSession, d: str) -> DataFrame:
+    pictures = table(spark, d, "part").selectExpr("cast(floor(p_partkey / 3) as bigint) as package_id", "concat('s', p_partkey % 3) as state_id", "concat(p_partkey, '.png') as path")
+    return workspace.picture_reviews(pictures, _visible_claims(spark, d)).drop("signals")
+
+
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 AS current FROM orders""")
+def revision_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as revisions of their customer's document."""
+    rows = table(spark, d, "orders").selectExpr("o_custkey as document_id", "o_orderkey as revision_id", "o_orderdate as created_at")
+    return workspace.numbered_revisions(rows).select(F.col("revision_id").alias("o_orderkey"), "number", "current")
+
+
+@query("""SELECT DISTINCT user_id AS probe_id, CASE event_type WHEN 'click' THEN 'POST' WHEN 'view' THEN 'GET' WHEN 'purchase' THEN 'PUT' ELSE 'DELETE' END AS method FROM events WHERE value > 50 AND event_type <> 'view'
+EXCEPT SELECT user_id, CASE event_type WHEN 'click' THEN 'POST' WHEN 'view' THEN 'GET' WHEN 'purchase' THEN 'PUT' ELSE 'DELETE' END FROM events WHERE value <= 3""")
+def probe_mutations(spark: SparkSession, d: str) -> DataFrame:
+    """Events with large values as traffic after a user's click, those with small ones as traffic before it."""
+    rows = table(spark, d, "events").selectExpr("user_id as probe_id", "case event_type when 'click' then 'post' when 'view' then 'GET' when 'purchase' then 'Put' else 'delete' end as method", "value")
+    return workspace.new_mutations(rows.filter("value <= 3"), rows.filter("value > 50"))
+
+
+@query("SELECT user_id AS state_id, bool_or(value > 95 OR event_type = 'purchase') AS meaningful FROM events GROUP BY user_id")
+def meaningful_states(spark: SparkSession, d: str) -> DataFrame:
+    return workspace.meaningful_states(table(spark, d, "events").selectExpr("user_id as state_id", "if(value > 95, 'x', '') as name", "if(event_type = 'purchase', 'y', null) as text"))
+
+
+@query("""SELECT 'u' || p_partkey AS node_id, CASE WHEN p_partkey % 4 <> 0 THEN 'c' || (p_partkey % 7) END AS component_id, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'button' END AS s_tag, p_name AS s_text, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS s_aria, '' AS s_label, CASE WHEN p_size % 3 = 0 THEN 'first' ELSE '' END AS s_title, '' AS s_hint, '' AS s_type, p_size > 25 AS s_event FROM part""")
+def static_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as elements with open data."""
+    props = """concat('[{"name":"type","valueType":"dynamic","value":"x"},7', if(p_size % 2 = 0, concat(',{"valueType":"string","name":"aria-label","value":"', p_brand, '"}'), ''), if(p_size % 3 = 0, ',{"name":"title","valueType":"string","value":"first"},{"name":"title","valueType":"string","value":"second"}', ''), ']')"""
+    data = f"""concat('{{"props":', {props}, ',"name":', if(p_size % 5 = 0, '5', '"Button"'), '}}')"""
+    rows = table(spark, d, "part")
+    nodes = rows.selectExpr("concat('u', p_partkey) as id", "'ui-element' as type", "concat('button \"', p_name, '\"') as label", f"try_parse_json({data}) as data")
+    edges = rows.filter("p_partkey % 4 <> 0").selectExpr("concat('b', p_partkey) as id", "'CONTAINS_ELEMENT' as type", "concat('c', p_partkey % 7) as src", "concat('u', p_partkey) as dst")
+    edges = edges.unionByName(rows.filter("p_partkey % 4 <> 0").selectExpr("concat('c', p_partkey) as id", "'CONTAINS_ELEMENT' as type", "'later' as src", "concat('u', p_partkey) as dst"))
+    return workspace.static_descriptors(nodes, edges.unionByName(rows.filter("p_size > 25").selectExpr("concat('e', p_partkey) as id", "'HAS_EVENT' as type", "concat('u', p_partkey) as src", "'x' as dst")))
+
+
+@query("""SELECT 'c' || o_orderkey AS claim_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'internal-feature' WHEN '2-HIGH' THEN 'entry-point' WHEN '3-MEDIUM' THEN 'visible-ui' END AS source, CASE WHEN o_orderstatus = 'F' THEN 'F' || o_custkey ELSE o_orderstatus END AS text FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
+def identity_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("concat('c', o_orderkey) as claim_id", "case o_orderpriority when '1-URGENT' then 'feature-name' when '2-HIGH' then 'entry-point' when '3-MEDIUM' then 'visible-ui' else 'route' end as kind", "if(o_orderstatus = 'F', '', o_orderstatus) as text", "concat('F', o_custkey) as feature_name")
+    return workspace.identity_candidates(rows)
+
+
+@query("""SELECT count(*) FILTER (event_type = 'click') AS queries, count(*) FILTER (event_type = 'view') AS mutations, 0 AS subscriptions, count(*) FILTER (event_type NOT IN ('click', 'view')) AS unknown_operations, (SELECT count(*) FILTER (o_orderstatus = 'F') FROM orders) AS endpoints, (SELECT count(*) FILTER (o_orderstatus = 'O') FROM orders) AS types,
+  0 AS authentication_requirements, (SELECT count(*) FILTER (o_orderstatus = 'P') FROM orders) AS pagination_evidence, 0 AS unresolved_evidence FROM events""")
+def documentation_summary(spark: SparkSession, d: str) -> DataFrame:
+    operations = table(spark, d, "events").selectExpr("case event_type when 'click' then 'query' when 'view' then 'mutation' else 'unknown' end as type")
+    return workspace.documentation_summary(operations, table(spark, d, "orders").selectExpr("case o_orderstatus when 'F' then 'endpoint' when 'O' then 'type' else 'pagination' end as part"))
+
+
+@query("""SELECT c_custkey AS feature_id, row_number() OVER (ORDER BY CASE WHEN c_nationkey > 12 THEN '/' || c_mktsegment ELSE '~' END, c_name, c_custkey) AS place FROM customer""")
+def feature_places(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").selectExpr("c_custkey as feature_id", "c_name as name", "if(c_nationkey > 12, concat('/', c_mktsegment), null) as route")
+    return workspace.ordered_features(rows).select("feature_id", "place")
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
+def document_places(spark: SparkSession, d: str) -> DataFrame:
+    return workspace.ordered_documents(table(spark, d, "orders").selectExpr("o_orderkey as id", "o_orderdate as updated_at")).select("id", "place")
+
+
+@query("""SELECT 'R' || o_orderkey AS id, row_number() OVER (ORDER BY CASE WHEN o_custkey % 2 = 0 THEN 'http' ELSE 'ui' END, lower(o_orderstatus), o_orderstatus, 'R' || o_orderkey) AS place FROM orders""")
+def result_places(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("concat('R', o_orderkey) as id", "if(o_custkey % 2 = 0, 'http', 'ui') as domain", "o_orderstatus as status")
+    return workspace.ordered_results(rows).select("id", "place")
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN ' Jo.' || conv_id || '@x ' WHEN 1 THEN 'no/slash' ELSE '' END AS name FROM conversations)
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Jo.' || conv_id || '@x' ELSE 'Local reviewer' END AS reviewer, CASE WHEN turn % 2 = 0 THEN '# T' || conv_id || chr(10) || 'mail [person] and a' || conv_id || '@b.c' || chr(10) END AS clean FROM c""")
+def replaced_values(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as reviewers who replace the first of two equal addresses, in the block that holds it or in another one."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn")
+    mail = F.concat(F.lit("a"), F.col("conv_id").cast("string"), F.lit("@b.c"))
+    text = F.concat(F.lit(" # T"), F.col("conv_id").cast("string"), F.lit("\r\nmail "), mail, F.lit(" and "), mail, F.lit("\r\n\n"))
+    name = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" Jo."), F.col("conv_id").cast("string"), F.lit("@x "))).when(F.col("turn") % 3 == 1, F.lit("no/slash")).otherwise(F.lit(""))
+    block = F.when(F.col("turn") % 2 == 0, F.lit(1)).otherwise(F.lit(0))
+    rows = rows.withColumn("told", text).withColumn("mail", mail)
+    return rows.select("conv_id", "turn", workspace.safe_reviewer(name).alias("reviewer"), workspace.replaced_in_block(F.col("told"), block, F.col("mail"), F.lit("[person]")).alias("clean"))
+
+
 def queries() -> dict[str, Query]:
     return {name: function for name, (function, _) in FOUND.items()}
 
