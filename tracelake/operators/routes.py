@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.routes import dominates, route_fit, segments, varies
+from tracelake.functions.routes import WILD, dominates, route_fit, segments, varies
 from tracelake.functions.urls import application_path, fragment, normal_route
 
 
 def compatible_routes(states: DataFrame, routes: DataFrame) -> DataFrame:
     """(state_id, path, route_id, fit) of the patterns that fit a state's path.
 
-    The join is on the number of segments; a pattern that fits several lengths is met under a key of its own, so every
-    path goes out twice at most and no pair is made that the key rules out."""
-    size = F.size(segments(F.col("path"))).cast("string")
-    paths = states.select("state_id", "path", F.explode(F.array(size, F.lit("any"))).alias("key"))
-    pattern = normal_route(F.col("pattern"))
-    keyed = routes.select("route_id", "pattern", F.when(varies(F.col("pattern")), F.lit("any")).otherwise(F.size(segments(pattern)).cast("string")).alias("key"))
+    The join is on the first segment, where a pattern fixes it, and on the number of segments, where that is fixed. So a path
+    goes out under four keys, and meets patterns that leave both open, of which a configuration has few, or that agree in
+    what they fix; no pair is made that the key rules out."""
+    parts = segments(normal_route(F.col("path")))
+    size, head = F.size(parts).cast("string"), F.concat(F.lit("/"), F.get(parts, F.lit(0)))
+    keys = F.array_compact(F.array(F.concat(head, F.lit("|"), size), F.concat(head, F.lit("|any")), F.concat(F.lit("|"), size), F.lit("|any")))
+    paths = states.select("state_id", "path", F.explode(keys).alias("key"))
+    parts = segments(normal_route(F.col("pattern")))
+    first = F.get(parts, F.lit(0))
+    fixed = first.isNotNull() & ~F.startswith(first, F.lit(":")) & ~F.regexp_like(first, F.lit(WILD))
+    count = F.when(varies(F.col("pattern")), F.lit("any")).otherwise(F.size(parts).cast("string"))
+    key = F.concat(F.when(fixed, F.concat(F.lit("/"), first)).otherwise(F.lit("")), F.lit("|"), count)
+    keyed = routes.select("route_id", "pattern", key.alias("key"))
     both = paths.join(keyed, "key").withColumn("fit", route_fit(F.col("pattern"), F.col("path")))
     return both.filter("fit is not null").select("state_id", "path", "route_id", "fit")
 
