@@ -3,8 +3,11 @@ and written as token shards. Each stage takes what the stage before kept, writte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.llm import decontamination, mixing, ngram_jaccard, token_output, toxicity
 from tracelake.llm.common import read, small_batches, stored
@@ -14,10 +17,23 @@ from tracelake.packaging import ship
 ORACLE_SQL = None
 
 
+#: The columns that the operators of the stages write.
+WRITTEN = ["score", "predicted", "contaminated", "item_ids", "similarity", "first_words", "copy_no"]
+
+
+def with_own_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that a stage keeps with the columns of docs, also of those whose names its operator writes itself."""
+    clash = [c for c in docs.columns if c in WRITTEN]
+    if not clash:
+        return stage(docs).select(*docs.columns)
+    rows = docs.select(*[c for c in docs.columns if c not in clash], F.struct(*clash).alias("__own"))
+    return stage(rows).select(*[F.col("__own")[c].alias(c) if c in clash else F.col(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learnt scorer calls toxic go."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return with_own_columns(docs, lambda rows: toxicity.score(rows, model).filter("predicted = 0"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +44,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontamination.find_leaks(docs, read(spark, sf_dir, "benchmark")).filter("not contaminated").select(*docs.columns)
+    items = read(spark, sf_dir, "benchmark")
+    return with_own_columns(docs, lambda rows: decontamination.find_leaks(rows, items).filter("not contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every source gets an equal share; a document is there as often as it was drawn."""
     small_batches(ship(spark))
-    return mixing.replicate(docs).select(*docs.columns)
+    return with_own_columns(docs, mixing.replicate)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,25 @@ def test_stages_and_rows(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == wanted
 
 
+def test_stages_on_edge_rows(spark):
+    """Null identifiers and texts, repeated rows and identifiers, ties, a long text, and columns with the operators' names."""
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [(1, None, "a"), (2, "", None), (3, long, "a"), (4, "one two three four five six", "b"), (4, "seven eight nine ten eleven twelve", "b"), (6, "seven eight nine ten eleven twelve", None), (None, None, None), (None, "words without an identifier stand here too", "c"), (7, " \t\n", "a"), (7, " \t\n", "a")]
+    clash = ["score", "predicted", "component_id", "n_shingles", "contaminated", "item_ids", "copy_no", "copies", "rate", "id", "row"]
+    docs = spark.createDataFrame([(*r, *clash) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in clash))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stored(stage(spark, docs, SF), f"edge-{name}")
+        assert kept.columns == docs.columns and all(r[c] == c for r in kept.select(*clash).collect() for c in clash)
+        told = Counter((r.doc_id, r.text) for r in kept.collect())
+        if name == "ngram_jaccard":  # the two texts of 4 are one group, into which 6 falls as a copy
+            assert sum(n for (i, _), n in told.items() if i == 4) == 1 and (6, rows[5][1]) not in told and told[None, None] == told[None, rows[7][1]] == 1
+            assert told[7, " \t\n"] == 2 and told[1, None] == told[2, ""] == told[3, long] == 1
+        elif name in ("toxicity", "decontamination"):
+            assert set(told) <= {(i, t) for i, t, _ in rows} and told[3, long] == 1 and told[None, None] == 1
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == docs.columns and empty.count() == 0
+
+
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and set(queries.queries()) <= set(names)
