@@ -1,13 +1,15 @@
 """Operator 3, benchmark decontamination: SimHash of item-sized windows.
 
-Windows with as many words as an item are hashed with SimHash over their shingles. A multi-index of eight 8-bit blocks
-finds every item fingerprint of that size within the Hamming radius: two fingerprints that differ in at most r bits agree
-in some block up to r // 8 bits. Candidates are verified by the weighted Jaccard similarity of their shingles, weighted
-by how often they occur. Windows that share no shingle with an item have similarity 0 and are not hashed.
+Windows with as many words as an item are hashed with SimHash over their shingles. A multi-index of four 16-bit blocks
+finds every item fingerprint of that size within the Hamming radius. Each block lists its items by their value; a window
+looks at the values that differ from its own in at most the block's tolerance. The tolerances add up to r - 3, so two
+fingerprints that were above it in all four blocks would differ in more than r bits. What the blocks find is held against
+the radius as whole arrays, and what remains is verified by the weighted Jaccard similarity of the shingles, weighted by
+how often they occur. Windows that share no shingle with an item have similarity 0 and are not hashed.
 
-The items are the query set: they are taken in blocks of `item_block`, each an index of bounded size that goes to the
-tasks with the function. After each full block the rows are stored, so the driver holds one block, and a task one index,
-however many items there are; every document is scanned against every block.
+The items are the query set: they are taken in blocks of at most `item_block` items and about `item_chars` code points,
+each an index of bounded size that goes to the tasks with the function. After each full block the rows are stored, so the
+driver holds one block, and a task one index, however many items there are; every document is scanned against every block.
 
 Words are lower-cased and lose the signs around them; an item of fewer words than a shingle is one shingle. Defined
 results: a null or empty text, and one without words, is clean. A document shorter than an item is compared as a whole.
@@ -32,8 +34,7 @@ from pyspark.sql import types as T
 from .common import Words, slices, stored, windows
 
 SIGNS = ".,;:!?\"'()[]{}*#%$&|<>-_/\\"
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-APART = BITS @ (1 - BITS.T) + (1 - BITS) @ BITS.T
+BLOCKS = 4
 
 #: Cells of a table of windows by items, or by shingles, that is held at a time.
 CELLS = 4_000_000
@@ -45,6 +46,11 @@ class LeakParams:
     similarity: float = 0.8
     radius: int = 18
     item_block: int = 20_000
+    item_chars: int = 16_000_000
+
+    def tolerances(self) -> list[int]:
+        """Bits in which a block may differ: as even as possible, one more in all blocks together than the radius allows."""
+        return [(self.radius - BLOCKS + 1 + b) // BLOCKS for b in range(BLOCKS)]
 
 
 def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,6 +73,30 @@ def simhash(grams: np.ndarray) -> np.ndarray:
     return out
 
 
+class BlockTables:
+    """Fingerprints by the values of their blocks: each block lists its values, and the items of each value."""
+
+    def __init__(self, prints: np.ndarray, params: LeakParams):
+        self.whole, self.radius, self.tolerances = prints.view(np.uint64)[:, 0], params.radius, params.tolerances()
+        self.blocks = []
+        for values in prints.view(np.uint16).T:
+            order = np.argsort(values, kind="stable")
+            distinct, first = np.unique(values[order], return_index=True)
+            self.blocks.append((distinct, np.append(first, len(order)), order))
+
+    def within(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a fingerprint of marks and an item whose fingerprints differ in at most `radius` bits."""
+        found = []
+        for (distinct, first, order), values, tolerance in zip(self.blocks, marks.view(np.uint16).T, self.tolerances):
+            w, v = np.nonzero(np.bitwise_count(values[:, None] ^ distinct) <= tolerance)
+            count = first[v + 1] - first[v]
+            place = np.repeat(first[v] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            w, i = np.repeat(w, count), order[place]
+            near = np.bitwise_count(marks.view(np.uint64)[w, 0] ^ self.whole[i]) <= self.radius
+            found.append(w[near] * len(self.whole) + i[near])
+        return np.divmod(np.unique(np.concatenate(found)), len(self.whole))
+
+
 class LeakIndex:
     """The items of one block: shingles, and for each size the fingerprints with their block tables."""
 
@@ -87,9 +117,7 @@ class LeakIndex:
         self.sizes_of = {q: [sorted(owners[q, g]) for g in self.keys[q].tolist()] for q in self.keys}
         self.tables = {}
         for size, found in sizes.items():
-            prints = np.stack([simhash(g[None, :])[0] for _, g in found])
-            near = APART <= params.radius // 8
-            self.tables[size] = (np.array([i for i, _ in found]), prints, [near[:, prints[:, b]] for b in range(8)])
+            self.tables[size] = (np.array([i for i, _ in found]), BlockTables(simhash(np.stack([g for _, g in found])), params))
 
     def windows_near(self, values: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> dict[int, np.ndarray]:
         """For each item size the first words of the windows that share a shingle with an item of that size."""
@@ -130,20 +158,15 @@ class LeakIndex:
         return out
 
     def _verify(self, n: int, grams: np.ndarray, at: np.ndarray, owner: np.ndarray, starts: np.ndarray, out: list) -> None:
-        items, prints, near = self.tables[n]
-        marks = simhash(grams)
-        hit = np.zeros((len(at), len(items)), bool)
-        for b in range(8):
-            hit |= near[b][marks[:, b]]
-        for w, i in zip(*np.nonzero(hit)):
-            if np.bitwise_count(marks[w] ^ prints[i]).sum() <= self.params.radius:
-                item_id, bag = self.bags[items[i]]
-                own = Counter(grams[w].tolist())
-                common = sum(min(c, bag.get(g, 0)) for g, c in own.items())
-                similarity = common / (sum(own.values()) + sum(bag.values()) - common)
-                best = out[owner[at[w]]]
-                if similarity >= self.params.similarity and similarity > best.get(item_id, (0.0, 0))[0]:
-                    best[item_id] = (similarity, int(at[w] - starts[owner[at[w]]]))
+        items, table = self.tables[n]
+        for w, i in zip(*table.within(simhash(grams))):
+            item_id, bag = self.bags[items[i]]
+            own = Counter(grams[w].tolist())
+            common = sum(min(c, bag.get(g, 0)) for g, c in own.items())
+            similarity = common / (sum(own.values()) + sum(bag.values()) - common)
+            best = out[owner[at[w]]]
+            if similarity >= self.params.similarity and similarity > best.get(item_id, (0.0, 0))[0]:
+                best[item_id] = (similarity, int(at[w] - starts[owner[at[w]]]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakParams(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -168,10 +191,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, params: LeakParams = LeakP
 
         return rows.mapInArrow(add, rows.schema)
 
+    chars = 0
     for item in items:
         block.append(item)
-        if len(block) == params.item_block:
-            rows, block = stored(scan(rows, LeakIndex(block, params)), "scanned"), []
+        chars += len(item[1])
+        if len(block) == params.item_block or chars >= params.item_chars:
+            rows, block, chars = stored(scan(rows, LeakIndex(block, params)), "scanned"), [], 0
     if block:
         rows = scan(rows, LeakIndex(block, params))
     leaks = F.sort_array(F.coalesce("__leaks", F.expr("cast(array() as array<struct<item_id:bigint,similarity:double,first:bigint>>)")))
