@@ -49,7 +49,7 @@ class LeakParams:
     item_chars: int = 16_000_000
 
     def tolerances(self) -> list[int]:
-        """Bits in which a block may differ: as even as possible, one more in all blocks together than the radius allows."""
+        """Bits in which a block may differ, as even as possible: one more in each block would be one more than the radius."""
         return [(self.radius - BLOCKS + 1 + b) // BLOCKS for b in range(BLOCKS)]
 
 
