@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelake.llm import chunks, decontamination, html_extraction, importance, mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
+from tracelake.llm import chunks, common, decontamination, html_extraction, importance, mixing, ngram_jaccard, pii, quality_rules, token_output, toxicity, url_filters
 from tracelake.llm.common import read
 
 DOCS = "doc_id long, text string, source string"
@@ -314,6 +314,43 @@ def test_importance_equals_brute_force(spark, monkeypatch, range_keys):
     assert sum(r.kept for r in rows) == round(len(docs) * 14 / 40) and all(r.kept == (r["rank"] <= 22) for r in rows)
 
 
+def chunk_of_texts(n_texts):
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(200_000)])
+    texts = [" ".join(words[(200_000 * rng.random(300) ** 3).astype(int)]) if i % 50 else None for i in range(n_texts)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n_texts)), pa.array([i % 7 == 0 for i in range(n_texts)]), pa.array(texts, pa.string())], ["row", "wanted", "text"])
+
+
+def test_importance_chunk_of_several_slices_equals_brute_force():
+    from collections import Counter
+
+    rows = chunk_of_texts(1500)
+    assert rows.column(2).nbytes > 2.5 * common.SLICE_BYTES
+    grams = [[*x, *zip(x, x[1:])] for x in ((t or "").split() for t in rows.column(2).to_pylist())]
+    raw, wanted = Counter(g for x in grams for g in x), Counter(g for x, y in zip(grams, rows.column(1).to_pylist()) if y for g in x)
+    found = importance._Grams(rows, 64, places=True)
+    assert (np.diff(found.keys.astype(object)) > 0).all()
+    assert Counter(zip(found.raw.tolist(), found.wanted.tolist())) == Counter((n, wanted[g]) for g, n in raw.items())
+    sums, n = found.sums(found.raw, rows.num_rows)
+    assert sums.tolist() == [sum(raw[g] for g in x) for x in grams] and n.tolist() == [len(x) for x in grams]
+
+
+def test_importance_holds_few_bytes_for_each_gram_of_a_chunk():
+    import tracemalloc
+
+    rows = chunk_of_texts(5000)
+    tracemalloc.start()
+    found = importance._Grams(rows, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * found.raw.sum()
+
+
+def test_rows_of_a_batch_become_python_values_one_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"chunk": [1, 2, 3], "rows": [b"a", None, b"c"]})
+    assert list(chunks.single(iter([batch, batch.slice(0, 0)]))) == batch.to_pylist()
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = read(spark, d, "documents").select("doc_id", "text"), read(spark, d, "labels")

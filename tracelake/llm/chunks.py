@@ -74,6 +74,13 @@ def chunked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[in
         yield number, joined()
 
 
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows as Python values, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def stored_chunks(df: DataFrame, name: str) -> DataFrame:
     """Chunk rows as a table bucketed by `chunk`, in the shared folder."""
     path = new_path(df.sparkSession, name)

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import by_chunk, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, stored_chunks, to_bytes, unpack, unpack_ascending, with_answers
-from .common import Words, global_rank, mix, stored, unit, windows
+from .chunks import by_chunk, by_range, chunked, from_bytes, key_bits, pack, pack_ascending, range_bits, single, stored_chunks, to_bytes, unpack, unpack_ascending, with_answers
+from .common import Words, global_rank, mix, slices, stored, unit, windows
 
 #: Log ratios are kept as whole numbers of this part.
 UNIT = float(2**32)
@@ -48,39 +48,67 @@ class ResampleParams:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, wanted, text) -> a row for each chunk, with the number of its n-grams."""
     for number, part in chunked(batches, 2):
-        n = Words(part.column(2)).counts
+        n = np.concatenate([Words(piece.column(2)).counts for piece in slices(part, 2)])
         n, wanted = 2 * n - (n > 0), np.asarray(part.column(1)).astype(bool)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (number, int(n.sum()), int(n[wanted].sum()), to_bytes(part))], ["chunk", "raw", "wanted", "rows"])
 
 
+def _counted(text: pa.Array, wanted: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """The n-grams of some texts: their distinct buckets in ascending order, how often each is there in all texts and in
+    target texts; the place of each n-gram's bucket among them and its row."""
+    words = Words(text)
+    values = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
+    pairs, at = windows(values, words.owner, 2, seed=3)
+    owner = np.concatenate((words.owner, words.owner[at]))
+    keys, place = np.unique(np.concatenate((mix(values), pairs)) >> np.uint64(64 - bits), return_inverse=True)
+    counts = [np.bincount(x, minlength=len(keys)) for x in (place, place[wanted[owner]])]
+    return keys, *counts, place.astype(np.int32), owner.astype(np.int32)
+
+
 class _Grams:
-    """The n-grams of a chunk: its distinct buckets in ascending order, the place of each n-gram's bucket among them, its
-    row, and how often a bucket is there in all texts and in target texts."""
-
-    def __init__(self, rows: pa.RecordBatch, bits: int):
-        words = Words(rows.column(2))
-        values = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
-        pairs, at = windows(values, words.owner, 2, seed=3)
-        keys = np.concatenate((mix(values), pairs)) >> np.uint64(64 - bits)
-        self.owner = np.concatenate((words.owner, words.owner[at]))
-        self.owner = self.owner.astype(np.int32)
-        order = np.argsort(keys)
-        keys = keys[order]
-        new = np.diff(keys, prepend=~keys[:1]) != 0
-        self.place = np.empty(len(keys), np.int32)
-        self.place[order] = np.cumsum(new, dtype=np.int32) - 1
-        self.keys = keys[new]
-        self.raw = np.bincount(self.place, minlength=len(self.keys))
-        self.wanted = np.bincount(self.place[np.asarray(rows.column(1)).astype(bool)[self.owner]], minlength=len(self.keys))
+    """The n-grams of a chunk: its distinct buckets in ascending order, and how often a bucket is there in all texts and in
+    target texts. Texts become words and n-grams by slices; where `places` are asked for, a slice keeps its first row, the
+    places of its buckets among those of the chunk, and the place of each n-gram's bucket in the slice and its row."""
+
+    def __init__(self, rows: pa.RecordBatch, bits: int, places: bool = False):
+        parts, first, owners = [], 0, []
+        for piece in slices(rows, 2):
+            keys, raw, wanted, place, owner = _counted(piece.column(2), np.asarray(piece.column(1)).astype(bool), bits)
+            parts.append((keys, raw, wanted))
+            owners.append((first, place, owner) if places else ())
+            first += piece.num_rows
+        self.keys = np.concatenate([np.empty(0, np.uint64), *(keys for keys, *_ in parts)])
+        self.keys.sort()
+        self.keys = self.keys[np.diff(self.keys, prepend=~self.keys[:1]) != 0]
+        self.raw, self.wanted = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        self.slices = []
+        for (keys, raw, wanted), of_slice in zip(parts, owners):
+            at = np.searchsorted(self.keys, keys)
+            self.raw[at] += raw
+            self.wanted[at] += wanted
+            if places:
+                self.slices.append((of_slice[0], at.astype(np.int32), *of_slice[1:]))
+
+    def sums(self, values: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row: the sum of what the buckets of its n-grams have, and its n-grams."""
+        total, n = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
+        for first, at, place, owner in self.slices:
+            np.add.at(total[first:], owner, values[at][place])
+            more = np.bincount(owner)
+            n[first : first + len(more)] += more
+        return total, n
 
 
 def _cells(batches: Iterator[pa.RecordBatch], bits: int, of_range: int) -> Iterator[pa.RecordBatch]:
     """(range, chunk, keys, raw, wanted): the buckets of a chunk and their counts, by range."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            grams = _Grams(from_bytes(r["rows"]), bits)
-            out = [(k, r["chunk"], pack_ascending(grams.keys[s]), pack(grams.raw[s]), pack(grams.wanted[s])) for k, s in by_range(grams.keys, bits, of_range)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["range", "chunk", "keys", "raw", "wanted"])
+
+    def of_chunk(chunk: int, rows: bytes) -> pa.RecordBatch:
+        grams = _Grams(from_bytes(rows), bits)
+        out = [(k, chunk, pack_ascending(grams.keys[s]), pack(grams.raw[s]), pack(grams.wanted[s])) for k, s in by_range(grams.keys, bits, of_range)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], ["range", "chunk", "keys", "raw", "wanted"])
+
+    # a chunk at a time: what a function holds is gone before the next one
+    return (of_chunk(**r) for r in single(batches))
 
 
 def _summed(table: pa.Table) -> pa.Table:
@@ -99,15 +127,22 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "reply": pa.array(replies, pa.binary())})
 
 
-def _elsewhere(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """What the buckets of a chunk count in other chunks: in all texts, in target texts; and the buckets of the ranges that
-    it is the first of."""
-    found: tuple[list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+def _units(grams: _Grams, replies: list[bytes]) -> tuple[np.ndarray, int]:
+    """The log ratios of the buckets of a chunk, whose answers tell what they count in other chunks; and the buckets of the
+    ranges that it is the first of."""
+    units, begin, n_keys = np.empty(len(grams.keys), np.int64), 0, 0
     for reply in replies:
         size = 16 + int.from_bytes(reply[8:16], "little")
-        for part, blob in zip(found, (reply[16:size], reply[size + 8 :])):
-            part.append(unpack(blob).astype(np.int64))
-    return np.concatenate(found[0]), np.concatenate(found[1]), sum(int.from_bytes(r[:8], "little") for r in replies)
+        raw, wanted = (unpack(x).astype(np.int64) for x in (reply[16:size], reply[size + 8 :]))
+        of_range = slice(begin, begin + len(raw))
+        if of_range.stop > len(units):
+            raise ValueError("the answers do not fit the chunk")
+        ratio = np.log(grams.wanted[of_range] + wanted + 1) - np.log(grams.raw[of_range] + raw + 1)
+        units[of_range] = np.round(ratio * UNIT).astype(np.int64)
+        begin, n_keys = of_range.stop, n_keys + int.from_bytes(reply[:8], "little")
+    if begin != len(units):
+        raise ValueError("the answers do not fit the chunk")
+    return units, n_keys
 
 
 def scored(docs: DataFrame, target: DataFrame, params: ResampleParams, rest: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -122,21 +157,17 @@ def scored(docs: DataFrame, target: DataFrame, params: ResampleParams, rest: lis
     cells = chunks.select("chunk", "rows").mapInArrow(lambda it: _cells(it, bits, of_range), "range long, chunk long, keys binary, raw binary, wanted binary")
     replies = cells.groupBy("range").applyInArrow(_summed, "chunk long, range long, reply binary")
 
+    def of_chunk(rows: bytes, replies: list[dict] | None) -> pa.RecordBatch:
+        part = from_bytes(rows)
+        grams = _Grams(part, bits, places=True)
+        units, n_keys = _units(grams, [x["reply"] for x in replies or ()])
+        sums, n_grams = grams.sums(units if wanted else 0 * units, part.num_rows)
+        new = np.zeros(part.num_rows, np.int64)
+        new[0] = n_keys
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(sums), pa.array(n_grams), pa.array(new)], ["row", "units", "n_grams", "n_keys"])
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                rows = from_bytes(r["rows"])
-                grams = _Grams(rows, bits)
-                more_raw, more_wanted, n_keys = _elsewhere([x["reply"] for x in r["replies"] or ()])
-                if len(more_raw) != len(grams.keys):
-                    raise ValueError("the answers do not fit the chunk")
-                ratio = np.log(grams.wanted + more_wanted + 1) - np.log(grams.raw + more_raw + 1)
-                units = np.round((ratio if wanted else 0 * ratio) * UNIT).astype(np.int64)
-                sums, n_grams = np.zeros(rows.num_rows, np.int64), np.bincount(grams.owner, minlength=rows.num_rows)
-                np.add.at(sums, grams.owner, units[grams.place])
-                new = np.zeros(rows.num_rows, np.int64)
-                new[0] = n_keys
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sums), pa.array(n_grams.astype(np.int64)), pa.array(new)], ["row", "units", "n_grams", "n_keys"])
+        return (of_chunk(r["rows"], r["replies"]) for r in single(batches))
 
     schema = T.StructType([packed.schema["row"], *(T.StructField(c, T.LongType()) for c in ("units", "n_grams", "n_keys"))])
     out = with_answers(chunks.select("chunk", "rows"), by_chunk(replies, "replies")).mapInArrow(finish, schema)
