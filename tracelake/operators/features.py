@@ -16,6 +16,7 @@ from tracelake.functions.urls import normal_route
 
 from .graph import closure
 from .matching import first_match
+from .storage import cut
 
 #: Where names come from, the best first.
 SOURCES = ["navigation-label", "primary-action", "static-heading", "runtime-heading", "runtime-navigation-label", "component", "route-identity", "route-segment", "runtime-name"]
@@ -28,35 +29,75 @@ REASONS = {
 }
 
 
+#: Fixed value: features and nodes of one component meet in cells of about this many of either.
+CELL = 1024
+
+
 def _step(rows: DataFrame, edges: DataFrame, *types: str) -> DataFrame:
-    """(feature_id, node) one edge of these types further."""
-    return rows.join(edges.filter(F.col("type").isin(*types)), F.col("node") == F.col("src")).select("feature_id", F.col("dst").alias("node")).distinct()
+    """rows (of, node), one edge of these types further."""
+    of = rows.columns[0]
+    return rows.join(edges.filter(F.col("type").isin(*types)), F.col("node") == F.col("src")).select(of, F.col("dst").alias("node")).distinct()
 
 
-def feature_nodes(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(feature_id, part, node): the nodes of features (feature_id, route_id, navigation_id) over edges (type, src, dst): route,
-    navigation, component, ui, event, callable (with all that it calls), http and graphql."""
-    route = seeds.filter("route_id is not null").select("feature_id", F.col("route_id").alias("node"))
-    leads = edges.filter("type = 'NAVIGATES_TO'").select(F.col("dst").alias("node"), F.col("src").alias("from"))
-    own = seeds.filter("navigation_id is not null")
-    navigation = own.select("feature_id", F.col("navigation_id").alias("node")).union(route.join(own, "feature_id", "left_anti").join(leads, "node").select("feature_id", F.col("from").alias("node"))).distinct()
-    component = _step(route, edges, "ROUTE_RENDERS_COMPONENT")
-    ui = _step(component, edges, "CONTAINS_ELEMENT")
-    event = _step(ui, edges, "HAS_EVENT")
-    bound = _step(event, edges, "BINDS_TO")
-    calls = closure(edges.filter("type = 'CALLS'").select("src", "dst"), bound.select("node").distinct())
-    called = bound.join(calls.select(F.col("root").alias("node"), F.col("node").alias("called")), "node").select("feature_id", F.col("called").alias("node")).distinct()
-    http = _step(called, edges, "PERFORMS_HTTP_REQUEST")
-    execution = _step(called, edges, "PERFORMS_GRAPHQL_EXECUTION")
-    graphql = execution.union(_step(execution, edges, "USES_DOCUMENT", "EXECUTES_OPERATION")).distinct()
-    parts = {"route": route, "navigation": navigation, "component": component, "ui": ui, "event": event, "callable": called, "http": http, "graphql": graphql}
-    rows = [df.select("feature_id", F.lit(part).alias("part"), "node") for part, df in parts.items()]
+def _union(parts: dict[str, DataFrame]) -> DataFrame:
+    rows = [df.select(df.columns[0], F.lit(part).alias("part"), "node") for part, df in parts.items()]
     out = rows[0]
     for df in rows[1:]:
         out = out.union(df)
     return out
 
 
+def _below(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, part, node): what is below components (component), each told once however many features have it."""
+    ui = _step(components.select("component", F.col("component").alias("node")), edges, "CONTAINS_ELEMENT")
+    event = _step(ui, edges, "HAS_EVENT")
+    bound = _step(event, edges, "BINDS_TO").select(F.col("component").alias("root"), "node")
+    called = closure(edges.filter("type = 'CALLS'").select("src", "dst"), bound).withColumnRenamed("root", "component")
+    http = _step(called, edges, "PERFORMS_HTTP_REQUEST")
+    execution = _step(called, edges, "PERFORMS_GRAPHQL_EXECUTION")
+    graphql = execution.union(_step(execution, edges, "USES_DOCUMENT", "EXECUTES_OPERATION")).distinct()
+    return cut(_union({"ui": ui, "event": event, "callable": called, "http": http, "graphql": graphql}), "below")
+
+
+def _parts(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The features' own nodes (feature_id, part, node) with their components, the components by themselves (feature_id,
+    component) and what is below these (component, part, node)."""
+    route = seeds.filter("route_id is not null").select("feature_id", F.col("route_id").alias("node")).distinct()
+    leads = edges.filter("type = 'NAVIGATES_TO'").select(F.col("dst").alias("node"), F.col("src").alias("from"))
+    has = seeds.filter("navigation_id is not null")
+    navigation = has.select("feature_id", F.col("navigation_id").alias("node")).union(route.join(has, "feature_id", "left_anti").join(leads, "node").select("feature_id", F.col("from").alias("node"))).distinct()
+    component = cut(_step(route, edges, "ROUTE_RENDERS_COMPONENT"), "components")
+    members = component.withColumnRenamed("node", "component")
+    return _union({"route": route, "navigation": navigation, "component": component}), members, _below(members.select("component").distinct(), edges)
+
+
+def _spread(members: DataFrame, below: DataFrame) -> DataFrame:
+    """(feature_id, part, node): members (feature_id, component) with all that is below their components. The features and the
+    nodes of a component are dealt into slices and meet in cells, a slice of either, so no task has a component as a whole and
+    what is shuffled is a small part of what comes out."""
+    spark = members.sparkSession
+    features, nodes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")), below.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    slices = [F.ceil(F.col(n) / CELL).cast("int").alias(k) for n, k in (("n", "rows"), ("m", "columns"))]
+    cells = cut(features.join(nodes, "component").select("component", (F.col("n") * F.col("m")).alias("out"), *slices), "cells")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), (cells.agg(F.sum("out")).first()[0] or 0) // CELL**2)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(cells, "component").select("feature_id", "component", deal("feature_id", "rows").alias("row"), every("columns").alias("column"))
+    right = below.join(cells, "component").select("part", "node", "component", every("rows").alias("row"), deal("node", "columns").alias("column"))
+    cell = ["component", "row", "column"]
+    return left.repartition(parts, *cell).join(right.repartition(parts, *cell), cell).select("feature_id", "part", "node")
+
+
+def feature_nodes(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature_id, part, node): the nodes of features (feature_id, route_id, navigation_id) over edges (type, src, dst): route,
+    navigation, component, ui, event, callable (with all that it calls), http and graphql. What is below a component is found
+    once; a feature of one component takes that over as it is, only features of several drop what these have in common."""
+    own, members, below = _parts(seeds, edges)
+    several = members.groupBy(F.col("feature_id").alias("__of")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__of")
+    one, more = (members.join(several, F.col("feature_id").eqNullSafe(F.col("__of")), how) for how in ("left_anti", "left_semi"))
+    return own.union(_spread(one, below)).union(_spread(more, below).distinct())
+
+
 def relevant_results(results: DataFrame, references: DataFrame, members: DataFrame) -> DataFrame:
     """(feature_id, result_id): results (result_id, status), ambiguous ones left out, one of whose references (result_id, kind,
     ref) is a member (feature_id, kind, ref) of the feature."""

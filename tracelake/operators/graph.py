@@ -12,21 +12,23 @@ from .storage import cut, shared_path
 
 
 def trace(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(root, node, depth): all that a root leads to over edges (src, dst), with the least number of steps. A level is
-    joined to the edges and loses what was seen, so cycles end; each level is appended to one table and written once."""
+    """(root, node, depth): all that a root leads to over edges (src, dst), with the least number of steps. Roots are nodes
+    (node), or have a name (root, node) under which a root begins at several nodes. A level is joined to the edges and loses what
+    was seen, so cycles end; each level is appended to one table and written once."""
     spark, path = roots.sparkSession, shared_path(roots.sparkSession, "trace")
-    kind = roots.schema["node"].dataType.simpleString()
-    roots.select(F.col("node").alias("root"), "node").distinct().write.parquet(f"{path}/depth=0")
+    first = roots.select(F.col("root" if "root" in roots.columns else "node").alias("root"), "node").distinct()
+    schema = ", ".join(f"{c} {first.schema[c].dataType.simpleString()}" for c in ("root", "node")) + ", depth int"
+    first.write.parquet(f"{path}/depth=0")
     depth = 0
     while max_depth is None or depth < max_depth:
-        seen = spark.read.schema(f"root {kind}, node {kind}, depth int").parquet(path)
+        seen = spark.read.schema(schema).parquet(path)
         level = seen.filter(F.col("depth") == depth)
         if level.isEmpty():
             break
         depth += 1
         step = level.join(edges, level["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         step.join(seen, ["root", "node"], "left_anti").write.parquet(f"{path}/depth={depth}")
-    return spark.read.schema(f"root {kind}, node {kind}, depth int").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def trace_via(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -107,7 +109,7 @@ def ui_tree(elements: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node): what roots (node) reach over edges (src, dst), themselves included."""
+    """(root, node): what roots (node, or root and node) reach over edges (src, dst), themselves included."""
     return trace(edges, roots).select("root", "node")
 
 
