@@ -38,3 +38,12 @@ def test_nodes_of_features_that_share_components(spark):
 def test_no_task_has_a_component_of_many_features(spark):
     rows = features.feature_nodes(*wide(spark, 3000, 2500)).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
     assert sum(r.n for r in rows) == 3000 * 2502 and max(r.n for r in rows) < 3000 * 2502 / 2
+
+
+def test_who_is_first_needs_no_node_of_every_feature(spark):
+    seeds, edges = example(spark)
+    order = seeds.select("feature_id", "place").distinct()
+    firsts = lambda nodes: sorted(tuple(r) for r in nodes.join(order, "feature_id").groupBy("node").agg(F.min_by("feature_id", "place")).collect())
+    assert firsts(features.leading_nodes(seeds, edges, order)) == firsts(features.feature_nodes(seeds, edges))
+    seeds, edges = wide(spark, 200, 300)
+    assert features.leading_nodes(seeds, edges, seeds).count() == 200 * 2 + 300

@@ -98,6 +98,14 @@ def feature_nodes(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return own.union(_spread(one, below)).union(_spread(more, below).distinct())
 
 
+def leading_nodes(seeds: DataFrame, edges: DataFrame, features: DataFrame) -> DataFrame:
+    """As feature_nodes, but what is below a component only for the first feature (feature_id, place) that has it: enough to
+    tell the first feature of every node."""
+    own, members, below = _parts(seeds, edges)
+    first = members.join(features.select("feature_id", "place"), "feature_id").groupBy("component").agg(F.min_by("feature_id", "place").alias("feature_id"))
+    return own.union(first.join(below, "component").select("feature_id", "part", "node"))
+
+
 def relevant_results(results: DataFrame, references: DataFrame, members: DataFrame) -> DataFrame:
     """(feature_id, result_id): results (result_id, status), ambiguous ones left out, one of whose references (result_id, kind,
     ref) is a member (feature_id, kind, ref) of the feature."""
@@ -151,7 +159,8 @@ def route_name(pattern: Column) -> Column:
 
 def relationships(navigates: DataFrame, transitions: DataFrame, features: DataFrame, nodes: DataFrame, states: DataFrame) -> DataFrame:
     """(id, type, from_feature, to_feature, edge_id, transition_id) between different features. features: (feature_id, place), the
-    order in which the first one is taken; nodes: (feature_id, part, node); states: (feature_id, state_id).
+    order in which the first one is taken; nodes: (feature_id, part, node), of which leading_nodes has enough; states: (feature_id,
+    state_id).
 
     An edge (id, src, dst) leads to the feature with the route dst, the last one of several, from the first feature with the
     node src, or else from the first one that a transition leads from to a state of the target. A transition (id, src, dst)

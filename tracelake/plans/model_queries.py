@@ -126,7 +126,7 @@ SELECT 'feature-relationship:' || {_HASH.format("type || '|' || from_feature ||
 @query(_RELATED)
 def feature_relationships(spark: SparkSession, d: str) -> DataFrame:
     seeds, links = T.frame(spark, d, "seeds"), T.frame(spark, d, "links")
-    return features.relationships(links.filter("type = 'NAVIGATES_TO'").select("id", "src", "dst"), T.frame(spark, d, "moves").select("id", "src", "dst"), seeds.select("feature_id", "place"), features.feature_nodes(seeds, links), T.frame(spark, d, "states").select("feature_id", "state_id"))
+    return features.relationships(links.filter("type = 'NAVIGATES_TO'").select("id", "src", "dst"), T.frame(spark, d, "moves").select("id", "src", "dst"), seeds.select("feature_id", "place"), features.leading_nodes(seeds, links, seeds), T.frame(spark, d, "states").select("feature_id", "state_id"))
 
 
 @query(T.with_sql("menus", "moves", "states") + """SELECT feature_id, 'entry:' || node_id AS id, coalesce(nullif(label, ''), node_label) AS label, destination FROM menus
