@@ -10,6 +10,8 @@ from .storage import cut
 
 #: Names of Spark collations: code points; the root collation of Unicode; the same without case.
 BINARY, UNICODE, UNICODE_CI = "UTF8_BINARY", "UNICODE", "UNICODE_CI"
+#: Fixed value: rows of one key that a task may have to itself.
+LARGE = 1_000_000
 
 
 def collated(value: Column, collation: str = UNICODE) -> Column:
@@ -36,9 +38,30 @@ def total_order(rows: DataFrame, order: list[Column], name: str = "place") -> Da
     return joined.select(*[F.col("row")[c].alias(c) for c in rows.columns if c != name], place.alias(name))
 
 
-def numbers_within(rows: DataFrame, keys: list[str], order: list[Column], name: str = "number") -> DataFrame:
+def large_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that hold more than LARGE rows, stored: more than one task should be given."""
+    return cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select(*keys), "large")
+
+
+def split_off(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows without and with one of the given keys."""
+    names = [f"__{c}" for c in keys.columns]
+    same, given = F.lit(True), keys.toDF(*names)
+    for c, name in zip(keys.columns, names):
+        same = same & F.col(c).eqNullSafe(F.col(name))
+    return tuple(rows.join(given, same, how) for how in ("left_anti", "left_semi"))
+
+
+def numbers_within(rows: DataFrame, keys: list[str], order: list[Column], name: str = "number", large: DataFrame | None = None) -> DataFrame:
     """The rows numbered from 1 within each key: their place in the total order by keys and order, less that of the key's
-    first row. A key may hold most of the rows: no task holds a key. Null keys are a key of their own."""
+    first row. A key may hold most of the rows: no task holds a key. Null keys are a key of their own. Where `large_keys` of the
+    rows are known, only the rows of these take that way, which stores all of them; all others are numbered in one window."""
+    if large is not None:
+        few = rows
+        if not large.isEmpty():
+            few, many = split_off(rows, large)
+        few = few.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
+        return few if large.isEmpty() else few.unionByName(numbers_within(many, keys, order, name))
     placed = total_order(rows, [*map(F.col, keys), *order], "__place")
     placed = placed.select(*placed.columns, F.struct(*keys).alias("__key"))
     first = placed.groupBy("__key").agg(F.min("__place").alias("__first")).withColumnRenamed("__key", "__of")

@@ -7,15 +7,19 @@ texts are empty lines; parts whose report_id is null, or has no report, are left
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .evidence import DOMAINS
-from .ordering import numbers_within
+from .ordering import numbers_within, split_off
 from .rules import CONTRACT_STATUSES
 
 #: The domains in the order of a report, and the statuses it counts.
 COUNTED = ["corroborated", "static-only", "runtime-only", "ambiguous"]
 WHERE = ["section", "item", "sub", "detail"]
+#: Lines before an operation's features, and of one that nothing proves.
+_FEATURES = ["", "FEATURES"]
+_UNPROVEN = ["", "RUNTIME", "Transport endpoint observed", "Named operation execution unproven"]
 
 
 def _at(rows: DataFrame, section: int, item: Column, line: Column, sub: Column | int = 0, detail: Column | int = 0) -> DataFrame:
@@ -82,26 +86,72 @@ def contract_report(contracts: DataFrame, endpoints: DataFrame, authentication:
     ])
 
 
-def contract_reconciliation_report(reports: DataFrame, results: DataFrame, links: DataFrame, features: DataFrame, totals: DataFrame) -> DataFrame:
+def _operation() -> list[Column | str]:
+    return ["", "OPERATION", F.col("subject"), "", "DOCUMENTED", F.coalesce("documented", "subject"), "", "STATIC", F.coalesce("static", F.lit("not available")), "", "RESULT", F.upper("status")]
+
+
+def contract_reconciliation_report(reports: DataFrame, results: DataFrame, links: DataFrame, features: DataFrame | None = None, totals: DataFrame | None = None, large: DataFrame | None = None) -> DataFrame:
     """Of the operations' results (report_id, place, result_id, subject, status, documented, static, unproven) with their links
     (report_id, place, result_id, feature_id), features (report_id, feature_id, name), and totals (report_id, status, results).
-    documented and static are what either side says, null where it says nothing. A link to an unknown feature shows its id."""
-    block = ["", "OPERATION", F.col("subject"), "", "DOCUMENTED", F.coalesce("documented", "subject"), "", "STATIC", F.coalesce("static", F.lit("not available")), "", "RESULT", F.upper("status")]
+    documented and static are what either side says, null where it says nothing. A link to an unknown feature shows its id. A
+    result_id stands for one result of its report. Without features, links have a name; without totals, results are counted.
+
+    large: the reports (report_id) that no task should hold, where that is known (then without features and totals). Only they
+    are laid out line by line; all others move as results and links, and become lines when their places are known."""
+    if large is not None:
+        if large.isEmpty():
+            return _reconciled(reports, results, links)
+        few, many = zip(*[split_off(df, large) for df in (reports, results, links)])
+        return _reconciled(*few).unionByName(contract_reconciliation_report(*many))
     at = results.select("report_id", "result_id", F.col("place").alias("__at"))
-    linked = links.join(at, ["report_id", "result_id"]).join(features, ["report_id", "feature_id"], "left")
+    linked = links.join(at, ["report_id", "result_id"])
+    linked = linked if features is None else linked.join(features, ["report_id", "feature_id"], "left")
+    totals = results.groupBy("report_id", "status").agg(F.count(F.lit(1)).alias("results")) if totals is None else totals
     unproven = results.filter("unproven")
     counts = F.map_from_entries(F.collect_list(F.struct("status", "results")))  # a row for each of five statuses
     total = reports.join(totals.filter(F.col("status").isin(CONTRACT_STATUSES)).groupBy("report_id").agg(counts.alias("n")), "report_id", "left")
-    told = [F.concat(F.lit(f"{s}: "), F.coalesce(F.col("n")[s], F.lit(0)).cast("string")) for s in CONTRACT_STATUSES]
     return _placed(reports, [
-        _texts(reports, 0, ["CONTRACT RECONCILIATION"]), _texts(results, 1, block, F.col("place")),
-        _texts(linked.select("report_id", "__at").distinct(), 1, ["", "FEATURES"], F.col("__at"), 1),
+        _texts(reports, 0, ["CONTRACT RECONCILIATION"]), _texts(results, 1, _operation(), F.col("place")),
+        _texts(linked.select("report_id", "__at").distinct(), 1, _FEATURES, F.col("__at"), 1),
         _at(linked, 1, F.col("__at"), F.coalesce("name", "feature_id"), 2, F.col("place")),
-        _texts(unproven, 1, ["", "RUNTIME", "Transport endpoint observed", "Named operation execution unproven"], F.col("place"), 3),
-        _texts(total, 2, ["", "SUMMARY", *told]),
+        _texts(unproven, 1, _UNPROVEN, F.col("place"), 3),
+        _texts(total, 2, ["", "SUMMARY", *[F.concat(F.lit(f"{s}: "), F.coalesce(F.col("n")[s], F.lit(0)).cast("string")) for s in CONTRACT_STATUSES]]),
     ])
 
 
+def _reconciled(reports: DataFrame, results: DataFrame, links: DataFrame) -> DataFrame:
+    """The lines of reports that each fit in a task: heads, results and links meet by report and are never shuffled as lines.
+    The first link of a result brings the heading, the last row of a result what is unproven, that of a report the summary."""
+    said = {c: results.schema[c].dataType for c in ("subject", "status", "documented", "static", "unproven")} | {c: links.schema[c].dataType for c in ("feature_id", "name")}
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        told = {"report_id", "result_id", "place"} & set(df.columns) if kind else {"report_id"}
+        key = [F.col(c) if c in told else F.lit(None).cast(results.schema[c].dataType).alias(c) for c in ("report_id", "result_id", "place")]
+        return df.select(*key, F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns and kind else F.lit(None)).cast(t).alias(c) for c, t in said.items()])
+
+    head, result, link = (F.col("kind") == k for k in range(3))
+    both = rows(reports.select("report_id").filter("report_id is not null").distinct(), 0).unionByName(rows(results, 1)).unionByName(rows(links.filter("result_id is not null"), 2))
+    of = W.partitionBy("report_id", "result_id", F.when(F.col("result_id").isNull() & result, F.col("place"))).orderBy("kind", "place", "name", "feature_id")
+    whole = W.partitionBy("report_id")
+    both = both.select(
+        "*", F.when(result, F.col("place")).otherwise(F.first(F.when(result, F.col("place")), ignorenulls=True).over(of)).alias("at"), (F.lag("kind").over(of) == 1).alias("opens"),
+        (F.lead("kind").over(of).isNull() & F.coalesce(F.first(F.when(result, F.col("unproven")), ignorenulls=True).over(of), F.lit(False))).alias("doubts"),
+    ).filter(head | F.col("at").isNotNull())
+    line = F.coalesce("name", "feature_id")
+    order = whole.orderBy(F.col("at").asc_nulls_first(), "kind", "place", F.coalesce(line, F.lit("")))
+    both = both.select("*", F.max(head).over(whole).alias("known"), F.lead("kind").over(order).isNull().alias("ends"), *[F.count_if(result & (F.col("status") == s)).over(whole).alias(s) for s in CONTRACT_STATUSES])
+    opens = link & F.coalesce("opens", F.lit(False))
+    parts = [
+        (head, ["CONTRACT RECONCILIATION"]), (result, _operation()), (opens, _FEATURES), (link, [line]), (F.col("doubts"), _UNPROVEN),
+        (F.col("ends"), ["", "SUMMARY", *[F.concat(F.lit(f"{s}: "), F.col(f"`{s}`").cast("string")) for s in CONTRACT_STATUSES]]),
+    ]
+    size = sum((F.when(there, len(texts)).otherwise(0) for there, texts in parts), F.lit(0))
+    both = both.withColumn("last", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, 0))).filter("known")
+    lines = F.concat(*[F.when(there, F.array(*[F.coalesce(t.cast("string"), F.lit("")) if isinstance(t, Column) else F.lit(t) for t in texts])).otherwise(F.array().cast("array<string>")) for there, texts in parts])
+    out = both.select("report_id", (F.col("last") - size).alias("before"), F.posexplode(lines).alias("n", "line"))
+    return out.select("report_id", (F.col("before") + F.col("n") + 1).alias("place"), "line")
+
+
 def _said(items: DataFrame, kind: str) -> DataFrame:
     return items.filter(F.col("kind") == kind)
 
