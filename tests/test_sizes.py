@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import ordering, reports
+from tracelake.operators import apidocs, evidence_graph, ordering, reports, storage, trees
 
 
 def held_reports(spark):
@@ -39,3 +39,40 @@ def test_numbers_of_large_keys(spark, monkeypatch):
     wanted = sorted(tuple(r) for r in ordering.numbers_within(data, ["k"], [F.col("v")], "n").select("v", "n").collect())
     for known in (large, large.filter("k = 1")):
         assert sorted(tuple(r) for r in ordering.numbers_within(data, ["k"], [F.col("v")], "n", known).select("v", "n").collect()) == wanted
+
+
+def rows_of(df):
+    return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+
+def test_one_table_of_the_graph_and_repeats_by_either_way(spark, monkeypatch):
+    from tests.test_graph_and_shapes import example
+
+    whole = evidence_graph.build_graph(example(spark))
+    assert any("#2" in r.id for r in whole.nodes.collect()) and any("#2" in r.id for r in whole.edges.collect())
+    for name in whole._fields:
+        one = evidence_graph.build_graph(example(spark), name)
+        assert [x is None for x in one] == [x != name for x in whole._fields] and rows_of(getattr(one, name)) == rows_of(getattr(whole, name))
+    monkeypatch.setattr(evidence_graph, "FEW", 0)
+    many = evidence_graph.build_graph(example(spark))
+    assert all(rows_of(a) == rows_of(b) for a, b in zip(many, whole))
+
+
+def test_kinds_of_keys_are_told(spark):
+    from tests.test_graph_and_shapes import example
+
+    facts = evidence_graph.collect_facts(example(spark))
+    refs = facts.filter("part = 'reference'")
+    kinds = lambda df: {r.key if not r.key.startswith("row|") else "|".join(r.key.split("|")[:2]) for r in df.filter("key is not null").select(F.when(F.startswith("key", F.lit("row|")), F.col("key")).otherwise(F.substring_index("key", "|", 1)).alias("key")).distinct().collect()}
+    assert kinds(refs.select(F.col("src").alias("key"))) <= set(evidence_graph.SOURCES)
+    assert kinds(facts.filter("needs is not null").select(F.col("needs").alias("key"))) <= set(evidence_graph.NEEDED)
+    assert kinds(refs.filter("size(tries) > 1").select(F.explode("tries").alias("key"))) <= {*evidence_graph.TRIED, *evidence_graph.SYMBOLS}
+    assert kinds(facts.filter("part = 'symbol'").select(F.explode("keys").alias("key"))) <= set(evidence_graph.SYMBOLS)
+    assert not kinds(facts.filter("part = 'node'").select(F.explode("keys").alias("key"))) & set(evidence_graph.SYMBOLS)
+
+
+def test_tables_give_up_what_was_shuffled_for_them_and_leave_the_session_as_it_was(spark):
+    keys = ["spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.maxConcurrentOutputFileWriters"]
+    was = [spark.conf.get(k) for k in keys]
+    rows = storage.cut(spark.range(1000).select((F.col("id") % 3).alias("k"), "id"), "x", by=["k"])
+    assert rows.columns == ["k", "id"] and rows.filter("k = 1").count() == 333 and [spark.conf.get(k) for k in keys] == was

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.names import uri_component
 
+from . import ordering
 from .graph import violations
 from .ordering import numbers_within
 from .storage import cut
@@ -52,6 +53,12 @@ ENDPOINTS = [
 ]
 #: Kinds of keys under which the last node counts; of all others exactly one must be there.
 MAPS = ["row", "component", "element", "callable", "document"]
+#: Kinds of the keys of symbols, of those that a fact may need, of references' sources, and of nodes that are tried among
+#: several keys; no other kinds stand there. Rows of a manifest are a kind of their own.
+SYMBOLS, NEEDED, TRIED = ["import-component", "import-callable", "namespace"], ["element", "document"], ["component", "in-file"]
+SOURCES = ["row|components", "row|routes", "row|navigations", "row|actions", "row|executions", "inner", "element", "callable", "document"]
+#: Fixed value: so many repeated identifiers are sent to all tasks.
+FEW = 10_000
 
 #: What a fact may say, in the order of the stored columns.
 FIELDS = {
@@ -197,14 +204,16 @@ def _facts(name: str, rows: DataFrame, resolved: bool) -> DataFrame:
         out.append(F.when(c("kind") == "namespace-member", _fact("symbol", "namespace-member", keys=[_key("namespace", "usage_at")], tries=[target], at=c("target_at"))))
     else:
         out.append(F.when(c("kind") == "import", _fact("failure", "import", keys=[_key("import", "file", "local_name"), _key("import", "file", "local_name", "source")], reason=c("reason"), place=place)))
+    if len(out) == 1 and not arrays:
+        return rows.select(out[0].alias("f")).filter("f is not null").select("f.*")
     facts = F.filter(F.array(*out), lambda x: x.isNotNull()) if out else None
     for more in arrays:
         facts = more if facts is None else F.concat(facts, more)
     return rows.select(F.explode(facts).alias("f")).select("f.*")
 
 
-def collect_facts(manifests: dict[str, DataFrame]) -> DataFrame:
-    """The facts of all manifests in one plan that scans each of them once, stored by part."""
+def collect_facts(manifests: dict[str, DataFrame], kept: list[str] | None = None) -> DataFrame:
+    """The facts of all manifests, or those of the kept parts, in one plan that scans each of them once, stored by part."""
     unknown = set(manifests) - set(MANIFESTS)
     if unknown:
         raise ValueError(f"no such manifests: {sorted(unknown)}")
@@ -212,69 +221,116 @@ def collect_facts(manifests: dict[str, DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return cut(out, "facts", by=["part"])
+    return cut(out if kept is None else out.filter(F.col("part").isin(kept)), "facts", by=["part"])
+
+
+def build_graph(manifests: dict[str, DataFrame], only: str | None = None) -> Graph:
+    """Nodes, edges and unresolved references of the manifests (see MANIFESTS). Null places count as one place. only: the one
+    table of the graph that is asked for; the others are None then, and what only they need is not worked out."""
+    facts = collect_facts(manifests, ["node"] if only == "nodes" else None)
+    rows = _identified(facts.filter("part = 'node'"))
+    if only == "nodes":
+        return Graph(_nodes(rows), None, None)
+    targets = _targets(rows)
+    found = _answered(facts.filter("part = 'reference'"), targets, _symbols(facts.filter("part = 'symbol'"), targets), facts.filter("part = 'failure'"), only)
+    return Graph(None if only else _nodes(rows), None if only == "unresolved" else _edges(found), None if only == "edges" else _unresolved(found))
+
+
+def _numbered(rows: DataFrame, base: str, order: list[str], counted: Column | None = None, store: bool = False) -> DataFrame:
+    """The rows with id: the base, and #2, #3, ... from its second row on. Bases are counted by a hash, of which only those that
+    stand more than once are kept. With few of them only their rows are put in order and all others are not moved; with many,
+    rows are numbered where their base is. store: what has repeats is stored."""
+    rows = rows.withColumn("__counted", F.lit(True) if counted is None else counted)
+    hashed, columns = F.xxhash64(base), [c for c in rows.columns if c != "__counted"]
+    repeats = cut(rows.filter("__counted").groupBy(hashed.alias("__hash")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), "repeats")
+    n = repeats.count()
+    if not n:
+        return rows.select(*columns, F.col(base).alias("id"))
+    few = F.broadcast(repeats.select("__hash"))  # at most FEW rows
+    if n <= FEW:
+        again = rows.filter("__counted").join(few, hashed == F.col("__hash"), "left_semi")
+        once = rows.join(few, F.col("__counted") & (hashed == F.col("__hash")), "left_anti")
+        placed = once.withColumn("__number", F.lit(1).cast("long")).unionByName(numbers_within(again, [base], [F.col(c) for c in order], "__number"))
+    else:
+        large = rows.filter("__counted").join(repeats.filter(F.col("__n") > ordering.LARGE), hashed == F.col("__hash"), "left_semi")
+        placed = numbers_within(rows, [base, "__counted"], [F.col(c) for c in order], "__number", ordering.large_keys(large, [base, "__counted"]))
+    told = F.when(F.col("__counted") & (F.col("__number") > 1), F.concat(base, F.lit("#"), F.col("__number").cast("string"))).otherwise(F.col(base))
+    out = placed.select(*columns, told.alias("id"))
+    return cut(out, "numbered") if store else out
 
 
-def build_graph(manifests: dict[str, DataFrame]) -> Graph:
-    """Nodes, edges and unresolved references of the manifests (see MANIFESTS). Null places count as one place."""
-    facts = collect_facts(manifests)
-    nodes, targets = _nodes(facts.filter("part = 'node'"))
-    symbols = _symbols(facts.filter("part = 'symbol'"), targets)
-    targets = cut(targets.withColumn("symbol_at", F.lit(None).cast("string")).unionByName(symbols), "targets")
-    found = _answered(facts.filter("part = 'reference'"), targets, facts.filter("part = 'failure'"))
-    return Graph(nodes, _edges(found), _unresolved(found))
+def _of(keys: DataFrame, kinds: list[str]) -> DataFrame:
+    """The keys of some kinds."""
+    kind = F.when(F.startswith("key", F.lit("row|")), F.substring_index("key", "|", 2)).otherwise(F.substring_index("key", "|", 1))
+    return keys.filter(kind.isin(kinds))
 
 
-def _numbered(rows: DataFrame, base: str, order: list[str], counted: Column | None = None) -> DataFrame:
-    """The rows with id: the base, and #2, #3, ... from its second row on. Only bases that stand more than once are put in
-    order, so the sort is as large as the repeats."""
-    repeats = rows.groupBy(base).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    if counted is not None:
-        rows = rows.withColumn("__counted", counted)
-    else:
-        rows = rows.withColumn("__counted", F.lit(True))
-    again = rows.filter("__counted").join(repeats.select(base), base, "left_semi")
-    once = rows.join(repeats.select(F.col(base).alias("__base")), F.col("__counted") & (F.col(base) == F.col("__base")), "left_anti")
-    placed = numbers_within(again, [base], [F.col(c) for c in order], "__number")
-    told = F.when(F.col("__number") > 1, F.concat(base, F.lit("#"), F.col("__number").cast("string"))).otherwise(F.col(base))
-    return once.withColumn("id", F.col(base)).unionByName(placed.withColumn("id", told).drop("__number")).drop("__counted")
-
-
-def _nodes(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The nodes, and (key, n, id) of the keys by which they are found."""
-    rows = cut(_numbered(facts.select("type", "base", "counted", "label", "at", "source", "keys", "needs", "place", F.coalesce("step", F.lit(0)).alias("step")), "base", ["place", "step", "label"], F.coalesce("counted", F.lit(False))), "numbered")
-    keys = rows.select("id", "place", "step", F.explode("keys").alias("key"))
-    last = F.max_by("id", F.struct("place", "step", "id"))
-    mapped = F.substring_index("key", "|", 1).isin(MAPS)
-    targets = keys.groupBy("key").agg(F.when(mapped, F.lit(1)).otherwise(F.count(F.lit(1))).alias("n"), last.alias("id"))
-    targets = cut(targets.select("key", F.col("n").cast("bigint").alias("n"), "id"), "keys")
-    known = targets.select(F.col("key").alias("needs"))
+def _identified(facts: DataFrame) -> DataFrame:
+    """The facts of nodes with their identifiers."""
+    columns = ["type", "base", "counted", "label", "at", "source", "keys", "needs", "place", F.coalesce("step", F.lit(0)).alias("step")]
+    return _numbered(facts.select(*columns), "base", ["place", "step", "label"], F.coalesce("counted", F.lit(False)), store=True)
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    known = _of(rows.select(F.explode("keys").alias("key")), NEEDED).select(F.col("key").alias("needs"))
     free, bound = rows.filter("needs is null"), rows.filter("needs is not null").join(known, "needs", "left_semi")
-    return free.unionByName(bound).select("id", "type", "label", F.col("at").alias("location"), "source"), targets
+    return free.unionByName(bound).select("id", "type", "label", F.col("at").alias("location"), "source")
+
+
+def _targets(rows: DataFrame) -> DataFrame:
+    """(key, n, id) of the keys by which nodes are found, stored."""
+    keys = rows.select(F.struct("place", "step", "id").alias("last"), F.explode("keys").alias("key"))
+    mapped = F.substring_index("key", "|", 1).isin(MAPS)
+    targets = keys.groupBy("key").agg(F.when(mapped, F.lit(1)).otherwise(F.count(F.lit(1))).alias("n"), F.max("last")["id"].alias("id"))
+    return cut(targets.select("key", F.col("n").cast("bigint").alias("n"), "id"), "keys")
 
 
 def _symbols(facts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(key, n, id, symbol_at): the symbols' own keys; id only where one symbol has the key and its target is there."""
-    rows = facts.select(F.explode("keys").alias("key"), F.get("tries", F.lit(0)).alias("tried"), "at")
-    aimed = rows.join(targets.filter("n = 1").select(F.col("key").alias("tried"), "id"), "tried", "left")
-    return aimed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.coalesce(F.min("at"), F.lit("")).alias("symbol_at"))
-
-
-def _answered(references: DataFrame, targets: DataFrame, failures: DataFrame) -> DataFrame:
-    """The references with src_id and dst, the symbol that they passed, and the reason if no key answers; stored."""
-    columns = ["type", "place", "step", "at", "source", "strength", "reference", "none", "many", "symbol_none", "failure", "quiet", "needs"]
-    rows = references.join(targets.filter("n = 1").select(F.col("key").alias("src"), F.col("id").alias("src_id")), "src")
-    needed = rows.filter("needs is not null").join(targets.select(F.col("key").alias("needs")), "needs", "left_semi")
-    rows = rows.filter("needs is null").unionByName(needed.select(*rows.columns))
-    rows = rows.select("src_id", *columns, "tries").withColumn("ref", F.monotonically_increasing_id())
-    rows = cut(rows, "references")  # the numbers must not change when a lost task runs again
-    tries = rows.select("ref", F.posexplode("tries").alias("pos", "key")).join(targets, "key")
+    """(key, n, id, symbol_at): the symbols' own keys; id only where one symbol has the key and its target is there; stored."""
+    rows = cut(facts.select(F.explode("keys").alias("key"), F.get("tries", F.lit(0)).alias("tried"), "at"), "symbols")
+    aims = cut(rows.filter("tried is not null").select("tried").distinct(), "aims")
+    held = targets.filter("n = 1").join(aims, F.col("key") == F.col("tried")).select("tried", "id")
+    aimed = rows.join(cut(held, "held"), "tried", "left")
+    found = aimed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.coalesce(F.min("at"), F.lit("")).alias("symbol_at"))
+    return cut(found, "symbols")
+
+
+def _answered(references: DataFrame, targets: DataFrame, symbols: DataFrame, failures: DataFrame, only: str | None = None) -> DataFrame:
+    """The references with src_id and dst, the symbol that they passed, and what tells the reason if no key answers, without the
+    silent ones that none answers; stored. A reference that tries one key meets the nodes or the symbols as a row; only those
+    that try several keys are taken apart."""
+    said = ["at", "reference", "none", "many", "symbol_none", "failure"]
+    columns = ["src", "type", "place", "step", *said, "source", "strength", "quiet"]
+    known = _of(targets, NEEDED).select(F.col("key").alias("needs"))
+    needed = cut(references.filter("needs is not null").join(known, "needs", "left_semi").select(*columns, "tries"), "needed")
+    rows = references.filter("needs is null").select(*columns, "tries").unionByName(needed).withColumn("key", F.get("tries", F.lit(0)))
+    none = F.lit(None).cast("string")
+    symbol = F.coalesce(F.substring_index("key", "|", 1).isin(SYMBOLS), F.lit(False))
+    hit = (F.col("n") == 1) & F.col("id").isNotNull()
+    told = {"dst": F.when(hit, F.col("id")), "passed": F.when(hit, F.col("symbol_at")), "symbol_at": F.when(F.col("n") == 1, F.col("symbol_at")), "several": F.col("n") > 1}
+    one = rows.filter((F.size("tries") == 1) & ~symbol).join(targets.withColumn("symbol_at", none), "key", "left")
+    through = rows.filter((F.size("tries") == 1) & symbol).join(symbols, "key", "left")
+    silent = rows.filter(F.size("tries") == 0).withColumns({"dst": none, "passed": none, "symbol_at": none, "several": F.lit(False)})
+    parts = [df.select(*columns, *[c.alias(name) for name, c in told.items()]) for df in (one, through)]
+    found = parts[0].unionByName(parts[1]).unionByName(silent.select(*columns, *told)).unionByName(_tried(rows.filter(F.size("tries") > 1).select(*columns, "tries"), targets, symbols))
+    found = found.filter({"edges": "dst is not null", "unresolved": "dst is null and not coalesce(quiet, false)"}.get(only, "dst is not null or not coalesce(quiet, false)"))
+    why = failures.select(F.explode("keys").alias("failure"), "place", "reason").groupBy("failure").agg(F.min_by("reason", "place").alias("failed"))
+    found = found.withColumns({c: F.when(F.col("dst").isNotNull() if c == "at" else F.col("dst").isNull(), F.col(c)) for c in said})  # the rest is not asked for
+    found = found.join(cut(why, "failed"), "failure", "left").drop("failure")
+    found = found.join(_of(targets, SOURCES).filter("n = 1").select(F.col("key").alias("src"), F.col("id").alias("src_id")), "src").drop("src")
+    return cut(found, "answered")
+
+
+def _tried(rows: DataFrame, targets: DataFrame, symbols: DataFrame) -> DataFrame:
+    """References with what the first of their keys that answers says."""
+    rows = cut(rows.withColumn("ref", F.monotonically_increasing_id()), "references")  # the numbers must not change when a lost task runs again
+    keys = rows.select("ref", F.posexplode("tries").alias("pos", "key"))
+    symbol = F.substring_index("key", "|", 1).isin(SYMBOLS)
+    tries = keys.filter(~symbol).join(_of(targets, TRIED).withColumn("symbol_at", F.lit(None).cast("string")), "key").unionByName(keys.filter(symbol).join(symbols, "key"))
     answers = F.when((F.col("n") == 1) & F.col("id").isNotNull(), F.struct("pos", "id", "symbol_at"))
     best = tries.groupBy("ref").agg(F.min(answers).alias("hit"), F.max(F.when(F.col("n") > 1, F.lit(True))).alias("several"), F.max(F.when((F.col("n") == 1) & F.col("symbol_at").isNotNull(), F.struct("symbol_at"))).alias("symbol"))
-    rows = rows.join(best, "ref", "left")
-    why = failures.select(F.explode("keys").alias("failure"), "place", "reason").groupBy("failure").agg(F.min_by("reason", "place").alias("failed"))
-    rows = rows.join(why, "failure", "left")
-    return cut(rows.select("src_id", *columns, F.col("hit.id").alias("dst"), F.col("hit.symbol_at").alias("passed"), F.col("symbol.symbol_at").alias("symbol_at"), "several", "failed"), "answered")
+    told = [F.col("hit.id").alias("dst"), F.col("hit.symbol_at").alias("passed"), F.col("symbol.symbol_at").alias("symbol_at"), "several"]
+    return rows.join(best, "ref", "left").select(*[c for c in rows.columns if c not in ("ref", "tries")], *told)
 
 
 def _edges(found: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def evidence_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_GRAPH + "SELECT * FROM edge")
 def evidence_graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = evidence_graph.build_graph(manifests(spark, d)).edges
+    edges = evidence_graph.build_graph(manifests(spark, d), "edges").edges
     told = F.transform("evidence", lambda x: F.concat_ws(":", x["source"], x["at"], x["strength"]))
     return edges.withColumn("evidence", F.array_join(told, ","))
 
