@@ -160,7 +160,7 @@ def evidence_graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_GRAPH + "SELECT * FROM unresolved")
 def evidence_graph_unresolved(spark: SparkSession, d: str) -> DataFrame:
-    return evidence_graph.build_graph(manifests(spark, d)).unresolved
+    return evidence_graph.build_graph(manifests(spark, d), "unresolved").unresolved
 
 
 _CONTAINED = """e AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION ALL SELECT 'customer:' || o_custkey, 'orders:' || o_orderkey FROM orders)"""
