@@ -148,7 +148,7 @@ unresolved AS (SELECT 'unresolved:' || type || ':' || src || ':' || {_E.format("
 @query(_GRAPH + "SELECT id, type, label, loc AS location, source FROM node")
 def evidence_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Reads all tables that `manifests` names, each once."""
-    return evidence_graph.build_graph(manifests(spark, d)).nodes
+    return evidence_graph.build_graph(manifests(spark, d), "nodes").nodes
 
 
 @query(_GRAPH + "SELECT * FROM edge")
