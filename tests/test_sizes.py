@@ -76,3 +76,29 @@ def test_tables_give_up_what_was_shuffled_for_them_and_leave_the_session_as_it_w
     was = [spark.conf.get(k) for k in keys]
     rows = storage.cut(spark.range(1000).select((F.col("id") % 3).alias("k"), "id"), "x", by=["k"])
     assert rows.columns == ["k", "id"] and rows.filter("k = 1").count() == 333 and [spark.conf.get(k) for k in keys] == was
+
+
+ELEMENTS = "id string, parent string, kind string, name string, title string, place long, destination_kind string, destination string, text string"
+
+
+def test_links_are_climbed_from_what_has_elements_below(spark, monkeypatch):
+    def element(i, parent, name="div", title=None, destination=None, kind="element", place=0, text=None):
+        return (i, parent, kind, name, title, place, destination and "static", destination, text)
+
+    def said(i, parent, text, place, kind="text"):
+        return element(i, parent, None, None, None, kind, place, text)
+
+    rows = [
+        element("top", None, "main"), element("menu", "top", "nav", "Menu"), element("a1", "menu", "a", None, "/1"), element("b", "a1", "b"), said("t1", "b", "one", 2), said("t2", "a1", "zero", 1), element("a2", "b", "X.Link", None, "/2"),
+        said("t3", "a2", "x()", 3, "dynamic"), element("lone", None, "a", None, "/3"), said("t4", "lone", "alone", 4), said("t5", None, "nobody's", 5), element("lost", "gone", "a", None, "/4"), element("c1", "c2"), element("c2", "c1"), element("a3", "c1", "a", None, "/5"),
+        element("no", "menu", "a"), said("t6", "menu", "no link", 6), element("bare", "menu", "Link", None, "/6"),
+    ]
+    seen = []
+    real = trees.follow
+    monkeypatch.setattr(trees, "follow", lambda df, **k: seen.append({r.node for r in df.select("node").collect()}) or real(df, **k))
+    found = lambda rows: {r.id: (r.label_kind, r.label, r.ancestors) for r in trees.navigation_records(spark.createDataFrame(rows, ELEMENTS)).collect()}
+    way = ["main", "nav: Menu"]
+    wanted = {"a1": ("dynamic", "x()", way), "a2": ("dynamic", "x()", [*way, "b"]), "lone": ("static", "alone", []), "bare": ("static", "", way)}
+    assert found(rows) == wanted and seen == [{"top", "menu", "a1", "b", "a2", "lone", "c1", "c2"} - {"a2", "lone"}]
+    below = [*rows, element("in", "t3", "a", None, "/7"), said("t7", "in", "deep", 7)]
+    assert found(below) == {**wanted, "in": ("static", "deep", [*way, "b"])}

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chains import follow
+from .storage import cut
 
 #: A line of an accessibility snapshot, and the roles whose values are left out.
 ITEM = r'^ *- ([A-Za-z0-9_-]+)(?: "((?:[^"\\]|\\.)*+)")?'
@@ -52,20 +53,40 @@ def navigation_records(elements: DataFrame) -> DataFrame:
     """(id, element, label_kind, label, destination_kind, destination, ancestors) of the links of elements (id, parent, kind,
     name, title, place, destination_kind, destination, text): a link is an a or a Link with a destination. Its label is the texts
     below it in their order, or dynamic, the expressions below it. ancestors: 'name' or 'name: title' of the elements above it
-    that are no links, the outermost first. Trees of any depth are climbed by doubling."""
+    that are no links, the outermost first. Trees of any depth are climbed by doubling, but only from what has elements below
+    it; all other elements, and then the texts, take over the way of their parent."""
     link = F.col("name").isin("a", "Link") | F.endswith("name", F.lit(".Link"))
     rows = elements.withColumn("__link", (F.col("kind") == "element") & F.coalesce(link, F.lit(False)))
-    step = F.struct("id", "kind", "name", "title", F.col("__link").alias("link"))
-    walked = follow(rows.select(F.col("id").alias("node"), F.col("parent").alias("next"), step.alias("seen")), trail="seen").ended
-    tops = rows.filter("parent is null").select(F.col("id").alias("end"), step.alias("top"))
-    above = walked.join(tops, "end").select(F.col("node").alias("id"), F.filter(F.concat("trail", F.array("top")), lambda x: x["id"] != F.col("node")).alias("above"))
-    links = rows.filter("__link and destination is not null")
-    told = lambda x: F.concat(x["name"], F.when(x["title"].isNotNull(), F.concat(F.lit(": "), x["title"])).otherwise(F.lit("")))
-    path = F.reverse(F.transform(F.filter("above", lambda x: (x["kind"] == "element") & ~x["link"]), told))
-    texts = rows.filter("kind in ('text', 'dynamic')").join(above, "id").select("place", "kind", "text", F.explode("above").alias("x")).filter("x.link")
-    labels = texts.groupBy(F.col("x.id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "kind", "text"))).alias("parts"))  # what is said in one link
+    told = F.concat("name", F.when(F.col("title").isNotNull(), F.concat(F.lit(": "), "title")).otherwise(F.lit("")))
+    shown = (F.col("kind") == "element") & ~F.col("__link")
+    rows = rows.withColumn("__step", F.struct(F.when(F.col("__link"), F.col("id")).alias("link"), F.coalesce(shown, F.lit(False)).alias("shown"), F.when(shown, told).alias("told")))
+    text = F.coalesce(F.col("kind").isin("text", "dynamic"), F.lit(False))
+    stems = rows.filter(~text)
+    inner = _inner(stems)
+    strange = inner.filter("there is null").select("node")
+    if not strange.isEmpty() and not rows.filter(text).join(strange, F.col("id") == F.col("node"), "left_semi").isEmpty():
+        stems, inner = rows, _inner(rows)  # there are elements below texts
+    inner = inner.filter("there")
+    walked = follow(inner.select("node", "next", "step"), trail="step").ended
+    tops = inner.filter("next is null").select(F.col("node").alias("end"), F.col("step").alias("top"))
+    ways = walked.join(tops, "end").select(F.col("node").alias("parent"), F.concat("trail", F.array("top")).alias("above"))
+    held = stems.filter("parent is not null").join(ways, "parent")
+    held = held.unionByName(stems.filter("parent is null").withColumn("above", F.expr("slice(array(__step), 1, 0)")))
+    path = F.reverse(F.transform(F.filter("above", lambda x: x["shown"]), lambda x: x["told"]))
+    links = held.filter("__link and destination is not null").select("id", F.col("name").alias("element"), "destination_kind", "destination", path.alias("ancestors"))
+    around = F.filter(F.transform(F.concat(F.array("__step"), "above"), lambda x: x["link"]), lambda x: x.isNotNull())
+    around = held.select(F.col("id").alias("parent"), around.alias("links")).filter(F.size("links") > 0)
+    texts = rows.filter(text & F.col("parent").isNotNull()).select("parent", F.struct("place", "kind", "text").alias("part")).join(around, "parent")
+    parts = texts.select("parent", F.explode("links").alias("id"), "part").groupBy("parent", "id").agg(F.collect_list("part").alias("parts"))
+    labels = parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"))  # what is said in one link
     dynamic = F.filter("parts", lambda p: p["kind"] == "dynamic")
     kind = F.when(F.size(dynamic) > 0, F.lit("dynamic")).otherwise(F.lit("static"))
     said = F.when(F.size(dynamic) > 0, F.array_join(F.transform(dynamic, lambda p: p["text"]), ", ")).otherwise(F.coalesce(F.array_join(F.transform("parts", lambda p: p["text"]), " "), F.lit("")))
-    out = links.join(above, "id").join(labels, "id", "left")
-    return out.select("id", F.col("name").alias("element"), kind.alias("label_kind"), said.alias("label"), "destination_kind", "destination", path.alias("ancestors"))
+    out = links.join(labels.select("id", kind.alias("label_kind"), said.alias("label")), "id", "left")
+    return out.select("id", "element", F.coalesce("label_kind", F.lit("static")).alias("label_kind"), F.coalesce("label", F.lit("")).alias("label"), "destination_kind", "destination", "ancestors")
+
+
+def _inner(stems: DataFrame) -> DataFrame:
+    """(node, next, step, there): the names that stand as parents, with the stem of that name where there is one; stored."""
+    parents = stems.filter("parent is not null").select(F.col("parent").alias("node")).distinct()
+    return cut(parents.join(stems.select(F.col("id").alias("node"), F.col("parent").alias("next"), F.col("__step").alias("step"), F.lit(True).alias("there")), "node", "left"), "inner")
