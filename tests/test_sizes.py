@@ -102,3 +102,16 @@ def test_links_are_climbed_from_what_has_elements_below(spark, monkeypatch):
     assert found(rows) == wanted and seen == [{"top", "menu", "a1", "b", "a2", "lone", "c1", "c2"} - {"a2", "lone"}]
     below = [*rows, element("in", "t3", "a", None, "/7"), said("t7", "in", "deep", 7)]
     assert found(below) == {**wanted, "in": ("static", "deep", [*way, "b"])}
+
+
+def test_facts_of_documentation_that_may_be_there(spark):
+    texts = [
+        "See Pagination here. No paginations.x pagination\npagination of " + "a" * 200, "x" * 150 + " PAGINATION " + "y" * 200 + " pagination. pagination", None, "", "Graph&#81;L it is", "Graph<b>QL</b>", "see graphql.", "a&amp;b", "x\n  get  /v1/a", "get v1",
+        "Query:\nop(a: Int): T", "op(a: Int): T\nQuery:", "op(a: Int): T", "query op(a: Int): T - what", "Mutation\n\n(not one): x\n go (): T", "Subscription\r\nx(a): b", "(:)",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    plain = docs.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(apidocs.PAGINATION), F.lit(0))).alias("text")).select("doc_id", apidocs.normal_space(F.col("text")).alias("text"))
+    assert rows_of(apidocs.pagination(docs)) == rows_of(plain) and plain.count() > 4
+    assert rows_of(apidocs.signed(docs)) == rows_of(apidocs.text_operations(docs).filter("type <> 'unknown'").select("doc_id").distinct())
+    style = {r[0]: r[1] for r in docs.select("doc_id", apidocs.api_style(F.col("content"), F.lit(0))).collect()}
+    assert {k for k, v in style.items() if v == "graphql"} == {4, 6} and {k for k, v in style.items() if v == "rest"} == {8}

@@ -111,13 +111,30 @@ def authentication(docs: DataFrame) -> DataFrame:
 
 
 def pagination(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.explode(F.regexp_extract_all("content", F.lit(PAGINATION), F.lit(0))).alias("text"))
+    """(doc_id, text): what is said of pagination within a sentence and line; only those that name it are searched."""
+    named = lambda x: F.contains(F.lower(x), F.lit("pagination"))
+    sentences = docs.filter(named(F.col("content"))).select("doc_id", F.explode(F.filter(F.split("content", r"[.\n]"), named)).alias("sentence"))
+    rows = sentences.select("doc_id", F.explode(F.regexp_extract_all("sentence", F.lit(PAGINATION), F.lit(0))).alias("text"))
     return rows.select("doc_id", normal_space(F.col("text")).alias("text"))
 
 
+def signed(docs: DataFrame) -> DataFrame:
+    """(doc_id): the documents that have operations with a type, each once. Lines are made of those that can have a signature."""
+    able = [F.contains("content", F.lit(sign)) for sign in "():"]
+    rows = lines(docs.filter(able[0] & able[1] & able[2])).withColumn("type", F.lower(_part(F.col("text"), HEADING, 1)))
+    is_signature = F.contains("text", F.lit("(")) & F.regexp_like("text", F.lit(SIGNATURE))
+    rows = rows.filter(F.col("type").isNotNull() | is_signature).withColumn("is_signature", is_signature)
+    own = F.when(F.col("is_signature"), _part(F.col("text"), SIGNATURE, 1)).isNotNull()
+    at = rows.groupBy("doc_id").agg(F.min(F.when(F.col("type").isNotNull(), F.col("line"))).alias("heading"), F.max(F.when(F.col("is_signature"), F.col("line"))).alias("last"), F.max(own).alias("own"))
+    return at.filter("own or heading <= last").select("doc_id")
+
+
 def api_style(content: Column, n_operations: Column) -> Column:
-    graphql = (n_operations > 0) | F.regexp_like(plain_html(content), F.lit(r"(?i)\bGraphQL\b"))
-    return F.when(graphql, F.lit("graphql")).when(F.regexp_like(content, F.lit(r"(?im)^\s*(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/\S+")), F.lit("rest")).otherwise(F.lit("unknown"))
+    """graphql, rest or unknown. Markup is only taken off where the text names GraphQL, or may by a reference."""
+    may = F.contains(F.lower(content), F.lit("graphql")) | F.contains(content, F.lit("&"))
+    graphql = (n_operations > 0) | F.when(may, F.regexp_like(plain_html(content), F.lit(r"(?i)\bGraphQL\b"))).otherwise(F.lit(False))
+    rest = F.when(F.contains(content, F.lit("/")), F.regexp_like(content, F.lit(r"(?im)^\s*(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/\S+"))).otherwise(F.lit(False))
+    return F.when(graphql, F.lit("graphql")).when(rest, F.lit("rest")).otherwise(F.lit("unknown"))
 
 
 def merged_types(fields: DataFrame) -> DataFrame:

@@ -335,8 +335,9 @@ def api_facts(spark: SparkSession, d: str) -> DataFrame:
     rows = apidocs.endpoints(docs).select("doc_id", F.lit("endpoint").alias("part"), "value", F.col("region").alias("detail"))
     rows = rows.unionByName(apidocs.authentication(docs).select("doc_id", F.lit("header").alias("part"), F.col("purpose").alias("value"), F.col("scheme").alias("detail")))
     rows = rows.unionByName(apidocs.pagination(docs).select("doc_id", F.lit("pagination").alias("part"), F.col("text").alias("value"), none.alias("detail")))
-    n = apidocs.text_operations(docs).filter("type <> 'unknown'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    style = docs.filter("content is not null").join(n, "doc_id", "left").select("doc_id", F.lit("style").alias("part"), apidocs.api_style(F.col("content"), F.coalesce("n", F.lit(0))).alias("value"), none.alias("detail"))
+    by_text = docs.filter("content is not null").select("doc_id", apidocs.api_style(F.col("content"), F.lit(0)).alias("told"))
+    style = by_text.join(apidocs.signed(docs).withColumn("signed", F.lit(True)), "doc_id", "left")
+    style = style.select("doc_id", F.lit("style").alias("part"), F.when(F.col("signed"), F.lit("graphql")).otherwise(F.col("told")).alias("value"), none.alias("detail"))
     return rows.unionByName(style)
 
 
